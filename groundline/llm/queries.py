@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import bpe, common, media, packing, urls
+from groundline.llm import bpe, common, media, packing, quality, urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(common.read(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.read(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.read(spark, sf_dir, "documents"), digest=True)
 
@@ -23,5 +27,5 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_bpe, op8_url_filter, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op8_url_filter, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}
