@@ -130,6 +130,7 @@ def judge(urls: list[str | None], rules: DigestArray, default: str) -> list[tupl
 
 
 _mapped: dict[str, DigestArray] = {}
+_sent: set[tuple[str, str]] = set()
 
 
 def mapped(path: str) -> DigestArray:
@@ -147,10 +148,12 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, defa
     if len(data) > most_bytes:
         return _joined(rows, rules, default)
     name = f"rules-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    folder = tempfile.mkdtemp(prefix="groundline-rules-")
-    with open(path := os.path.join(folder, name), "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(path)
+    sent = (spark.sparkContext.applicationId, name)
+    if sent not in _sent:  # a file of one name can be added once
+        with open(path := os.path.join(tempfile.mkdtemp(prefix="groundline-rules-"), name), "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(path)
+        _sent.add(sent)
     out = common.arrow_schema(ddl := "page_id long, host string, path string, rule string, verdict string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
