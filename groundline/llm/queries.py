@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import bpe, common, media, packing, quality, toxicity, urls
+from groundline.llm import bpe, common, html, media, packing, quality, toxicity, urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(common.read(spark, sf_dir, "pages"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(common.read(spark, sf_dir, "pages"))
+
+
 def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op6_toxicity, op8_url_filter, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op6_toxicity, op8_url_filter, op9_html, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}
