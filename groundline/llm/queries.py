@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundline.llm import bpe, common, html, media, packing, quality, toxicity, urls
+from groundline.llm import bpe, common, html, media, packing, pii, quality, toxicity, urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(common.read(spark, sf_dir, "documents"), digest=True)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(common.read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
@@ -35,5 +39,5 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op6_toxicity, op8_url_filter, op9_html, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op5_pii, op6_toxicity, op8_url_filter, op9_html, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}

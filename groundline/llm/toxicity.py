@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ SAMPLE_ROWS = 4000
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 12
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
 WINDOW, STRIDE = 32, 20
-EPOCHS, BATCH, RATE = 10, 64, 0.02
+EPOCHS, BATCH, RATE = 6, 64, 0.02
 CACHE_ENTRIES = 300_000
 _EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -310,24 +311,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Network:
     return train([t for t, _ in rows], [y for _, y in rows])
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of docs with their columns, and toxicity_score; the text column is read whole."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(pickle.dumps(net))  # its size is fixed by the numbers of buckets
-    name = "toxicity_score"
+    key, name = uuid.uuid4().hex, "toxicity_score"
     while name in docs.columns:
         name = f"_{name}"
     rows = docs.withColumn("_toxicity_text", common.as_bytes(common.text_or_empty())).withColumn(name, F.lit(0.0))
     target = common.arrow_schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_toxicity_text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.id not in _scorers:
+        if key not in _scorers:
             _scorers.clear()
-            _scorers[model.id] = Scorer(pickle.loads(model.value))
-        scorer = _scorers[model.id]
+            _scorers[key] = Scorer(pickle.loads(model.value))
+        scorer = _scorers[key]
         for b in common.slices(batches, "_toxicity_text", 4 << 20):
             got = pa.array(scorer.score(b.column("_toxicity_text").to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([got if f.name == name else b.column(f.name).cast(f.type) for f in target], schema=target)
