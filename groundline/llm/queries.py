@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundline.llm import bpe, common, html, media, packing, pii, quality, toxicity, urls
+from groundline.llm import bpe, common, html, media, neardup, packing, pii, quality, toxicity, urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(common.read(spark, sf_dir, "documents"), percent=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(common.read(spark, sf_dir, "pages"))
 
@@ -39,5 +45,5 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op5_pii, op6_toxicity, op8_url_filter, op9_html, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op5_pii, op6_toxicity, op7_neardup, op8_url_filter, op9_html, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}
