@@ -1,17 +1,46 @@
-"""The corpus pipeline: stages that read documents and write what they keep."""
+"""The corpus pipeline: stages that read documents and write what they keep, and packing at the end."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundline.llm import common, packing
+from groundline.llm import common, neardup, packing, pii, quality, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network calls toxic go; it learns from the labels of documents that are not held out."""
+    network = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, network)
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
+    return neardup.deduplicate(docs, percent=80)
+
+
+def sanitize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.sanitize(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a packed sequence, with its ids."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_low_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", sanitize),
+    ("packing", pack),
+]
+#: A trained network and a tokenizer have no SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 

@@ -41,6 +41,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    # shuffle files of plans that nobody holds any more go once their JVM objects do
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

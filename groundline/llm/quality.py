@@ -72,10 +72,11 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return F.when(n < width, F.lit(0)).otherwise(counted)
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row for each document: the base figures and both histograms."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """A row for each document: the base figures and both histograms; with `whole` also the row itself, as `row`."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
     text = F.col("_text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"), common.text_or_empty(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"), common.text_or_empty(text_col).alias("_text"), *row)
     lines = let(F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
     def of_words(w: Column) -> Column:
@@ -84,14 +85,14 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), counts.alias("words"))
 
     rows = rows.select(
-        "doc_id", "lang", F.length(text).alias("n"), without(text, SPACE).cast("long").alias("word_chars"),
+        *["row"] * whole, "doc_id", "lang", F.length(text).alias("n"), without(text, SPACE).cast("long").alias("word_chars"),
         without(text, r"\P{L}+").alias("letters"), without(text, r"\P{Lu}+").alias("upper"), without(text, "[^0-9]+").alias("digit"), without(text, r"""[^.,;:!?'"()-]+""").alias("punct"),
         without(text, f"[^{SYMBOLS}]+").cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"), let(words_of(text), of_words).alias("of"),
     ).select("*", "of.*")
     blank = F.col("n") - F.col("word_chars")
     parts = {"lower": F.col("letters") - F.col("upper"), "upper": F.col("upper"), "blank": blank, "punct": F.col("punct"), "other": F.col("word_chars") - F.col("letters") - F.col("digit") - F.col("punct")}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n", F.array(*[parts[c].cast("long") for c in CLASSES]).alias("classes"), "words")
+    return rows.select(*["row"] * whole, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n", F.array(*[parts[c].cast("long") for c in CLASSES]).alias("classes"), "words")
 
 
 def language_references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -141,8 +142,8 @@ def js_distance_of(counts: list[int], shares: list[float]) -> float:
     return math.sqrt(max(total, 0.0))
 
 
-def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, class_guard: int = CLASS_GUARD, word_guard: int = WORD_GUARD, **columns) -> DataFrame:
-    """doc_id, the base figures, base_failed, class_distance, word_distance and kept."""
+def verdicts(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, class_guard: int = CLASS_GUARD, word_guard: int = WORD_GUARD, **columns) -> DataFrame:
+    """The features with the distances and kept."""
     rows = common.materialize(features(docs, **columns), "quality")
     references = language_references(rows)
     if references:
@@ -156,4 +157,14 @@ def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float =
     else:
         rows = rows.withColumns({"class_distance": F.lit(0.0), "word_distance": F.lit(0.0)})
     far = ((F.col("n") >= class_guard) & (F.col("class_distance") > class_limit)) | ((F.col("n_words") >= word_guard) & (F.col("word_distance") > word_limit))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, the base figures, base_failed, class_distance, word_distance and kept."""
+    return verdicts(docs, **options).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns."""
+    return verdicts(docs, whole=True, **options).filter("kept").select("row.*")

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundline.llm import bpe, common, html, media, neardup, packing, pii, quality, toxicity, urls
+from groundline.llm import bpe, common, html, language, media, neardup, packing, pii, quality, toxicity, urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digest(common.read(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score(common.read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.read(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_quality, op4_bpe, op5_pii, op6_toxicity, op7_neardup, op8_url_filter, op9_html, op10_ogg)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_model, op3_quality, op4_bpe, op5_pii, op6_toxicity, op7_neardup, op8_url_filter, op9_html, op10_ogg)}
 ORACLE_SQL: dict[str, str] = {}
