@@ -7,13 +7,14 @@ at once and stop when every slot is filled, as later levels cannot win.  Slots a
 1. Equal sets fall together by their digest; the least doc_id stands for them.
 2. Bands of ROWS slots that agree put two sets in one bucket.  A bucket of more than `block` members is dealt to
    blocks, and a task compares a pair of blocks, so no task holds more than two blocks.
-3. In a bucket the whole signatures are compared.  The first round links each member to its nearest one only; these
-   pairs are confirmed on full sets, and union-find groups what they link.  The second round takes all pairs whose
-   signatures come near the limit and that groups do not already join, each from the first bucket that holds it,
-   and confirms them the same way.  No link between different groups is left out, and pairs within a group are not asked for.
+3. In a bucket the whole signatures are compared.  The first rounds propose for each member its nearest ones, at most one of
+   each of a few other groups; these pairs are confirmed on full sets, and union-find groups what they link.  The last
+   round takes all pairs whose signatures come near the limit and that groups do not already join, each from the first bucket
+   that holds it, and confirms them the same way.  No link between different groups is left out, and pairs within a
+   group are not asked for.
 
 A pair at the limit itself shares no bucket with a chance of 2e-5 (28 bands of 7), and its signatures
-fall short of it by `slack` with one of 1e-6.
+fall short of it by `slack`, four standard deviations, with one of 3e-5.
 
 Defined results: without words or text a document has an empty set and is linked with nothing; rows of one doc_id
 count as one document for links, and each gives a row; a row without doc_id is linked with nothing and kept.
@@ -34,7 +35,9 @@ SHINGLE = 5
 BANDS, ROWS = 28, 7
 SLOTS = BANDS * ROWS
 BLOCK = 384
-SLACK = 0.12
+SLACK = 0.08
+#: Rounds of nearest members, and of how many other groups each round takes one.
+NEAREST = (1, 4)
 #: Edges of one union-find in a task.
 FOREST_EDGES = 1_000_000
 #: Bits of the map of ids whose full sets are asked for: its size is fixed, and more ids only mean more sets.
@@ -153,13 +156,14 @@ def buckets(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "signature").mapInArrow(run, ddl)
 
 
-def near_pairs(members: DataFrame, threshold: float, slack: float, all_pairs: bool) -> DataFrame:
+def near_pairs(members: DataFrame, threshold: float, slack: float, nearest: int | None) -> DataFrame:
     """a < b: pairs of a unit (a pair of a bucket's blocks) whose signatures and sizes allow a link.
 
-    Each member's nearest one, or with all_pairs every pair of different groups, from the first bucket it shares.
+    For each member its nearest ones in `nearest` other groups, or for None every pair of different groups, from the
+    first bucket that it shares.
     """
     out = common.arrow_schema(ddl := "a long, b long")
-    least = round((threshold - slack) * SLOTS)
+    least, all_pairs = round((threshold - slack) * SLOTS), nearest is None
 
     def pairs(band: int, i_block: int, j_block: int, rep: np.ndarray, n: np.ndarray, sig: np.ndarray, block: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
@@ -170,9 +174,7 @@ def near_pairs(members: DataFrame, threshold: float, slack: float, all_pairs: bo
             others = np.arange(len(rep)) if not all_pairs else np.arange(i + 1, len(rep))
             if i_block != j_block:
                 others = others[block[others] != block[i]]
-            others = others[rep[others] != rep[i]]
-            if all_pairs:
-                others = others[comp[others] != comp[i]]
+            others = others[comp[others] != comp[i]]
             small, large = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
             others = others[small >= threshold * large - 1e-9]
             if not len(others):
@@ -186,8 +188,11 @@ def near_pairs(members: DataFrame, threshold: float, slack: float, all_pairs: bo
                     good = good[~early]
                 chosen = others[good]
             else:
-                best = int(np.argmax(count))
-                chosen = others[best : best + 1] if count[best] >= least else others[:0]
+                good = np.flatnonzero(count >= least)
+                good = good[np.argsort(-count[good], kind="stable")]
+                if nearest > 1:
+                    good = good[np.sort(np.unique(comp[others[good]], return_index=True)[1])]
+                chosen = others[good[:nearest]]
             left.append(np.full(len(chosen), rep[i]))
             right.append(rep[chosen])
         if not left:
@@ -356,24 +361,29 @@ def groups(docs: DataFrame, percent: int = 80, block: int = BLOCK, slack: float
     members = units(keyed.join(shared, "key"), block).join(reps, "rep")
     members = common.materialize(members.select("key", "count", "i", "j", "block", "rep", "n", "signature"), "members")
 
-    first = common.materialize(near_pairs(members.withColumn("comp", F.col("rep")), threshold, slack, False), "first-pairs")
-    sets = common.materialize(full_sets(docs, first.select(F.explode(F.array("a", "b")).alias("rep")), id_col, text_col), "sets")
-    links = common.materialize(confirmed(first, sets, percent), "first-links")
-    comp = components(links, forest_edges)
-
-    # buckets of two are settled; of the others, those that hold more than one group
-    open_ = members.filter("count > 2").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = common.materialize(open_, "open")
-    split = common.materialize(open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key"), "split")
-    rest = near_pairs(open_.join(split, "key"), threshold, slack, True).join(first, ["a", "b"], "left_anti")
-    rest = common.materialize(rest, "rest-pairs")
-    more = common.materialize(confirmed(rest, sets, percent), "rest-links")
-    comp = components(links.unionByName(more), forest_edges)
+    tested = links = sets = None
+    comp = members.sparkSession.createDataFrame([], "rep long, comp long")
+    for nearest in (*NEAREST, None):
+        if tested is None:
+            open_ = members.withColumn("comp", F.col("rep"))
+        else:  # buckets of two are settled; of the others, those that hold more than one group
+            open_ = common.materialize(members.filter("count > 2").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "open")
+            split = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+            open_ = open_.join(common.materialize(split, "split"), "key")
+        asked = near_pairs(open_, threshold, slack, nearest)
+        asked = common.materialize(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if sets is None:  # a member that is near to any other asks for its nearest
+            sets = common.materialize(full_sets(docs, asked.select(F.explode(F.array("a", "b")).alias("rep")), id_col, text_col), "sets")
+        found = common.materialize(confirmed(asked, sets, percent), "links")
+        tested = asked if tested is None else tested.unionByName(asked)
+        links = found if links is None else links.unionByName(found)
+        comp = components(links, forest_edges)
 
     # the sets of an id that has several are joined by that id
     several = some.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("doc_id")
     bridges = some.join(several, "doc_id").join(equal, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = components(links.unionByName(more).unionByName(bridges), forest_edges)
+    if not bridges.isEmpty():
+        comp = components(links.unionByName(bridges), forest_edges)
 
     # empty sets, which have no digest, are dealt by their id
     key = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
