@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable
 
@@ -36,13 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    # shuffle files of plans that nobody holds any more go once their JVM objects do
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/groundline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    # shuffle files of plans that nobody holds any more go once their JVM objects do
-    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

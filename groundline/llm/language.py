@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from groundline.llm import common
 from groundline.llm.neardup import mixed
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Distinct keys of a range, about.
 RANGE_KEYS = 1_500_000
 FOLDS, TEST_FOLD, DELETED_FOLD = 5, 1, 4
