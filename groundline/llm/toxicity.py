@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from groundline.llm import common
 
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 3000
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 12
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
 WINDOW, STRIDE = 32, 20
-EPOCHS, BATCH, RATE = 6, 64, 0.02
+EPOCHS, BATCH, RATE = 5, 64, 0.02
 CACHE_ENTRIES = 300_000
 _EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +99,12 @@ class Network:
         """Both directions' gate inputs of each word, side by side."""
         return np.concatenate([x @ self.w[f"in_{d}"] + self.w[f"bias_{d}"] for d in "fb"], axis=1).astype(np.float32)
 
+    def table(self, ids: np.ndarray, grams: np.ndarray, begins: np.ndarray, at_once: int = 10_000) -> np.ndarray:
+        """The gate inputs of many words, some at a time."""
+        ends = np.concatenate((begins[1:], [len(grams) + 2]))
+        parts = [(slice(a, a + at_once), begins[a], ends[min(a + at_once, len(ids)) - 1]) for a in range(0, len(ids), at_once)]
+        return np.concatenate([self.projected(self.inputs(ids[s], grams[b : e - 2], begins[s] - b)) for s, b, e in parts])
+
     def run(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows; gates: [windows, steps, 6 * HIDDEN], mask: which steps hold a word."""
         n, steps, _ = gates.shape
@@ -212,9 +218,13 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     weight = np.where(y == 1, 0.5 / totals[1], 0.5 / totals[0]).astype(np.float32) * len(y)
     m: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
+
+    def window_logits() -> np.ndarray:
+        gates = net.table(ids, grams, begins)
+        return np.concatenate([net.run(gates[flat[places[a : a + 1024]]], mask[a : a + 1024]) for a in range(0, len(places), 1024)])
+
     for epoch in range(epochs):
-        projected = net.projected(net.inputs(ids, grams, begins))
-        logits = np.concatenate([net.run(projected[flat[places[a : a + 4096]]], mask[a : a + 4096]) for a in range(0, len(places), 4096)])
+        logits = window_logits()
         worst = np.array([s + int(np.argmax(logits[s:e])) for s, e in zip(first, [*first[1:], len(owner)], strict=True)])
         if epoch == 0:  # before anything is learned, the window of the highest odds
             gain = np.where(mask, net.w["word"][ids[flat[places]], 0], 0).max(axis=1)
@@ -241,10 +251,23 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
                 rows_, inverse = np.unique(at, return_inverse=True)
                 total = np.zeros((len(rows_), INPUT), np.float32)
                 np.add.at(total, inverse, grad)
-                adam(net.w[name], total, *m[name], step, rate * 0.5, rows_)
+                adam(net.w[name], total, *m[name], step, rate, rows_)
+    net.w["base"][0] -= boundary(np.maximum.reduceat(window_logits(), first), y)
     return net
 
 
+def boundary(logits: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the gap between texts' logits that parts the labels best; a clean text called toxic counts twice."""
+    order = np.argsort(logits)
+    at, toxic = logits[order], y[order] == 1
+    # with the boundary after the first k texts: toxic ones among them, and clean ones beyond
+    wrong = np.concatenate(([0], np.cumsum(toxic))) / max(1, toxic.sum()) + 2 * ((~toxic).sum() - np.concatenate(([0], np.cumsum(~toxic)))) / max(1, (~toxic).sum())
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    gaps = [((at[k - 1] if k else at[0]), (at[k] if k < len(at) else at[-1])) for k in best]
+    low, high = max(gaps, key=lambda g: g[1] - g[0])
+    return float((low + high) / 2)
+
+
 def adam(w: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, step: int, rate: float, rows=slice(None)) -> None:
     first[rows] = 0.9 * first[rows] + 0.1 * grad
     second[rows] = 0.99 * second[rows] + 0.01 * grad * grad
