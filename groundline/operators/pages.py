@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.errors import StructureError
@@ -401,7 +401,11 @@ def blocks(docs: DataFrame) -> DataFrame:
 def parse_summary(docs: DataFrame) -> DataFrame:
     """Sections, blocks of each kind and characters by scheme, with a row for all (scheme null)."""
     sections = docs.select("scheme", F.explode_outer("sections").alias("s"))
-    counts = [F.sum(F.coalesce(F.size(F.filter("s.blocks", lambda b, k=k: b["kind"] == k)), F.lit(0))).alias(k) for k in ("text", "table", "list", "keyvalue")]
+
+    def count(kind: str) -> Column:
+        return F.sum(F.coalesce(F.size(F.filter("s.blocks", lambda b: b["kind"] == kind)), F.lit(0))).alias(kind)
+
+    counts = [count(k) for k in ("text", "table", "list", "keyvalue")]
     chars = F.sum(F.coalesce(F.aggregate("s.blocks", F.lit(0), lambda n, b: n + F.length(b["text"])), F.lit(0))).alias("chars")
     return sections.rollup("scheme").agg(F.count("s").alias("sections"), *counts, chars)
 

@@ -26,7 +26,7 @@ def expand(question: Column, settings: Settings = DEFAULT) -> Column:
 
         def step(state: Column, e: Column) -> Column:
             candidate = F.concat(state["out"], F.lit(" "), e["variant"])
-            asked = original.rlike(e["pattern"]) & (state["closed"] != e["term"]) & ~F.array_contains(F.split(state["out"], " "), e["variant"])
+            asked = F.rlike(original, e["pattern"]) & (state["closed"] != e["term"]) & ~F.array_contains(F.split(state["out"], " "), e["variant"])
             fits = F.length(candidate) <= cap
             added = asked & (fits | ~state["forced"])
             return F.struct(

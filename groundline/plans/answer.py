@@ -25,8 +25,9 @@ def answer(questions: DataFrame, index: DataFrame, embedder: Callable | None = N
     asked = checked.filter("action = 'answer'").select("query_id", F.col("query").alias("question"), "named", "warnings")
 
     vectors = lambda rows, column: embed.embed_texts(rows, column, embedder, settings)[0]
-    blank = asked.filter(F.length(tx.strip(F.col("question"))) == 0)
-    found = retrieve.retrieve(asked.join(blank.select("query_id"), "query_id", "left_anti"), index, vectors, settings)
+    # a blank question has no hits, and so does not pass the gate
+    found = retrieve.retrieve(asked.filter(F.length(tx.strip(F.col("question"))) > 0), index, vectors, settings)
+    found = found.persist()  # the gate, the context and the result read it
     gate = retrieve.gate(asked, found, settings.max_distance, settings.gate_aggregation)
     listed = found.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "scheme", "section", F.round("distance", 4).alias("distance"), "source_url", "scheme_name", "fetched_at"))).alias("hits"),
