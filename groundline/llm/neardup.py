@@ -181,14 +181,13 @@ def near_pairs(members: DataFrame, threshold: float, slack: float, nearest: int
                 continue
             same = sig[others] == sig[i]
             count = same.sum(axis=1)
+            good = np.flatnonzero(count >= least)
+            if band and len(good):
+                early = same[good, : band * ROWS].reshape(len(good), band, ROWS).all(axis=2).any(axis=1)
+                good = good[~early]
             if all_pairs:
-                good = np.flatnonzero(count >= least)
-                if band and len(good):
-                    early = same[good, : band * ROWS].reshape(len(good), band, ROWS).all(axis=2).any(axis=1)
-                    good = good[~early]
                 chosen = others[good]
             else:
-                good = np.flatnonzero(count >= least)
                 good = good[np.argsort(-count[good], kind="stable")]
                 if nearest > 1:
                     good = good[np.sort(np.unique(comp[others[good]], return_index=True)[1])]
@@ -198,7 +197,8 @@ def near_pairs(members: DataFrame, threshold: float, slack: float, nearest: int
         if not left:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = np.concatenate(left), np.concatenate(right)
-        return np.minimum(a, b), np.maximum(a, b)
+        both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        return both[0], both[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
