@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is the sum of an embedding of the word and the mean of embeddings of its character
-trigrams, both hashed.  Texts are read in overlapping windows, all of them; two gated recurrent
+A word's input is the sum of an embedding of the word, if it is in the vocabulary of the training rows, and the mean of
+hashed embeddings of its character trigrams.  Texts are read in overlapping windows, all of them; two gated recurrent
 layers read a window from either end, attention pools their states, and a text's score is that of its worst window.
 Training picks the worst window of each labelled text again in every epoch (labels are of whole texts).
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from groundline.llm import common
 
 SAMPLE_ROWS = 3000
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 12
+#: Words of the vocabulary at most (all others share its first place), and of how many training texts each is.
+VOCABULARY, LEAST_TEXTS = 1 << 15, 3
+GRAM_BUCKETS = 1 << 12
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
 WINDOW, STRIDE = 32, 20
 EPOCHS, BATCH, RATE = 5, 64, 0.02
@@ -51,12 +54,10 @@ def hashed(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values * _MIX) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, buckets of all character trigrams (ends marked), and where each word's trigrams begin."""
-    import xxhash
-
+def features(words: list[bytes], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the vocabulary, buckets of all character trigrams (ends marked), and where each word's trigrams begin."""
     words = [bare(w) for w in words]
-    ids = hashed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), WORD_BUCKETS)
+    ids = np.fromiter((vocabulary.get(w, 0) for w in words), np.int64, len(words))
     data = np.frombuffer(b"\2" + b"\3\2".join(words) + b"\3", np.uint8).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     grams = hashed(data[:-2] * np.uint64(65536) + data[1:-1] * np.uint64(256) + data[2:] + np.uint64(1), GRAM_BUCKETS)
@@ -73,17 +74,19 @@ class Network:
     """Weights by name; forward and backward passes over batches of windows."""
 
     w: dict[str, np.ndarray]
+    vocabulary: dict[bytes, int]
     prior: float = 0.0
 
     @classmethod
-    def new(cls, seed: int = 7) -> Network:
+    def new(cls, vocabulary: dict[bytes, int], seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
         make = lambda *n: (r.standard_normal(n) / np.sqrt(n[0])).astype(np.float32)
-        w = {"word": 0.1 * make(WORD_BUCKETS, INPUT) * np.sqrt(WORD_BUCKETS), "gram": 0.1 * make(GRAM_BUCKETS, INPUT) * np.sqrt(GRAM_BUCKETS)}
+        n = len(vocabulary) + 1
+        w = {"word": 0.1 * make(n, INPUT) * np.sqrt(n), "gram": 0.1 * make(GRAM_BUCKETS, INPUT) * np.sqrt(GRAM_BUCKETS)}
         for d in "fb":
             w |= {f"in_{d}": make(INPUT, 3 * HIDDEN), f"re_{d}": make(HIDDEN, 3 * HIDDEN), f"bias_{d}": np.zeros(3 * HIDDEN, np.float32)}
         w |= {"att": make(2 * HIDDEN, ATTENTION), "ask": make(ATTENTION, 1)[:, 0], "out": make(2 * HIDDEN, 1)[:, 0], "base": np.zeros(1, np.float32)}
-        return cls({k: v.astype(np.float32) for k, v in w.items()})
+        return cls({k: v.astype(np.float32) for k, v in w.items()}, vocabulary)
 
     def inputs(self, ids: np.ndarray, grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """The input vector of each word."""
@@ -191,9 +194,18 @@ def window_index(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.where(mask, places, 0), mask, np.asarray(owners, np.int64)
 
 
+def vocabulary_of(texts: list[list[bytes]], most: int = VOCABULARY, least: int = LEAST_TEXTS) -> dict[bytes, int]:
+    """The words of most texts, numbered from 1."""
+    counts = Counter(w for words in texts for w in {bare(x) for x in words})
+    frequent = sorted((w for w, n in counts.items() if n >= least), key=lambda w: (-counts[w], w))[:most]
+    return {w: i for i, w in enumerate(frequent, 1)}
+
+
 def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """A network from whole labelled texts."""
-    net, r = Network.new(seed), np.random.default_rng(seed)
+    r = np.random.default_rng(seed)
+    split = [words_of(t) for t in texts]
+    net = Network.new(vocabulary_of(split), seed)
     y = np.asarray(labels, np.float32)
     net.prior = float(min(0.49, y.mean())) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
@@ -201,16 +213,17 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         net.w["base"][0] = np.log((net.prior + 1e-4) / (1 - net.prior + 1e-4))
         return net
     number: dict[bytes, int] = {}
-    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
+    docs = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64) for words in split]
+    del split
     y = y[[i for i, d in enumerate(docs) if len(d)]]
     docs = [d for d in docs if len(d)]
-    ids, grams, begins = features(list(number))
+    ids, grams, begins = features(list(number), net.vocabulary)
     grams_of = np.diff(np.concatenate((begins, [len(grams) + 2]))) - 2
-    # words begin with the log odds of their bucket in one dimension
-    have = [np.bincount(np.concatenate([np.unique(ids[d]) for d, v in zip(docs, y, strict=True) if v == k]), minlength=WORD_BUCKETS) for k in (0, 1)]
+    # words begin with their log odds in one dimension
+    have = [np.bincount(np.concatenate([np.unique(ids[d]) for d, v in zip(docs, y, strict=True) if v == k]), minlength=len(net.vocabulary) + 1) for k in (0, 1)]
     totals = [(y == k).sum() for k in (0, 1)]
     odds = np.log((have[1] + 0.5) / (totals[1] + 1)) - np.log((have[0] + 0.5) / (totals[0] + 1))
-    net.w["word"][:, 0] = np.where(have[0] + have[1] >= 3, np.clip(odds, -1, 4), 0)
+    net.w["word"][:, 0] = np.where(np.arange(len(odds)) > 0, np.clip(odds, -1, 4), 0)
     lengths = np.fromiter(map(len, docs), np.int64)
     flat = np.concatenate(docs)
     places, mask, owner = window_index(lengths)
@@ -257,7 +270,10 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
 
 
 def boundary(logits: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap between texts' logits that parts the labels best; a clean text called toxic counts twice."""
+    """A point of the gap between texts' logits that parts the labels best; a clean text called toxic counts twice.
+
+    It stands at three quarters, as clean texts that are new stray farther than toxic ones.
+    """
     order = np.argsort(logits)
     at, toxic = logits[order], y[order] == 1
     # with the boundary after the first k texts: toxic ones among them, and clean ones beyond
@@ -265,7 +281,7 @@ def boundary(logits: np.ndarray, y: np.ndarray) -> float:
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
     gaps = [((at[k - 1] if k else at[0]), (at[k] if k < len(at) else at[-1])) for k in best]
     low, high = max(gaps, key=lambda g: g[1] - g[0])
-    return float((low + high) / 2)
+    return float(low + 0.75 * (high - low))
 
 
 def adam(w: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, step: int, rate: float, rows=slice(None)) -> None:
@@ -302,7 +318,7 @@ class Scorer:
                 self.table = grown
             for a in range(0, len(new), 20_000):
                 part = new[a : a + 20_000]
-                self.table[have + a : have + a + len(part)] = self.net.projected(self.net.inputs(*features(part)))
+                self.table[have + a : have + a + len(part)] = self.net.projected(self.net.inputs(*features(part, self.net.vocabulary)))
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         flat = np.fromiter((i for d in docs for i in map(self.number.__getitem__, d)), np.int64, int(lengths.sum()))
         out = np.full(len(docs), np.log((self.net.prior + 1e-6) / (1 - self.net.prior)))
