@@ -39,6 +39,7 @@ def source_violations(sources: DataFrame, settings: Settings = DEFAULT) -> DataF
 
 def read_sources(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> DataFrame:
     """The allowlist from CSV, trimmed; any violation raises."""
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     header = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -51,7 +52,7 @@ def read_sources(spark: SparkSession, path: str, settings: Settings = DEFAULT) -
         if rows.isEmpty():
             raise SourceValidationError("there are no sources")
         found = source_violations(rows, settings).orderBy("rule").take(5)
-    except PySparkException as e:
+    except (PySparkException, Py4JJavaError) as e:
         raise SourceValidationError("a row has more fields than the header") from e
     if found:
         raise SourceValidationError("; ".join(f"{r['rule'][2:]}: {r['value']}" for r in found))
