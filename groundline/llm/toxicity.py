@@ -88,6 +88,10 @@ class Network:
         w |= {"att": make(2 * HIDDEN, ATTENTION), "ask": make(ATTENTION, 1)[:, 0], "out": make(2 * HIDDEN, 1)[:, 0], "base": np.zeros(1, np.float32)}
         return cls({k: v.astype(np.float32) for k, v in w.items()}, vocabulary)
 
+    @property
+    def prior_logit(self) -> float:
+        return float(np.log((self.prior + 1e-6) / (1 - self.prior)))
+
     def inputs(self, ids: np.ndarray, grams: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """The input vector of each word."""
         counts = np.diff(np.concatenate((begins, [len(grams) + 2]))) - 2
@@ -210,7 +214,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     net.prior = float(min(0.49, y.mean())) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         net.w["out"][:] = 0
-        net.w["base"][0] = np.log((net.prior + 1e-4) / (1 - net.prior + 1e-4))
+        net.w["base"][0] = net.prior_logit
         return net
     number: dict[bytes, int] = {}
     docs = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64) for words in split]
@@ -321,7 +325,7 @@ class Scorer:
                 self.table[have + a : have + a + len(part)] = self.net.projected(self.net.inputs(*features(part, self.net.vocabulary)))
         lengths = np.fromiter(map(len, docs), np.int64, len(docs))
         flat = np.fromiter((i for d in docs for i in map(self.number.__getitem__, d)), np.int64, int(lengths.sum()))
-        out = np.full(len(docs), np.log((self.net.prior + 1e-6) / (1 - self.net.prior)))
+        out = np.full(len(docs), np.float64(np.float32(self.net.prior_logit)))
         out[lengths > 0] = -np.inf
         places, mask, owner = window_index(lengths)
         for a in range(0, len(owner), at_once):
