@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundline.session import importable
+
 #: Documents of one Arrow batch are handled in slices of about so many bytes of text.
 SLICE_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     The files go when the driver's JVM ends.
     """
-    spark = df.sparkSession
+    spark = importable(df.sparkSession)
     # shuffle files of plans that nobody holds any more go once their JVM objects do
     gc.collect()
     spark.sparkContext._jvm.System.gc()
