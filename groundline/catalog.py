@@ -50,18 +50,18 @@ def values(rows: tuple[tuple, ...], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) AS t({names})"
 
 
-# Vectors: every tenth vector is the stated query set of a search.
+# Vectors: those whose id is divisible by 50 are the stated query set of a search.
 
 DIST = "round(1 - list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6)"
 KNN = "SELECT q.vec_id AS query_id, i.vec_id, 1 - list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY 1 - list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON {on}"
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, every: int = 10) -> tuple[DataFrame, DataFrame]:
+def vector_queries(spark: SparkSession, sf_dir: str, every: int = 50) -> tuple[DataFrame, DataFrame]:
     items = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return items.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id"), items
 
 
-def nearest(spark: SparkSession, sf_dir: str, k: int = 5, filter_col: str | None = None, every: int = 10) -> DataFrame:
+def nearest(spark: SparkSession, sf_dir: str, k: int = 5, filter_col: str | None = None, every: int = 50) -> DataFrame:
     asked, items = vector_queries(spark, sf_dir, every)
     return retrieve.top_k(asked, items, k, item_id="vec_id", filter_col=filter_col, exclude_self=True).withColumn("distance", F.round("distance", 6))
 
@@ -73,19 +73,19 @@ def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.nearest_one(items, vector, 5, "vec_id", F.col("vec_id") != 0).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM ({KNN.format(on='q.vec_id % 10 = 0 AND q.vec_id <> i.vec_id')}) WHERE rank <= 5")
+@query(f"SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM ({KNN.format(on='q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id')}) WHERE rank <= 5")
 def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir)
 
 
-@query(f"SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM ({KNN.format(on='q.vec_id % 10 = 0 AND q.vec_id <> i.vec_id AND q.label = i.label')}) WHERE rank <= 5")
+@query(f"SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM ({KNN.format(on='q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id AND q.label = i.label')}) WHERE rank <= 5")
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir, filter_col="label")
 
 
 @query(f"SELECT query_id, rank, vec_id, round(greatest(0.0, d), 6) AS distance FROM ({KNN.format(on='q.vec_id <> i.vec_id AND q.vec_id % 50 = 0')}) WHERE rank <= 3")
 def knn_all_pairs_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nearest(spark, sf_dir, 3, every=50)
+    found = nearest(spark, sf_dir, 3)
     return found.withColumn("distance", F.greatest(F.lit(0.0), "distance"))
 
 
@@ -98,12 +98,12 @@ def gated(spark: SparkSession, sf_dir: str, aggregation: str) -> DataFrame:
     return retrieve.gate(asked, found, DEFAULT.max_distance, aggregation).withColumn("gate_score", F.round("gate_score", 6))
 
 
-@query(GATE.format(agg="min", knn=KNN.format(on="q.vec_id % 10 = 0 AND q.vec_id <> i.vec_id")))
+@query(GATE.format(agg="min", knn=KNN.format(on="q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id")))
 def gate_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir, "min")
 
 
-@query(GATE.format(agg="max", knn=KNN.format(on="q.vec_id % 10 = 0 AND q.vec_id <> i.vec_id")))
+@query(GATE.format(agg="max", knn=KNN.format(on="q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id")))
 def gate_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gated(spark, sf_dir, "max")
 

@@ -63,7 +63,10 @@ def advice_patterns(settings: Settings = DEFAULT) -> tuple[str, ...]:
 
 def is_advice(text: Column, settings: Settings = DEFAULT, negation: bool = True) -> Column:
     """Some match of some pattern, outside quoted spans, that no negation precedes."""
-    return any_of(tx.strip_quoted(text), advice_patterns(settings), "(?isU)" if negation else "(?iU)", NEGATED if negation else "")
+    body = tx.strip_quoted(text)
+    found = any_of(body, advice_patterns(settings))
+    # looking back is slow, and few texts have a match to look back from
+    return found & any_of(body, advice_patterns(settings), "(?isU)", NEGATED) if negation else found
 
 
 def pii_names(text: Column, strict: bool = False) -> Column:

@@ -20,7 +20,8 @@ def answer(questions: DataFrame, index: DataFrame, embedder: Callable | None = N
     Refused questions leave before anything is embedded or generated, and come back with a fixed text.
     """
     embedder = embedder or embed.hashing_embedder(settings.embed_dim)
-    checked = guards.check(questions, "question", settings).withColumn("named", rewrite.detect_scheme(F.col("question"), settings))
+    # read by several branches of the plan
+    checked = guards.check(questions, "question", settings).withColumn("named", rewrite.detect_scheme(F.col("question"), settings)).persist()
     refused = checked.filter("action = 'refuse'")
     asked = checked.filter("action = 'answer'").select("query_id", F.col("query").alias("question"), "named", "warnings")
 
@@ -35,6 +36,7 @@ def answer(questions: DataFrame, index: DataFrame, embedder: Callable | None = N
         F.array_distinct(F.collect_list("source_url")).alias("context_urls"),
     )
     rows = asked.join(gate, "query_id").join(listed, "query_id", "left")
+    rows = rows.persist()
     passed = rows.filter("passes_gate")
     inside = found.join(passed.select("query_id"), "query_id", "left_semi")
     blocks = retrieve.context(inside, index, settings).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]).alias("blocks"))
