@@ -50,4 +50,34 @@ def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_language_model, op3_quality, op4_bpe, op5_pii, op6_toxicity, op7_neardup, op8_url_filter, op9_html, op10_ogg)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RULES = ", ".join(f"('{v}', '{r}', '{urls.split_rule(r)[0]}', '{urls.split_rule(r)[1]}')" for v, r in urls.RULES)
+_REST = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+
+URL_SQL = f"""
+WITH p AS (
+  SELECT page_id, n, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, row_number() OVER () AS n, coalesce({_REST}, '') AS rest FROM pages)
+), r(verdict, rule, h, start) AS (VALUES {_RULES})
+SELECT page_id, host, path, rule, coalesce(verdict, '{urls.DEFAULT}') AS verdict FROM (
+  SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY n ORDER BY length(r.rule) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN r ON host <> '' AND (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.start)
+) WHERE k = 1"""
+
+NEARDUP_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w
+), g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, y.b FROM reach r JOIN sym y ON r.b = y.a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM (
+  SELECT s.doc_id, any_value(len(sh)) AS n, least(s.doc_id, coalesce(min(b), s.doc_id)) AS component_id FROM s LEFT JOIN reach ON s.doc_id = reach.a GROUP BY s.doc_id
+)"""
+
+ORACLE_SQL: dict[str, str] = {"op7_neardup": NEARDUP_SQL, "op8_url_filter": URL_SQL}
