@@ -12,7 +12,7 @@ from groundline.functions import text as tx
 from groundline.functions import vectors as vx
 from groundline.operators import chunks, embed, guards, index, pages, retrieve, rewrite, verify
 from groundline.plans.answer import answer, status
-from groundline.session import importable
+from groundline.session import importable, spread
 from groundline.settings import DEFAULT, Settings
 from groundline.sources import tables
 
@@ -34,7 +34,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(importable(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def quoted(text: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,3 +19,9 @@ def importable(spark: SparkSession) -> SparkSession:
     if HOME not in have:
         environment["PYTHONPATH"] = os.pathsep.join([*have, HOME])
     return spark
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of fewer pieces than there are cores is dealt to all of them; others, as any large one, stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
