@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundline.session import importable
+from groundline.session import importable, spread
 
 #: Documents of one Arrow batch are handled in slices of about so many bytes of text.
 SLICE_BYTES = 8 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(importable(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
