@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
@@ -356,7 +356,7 @@ def unique_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n_sources, coalesce(max(CASE WHEN event_type <> 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END), max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')), '') AS latest_fetched_at FROM events")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at"), (F.col("event_type") == "view").alias("cached"))
-    return rows.agg(F.count("*").alias("n_sources"), F.coalesce(F.max(F.when(~F.col("cached"), F.col("fetched_at"))), F.max("fetched_at"), F.lit("")).alias("latest_fetched_at"))
+    return rows.agg(F.count("*").alias("n_sources"), tables.latest_fetched().alias("latest_fetched_at"))
 
 
 # Chunks.

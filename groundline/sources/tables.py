@@ -9,7 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline import schemas
@@ -124,11 +124,16 @@ def cached_pages(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select("url", html.alias("html"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.length("content").alias("n_bytes"), stamp.alias("fetched_at"), F.lit(0.0).alias("elapsed_ms"), F.lit(0).alias("attempts"), F.lit(True).alias("cached"))
 
 
+def latest_fetched() -> Column:
+    """Aggregate: the latest stamp of pages that did not come from the cache, else of all, else an empty text."""
+    own = F.max(F.when(~F.col("cached"), F.col("fetched_at")))
+    return F.coalesce(own, F.max("fetched_at"), F.lit(""))
+
+
 def manifest(fetched: DataFrame) -> DataFrame:
     """One row: the latest stamp of pages that did not come from the cache, else of all; and the rows."""
-    own = F.max(F.when(~F.col("cached"), F.col("fetched_at")))
     fields = [c for c in schemas.FETCHED.names if c in fetched.columns]
-    return fetched.agg(F.count("*").alias("n_sources"), F.coalesce(own, F.max("fetched_at"), F.lit("")).alias("latest_fetched_at"), F.sort_array(F.collect_list(F.struct(*fields))).alias("sources")).withColumn("built_at", F.lit(now()))
+    return fetched.agg(F.count("*").alias("n_sources"), latest_fetched().alias("latest_fetched_at"), F.sort_array(F.collect_list(F.struct(*fields))).alias("sources")).withColumn("built_at", F.lit(now()))
 
 
 def read_manifest(spark: SparkSession, path: str, html_folder: str | None = None) -> DataFrame | None:
