@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,11 +78,16 @@ class PairIndex:
     def encode(self, words: list[list[int]]) -> list[list[int]]:
         import numpy as np
 
-        if not words:
-            return []
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        return self.merged(np.fromiter((s for w in words for s in w), np.int32, int(lengths.sum())), lengths)
+
+    def merged(self, symbols, lengths) -> list[list[int]]:
+        """Words as symbols end to end, with their lengths, to the ids of each word."""
+        import numpy as np
+
+        if not len(lengths):
+            return []
         ends = np.cumsum(lengths)
-        symbols = np.fromiter((s for w in words for s in w), np.int32, int(ends[-1]))
         n = len(symbols)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[ends[lengths > 0] - 1] = -1
@@ -138,7 +144,7 @@ class PairIndex:
             lead = before[at]
             add(np.unique(np.concatenate((lead[lead >= 0], at[follow >= 0]))))
         left = symbols[alive]
-        counts = np.add.reduceat(alive, np.minimum(ends - lengths, n - 1)) if n else np.zeros(len(words), int)
+        counts = np.add.reduceat(alive, np.minimum(ends - lengths, n - 1)) if n else np.zeros(len(lengths), int)
         counts = np.where(lengths > 0, counts, 0)
         cut = np.cumsum(counts)
         left = left.tolist()
@@ -165,11 +171,12 @@ class WordBpe:
         self.white = re.compile(f"[{WHITE}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = byte_symbols()
-        self.spaced_id = {i: f"{i} " for i in self.token}.__getitem__
-        self.spaced_token = {i: f"{t} " for i, t in self.token.items()}.__getitem__
-        #: Of a chunk between white space, its ids and its tokens, each with a blank after it.
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
+        self.number = {i: str(i) for i in self.token}.__getitem__
+        plain = [self.vocab[c] for c in self.symbols]
+        last = [self.vocab[c + self.end] for c in self.symbols]
+        self.of_byte = (plain, last)
+        #: The ids of chunks between white space.
+        self.ids: dict[str, list[int]] = {}
         self.entries = entries
 
     def chunks(self, text: str) -> list[str]:
@@ -179,20 +186,24 @@ class WordBpe:
         # str.split() takes four more characters for white space
         return self.white.sub(" ", text).split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
-    def symbols_of(self, word: str) -> list[int]:
-        chars = [self.symbols[b] for b in word.encode()]
-        chars[-1] += self.end
-        return [self.vocab[c] for c in chars]
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words; bytes become symbols, the last one with the word's end."""
+        import numpy as np
+
+        data = [w.encode() for w in words]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        symbols = np.asarray(self.of_byte[0], np.int32)[flat]
+        ends = np.cumsum(lengths) - 1
+        symbols[ends] = np.asarray(self.of_byte[1], np.int32)[flat[ends]]
+        return self.index.merged(symbols, lengths)
 
     def learn(self, chunks: list[str]) -> None:
         split = [self.words.findall(c) for c in chunks]
         distinct = list({w for ws in split for w in ws})
-        ids = dict(zip(distinct, self.index.encode([self.symbols_of(w) for w in distinct]), strict=True))
-        tokens, number = self.spaced_token, self.spaced_id
+        ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
         for c, ws in zip(chunks, split, strict=True):
-            all_ids = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
-            self.ids[c] = "".join(map(number, all_ids))
-            self.tokens[c] = "".join(map(tokens, all_ids))
+            self.ids[c] = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches of a text, and whether each is an added token."""
@@ -212,13 +223,16 @@ class WordBpe:
             rows.append(row)
         if len(self.ids) > self.entries:
             self.ids.clear()
-            self.tokens.clear()
         self.learn(list(seen.difference(self.ids)))
-        of, token, out = self.ids.__getitem__, self.tokens.__getitem__, []
+        of, token, number, out = self.ids.__getitem__, self.token.__getitem__, self.number, []
         for row in rows:
-            ids = "".join(["".join(map(of, chunks)) if added is None else self.spaced_id(self.added[added]) for added, chunks in row])
-            tokens = "".join(["".join(map(token, chunks)) if added is None else added + " " for added, chunks in row])
-            out.append((ids[:-1], ids.count(" "), tokens[:-1]))
+            ids: list[int] = []
+            for added, chunks in row:
+                if added is None:
+                    ids.extend(chain.from_iterable(map(of, chunks)))
+                else:
+                    ids.append(self.added[added])
+            out.append((" ".join(map(number, ids)), len(ids), " ".join(map(token, ids))))
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -69,14 +69,23 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterable[pa.RecordBatch]:
-    """Cut batches so that a slice's texts have about `most` bytes; a longer text has a slice of its own."""
+    """Cut batches so that a slice's texts have about `most` bytes; a longer text has a slice of its own.
+
+    Meanwhile the collector of cycles rests: it would scan the words that operators keep again and again.
+    """
     import numpy as np
     import pyarrow.compute as pc
 
-    for b in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < b.num_rows:
-            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
-            yield b.slice(start, end - start)
-            start = end
+    gc.disable()
+    try:
+        for number, b in enumerate(batches, 1):
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < b.num_rows:
+                end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+                yield b.slice(start, end - start)
+                start = end
+            if number % 32 == 0:
+                gc.collect()
+    finally:
+        gc.enable()
