@@ -42,7 +42,7 @@ NEAREST = (1, 4)
 FOREST_EDGES = 1_000_000
 #: Bits of the map of ids whose full sets are asked for: its size is fixed, and more ids only mean more sets.
 MAP_BITS = 1 << 24
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64(0xFFFFFFFF)
 

@@ -36,7 +36,7 @@ GRAM_BUCKETS = 1 << 12
 INPUT, HIDDEN, ATTENTION = 12, 8, 8
 WINDOW, STRIDE = 32, 20
 EPOCHS, BATCH, RATE = 5, 64, 0.02
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 _EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -317,7 +317,7 @@ class Scorer:
             have = len(self.number)
             self.number.update(zip(new, range(have, have + len(new)), strict=True))
             if have + len(new) > len(self.table):
-                grown = np.zeros((2 * (have + len(new)), 6 * HIDDEN), np.float32)
+                grown = np.zeros((have + len(new) + 50_000, 6 * HIDDEN), np.float32)
                 grown[:have] = self.table[:have]
                 self.table = grown
             for a in range(0, len(new), 20_000):
