@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundline.errors import EmbeddingError, ModelMismatchError
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
+from groundline.operators.retrieve import beside
 from groundline.settings import DEFAULT, Settings
 
 _WORD = re.compile(r"\w+")
@@ -98,11 +99,12 @@ def cache_stats(rows: DataFrame, column: str, cache: DataFrame, settings: Settin
     """requested, hits (of occurrences), misses (distinct texts) and rows_cached."""
     known = usable_cache(cache, settings).select("text_key").withColumn("known", F.lit(True))
     keyed = rows.select(tx.text_key(F.col(column)).alias("text_key")).join(known, "text_key", "left")
-    return keyed.agg(
+    counts = keyed.agg(
         F.count("*").alias("requested"),
         F.count_if(F.col("known").isNotNull()).alias("hits"),
         F.count_distinct(F.when(F.col("known").isNull(), F.col("text_key"))).alias("misses"),
-    ).crossJoin(known.agg(F.count("*").alias("rows_cached")))  # a row each
+    )
+    return beside(counts, known.agg(F.count("*").alias("rows_cached")))
 
 
 def index_meta(spark, settings: Settings = DEFAULT, built_at: str = "") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from groundline.errors import IndexBuildError, IndexVerificationError
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
+from groundline.operators.retrieve import beside
 from groundline.settings import DEFAULT, Settings
 
 REQUIRED = ("scheme", "scheme_name", "category", "section", "source_url", "fetched_at", "heading_path", "block_types")
@@ -50,7 +51,7 @@ def problems(index: DataFrame, chunks: DataFrame, sources: DataFrame, settings:
     """Differences between the index and what was put in: problem, id."""
     said = lambda df, what: df.select(F.lit(what).alias("problem"), F.col("chunk_id").cast("string").alias("id"))
     have = set(index.columns)
-    counts = index.agg(F.count("*").alias("n")).crossJoin(chunks.agg(F.count("*").alias("m")))  # a row each
+    counts = beside(index.agg(F.count("*").alias("n")), chunks.agg(F.count("*").alias("m")))
     out = counts.filter("n <> m").select(F.lit("count").alias("problem"), F.format_string("%d of %d", "n", "m").alias("id"))
     out = out.unionByName(said(index.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate id"))
     for c in REQUIRED:

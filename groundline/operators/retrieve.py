@@ -34,13 +34,23 @@ def sized(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return F.broadcast(df) if size_in_bytes(df) <= settings.broadcast_bytes else df
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int = 16, exclude_self: bool = False, settings: Settings = DEFAULT) -> DataFrame:
+def block_count(table: DataFrame) -> int:
+    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of one row each as one row."""
+    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int | None = None, exclude_self: bool = False, settings: Settings = DEFAULT) -> DataFrame:
     """The k nearest items of each query: query_id, rank, item_id, distance.
 
-    Queries are the stated set and go against all items in blocks: the index is dealt to blocks, each query meets each
-    block, keeps its k best there, and the few winners of all blocks are ranked again.  With `filter_col`, a query whose value is
+    Queries are the stated set and go against all items in blocks (as many as there are shuffle partitions, unless told): the
+    index is dealt to blocks, each query meets each block, keeps its k best there, and the few winners of all blocks are ranked again.  With `filter_col`, a query whose value is
     not null meets items of that value alone, by an equality join.
     """
+    blocks = blocks or block_count(index)
     q = queries.select(F.col(query_id).alias("_q"), F.col("embedding").alias("_qv"), *([F.col(filter_col).alias("_f")] if filter_col else []))
     items = index.select(F.col(item_id).alias("_i"), F.col("embedding").alias("_iv"), *([F.col(filter_col).alias("_g")] if filter_col else []))
     items = items.withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(blocks)).cast("int"))
@@ -96,14 +106,15 @@ def gate(queries: DataFrame, found: DataFrame, limit: float = DEFAULT.max_distan
     return queries.select(query_id).join(scores, query_id, "left").withColumn("passes_gate", F.coalesce(F.col("gate_score") <= limit, F.lit(False)))
 
 
-def all_neighbours(index: DataFrame, n: int = 3, item_id: str = "chunk_id", blocks: int = 16) -> DataFrame:
+def all_neighbours(index: DataFrame, n: int = 3, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
     """The n nearest other items of each item; distances are at least 0."""
     found = top_k(index.withColumn("query_id", F.col(item_id)), index, n, item_id=item_id, blocks=blocks, exclude_self=True)
     return found.withColumn("distance", F.greatest(F.lit(0.0), "distance"))
 
 
-def near_duplicate_pairs(index: DataFrame, queries: DataFrame, similarity: float, item_id: str = "chunk_id", blocks: int = 16) -> DataFrame:
+def near_duplicate_pairs(index: DataFrame, queries: DataFrame, similarity: float, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
     """Pairs of a stated query set with all items, above a similarity."""
+    blocks = blocks or block_count(index)
     q = queries.select(F.col(item_id).alias("a"), F.col("embedding").alias("_qv")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     items = index.select(F.col(item_id).alias("b"), F.col("embedding").alias("_iv")).withColumn("_b", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
     return q.join(items, "_b").filter("a <> b").select("a", "b", vx.dot(F.col("_qv"), F.col("_iv")).alias("similarity")).filter(F.col("similarity") > similarity)

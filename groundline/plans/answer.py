@@ -80,7 +80,7 @@ def status(index: DataFrame | None, sources: DataFrame, meta: DataFrame | None =
     ready = index is not None and not index.isEmpty()
     row = sources.agg(F.count("*").alias("source_count")).withColumn("index_ready", F.lit(ready))
     if meta is not None:
-        row = row.crossJoin(meta.select("last_updated", "chunk_count"))  # a row each
+        row = retrieve.beside(row, meta.select("last_updated", "chunk_count"))
     else:
         row = row.withColumns({"last_updated": F.lit(""), "chunk_count": F.lit(0).cast("long")})
     updated = F.when(F.col("last_updated") != "", F.col("last_updated")).otherwise("unknown")
