@@ -83,6 +83,13 @@ def embed_texts(rows: DataFrame, column: str, embedder: Callable[[list[str]], li
     return keyed.join(every, "text_key").drop("text_key"), fresh
 
 
+def embed_query(text: str, embedder: Callable[[list[str]], list]) -> list[float]:
+    """The vector of one question; it is not cached."""
+    if not text or not text.strip():
+        raise EmbeddingError("a blank text cannot be embedded")
+    return [float(x) for x in embedder([text])[0]]
+
+
 def usable_cache(cache: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Rows of this model, size and window, one for each key."""
     same = (F.col("model") == settings.embed_model) & (F.col("dim") == settings.embed_dim) & (F.col("window") == settings.embed_window) & (F.size("embedding") == settings.embed_dim)

@@ -212,6 +212,35 @@ def strip_boilerplate(root: Node) -> None:
             node.remove()
 
 
+def to_html(node: Node) -> str:
+    """A tree as markup."""
+    out: list[str] = []
+
+    def show(x: Node | str, raw: bool) -> None:
+        if isinstance(x, str):
+            out.append(x if raw else entities.escape(x, quote=False))
+            return
+        attributes = "".join(f' {k}="{entities.escape(v)}"' for k, v in x.attributes.items())
+        if x.tag[0] != "#":
+            out.append(f"<{x.tag}{attributes}>")
+        for c in x.children:
+            show(c, x.tag in ("script", "style"))
+        if x.tag[0] != "#" and x.tag not in VOID:
+            out.append(f"</{x.tag}>")
+
+    show(node, False)
+    return "".join(out)
+
+
+def clean_html(markup: str) -> str:
+    """Markup without boilerplate and comments, white space single."""
+    tree = parse(markup)
+    strip_boilerplate(tree)
+    for node in tree.walk():
+        node.children = [_SPACE.sub(" ", c) if isinstance(c, str) else c for c in node.children]
+    return to_html(tree)
+
+
 def attached(node: Node | None, root: Node) -> bool:
     while node is not None and node is not root:
         node = node.parent

@@ -27,6 +27,11 @@ def test_reads_sections_and_blocks():
     assert by["Load"]["blocks"][2]["text"].startswith("small")
 
 
+def test_clean_html():
+    got = pages.clean_html('<body><nav>x</nav><p class="a&quot;b">a  &amp;\n b<!-- c --><br></p><div>Got it</div></body>')
+    assert got == '<body><p class="a&quot;b">a &amp; b<br></p></body>'
+
+
 def test_root_by_selector_and_tree_paths():
     page = f"<body><div>out</div><main><h1>A</h1><p>{'w ' * 120}</p><h3>C</h3><p>c</p></main></body>"
     _, sections = pages.read_page(page, settings=Settings(heading_path_mode="tree"))
