@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from groundline.llm import common
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2400
 #: Words of the vocabulary at most (all others share its first place), and of how many training texts each is.
 VOCABULARY, LEAST_TEXTS = 1 << 15, 3
 GRAM_BUCKETS = 1 << 12
@@ -109,8 +109,11 @@ class Network:
     def table(self, ids: np.ndarray, grams: np.ndarray, begins: np.ndarray, at_once: int = 10_000) -> np.ndarray:
         """The gate inputs of many words, some at a time."""
         ends = np.concatenate((begins[1:], [len(grams) + 2]))
-        parts = [(slice(a, a + at_once), begins[a], ends[min(a + at_once, len(ids)) - 1]) for a in range(0, len(ids), at_once)]
-        return np.concatenate([self.projected(self.inputs(ids[s], grams[b : e - 2], begins[s] - b)) for s, b, e in parts])
+        out = np.empty((len(ids), 6 * HIDDEN), np.float32)
+        for a in range(0, len(ids), at_once):
+            s, b, e = slice(a, a + at_once), begins[a], ends[min(a + at_once, len(ids)) - 1]
+            out[s] = self.projected(self.inputs(ids[s], grams[b : e - 2], begins[s] - b))
+        return out
 
     def run(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows; gates: [windows, steps, 6 * HIDDEN], mask: which steps hold a word."""
@@ -195,7 +198,7 @@ def window_index(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     begins, ends = np.asarray(begins, np.int64), np.asarray(ends, np.int64)
     places = begins[:, None] + np.arange(WINDOW)
     mask = places < ends[:, None]
-    return np.where(mask, places, 0), mask, np.asarray(owners, np.int64)
+    return np.where(mask, places, 0).astype(np.int32), mask, np.asarray(owners, np.int64)
 
 
 def vocabulary_of(texts: list[list[bytes]], most: int = VOCABULARY, least: int = LEAST_TEXTS) -> dict[bytes, int]:
