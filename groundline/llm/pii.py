@@ -7,8 +7,9 @@ information, log2(n * n(e,t) / (n(e) * n(t))) / log2(n / n(e)).  At 1 the term c
 all of it away.  A term of a document that holds the entity is removed if its share exceeds
 `remove`, generalised (to a word for its kind) if it exceeds `generalise`, and left otherwise.
 
-An entity counts if `support` documents or more hold it, and a term if so many documents hold both; with fewer
-there is no evidence of a link.  Terms stand within `reach` words of the entity.  Counts are over all documents.
+All entities and terms are scored, those of a single document too.  A share is smoothed by `discount`, which is taken
+from the number of documents that hold both: it hardly matters for a link seen often, while one seen once in n documents
+gives 1 + log2(1 - discount) / log2(n) at most, so it is generalised from some hundred documents on.  Terms stand within `reach` words of the entity.  Counts are over all documents.
 
 Defined results: a null text counts as an empty one, with no spans; repeated rows each give a row and count each;
 where spans meet, base ones stay whole and a term within one is none.
@@ -29,7 +30,9 @@ from groundline.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term")
-SUPPORT, REACH, REMOVE, GENERALISE = 3, 8, 0.95, 0.8
+REACH, REMOVE, GENERALISE = 8, 0.95, 0.8
+#: Taken from a count of documents that hold both entity and term, as in absolute discounting.
+DISCOUNT = 0.6
 #: Candidate terms go to every worker if their texts have no more bytes than this; else they are joined.
 MOST_BYTES = 16 << 20
 
@@ -175,21 +178,21 @@ def term_counts(rows: DataFrame, terms: DataFrame, most_bytes: int) -> DataFrame
     return counts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
-def disclosure(n: int, n_entity: int, n_term: int, n_both: int) -> float:
+def disclosure(n: int, n_entity: int, n_term: int, n_both: float) -> float:
     """Share of the entity's information that the term gives."""
     own = math.log2(n / n_entity) if n_entity else 0.0
     return math.log2(n * n_both / (n_entity * n_term)) / own if own > 0 and n_both else 0.0
 
 
-def disclosing(docs_rows: DataFrame, support: int = SUPPORT, reach: int = REACH, remove: float = REMOVE, generalise: float = GENERALISE, most_bytes: int = MOST_BYTES) -> DataFrame:
+def disclosing(docs_rows: DataFrame, reach: int = REACH, remove: float = REMOVE, generalise: float = GENERALISE, discount: float = DISCOUNT, most_bytes: int = MOST_BYTES) -> DataFrame:
     """key and marks (start, stop, action, by start) of the rows with terms that give an entity away."""
     found = common.materialize(contexts(docs_rows, reach), "contexts")
-    n_entity = found.filter("term is null").groupBy("entity", "key").agg(F.count("*").alias("c")).groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
-    both = found.filter("term is not null").groupBy("entity", "term", "key").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    n_entity = found.filter("term is null").groupBy("entity", "key").agg(F.count("*").alias("c")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = found.filter("term is not null").groupBy("entity", "term", "key").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = common.materialize(both.join(n_entity, "entity"), "pairs")
     n = docs_rows.count()
     counts = term_counts(docs_rows, pairs.select("term").distinct(), most_bytes)
-    share = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+    share = F.log2(F.lit(float(n)) * (F.col("n_both") - discount) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
     scored = pairs.join(counts, "term").withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(F.lit(0.0))).filter(F.col("share") > generalise)
     scored = common.materialize(scored.select("entity", "term", F.when(F.col("share") > remove, "remove").otherwise("generalise").alias("action")), "disclosing")
     marks = found.filter("term is not null").join(scored, ["entity", "term"]).groupBy("key", "start", "stop").agg(F.max("action").alias("action"))

@@ -95,6 +95,14 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.sanitize(docs).columns == docs.columns and pii.spans(docs.limit(0)).count() == 0
 
 
+def test_terms_of_a_single_document(spark):
+    rows = [(0, "write to Marlowe at ann.b@mail.example about it"), *[(i, "write to us at once about it") for i in range(1, 300)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.disclosure(300, 1, 1, 1 - pii.DISCOUNT) > pii.GENERALISE > pii.disclosure(300, 1, 300, 1 - pii.DISCOUNT)
+    assert pii.spans(docs).filter("doc_id = 0").first()["spans"] == "email:20:38,term:9:16"
+    assert pii.sanitize(docs).filter("doc_id = 0").first()["text"] == "write to <TERM> at <EMAIL> about it"
+
+
 def test_spans_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, SECRET), (1, SECRET), (None, "x 1.2.3.4")], "doc_id long, text string")
     got = pii.spans(docs).collect()
