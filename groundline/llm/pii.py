@@ -9,7 +9,8 @@ all of it away.  A term of a document that holds the entity is removed if its sh
 
 All entities and terms are scored, those of a single document too.  A share is smoothed by `discount`, which is taken
 from the number of documents that hold both: it hardly matters for a link seen often, while one seen once in n documents
-gives 1 + log2(1 - discount) / log2(n) at most, so it is generalised from some hundred documents on.  Terms stand within `reach` words of the entity.  Counts are over all documents.
+gives 1 + log2(1 - discount) / log2(n) at most, so it is generalised from some hundred documents on.  A term counts wherever it stands in a document, and each place of it outside
+base spans is marked in every document that holds the entity.  Counts are over all documents.
 
 Defined results: a null text counts as an empty one, with no spans; repeated rows each give a row and count each;
 where spans meet, base ones stay whole and a term within one is none.
@@ -30,11 +31,12 @@ from groundline.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "term")
-REACH, REMOVE, GENERALISE = 8, 0.95, 0.8
+REMOVE, GENERALISE = 0.95, 0.8
 #: Taken from a count of documents that hold both entity and term, as in absolute discounting.
 DISCOUNT = 0.6
-#: Candidate terms go to every worker if their texts have no more bytes than this; else they are joined.
-MOST_BYTES = 16 << 20
+#: Candidate terms go to every worker if their texts have no more bytes than this; else a bit map of their checksums goes
+#: (of fixed size: more terms only mean more words beside them), and a join with the terms follows.
+MOST_BYTES, MAP_BITS = 16 << 20, 1 << 26
 
 # The base patterns.
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -96,29 +98,17 @@ def entity(kind: str, value: str) -> str:
     return hashlib.sha256(f"{kind}:{value}".encode()).hexdigest()[:32]
 
 
-def context(text: str, spans: list[tuple[str, int, int]], reach: int = REACH) -> list[tuple[str, str, int, int]]:
-    """Entity, term, start and end for terms within `reach` words of each base span, outside all of them."""
-    inside = sorted((a, b) for _, a, b in spans)
-    out = set()
-    for kind, a, b in spans:
-        e = entity(kind, text[a:b])
-        near = []
-        left, size = a, 0
-        while left > 0 and size <= reach * 24:
-            left, size = max(0, left - 64), size + 64
-        while left > 0 and not text[left - 1].isspace():
-            left -= 1
-        near += list(WORD.finditer(text, left, a))[-reach:]
-        right = b
-        for m in WORD.finditer(text, b):
-            near.append(m)
-            right += 1
-            if right - b >= reach:
-                break
-        for m in near:
-            if not any(x < m.end() and m.start() < y for x, y in inside):
-                out.add((e, m[0].lower(), m.start(), m.end()))
-    return sorted(out)
+def folded(text: str) -> str:
+    """In lower case, each character in its place."""
+    lowered = text.lower()
+    return lowered if len(lowered) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def places(text: str, terms: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Start, end and action of every place of these terms outside all base spans."""
+    inside = [(a, b) for _, a, b in base_spans(text)]
+    found = ((*m.span(), terms[m[0]]) for m in WORD.finditer(folded(text)) if m[0] in terms)
+    return [f for f in found if not any(x < f[1] and f[0] < y for x, y in inside)]
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -127,38 +117,71 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def contexts(rows: DataFrame, reach: int) -> DataFrame:
-    """key, entity, term (null if the entity has none), start, stop of every row with base spans."""
-    out = common.arrow_schema(ddl := "key long, entity string, term string, start int, stop int")
+def holding(rows: DataFrame) -> DataFrame:
+    """key, entities and text of the rows with base spans."""
+    out = common.arrow_schema(ddl := "key long, entities array<string>, text string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, "text"):
-            got = []
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if spans := base_spans(text):
-                    got += [(key, entity(k, text[x:y]), None, None, None) for k, x, y in spans]
-                    got += [(key, *c) for c in context(text, spans, reach)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], out.field(k).type) for k in range(5)], schema=out)
+            got = [(key, sorted({entity(k, text[x:y]) for k, x, y in spans}), text) for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True) if (spans := base_spans(text))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], out.field(k).type) for k in range(3)], schema=out)
 
     return rows.select("key", "text").mapInArrow(run, ddl)
 
 
+def words(held: DataFrame) -> DataFrame:
+    """key and term for each distinct word of a row."""
+    out = common.arrow_schema(ddl := "key long, term string")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text", 1 << 20):
+            got = [(key, w) for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True) for w in set(WORD.findall(folded(text)))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], schema=out)
+
+    return held.select("key", "text").mapInArrow(run, ddl)
+
+
+def marked_places(held: DataFrame) -> DataFrame:
+    """key and marks of rows with their terms (term and action)."""
+    out = common.arrow_schema(ddl := "key long, marks array<struct<start:int,stop:int,action:string>>")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, "text"):
+            marks = [[dict(zip(("start", "stop", "action"), p, strict=True)) for p in places(text, {t["term"]: t["action"] for t in terms})] for text, terms in zip(b.column("text").to_pylist(), b.column("terms").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(marks, out.field(1).type)], schema=out)
+
+    return held.select("key", "text", "terms").mapInArrow(run, ddl)
+
+
+def term_map(terms: DataFrame) -> bytes:
+    """A bit map of fixed size of the checksums of these terms."""
+    at = F.crc32(F.col("term").cast("binary")) % MAP_BITS
+    bit = F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))
+    out = bytearray(MAP_BITS // 8)
+    for r in terms.groupBy(F.floor(at / 8).cast("int").alias("byte")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        out[r["byte"]] = r["bits"]
+    return bytes(out)
+
+
 def term_counts(rows: DataFrame, terms: DataFrame, most_bytes: int) -> DataFrame:
     """term, n_term: of how many rows each candidate term is a word, over all rows."""
     size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)).alias("size")).first()["size"]
-    broadcast = rows.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect())) if size <= most_bytes else None
+    few = size <= most_bytes
+    broadcast = rows.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()) if few else term_map(terms))
     ddl = "term string, n long"
     out = common.arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
+        from zlib import crc32
 
-        wanted, total = (broadcast.value if broadcast else None), Counter()
+        wanted, total = broadcast.value, Counter()
         for b in common.slices(batches, "text"):
             for text in b.column("text").to_pylist():
-                lowered = text.lower()
-                if wanted is None:
-                    total.update(set(WORD.findall(lowered)))
+                lowered = folded(text)
+                if not few:
+                    sums = ((w, crc32(w.encode()) % MAP_BITS) for w in set(WORD.findall(lowered)))
+                    total.update([w for w, c in sums if wanted[c >> 3] >> (c & 7) & 1])
                     continue
                 # a term is a whole stretch of letters, so most words are told by splitting at blanks
                 words = set(lowered.split())
@@ -173,7 +196,7 @@ def term_counts(rows: DataFrame, terms: DataFrame, most_bytes: int) -> DataFrame
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=out)
 
     counts = rows.select("text").mapInArrow(run, ddl)
-    if broadcast is None:
+    if not few:
         counts = counts.join(terms, "term", "left_semi")
     return counts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
@@ -184,19 +207,28 @@ def disclosure(n: int, n_entity: int, n_term: int, n_both: float) -> float:
     return math.log2(n * n_both / (n_entity * n_term)) / own if own > 0 and n_both else 0.0
 
 
-def disclosing(docs_rows: DataFrame, reach: int = REACH, remove: float = REMOVE, generalise: float = GENERALISE, discount: float = DISCOUNT, most_bytes: int = MOST_BYTES) -> DataFrame:
+def disclosing(docs_rows: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE, discount: float = DISCOUNT, most_bytes: int = MOST_BYTES) -> DataFrame:
     """key and marks (start, stop, action, by start) of the rows with terms that give an entity away."""
-    found = common.materialize(contexts(docs_rows, reach), "contexts")
-    n_entity = found.filter("term is null").groupBy("entity", "key").agg(F.count("*").alias("c")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = found.filter("term is not null").groupBy("entity", "term", "key").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = common.materialize(both.join(n_entity, "entity"), "pairs")
-    n = docs_rows.count()
-    counts = term_counts(docs_rows, pairs.select("term").distinct(), most_bytes)
-    share = F.log2(F.lit(float(n)) * (F.col("n_both") - discount) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(float(n)) / F.col("n_entity"))
-    scored = pairs.join(counts, "term").withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(F.lit(0.0))).filter(F.col("share") > generalise)
-    scored = common.materialize(scored.select("entity", "term", F.when(F.col("share") > remove, "remove").otherwise("generalise").alias("action")), "disclosing")
-    marks = found.filter("term is not null").join(scored, ["entity", "term"]).groupBy("key", "start", "stop").agg(F.max("action").alias("action"))
-    return marks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("marks"))
+    held = common.materialize(holding(docs_rows), "holding")
+    n = float(docs_rows.count())
+    own = held.select("key", F.explode("entities").alias("entity")).distinct()
+    own = common.materialize(own.join(own.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "entities")
+    found = words(held)
+    counts = term_counts(docs_rows, common.materialize(found.select("term").distinct(), "terms"), most_bytes)
+    # As n_both is n_entity at most, a share over the limit needs a term of fewer rows than this: an exact bound, not a cut.
+    bound = F.lit(n) * F.pow(F.lit(n) / F.col("n_entity"), -generalise) * (1 + 1e-9)
+    most = own.groupBy("key").agg(F.max(bound).alias("most"))
+    rare = found.join(most, "key").join(counts, "term").filter(F.col("n_term") < F.col("most")).select("key", "term", "n_term").distinct()
+    linked = common.materialize(rare.join(own, "key").filter(F.col("n_term") < bound), "linked")
+    both = linked.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    share = F.log2(F.lit(n) * (F.col("n_both") - discount) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(n) / F.col("n_entity"))
+    scored = both.withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(F.lit(0.0))).filter(F.col("share") > generalise)
+    scored = scored.select("entity", "term", F.when(F.col("share") > remove, "remove").otherwise("generalise").alias("action"))
+    actions = linked.select("key", "entity", "term").join(scored, ["entity", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))
+    terms = common.materialize(actions.groupBy("key").agg(F.collect_list(F.struct("term", "action")).alias("terms")), "disclosing")
+    # repeated rows have one key, and equal marks
+    marks = marked_places(held.join(terms, "key")).filter(F.size("marks") > 0).groupBy("key").agg(F.first("marks").alias("marks"))
+    return common.materialize(marks, "marks")
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:

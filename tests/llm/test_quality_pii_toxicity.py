@@ -103,6 +103,16 @@ def test_terms_of_a_single_document(spark):
     assert pii.sanitize(docs).filter("doc_id = 0").first()["text"] == "write to <TERM> at <EMAIL> about it"
 
 
+def test_terms_far_from_the_value(spark):
+    far = "and so we say once more to all of you " * 4
+    text = f"marlowe has ann.b@mail.example {far}MARLOWE {far}quillon"
+    rows = [(i, text) for i in range(6)] + [(10 + i, "and so we say once more to all of you has") for i in range(300)]
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 10").select("spans").distinct().collect()
+    at = [text.index("marlowe"), text.index("MARLOWE"), text.index("quillon")]
+    assert [r["spans"] for r in got] == ["email:12:30," + ",".join(f"term:{a}:{a + 7}" for a in at)]
+    assert pii.places("\u0130 a Zeta\u0130 zeta", {"zeta": "remove"}) == [(10, 14, "remove")]
+
+
 def test_spans_of_repeated_rows(spark):
     docs = spark.createDataFrame([(1, SECRET), (1, SECRET), (None, "x 1.2.3.4")], "doc_id long, text string")
     got = pii.spans(docs).collect()
