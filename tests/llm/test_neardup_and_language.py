@@ -81,6 +81,14 @@ def test_signature_against_the_definition():
         assert [int(v) for v in neardup.signature(elements, m)] == want
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_limit_keep_within_the_slack(percent):
+    """The chance that plain MinHash, which varies the most, falls short of the margin."""
+    p, m = percent / 100 + (1 - percent / 100) / 256, neardup.SLOTS
+    least = round((percent / 100 - neardup.SLACK) * m)
+    assert sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(least)) < 5e-5
+
+
 def test_components_in_many_tasks(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100 + r.randrange(40)) for i in range(40)]
