@@ -5,7 +5,7 @@ for each level of a random permutation; a slot keeps the least level and rank.
 at once and stop when every slot is filled, as later levels cannot win.  Slots are kept as bytes.
 
 1. Equal sets fall together by their digest; the least doc_id stands for them.
-2. Bands of ROWS slots that agree put two sets in one bucket.  A bucket of more than `block` members is dealt to
+2. Bands of some slots that agree put two sets in one bucket.  A bucket of more than `block` members is dealt to
    blocks, and a task compares a pair of blocks, so no task holds more than two blocks.
 3. In a bucket the whole signatures are compared.  The first rounds propose for each member its nearest ones, at most one of
    each of a few other groups; these pairs are confirmed on full sets, and union-find groups what they link.  The last
@@ -13,7 +13,8 @@ at once and stop when every slot is filled, as later levels cannot win.  Slots a
    that holds it, and confirms them the same way.  No link between different groups is left out, and pairs within a
    group are not asked for.
 
-A pair at the limit itself shares no bucket with a chance of 2e-5 at 0.85 (28 bands of 7), and its signatures
+A pair at the limit itself shares no bucket with a chance of 2e-5 at 0.85 (28 bands of 7) and of
+6e-5 at 0.80 (32 bands of 6), see `banding`, and its signatures
 fall short of it by `slack` with a chance of at most 4e-6 at 0.85 and 2e-5 at 0.80.  That is the binomial chance of plain
 MinHash, which bounds texts of any length; with fewer shingles SuperMinHash varies less.
 
@@ -33,8 +34,9 @@ from pyspark.sql import functions as F
 from groundline.llm import common
 
 SHINGLE = 5
-BANDS, ROWS = 28, 7
-SLOTS = BANDS * ROWS
+SLOTS = 196
+#: The chance that a pair at the limit may share no bucket.
+MISSED = 1e-4
 BLOCK = 384
 SLACK = 0.12
 #: Rounds of nearest members, and of how many other groups each round takes one.
@@ -142,22 +144,30 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.as_bytes(common.text_or_empty(text_col)).alias("text")).mapInArrow(run, ddl)
 
 
-def buckets(reps: DataFrame) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and their slots: the longest bands by which a pair at the limit is missed with a chance of MISSED at most."""
+    for rows in range(7, 2, -1):
+        if (1 - (percent / 100) ** rows) ** (SLOTS // rows) <= MISSED:
+            return SLOTS // rows, rows
+    return SLOTS // 2, 2
+
+
+def buckets(reps: DataFrame, bands: int, size: int) -> DataFrame:
     """key and rep for each band of each signature; the key is the band's number and its bytes."""
     out = common.arrow_schema(ddl := "key long, rep long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
-                full = np.empty((*sig.shape[:2], 8), np.uint8)
-                full[:, :, :ROWS], full[:, :, 7] = sig, np.arange(BANDS, dtype=np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array(full.reshape(-1, 8).view("<i8")[:, 0]), pa.array(np.repeat(b.column("rep").to_numpy(), BANDS))], schema=out)
+                sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8).reshape(-1, SLOTS)[:, : bands * size].reshape(-1, bands, size)
+                full = np.zeros((*sig.shape[:2], 8), np.uint8)
+                full[:, :, :size], full[:, :, 7] = sig, np.arange(bands, dtype=np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(full.reshape(-1, 8).view("<i8")[:, 0]), pa.array(np.repeat(b.column("rep").to_numpy(), bands))], schema=out)
 
     return reps.select("rep", "signature").mapInArrow(run, ddl)
 
 
-def near_pairs(members: DataFrame, threshold: float, slack: float, nearest: int | None) -> DataFrame:
+def near_pairs(members: DataFrame, threshold: float, slack: float, nearest: int | None, size: int) -> DataFrame:
     """a < b: pairs of a unit (a pair of a bucket's blocks) whose signatures and sizes allow a link.
 
     For each member its nearest ones in `nearest` other groups, or for None every pair of different groups, from the
@@ -184,7 +194,7 @@ def near_pairs(members: DataFrame, threshold: float, slack: float, nearest: int
             count = same.sum(axis=1)
             good = np.flatnonzero(count >= least)
             if band and len(good):
-                early = same[good, : band * ROWS].reshape(len(good), band, ROWS).all(axis=2).any(axis=1)
+                early = same[good, : band * size].reshape(len(good), band, size).all(axis=2).any(axis=1)
                 good = good[~early]
             if all_pairs:
                 chosen = others[good]
@@ -357,7 +367,8 @@ def groups(docs: DataFrame, percent: int = 80, block: int = BLOCK, slack: float
     reps = some.join(equal, (some["digest"] == equal["digest"]) & (some["doc_id"] == equal["rep"])).select("rep", "n", "signature")
     reps = common.materialize(reps, "reps")
 
-    keyed = buckets(reps)
+    bands, size = banding(percent)
+    keyed = buckets(reps, bands, size)
     shared = common.materialize(keyed.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1"), "buckets")
     members = units(keyed.join(shared, "key"), block).join(reps, "rep")
     members = common.materialize(members.select("key", "count", "i", "j", "block", "rep", "n", "signature"), "members")
@@ -371,7 +382,7 @@ def groups(docs: DataFrame, percent: int = 80, block: int = BLOCK, slack: float
             open_ = common.materialize(members.filter("count > 2").join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "open")
             split = open_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
             open_ = open_.join(common.materialize(split, "split"), "key")
-        asked = near_pairs(open_, threshold, slack, nearest)
+        asked = near_pairs(open_, threshold, slack, nearest, size)
         asked = common.materialize(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), "pairs")
         if sets is None:  # a member that is near to any other asks for its nearest
             sets = common.materialize(full_sets(docs, asked.select(F.explode(F.array("a", "b")).alias("rep")), id_col, text_col), "sets")

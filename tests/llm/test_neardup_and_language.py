@@ -89,6 +89,13 @@ def test_pairs_at_the_limit_keep_within_the_slack(percent):
     assert sum(math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(least)) < 5e-5
 
 
+def test_bands_fit_the_limit():
+    assert neardup.banding(85) == (28, 7) and neardup.banding(80) == (32, 6)
+    for percent in (50, 60, 70, 80, 85, 90):
+        bands, size = neardup.banding(percent)
+        assert bands * size <= neardup.SLOTS and (1 - (percent / 100) ** size) ** bands <= 1e-4
+
+
 def test_components_in_many_tasks(spark):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100 + r.randrange(40)) for i in range(40)]
