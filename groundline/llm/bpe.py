@@ -17,7 +17,6 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -29,7 +28,8 @@ from groundline.llm import common
 
 #: White space of Unicode, as the tokenizer file's expression `\s` means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CACHE_ENTRIES = 250_000
+#: Bytes, about, of chunks and their ids that a worker keeps.
+KEPT_BYTES = 96 << 20
 
 
 def default_tokenizer() -> str:
@@ -151,14 +151,39 @@ class PairIndex:
         return [left[e - k : e] for e, k in zip(cut.tolist(), counts.tolist(), strict=True)]
 
 
+#: What this encoder does, as a tokenizers file says it; a file that says something else is refused.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def checked(spec: dict) -> dict:
+    """A tokenizers file of word BPE, its words found by one pattern that leaves white space out."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") != NORMALIZER or spec.get("decoder") is not None:
+        raise ValueError("the file has another normaliser or decoder")
+    parts = pre.get("pretokenizers") or [{}]
+    split = parts[0]
+    if pre.get("type") != "Sequence" or len(parts) != 2 or parts[1] != LEVEL or split.get("type") != "Split" or split.get("behavior") != "Removed" or not split.get("invert") or "\\s\\p{L}\\p{N}]" not in split["pattern"]["Regex"]:
+        raise ValueError("the file has another pre-tokenizer")
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError("the file has another model")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError("the file has added tokens of another kind")
+    return spec
+
+
 class WordBpe:
-    """The word tokenizer of a tokenizers file: NFC, white space to blanks, lower case, word ends."""
+    """The word tokenizer of a tokenizers file: NFC, white space to blanks, lower case, word ends.
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        import regex
+    Case, composition and letters are those of the library's own tables: chunks between white space that are not ASCII go through its
+    normaliser, and all chunks through its pattern for words.  Merges are this module's.
+    """
+
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            spec = checked(json.load(f))
         model = spec["model"]
         self.vocab = model["vocab"]
         self.token = {i: t for t, i in self.vocab.items()}
@@ -166,8 +191,8 @@ class WordBpe:
         self.token |= {i: t for t, i in self.added.items()}
         self.end = model["end_of_word_suffix"] or ""
         self.index = PairIndex(self.vocab, [tuple(m) for m in model["merges"]])
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"])
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.split = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         self.white = re.compile(f"[{WHITE}]+")
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = byte_symbols()
@@ -175,17 +200,36 @@ class WordBpe:
         plain = [self.vocab[c] for c in self.symbols]
         last = [self.vocab[c + self.end] for c in self.symbols]
         self.of_byte = (plain, last)
-        #: The ids of chunks between white space.
+        #: The ids of chunks between white space, as they stand in texts.
         self.ids: dict[str, list[int]] = {}
-        self.entries = entries
+        self.kept_bytes, self.held = kept_bytes, 0
 
     def chunks(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        # sigma has no final form here, as characters are lowered one by one
-        text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         # str.split() takes four more characters for white space
         return self.white.sub(" ", text).split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
+    def normal(self, chunks: list[str]) -> list[str]:
+        """Chunks as the library's normaliser leaves them."""
+        odd = [c for c in chunks if not c.isascii()]
+        joined = self.normalizer.normalize_str(" ".join(odd)).split(" ") if odd else []
+        if len(joined) != len(odd):
+            joined = [self.normalizer.normalize_str(c) for c in odd]
+        found = iter(joined)
+        return [c.lower() if c.isascii() else next(found) for c in chunks]
+
+    def words(self, chunks: list[str]) -> list[list[str]]:
+        """The words of each chunk, by the library's pattern, which no blank between chunks can match."""
+        out, at, k = [[] for _ in chunks], 0, 0
+        ends = []
+        for c in chunks:
+            at += len(c) + 1
+            ends.append(at)
+        for word, (start, _) in self.split.pre_tokenize_str(" ".join(chunks)):
+            while start >= ends[k]:
+                k += 1
+            out[k].append(word)
+        return out
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words; bytes become symbols, the last one with the word's end."""
         import numpy as np
@@ -199,11 +243,12 @@ class WordBpe:
         return self.index.merged(symbols, lengths)
 
     def learn(self, chunks: list[str]) -> None:
-        split = [self.words.findall(c) for c in chunks]
+        split = self.words(self.normal(chunks))
         distinct = list({w for ws in split for w in ws})
         ids = dict(zip(distinct, self.encode_words(distinct), strict=True))
         for c, ws in zip(chunks, split, strict=True):
             self.ids[c] = ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
+            self.held += len(c) + 8 * len(self.ids[c]) + 200
 
     def parts(self, text: str) -> list[tuple[str, bool]]:
         """Stretches of a text, and whether each is an added token."""
@@ -221,8 +266,9 @@ class WordBpe:
                 if not added:
                     seen.update(row[-1][1])
             rows.append(row)
-        if len(self.ids) > self.entries:
+        if self.held > self.kept_bytes:
             self.ids.clear()
+            self.held = 0
         self.learn(list(seen.difference(self.ids)))
         of, token, number, out = self.ids.__getitem__, self.token.__getitem__, self.number, []
         for row in rows:

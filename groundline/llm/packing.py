@@ -14,24 +14,24 @@ repeated rows are packed as often as they come; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
-import sys
-from array import array
-from collections.abc import Iterable, Iterator
+import re
+from collections import ChainMap
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.llm import common
-from groundline.llm.bpe import byte_symbols
 
 WINDOW = 1024
 END_ID = 0
-#: The public pattern that byte-level pre-tokenizers split texts by.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of pieces and ids, about, after which a worker begins to forget those that it does not meet again.
+KEPT_BYTES = 96 << 20
+_BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_tokenizer() -> str:
@@ -41,48 +41,111 @@ def default_tokenizer() -> str:
 
 
 class ByteEncoder:
-    """Ids of a byte-level BPE tokenizers file, as little-endian unsigned 32-bit numbers.
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit numbers.
 
-    Where ids ascend with merge ranks, as in the default file, tiktoken makes them from that file's own
-    vocabulary, four times as fast; else, and for texts that hold an added token, the tokenizers library does.
+    A byte-level pre-tokenizer always cuts before a blank, and on both sides of a newline, that stands alone between two other
+    characters, as no alternative of its pattern reaches over one.  So texts are cut before these, and a piece that came before keeps its ids.
+    Files of another form, or with added tokens that hold or eat blanks, get whole texts encoded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            self.fast = ranked(json.load(f))
+            self.cut = cuttable(json.load(f))
+        self.newline = self.library(["\n"])[0]
+        self.kept_bytes = kept_bytes
+        self.clear()
 
-    def library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return [array("I", self.library(t)).tobytes() for t in texts]
-        ordinary = self.fast.encode_ordinary
-        return [array("I", self.library(t) if any(s in t for s in self.added) else ordinary(t)).tobytes() for t in texts]
+    def clear(self) -> None:
+        #: Ids of pieces that begin a text, and of those that a blank (left out) or a newline leads; what was not used of late waits in the second table of each.
+        self.first: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.led: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.held = 0
 
+    def age(self) -> None:
+        """What was kept and not asked for since the last time goes."""
+        self.first, self.led, self.held = ({}, self.first[0]), ({}, self.led[0]), 0
 
-def ranked(spec: dict):
-    """A tiktoken encoding with the ids of a byte-level tokenizers file, or None if that has another form."""
-    import tiktoken
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cut:
+            return self.library(texts)
+        if self.held > self.kept_bytes:
+            self.age()
+        known, rows, first, led = self.led[0], [], set(), set()
+        for t in texts:
+            head, *rest = t.replace("\n", " \n").split(" ")
+            new = set(rest).difference(known)
+            if edged(head) or any(map(edged, new)):
+                head, *rest = _BOUNDARY.split(t)
+                new = set(rest)
+            rows.append((head, rest))
+            first.add(head)
+            led |= new
+        own, after = self.learned(self.first, first, ""), self.learned(self.led, led, " ")
+        return [own[head] + b"".join(map(after.__getitem__, rest)) for head, rest in rows]
+
+    def learned(self, tables: tuple[dict[str, bytes], dict[str, bytes]], wanted: set[str], lead: str) -> Mapping[str, bytes]:
+        """The ids of all wanted pieces; those are kept that white space neither begins nor ends, as any text may be cut around them."""
+        kept, old = tables
+        new, odd = [], {}
+        for p in wanted.difference(kept):
+            if (ids := old.get(p)) is None:
+                new.append(p)
+            else:
+                self.keep(kept, p, ids)
+        plain = [p for p in new if p.isalnum() or not edged(p) and len(p.split()) == 1]
+        lined = [p for p in plain if p[0] == "\n"]
+        plain = [p for p in plain if p[0] != "\n"]
+        for p, ids in zip(plain, self.joined(plain, lead), strict=True):
+            self.keep(kept, p, ids)
+        for p, ids in zip(lined, self.joined([p[1:] for p in lined], ""), strict=True):
+            self.keep(kept, p, self.newline + ids)
+        rest = list(set(new).difference(plain, lined))
+        for p, ids in zip(rest, self.library([p if p[:1] == "\n" else lead + p for p in rest]) if rest else (), strict=True):
+            if not edged(p):
+                self.keep(kept, p, ids)
+            else:
+                odd[p] = ids
+        return ChainMap(kept, odd) if odd else kept
+
+    def keep(self, table: dict[str, bytes], piece: str, ids: bytes) -> None:
+        table[piece] = ids
+        self.held += len(piece) + len(ids) + 150
+
+    def joined(self, pieces: list[str], lead: str) -> list[bytes]:
+        """Ids of pieces without white space, encoded as the lines of one text: a newline alone between them is a token of its own."""
+        if not pieces:
+            return []
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join([lead + p for p in pieces])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+        if len(self.newline) != 4 or len(ends) != len(pieces) - 1:
+            return self.library([lead + p for p in pieces])
+        data, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+        return [data[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def edged(piece: str) -> bool:
+    """Does white space begin a piece, after the newline that may lead it, or end it?  Then cuts beside it depend on its neighbours."""
+    if piece[:1] == "\n":
+        piece = piece[1:]
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
+def cuttable(spec: dict) -> bool:
+    """Is it byte-level BPE by the usual pattern, with no normaliser and no added token that blanks matter to?"""
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-    if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex") or sys.byteorder != "little":
-        return None
-    value = {c: b for b, c in enumerate(byte_symbols())}
-    added = {t["content"] for t in spec["added_tokens"]}
-    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
-    if any(a >= b for a, b in itertools.pairwise(ids)):
-        return None
-    ranks = {bytes(value[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
-    return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex")
+    added = any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens") or ())
+    return bool(plain and level and not added and not spec.get("normalizer"))
 
 
 _encoders: dict[str, ByteEncoder] = {}

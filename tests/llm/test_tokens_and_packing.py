@@ -17,7 +17,7 @@ def odd_texts(n=1500):
 def test_bpe_equals_the_library():
     from tokenizers import Tokenizer
 
-    own, library = bpe.WordBpe(bpe.default_tokenizer(), entries=500), Tokenizer.from_file(bpe.default_tokenizer())
+    own, library = bpe.WordBpe(bpe.default_tokenizer(), kept_bytes=50_000), Tokenizer.from_file(bpe.default_tokenizer())
     texts = odd_texts() + ["a" * 3000, "aaaa aaa aa a", ""]
     for a in range(0, len(texts), 400):
         part = texts[a : a + 400]
@@ -44,10 +44,58 @@ def test_byte_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     own, library = packing.ByteEncoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
-    assert own.fast is not None
-    texts = odd_texts()
-    for text, ids in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.cut
+    own.kept_bytes = 20_000  # pieces are forgotten and met again
+    texts = [*odd_texts(), *(" ".join(odd_texts(30)[k : k + 5]) for k in range(25)), "one two\nthree\n\nfour \nfive\n", "\n", " ", ""]
+    for a in range(0, len(texts), 150):
+        part = texts[a : a + 150]
+        for text, ids in zip(part, own.encode(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def every_character():
+    """Each code point that Unicode assigns, behind a letter, before a digit and alone."""
+    points = [chr(c) for c in [*range(0x32000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c <= 0xDFFF]
+    return [" ".join(f"B{c}1 {c}" for c in points[k : k + 2000]) for k in range(0, len(points), 2000)]
+
+
+def test_every_character_as_the_library_has_it():
+    from tokenizers import Tokenizer
+
+    byte, word = packing.ByteEncoder(packing.default_tokenizer()), bpe.WordBpe(bpe.default_tokenizer())
+    libraries = [Tokenizer.from_file(f()) for f in (packing.default_tokenizer, bpe.default_tokenizer)]
+    texts = every_character()
+    wants = [[e.ids for e in x.encode_batch(texts, add_special_tokens=False)] for x in libraries]
+    for ids, want in zip(byte.encode(texts), wants[0], strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want
+    for (ids, _, _), want in zip(word.encode_texts(texts), wants[1], strict=True):
+        assert ids == " ".join(map(str, want))
+
+
+def test_very_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.default_tokenizer())
+    runs = [" " * 5_000_000, "\n" * 5_000_000, " \n" * 600_000, "x" * 1_200_000, "ab " * 700_000 + "  " + "\n" * 1_200_000]
+    digest = {r["doc_id"]: r for r in packing.pack_digest(spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string"), window=1 << 26).collect()}
+    for i, text in enumerate(runs):
+        want = np.asarray([*library.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (digest[i]["doc_tokens"], digest[i]["ids_crc32"]) == (len(want), zlib.crc32(want.tobytes()))
+
+
+def test_files_that_say_something_else_are_refused():
+    import json
+
+    with open(bpe.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.checked(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"decoder": {"type": "BPEDecoder"}}, {"model": spec["model"] | {"unk_token": "x"}}):
+        with pytest.raises(ValueError):
+            bpe.checked(spec | change)
+    with open(packing.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.cuttable(spec) and not packing.cuttable(spec | {"normalizer": {"type": "NFC"}})
+    assert not packing.cuttable(spec | {"added_tokens": [spec["added_tokens"][0] | {"rstrip": True}]})
 
 
 @pytest.mark.parametrize("parts", [1, 3])
