@@ -3,7 +3,7 @@ import struct
 
 import pytest
 
-from groundline.llm import html, media, urls
+from groundline.llm import media, urls
 
 
 def slow_checksum(data):
@@ -80,57 +80,3 @@ def test_digests_that_collide_are_told_apart(tmp_path):
     (tmp_path / "r").write_bytes(urls.DigestArray.build([("block", "a/"), ("allow", "b/"), ("block", "b/")], same))
     array = urls.DigestArray(str(tmp_path / "r"))
     assert array.find(["a/", "b/", "c/"], same) == [("block", "a/"), ("allow", "b/"), None]
-
-
-def test_suffix_array_against_plain_sorting():
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    for n in (1, 2, 5, 40, 120):
-        tokens = r.integers(0, 3, n)
-        order, ranks = html.suffix_array(tokens)
-        assert order.tolist() == sorted(range(n), key=lambda i: tokens[i:].tolist())
-        shared = html.common_prefixes(order, ranks)
-        for k in range(1, n):
-            a, b = tokens[order[k - 1] :].tolist(), tokens[order[k] :].tolist()
-            assert shared[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
-
-
-def test_covered_against_plain_search():
-    r = random.Random(6)
-    for _ in range(40):
-        streams = [[r.choice("ab c".split()) for _ in range(r.randint(0, 15))] for _ in range(5)]
-        pages = [r.randrange(3) for _ in streams]
-        want = [[False] * len(s) for s in streams]
-        for i, s in enumerate(streams):
-            for at in range(len(s) - 2):
-                if any(pages[j] != pages[i] and streams[j][b : b + 3] == s[at : at + 3] for j in range(5) for b in range(len(streams[j]) - 2)):
-                    want[i][at : at + 3] = [True] * 3
-        assert html.covered(streams, pages, 3) == want
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/x">X</a></li></ul></nav>
-<!-- <p>no</p> --><div class="ad">Buy</div><div class="cookie-notice">Cookies</div><article class="post"><h1>Title &amp; more</h1><p><b>One  two<br><p>Th&eacute;e &lt;b&gt;</p><aside>side</aside><form><p>mail</p></form><div class="comments"><p>first!</p></div><p>End</p></article>
-<footer>&copy; me</footer></body></html>"""
-
-
-def test_main_text():
-    assert html.main_texts([PAGE]) == ["Title & more\nOne two\nThée <b>\nEnd"]
-    assert html.main_texts(["", "plain words", "<article>a", "<p>x &amp;amp; y"]) == ["", "plain words", "a", "x &amp; y"]
-    assert html.main_texts(["<article>" + "w " * 300_000 + "</article>"])[0].count("w") == 300_000
-
-
-def test_open_blocks_lose_what_pages_repeat():
-    common = "this line stands on every page of it"
-    pages = [f"<body><p>{common}</p><p>only page {w} has these own words</p></body>" for w in ("red", "green", "blue")]
-    got = html.main_texts(pages, 5)
-    assert all(common not in g for g in got) and "red" in got[0]
-    assert html.main_texts([pages[0], pages[0]], 5)[0].startswith(common)  # copies are no evidence
-
-
-def test_html_frame(spark):
-    rows = [(1, "http://a/x", PAGE, 1), (2, None, None, 1), (3, "http://a/y", "<p>x", 1), (3, "http://a/y", "<p>x", 1)]
-    table = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
-    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(table, chunk_pages=2).collect())
-    assert [g[0] for g in got] == [1, 2, 3, 3] and got[1][1:] == ("", 0) and got[2][1:] == ("x", 1) and got[0][1].startswith("Title")
-    assert html.extract(table.limit(0)).count() == 0

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -72,6 +73,63 @@ def test_base_spans():
     assert pii.base_spans("a" * 200_000 + "@") == [] and pii.base_spans("1" * 50_000) == []
 
 
+def test_base_spans_of_long_texts_take_no_longer_than_their_length():
+    for text in ("1" * 1_000_000 + ".", "." + "1" * 1_000_000, "1." * 500_000, "1.1.1" + "1" * 1_000_000 + "x.", "+1" * 400_000, "+1" + "(" * 800_000, "1 " * 500_000, "1-" * 500_000, "a@" * 400_000, "a.b@c-" * 200_000, "+1 (" * 250_000):
+        began = time.time()
+        pii.base_spans(text)
+        pii.sanitized_text(text + " 1.2.3.4", [])
+        assert time.time() - began < 8, text[:9]
+    text = "1.2.3.4 marlowe " * 20_000
+    began = time.time()
+    assert len(pii.places(text, {"marlowe": "remove"})) == 20_000 and time.time() - began < 8
+
+
+def plain_terms(rows, remove=pii.REMOVE, generalise=pii.GENERALISE):
+    """All spans of each row by counting words and values of all rows one by one."""
+    words_of = [set(re.findall(r"[^\W\d_]{3,}", t.lower())) for _, t in rows]
+    held = [{pii.entity(k, t[a:b]) for k, a, b in plain_spans(t)} for _, t in rows]
+    n, n_entity, n_term = len(rows), Counter(e for es in held for e in es), Counter(w for ws in words_of for w in ws)
+    both = Counter((e, w) for es, ws in zip(held, words_of, strict=True) for e in es for w in ws)
+    out = []
+    for (i, t), es in zip(rows, held, strict=True):
+        base = plain_spans(t)
+        terms = {w for e in es for w in words_of[len(out)] if pii.disclosure(n, n_entity[e], n_term[w], both[e, w] - pii.DISCOUNT) > generalise}
+        marks = [("term", *m.span()) for m in re.finditer(r"[^\W\d_]{3,}", t.lower()) if m[0] in terms and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        out.append((i, ",".join(f"{k}:{a}:{b}" for k, a, b in base + marks)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [pii.MOST_BYTES, -1])
+def test_all_spans_against_plain_counting(spark, most):
+    r = random.Random(5)
+    rows = []
+    for i in range(260):
+        parts = [f"{r.choice(['word', 'mora', 'lento', 'Brisk', 'tally', 'dove', 'zinc'])}{'abcdefgh'[r.randrange(8)] * (i % 3)}" for _ in range(r.randint(1, 12))]
+        if r.random() < 0.3:
+            who = r.randrange(25)
+            parts.insert(r.randrange(len(parts) + 1), f"u{who}@mail.org")
+            parts.insert(r.randrange(len(parts) + 1), "name" + "abcdefghijklmnopqrstuvwxyz"[who])
+        rows.append((i, r.choice([" ", ", ", "-", "1"]).join(parts)))
+    rows += [(i, t) for i, t in rows[:80]] + rows[:30] + [(5, "")]
+    want = plain_terms(rows)
+    assert sum("term" in s for _, s in want) > 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((x["doc_id"], x["spans"]) for x in pii.spans(docs, most_bytes=most).collect()) == want
+
+
+def test_names_of_other_columns(spark):
+    docs = spark.createDataFrame([(i, SECRET, 1, 2, 3, 4.5, 5, "k") for i in range(8)] + [(50 + i, "about it we reach at the end", 1, 2, 3, 4.5, 5, "k") for i in range(60)], "doc_id long, text string, key int, marks int, `a.b` int, toxicity_score double, text_bytes int, _key string")
+    clean = pii.sanitize(docs)
+    assert clean.schema == docs.schema and "<EMAIL>" in clean.filter("doc_id = 1").first()["text"] and clean.first()["a.b"] == 3
+    assert [c for c in toxicity.score(docs, toxicity.train([b"a"], [0])).columns if c not in docs.columns] == ["_toxicity_score"]
+
+
+def test_repeated_tables_lose_no_term(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in corpus()], "doc_id long, text string")
+    once, twice = ({x["doc_id"]: x["spans"] for x in pii.spans(d).collect()} for d in (docs, docs.unionByName(docs)))
+    assert once[0] == twice[0] == "email:17:35,term:6:13"
+
+
 SECRET = "reach marlowe at ann.b@mail.example about it"
 
 
