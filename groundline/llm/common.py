@@ -68,6 +68,25 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(schema(ddl))
 
 
+def arrow_schema_of(table: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(table)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, led by as many signs as it takes to differ from all names taken (which are the same in any case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Columns by place, c0, c1 and so on: mapInArrow finds no column whose name has a dot."""
+    return rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterable[pa.RecordBatch]:
     """Cut batches so that a slice's texts have about `most` bytes; a longer text has a slice of its own.
 

@@ -403,9 +403,11 @@ def groups(docs: DataFrame, percent: int = 80, block: int = BLOCK, slack: float
     return placed.join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """The rows of docs whose id is the least of its group, one for each id."""
-    found = groups(docs, percent, **options)
-    keep = found.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    one = docs.filter("doc_id is null").unionByName(docs.filter("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return one.select(*docs.columns)
+def deduplicate(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose id is the least of its group: one for each id, with the least text if rows of an id differ."""
+    found = groups(docs, percent, id_col=id_col, text_col=text_col, **options)
+    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    row, key = "row", F.col(f"`{id_col}`")
+    rows = docs.select(key.cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    one = rows.filter("doc_id is not null").join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(row))
+    return one.select(row).unionByName(rows.filter("doc_id is null").select(row)).select(f"{row}.*")

@@ -2,7 +2,7 @@
 
 Base patterns find e-mail addresses, IP addresses, payment cards and telephone numbers; their distinct values are the
 protected entities.  Corpus co-occurrence tells how strongly a term near an entity reveals it: with n
-documents in all, the pointwise mutual information of entity and term, over the entity's own
+rows in all, the pointwise mutual information of entity and term, over the entity's own
 information, log2(n * n(e,t) / (n(e) * n(t))) / log2(n / n(e)).  At 1 the term comes with the entity alone and gives
 all of it away.  A term of a document that holds the entity is removed if its share exceeds
 `remove`, generalised (to a word for its kind) if it exceeds `generalise`, and left otherwise.
@@ -12,8 +12,9 @@ from the number of documents that hold both: it hardly matters for a link seen o
 gives 1 + log2(1 - discount) / log2(n) at most, so it is generalised from some hundred documents on.  A term counts wherever it stands in a document, and each place of it outside
 base spans is marked in every document that holds the entity.  Counts are over all documents.
 
-Defined results: a null text counts as an empty one, with no spans; repeated rows each give a row and count each;
-where spans meet, base ones stay whole and a term within one is none.
+Defined results: a null text counts as an empty one, with no spans; every row counts in all figures and gives a row, so repeated
+rows raise counts of entity, term and both alike; where spans meet, base ones stay whole and a term within one is none; an
+empty table gives no rows; other columns are kept by `sanitize`, whatever their names, and ignored by `spans`.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ DISCOUNT = 0.6
 MOST_BYTES, MAP_BITS = 16 << 20, 1 << 26
 
 # The base patterns.
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# A run of digits matches from its first digit or not at all, so none is looked at again from within.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -106,15 +108,22 @@ def folded(text: str) -> str:
 
 def places(text: str, terms: dict[str, str]) -> list[tuple[int, int, str]]:
     """Start, end and action of every place of these terms outside all base spans."""
-    inside = [(a, b) for _, a, b in base_spans(text)]
-    found = ((*m.span(), terms[m[0]]) for m in WORD.finditer(folded(text)) if m[0] in terms)
-    return [f for f in found if not any(x < f[1] and f[0] < y for x, y in inside)]
+    found = [(*m.span(), terms[m[0]]) for m in WORD.finditer(folded(text)) if m[0] in terms]
+    out, inside, k = [], sorted((a, b) for _, a, b in base_spans(text)) if found else [], 0
+    reach = 0  # the farthest end of the base spans that begin before a term's end
+    for start, stop, action in found:
+        while k < len(inside) and inside[k][0] < stop:
+            reach = max(reach, inside[k][1])
+            k += 1
+        if reach <= start:
+            out.append((start, stop, action))
+    return out
 
 
-def prepared(docs: DataFrame) -> DataFrame:
+def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key (of id and text) and text."""
-    text = common.text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def holding(rows: DataFrame) -> DataFrame:
@@ -178,18 +187,12 @@ def term_counts(rows: DataFrame, terms: DataFrame, most_bytes: int) -> DataFrame
         wanted, total = broadcast.value, Counter()
         for b in common.slices(batches, "text"):
             for text in b.column("text").to_pylist():
-                lowered = folded(text)
-                if not few:
-                    sums = ((w, crc32(w.encode()) % MAP_BITS) for w in set(WORD.findall(lowered)))
+                own = set(WORD.findall(folded(text)))
+                if few:
+                    total.update(own & wanted)
+                else:
+                    sums = ((w, crc32(w.encode()) % MAP_BITS) for w in own)
                     total.update([w for w, c in sums if wanted[c >> 3] >> (c & 7) & 1])
-                    continue
-                # a term is a whole stretch of letters, so most words are told by splitting at blanks
-                words = set(lowered.split())
-                found = words & wanted
-                for w in words - found:
-                    if not w.isalpha():
-                        found.update(x for x in WORD.findall(w) if x in wanted)
-                total.update(found)
             if len(total) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], schema=out)
                 total = Counter()
@@ -211,8 +214,9 @@ def disclosing(docs_rows: DataFrame, remove: float = REMOVE, generalise: float =
     """key and marks (start, stop, action, by start) of the rows with terms that give an entity away."""
     held = common.materialize(holding(docs_rows), "holding")
     n = float(docs_rows.count())
-    own = held.select("key", F.explode("entities").alias("entity")).distinct()
-    own = common.materialize(own.join(own.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "entities")
+    # n_rows: how many rows have this key, so that all counts are of rows
+    own = held.select("key", F.explode("entities").alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("n_rows"))
+    own = common.materialize(own.join(own.groupBy("entity").agg(F.sum("n_rows").alias("n_entity")), "entity"), "entities")
     found = words(held)
     counts = term_counts(docs_rows, common.materialize(found.select("term").distinct(), "terms"), most_bytes)
     # As n_both is n_entity at most, a share over the limit needs a term of fewer rows than this: an exact bound, not a cut.
@@ -220,7 +224,7 @@ def disclosing(docs_rows: DataFrame, remove: float = REMOVE, generalise: float =
     most = own.groupBy("key").agg(F.max(bound).alias("most"))
     rare = found.join(most, "key").join(counts, "term").filter(F.col("n_term") < F.col("most")).select("key", "term", "n_term").distinct()
     linked = common.materialize(rare.join(own, "key").filter(F.col("n_term") < bound), "linked")
-    both = linked.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    both = linked.groupBy("entity", "term").agg(F.sum("n_rows").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     share = F.log2(F.lit(n) * (F.col("n_both") - discount) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(n) / F.col("n_entity"))
     scored = both.withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(F.lit(0.0))).filter(F.col("share") > generalise)
     scored = scored.select("entity", "term", F.when(F.col("share") > remove, "remove").otherwise("generalise").alias("action"))
@@ -231,9 +235,9 @@ def disclosing(docs_rows: DataFrame, remove: float = REMOVE, generalise: float =
     return common.materialize(marks, "marks")
 
 
-def spans(docs: DataFrame, **options) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, counts of each base kind, base spans and all spans as text."""
-    rows = prepared(docs)
+    rows = prepared(docs, id_col, text_col)
     out = common.arrow_schema(ddl := "key long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,17 +267,17 @@ def sanitized_text(text: str, marks: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitize(docs: DataFrame, **options) -> DataFrame:
+def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs with their columns, the text sanitised; a null text stays null."""
-    rows = docs.withColumn("_pii_key", F.xxhash64(F.col("doc_id").cast("long"), common.text_or_empty()))
-    marked = disclosing(prepared(docs), **options).withColumnsRenamed({"key": "_pii_key", "marks": "_pii_marks"})
-    both = rows.join(marked, "_pii_key", "left").drop("_pii_key")
-    out = common.arrow_schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    key, marks = common.fresh("key", docs.columns), common.fresh("marks", docs.columns)
+    rows = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    marked = disclosing(prepared(docs, id_col, text_col), **options).select(F.col("key").alias(key), F.col("marks").alias(marks))
+    both = rows.join(marked, key, "left").drop(key)  # the columns of docs, then the marks
+    out, at = common.arrow_schema_of(docs.schema), f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, "text"):
-            marks = b.column("_pii_marks").to_pylist()
-            texts = [None if t is None else sanitized_text(t, [(m["start"], m["stop"], m["action"]) for m in ms or ()]) for t, ms in zip(b.column("text").to_pylist(), marks, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == "text" else b.column(f.name).cast(f.type) for f in out], schema=out)
+        for b in common.slices(batches, at):
+            texts = [None if t is None else sanitized_text(t, [(m["start"], m["stop"], m["action"]) for m in ms or ()]) for t, ms in zip(b.column(at).to_pylist(), b.column(len(out)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text_col else b.column(k).cast(f.type) for k, f in enumerate(out)], schema=out)
 
-    return both.mapInArrow(run, docs.schema)
+    return common.numbered(both).mapInArrow(run, docs.schema)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundline.llm import common
 
@@ -360,27 +361,25 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Network:
 _scorers: dict[str, Scorer] = {}
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """The rows of docs with their columns, and toxicity_score; the text column is read whole."""
+def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "toxicity_score") -> DataFrame:
+    """The rows of docs with their columns, and last the score, by that name if it is free; the text column is read whole."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(pickle.dumps(net))  # its size is fixed by the numbers of buckets
-    key, name = uuid.uuid4().hex, "toxicity_score"
-    while name in docs.columns:
-        name = f"_{name}"
-    rows = docs.withColumn("_toxicity_text", common.as_bytes(common.text_or_empty())).withColumn(name, F.lit(0.0))
-    target = common.arrow_schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_toxicity_text"))
+    key, name, text = uuid.uuid4().hex, common.fresh(name, docs.columns), common.fresh("text_bytes", docs.columns)
+    rows = docs.withColumn(text, common.as_bytes(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    target = common.arrow_schema_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(pickle.loads(model.value))
         scorer = _scorers[key]
-        for b in common.slices(batches, "_toxicity_text", 4 << 20):
-            got = pa.array(scorer.score(b.column("_toxicity_text").to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([got if f.name == name else b.column(f.name).cast(f.type) for f in target], schema=target)
+        for b in common.slices(batches, f"c{len(target) - 1}", 4 << 20):
+            got = pa.array(scorer.score(b.column(len(target) - 1).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(f.type) for k, f in enumerate(list(target)[:-1])), got], schema=target)
 
-    schema = type(rows.schema)([f for f in rows.schema if f.name != "_toxicity_text"])
-    return rows.mapInArrow(run, schema)
+    return common.numbered(rows).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
