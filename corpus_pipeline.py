@@ -12,7 +12,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network calls toxic go; it learns from the labels of documents that are not held out."""
     network = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, network)
-    return scored.filter(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
+    return scored.filter(F.col(scored.columns[-1]) < 0.5).drop(scored.columns[-1])
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
