@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
-    The files go when the driver's JVM ends.
+    The files go by `release`, once what reads them is written, or when the driver's JVM ends.
     """
     spark = importable(df.sparkSession)
     # shuffle files of plans that nobody holds any more go once their JVM objects do
@@ -47,7 +47,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of materialised tables; nothing that reads them may run any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "written_at", None)):
+            where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

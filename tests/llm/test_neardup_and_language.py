@@ -185,3 +185,35 @@ def test_pipeline(spark, sf_dir):
     assert not any(pii.base_spans(r["text"] or "") for r in docs.select("text").collect())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_rows_of_a_large_bucket_grow_in_proportion(spark):
+    """Texts that are near but not linked: what is written is members and links, never pairs."""
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    counts = {}
+    for n in (300, 1200):
+        texts = []
+        for _ in range(n):
+            own = list(words)
+            for k in r.sample(range(400), 14):
+                own[k] = f"x{r.randrange(10**9)}"
+            texts.append(" ".join(own))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        reps = neardup.signed(docs).filter("n > 0").select(F.col("doc_id").alias("rep"), "n", "signature")
+        bands, size = neardup.banding(85)
+        members = neardup.dealt(neardup.buckets(reps, bands, size), reps)
+        grouped = members.withColumn("comp", F.col("rep")).cache()
+        open_ = neardup.open_members(grouped, 0.85, neardup.SLACK, size).cache()
+        sets = neardup.full_sets(docs, reps.select("rep"))
+        counts[n] = (grouped.count(), neardup.led(members, 0.85, neardup.SLACK).count(), open_.count(), neardup.links_of(open_, sets, 85, neardup.SLACK, size).count())
+        assert counts[n][1] <= counts[n][0] and counts[n][3] <= counts[n][2]
+    # a bucket of up to 1200 members has five blocks at most
+    assert counts[1200][2] <= 5 * counts[1200][0] and counts[1200][0] < 5 * counts[300][0]
+
+
+def test_ids_that_are_joined_give_the_same_groups(spark):
+    docs = chained(60)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.groups(frame, 85, most_asked=0).collect()}
+    assert got == plain_groups(docs, 85)
