@@ -18,7 +18,7 @@ import json
 import os
 import re
 from collections import ChainMap
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,9 @@ WINDOW = 1024
 END_ID = 0
 #: Bytes of pieces and ids, about, after which a worker begins to forget those that it does not meet again.
 KEPT_BYTES = 96 << 20
+#: Pieces that are encoded as one text.
+AT_ONCE = 256
+_SIGNED = re.compile(r"\A(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)\Z")
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -79,64 +82,73 @@ class ByteEncoder:
             return self.library(texts)
         if self.held > self.kept_bytes:
             self.age()
-        known, rows, first, led = self.led[0], [], set(), set()
+        known, rows, first, led, odd, heads = self.led[0], [], set(), set(), set(), set()
         for t in texts:
             head, *rest = t.replace("\n", " \n").split(" ")
             new = set(rest).difference(known)
-            if edged(head) or any(map(edged, new)):
+            # blanks and newlines that stand alone, and no other white space: then there are as many words as pieces
+            if head and "" not in new and "\n" not in new and len(t.split()) == len(rest) + 1:
+                led |= new
+                first.add(head)
+            else:
                 head, *rest = _BOUNDARY.split(t)
-                new = set(rest)
+                for p in set(rest).difference(known):
+                    (odd if spaced(p) else led).add(p)
+                (heads if spaced(head) else first).add(head)
             rows.append((head, rest))
-            first.add(head)
-            led |= new
         own, after = self.learned(self.first, first, ""), self.learned(self.led, led, " ")
+        # what white space begins, ends or breaks is not kept
+        if heads:
+            own = ChainMap(own, dict(zip(heads, self.library(list(heads)), strict=True)))
+        if odd:
+            after = ChainMap(after, dict(zip(odd, self.library([f" {p}" for p in odd]), strict=True)))
         return [own[head] + b"".join(map(after.__getitem__, rest)) for head, rest in rows]
 
-    def learned(self, tables: tuple[dict[str, bytes], dict[str, bytes]], wanted: set[str], lead: str) -> Mapping[str, bytes]:
-        """The ids of all wanted pieces; those are kept that white space neither begins nor ends, as any text may be cut around them."""
+    def learned(self, tables: tuple[dict[str, bytes], dict[str, bytes]], wanted: set[str], lead: str) -> dict[str, bytes]:
+        """The table of kept ids, with those of all wanted pieces, in which white space stands nowhere but as a newline that leads."""
         kept, old = tables
-        new, odd = [], {}
-        for p in wanted.difference(kept):
-            if (ids := old.get(p)) is None:
-                new.append(p)
-            else:
-                self.keep(kept, p, ids)
-        plain = [p for p in new if p.isalnum() or not edged(p) and len(p.split()) == 1]
-        lined = [p for p in plain if p[0] == "\n"]
-        plain = [p for p in plain if p[0] != "\n"]
-        for p, ids in zip(plain, self.joined(plain, lead), strict=True):
-            self.keep(kept, p, ids)
-        for p, ids in zip(lined, self.joined([p[1:] for p in lined], ""), strict=True):
-            self.keep(kept, p, self.newline + ids)
-        rest = list(set(new).difference(plain, lined))
-        for p, ids in zip(rest, self.library([p if p[:1] == "\n" else lead + p for p in rest]) if rest else (), strict=True):
-            if not edged(p):
-                self.keep(kept, p, ids)
-            else:
-                odd[p] = ids
-        return ChainMap(kept, odd) if odd else kept
-
-    def keep(self, table: dict[str, bytes], piece: str, ids: bytes) -> None:
-        table[piece] = ids
-        self.held += len(piece) + len(ids) + 150
+        new = wanted.difference(kept)
+        if old:
+            again = {p: old[p] for p in new if p in old}
+            self.keep(kept, again, again.values())
+            new.difference_update(again)
+        # a word and the signs behind it are cut as well, whatever stands around them
+        signed = [(m[0], m[1], m[2]) for m in map(_SIGNED.match, new) if m]
+        new.difference_update([p for p, _, _ in signed])
+        new.update(set([w for _, w, _ in signed]).difference(kept))
+        plain, lined = [p for p in new if p[0] != "\n"], [p for p in new if p[0] == "\n"]
+        self.keep(kept, plain, self.joined(plain, lead))
+        self.keep(kept, lined, [self.newline + ids for ids in self.joined([p[1:] for p in lined], "")])
+        tails = list({t for _, _, t in signed})
+        ids = dict(zip(tails, self.joined(tails, ""), strict=True))
+        self.keep(kept, [p for p, _, _ in signed], [kept[w] + ids[t] for _, w, t in signed])
+        return kept
+
+    def keep(self, table: dict[str, bytes], pieces: Collection[str], ids: Collection[bytes]) -> None:
+        table.update(zip(pieces, ids, strict=True))
+        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + 150 * len(pieces)
 
     def joined(self, pieces: list[str], lead: str) -> list[bytes]:
         """Ids of pieces without white space, encoded as the lines of one text: a newline alone between them is a token of its own."""
-        if not pieces:
-            return []
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join([lead + p for p in pieces])], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
-        if len(self.newline) != 4 or len(ends) != len(pieces) - 1:
-            return self.library([lead + p for p in pieces])
-        data, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-        return [data[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def edged(piece: str) -> bool:
-    """Does white space begin a piece, after the newline that may lead it, or end it?  Then cuts beside it depend on its neighbours."""
-    if piece[:1] == "\n":
-        piece = piece[1:]
-    return not piece or piece[0].isspace() or piece[-1].isspace()
+        out: list[bytes] = []
+        lists = [pieces[k : k + AT_ONCE] for k in range(0, len(pieces), AT_ONCE)]
+        texts = ["\n".join([lead + p for p in own]) for own in lists]
+        line = np.frombuffer(self.newline, "<u4")[0]
+        for own, got in zip(lists, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else (), strict=True):
+            ids = np.asarray(got.ids, "<u4")
+            ends = np.flatnonzero(ids == line)
+            if len(self.newline) != 4 or len(ends) != len(own) - 1:
+                out += self.library([lead + p for p in own])
+                continue
+            data, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+            out += [data[a + 4 : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+
+def spaced(piece: str) -> bool:
+    """Is there white space in a piece, but for a newline that leads it?  Or is it empty?"""
+    own = piece[1:] if piece[:1] == "\n" else piece
+    return own.split() != [own]
 
 
 def cuttable(spec: dict) -> bool:
