@@ -69,7 +69,10 @@ def nearest(spark: SparkSession, sf_dir: str, k: int = 5, filter_col: str | None
 @query(f"SELECT i.vec_id, {DIST} AS distance FROM embeddings i, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE i.vec_id <> 0 ORDER BY 1 - list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), i.vec_id LIMIT 5")
 def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "embeddings")
-    vector = items.filter("vec_id = 0").select("embedding").first()[0]
+    row = items.filter("vec_id = 0").select("embedding").first()
+    if row is None:
+        return items.limit(0).select("vec_id", F.lit(0.0).alias("distance"))
+    vector = row[0]
     return retrieve.nearest_one(items, vector, 5, "vec_id", F.col("vec_id") != 0).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
@@ -83,12 +86,6 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir, filter_col="label")
 
 
-@query(f"SELECT query_id, rank, vec_id, round(greatest(0.0, d), 6) AS distance FROM ({KNN.format(on='q.vec_id <> i.vec_id AND q.vec_id % 50 = 0')}) WHERE rank <= 3")
-def knn_all_pairs_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = nearest(spark, sf_dir, 3)
-    return found.withColumn("distance", F.greatest(F.lit(0.0), "distance"))
-
-
 GATE = "SELECT query_id, round({agg}(d), 6) AS gate_score, {agg}(d) <= 0.57 AS passes_gate FROM ({knn}) WHERE rank <= 5 GROUP BY query_id"
 
 
@@ -119,25 +116,6 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
-@query("SELECT q.vec_id AS a, i.vec_id AS b, round(list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 AND q.vec_id <> i.vec_id WHERE list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) > 0.4")
-def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "embeddings")
-    return retrieve.near_duplicate_pairs(items, items.filter("vec_id % 50 = 0"), 0.4, "vec_id").withColumn("similarity", F.round("similarity", 6))
-
-
-@query()
-def greedy_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded by rank; tested against plain Python."""
-    _, items = vector_queries(spark, sf_dir)
-    return retrieve.greedy_dedupe(nearest(spark, sf_dir, 10), items, 0.3, item_id="vec_id")
-
-
-@query("SELECT doc_id, source, tokens FROM (SELECT doc_id, source, tokens, sum(tokens) OVER w AS total, row_number() OVER w AS n FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z_]+|[^0-9A-Za-z_\\s]')) AS tokens FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE total <= 1800 OR n = 1")
-def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").alias("rank"), tx.count_tokens(F.col("text")).cast("long").alias("tokens"))
-    return retrieve.within_budget(rows, 1800, "source").select("doc_id", "source", "tokens")
-
-
 @query("SELECT event_type, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest, count(*) AS n FROM events GROUP BY event_type")
 def latest_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -202,16 +180,6 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", F.sha1(tx.normalize(F.col("question"))).alias("digest"))
 
 
-# What the rules give for each probe, worked out by hand.
-EXPANDED = ((2, "what is the exit load of the elss fund exit charge redemption charge exit penalty"), (7, "minimum sip amount systematic investment plan"), (16, "exit load exit charge"), (17, ""))
-
-
-@query(f"SELECT -id AS id, expanded FROM {values(EXPANDED, 'id, expanded')}")
-def expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = probes(spark, PROBES, "id long, question string").filter(F.col("id").isin([i for i, _ in EXPANDED]))
-    return rows.select((-F.col("id")).alias("id"), rewrite.expand(F.col("question")).alias("expanded"))
-
-
 SCHEMES = "list_filter([" + ", ".join(f"CASE WHEN {EITHER([rf'\b{re.escape(a)}\b' for a in names], NORMAL)} THEN '{slug}' END" for slug, names in DEFAULT.aliases) + "], lambda x: x IS NOT NULL)"
 
 
@@ -220,12 +188,6 @@ def detect_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", rewrite.detect_scheme(F.col("question")).alias("scheme"))
 
 
-@query(f"SELECT id, refusal_type, CASE refusal_type WHEN 'advice' THEN length({quoted(guards.ADVICE_REFUSAL)}) + 14 + length({quoted(guards.EDUCATION_LINK)}) WHEN 'pii' THEN length({quoted(guards.PII_REFUSAL)}) WHEN 'performance' THEN length({quoted(guards.PERFORMANCE_REFUSAL)}) + 17 + length('{SETTINGS.home_url}') END AS text_chars FROM ({CASCADE}) WHERE refusal_type IS NOT NULL")
-def refusal_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = guards.check(asked(spark, sf_dir)).filter("refusal_type is not null")
-    return rows.select("id", "refusal_type", F.length(guards.refusal_text(F.col("refusal_type"), F.lit(None).cast("string"), SETTINGS)).cast("long").alias("text_chars"))
-
-
 # Texts.
 
 SENTENCES = "list_filter(list_transform(string_split(regexp_replace(trim(coalesce(text, ''), ' \t\n\r\x0b\x0c'), '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(s)), lambda s: s <> '')"
@@ -247,42 +209,6 @@ def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.count_tokens(F.col("text")).cast("long").alias("tokens"))
 
 
-GENERATED = (
-    (1, "The exit load is 1% (https://example.com/a). See https://other.example/x too."), (2, "No links here."), (3, "I couldn't find that in my sources."),
-    (4, "It is 500. Last updated from sources: 2024-01-01"), (5, ""), (6, "**I couldn't find that in my sources.** Sorry."), (7, "https://example.com/a, https://example.com/b."), (8, "One. Two. Three. Four."),
-)
-GEN = values(GENERATED, "id, body")
-
-
-@query(f"SELECT id, array_to_string(regexp_extract_all(body, {quoted(tx.URL)}), ' ') AS urls FROM {GEN}")
-def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes(spark, GENERATED, "id long, body string").select("id", F.array_join(tx.extract_urls(F.col("body")), " ").alias("urls"))
-
-
-@query(f"SELECT id, CASE id WHEN 1 THEN 'The exit load is 1% (https://example.com/a). See too.' WHEN 7 THEN 'https://example.com/a,' ELSE body END AS body FROM {GEN}")
-def strip_foreign_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.array(F.lit("https://example.com/a"))
-    return probes(spark, GENERATED, "id long, body string").select("id", verify.without_foreign_urls(F.col("body"), known).alias("body"))
-
-
-@query(f"SELECT id, starts_with(regexp_replace(lower(body), '[^a-z]', '', 'g'), 'icouldntfindthatinmysources') AS sentinel FROM {GEN}")
-def sentinel_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes(spark, GENERATED, "id long, body string").select("id", verify.is_sentinel(F.col("body")).alias("sentinel"))
-
-
-@query(f"SELECT id, regexp_replace(body, '(?i)\\s*Last updated from sources:\\s*[^\\n]*$', '') AS body FROM {GEN}")
-def strip_last_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes(spark, GENERATED, "id long, body string").select("id", tx.strip_last_updated(F.col("body")).alias("body"))
-
-
-@query()
-def verify_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn and the probes, with all checks; tested on its own."""
-    turns = read(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("generated"))
-    rows = turns.unionByName(probes(spark, GENERATED, "id long, generated string").withColumn("id", -F.col("id"))).withColumn("context_urls", F.array(F.lit("https://example.com/a")))
-    return verify.verify(rows).select("id", "verify_refusal", F.size("verify_warnings").alias("n_warnings"), F.sha1("body").alias("body_digest"))
-
-
 @query("SELECT doc_id, sha1('===BEGIN CONTEXT===\n' || trim(regexp_replace(coalesce(text, ''), '={2,}\\s*(?:BEGIN|END)\\s*[A-Z_]+\\s*={2,}', '', 'g'), ' \t\n\r\x0b\x0c') || '\n===END CONTEXT===\n\n===BEGIN QUESTION===\nwhat is it\n===END QUESTION===\n\nAnswer the QUESTION using only the CONTEXT above.') AS digest FROM documents")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents")
@@ -304,11 +230,6 @@ def chunk_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), tx.chunk_id(url, F.array("source", "lang"), F.col("pos")).alias("chunk_key"))
 
 
-@query("SELECT count(*) AS requested, count(DISTINCT sha1(coalesce(text, ''))) AS distinct_texts FROM documents")
-def dedupe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").agg(F.count("*").alias("requested"), F.count_distinct(tx.text_key(tx.text_or_empty(F.col("text")))).alias("distinct_texts"))
-
-
 CACHED = "SELECT DISTINCT sha1(text) AS k FROM documents WHERE source IN ('src1', 'src2') AND text IS NOT NULL"
 
 
@@ -321,12 +242,6 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.cache_stats(docs, "text", cache, SETTINGS)
 
 
-@query("SELECT 'missing' AS side, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
-def id_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id")
-    return a.subtract(b).select(F.lit("missing").alias("side"), "doc_id").unionByName(b.subtract(a).select(F.lit("extra").alias("side"), "doc_id"))
-
-
 UUIDS = "substr(md5(doc_id::VARCHAR), 1, 8) || '-' || substr(md5(doc_id::VARCHAR), 9, 4) || '-' || substr(md5(doc_id::VARCHAR), 13, 4) || '-' || substr(md5(doc_id::VARCHAR), 17, 4) || '-' || substr(md5(doc_id::VARCHAR), 21, 12)"
 
 
@@ -338,21 +253,6 @@ def orphan_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.orphans(listing, read(spark, sf_dir, "labels").select(name.alias("id")))
 
 
-@query("SELECT page_id, coalesce(regexp_matches(url, '^https://[^/?#]*/[^?#]') AND lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) IN (SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) FROM pages WHERE url LIKE '%.example.org/%'), false) AS allowed FROM pages")
-def url_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "pages").select("page_id", "url")
-    host = lambda c: F.lower(F.call_function("try_parse_url", c, F.lit("HOST")))
-    hosts = rows.filter(F.col("url").contains(".example.org/")).select(host(F.col("url")).alias("host"), F.lit(True).alias("known")).distinct()
-    path = F.coalesce(F.call_function("try_parse_url", F.col("url"), F.lit("PATH")), F.lit(""))
-    secure = (F.call_function("try_parse_url", F.col("url"), F.lit("PROTOCOL")) == "https") & ~path.isin("", "/")
-    return rows.withColumn("host", host(F.col("url"))).join(hosts, "host", "left").select("page_id", F.coalesce(secure & F.col("known"), F.lit(False)).alias("allowed"))
-
-
-@query("SELECT url, count(*) AS n FROM pages GROUP BY url HAVING count(*) > 1")
-def unique_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").groupBy("url").agg(F.count("*").alias("n")).filter("n > 1")
-
-
 @query("SELECT count(*) AS n_sources, coalesce(max(CASE WHEN event_type <> 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END), max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')), '') AS latest_fetched_at FROM events")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at"), (F.col("event_type") == "view").alias("cached"))
@@ -399,12 +299,6 @@ def split_lines_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(spark, sf_dir).select("doc_id", "ordinal", "chunk_id", "n_tokens", F.sha1("text").alias("digest"))
 
 
-@query("SELECT 'x' AS chunk_id, 'x' AS rule WHERE false")
-def invariant_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No chunk breaks a rule (each source has many urls here, so that rule is left to tests)."""
-    return chunks.violations(document_chunks(spark, sf_dir), 512).filter("rule <> 'several urls'")
-
-
 SEMANTIC = "SELECT vec_id, label, d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM (SELECT vec_id, label, round(1 - list_dot_product(embedding::DOUBLE[], n::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(n::DOUBLE[], n::DOUBLE[]))), 9) AS d FROM (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings))"
 
 
@@ -414,19 +308,6 @@ def semantic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "label", "is_break", F.col("run").cast("long").alias("run"))
 
 
-@query("SELECT doc_id::VARCHAR AS chunk_id, 'url not in the sources' AS problem FROM documents WHERE lang = 'de' AND length(trim(text)) > 0 UNION ALL SELECT doc_id::VARCHAR, 'missing' FROM documents WHERE source = 'src3' AND length(trim(text)) > 0")
-def verify_index_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index lacks a source's chunks, and the allowlist a language's urls."""
-    docs = read(spark, sf_dir, "documents").filter("length(trim(text)) > 0")
-    text = lambda c, name: c.cast("string").alias(name)
-    rows = docs.select(text(F.col("doc_id"), "chunk_id"), "text", text(F.col("source"), "scheme"), text(F.col("source"), "scheme_name"), F.lit("c").alias("category"), text(F.col("lang"), "section"), F.concat(F.lit("https://example.com/"), "lang").alias("source_url"), F.lit("2024-01-01T00:00:00Z").alias("fetched_at"), F.array("lang").alias("heading_path"), F.lit("text").alias("block_types"))
-    sources = rows.filter("section <> 'de'").select(F.col("source_url").alias("url")).distinct()
-    have = rows.filter("scheme <> 'src3'").unionByName(rows.filter("scheme = 'src3' and section = 'de'"))
-    found = index.problems(have, rows, sources, SETTINGS)
-    other = rows.filter("scheme = 'src3' and section = 'de'").select("chunk_id", F.lit("missing").alias("problem"))
-    return found.filter("problem <> 'count'").select(F.col("id").alias("chunk_id"), "problem").unionByName(other)
-
-
 @query("SELECT 'chunks' AS collection, coalesce(max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')), '') AS last_updated, count(*) AS chunk_count FROM events")
 def corpus_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.corpus_meta(read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("fetched_at")))
@@ -479,19 +360,11 @@ def answer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embed_texts(found, "text", embed.hashing_embedder(SETTINGS.embed_dim), SETTINGS)[0]
 
 
-@query()
-def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all documents, each distinct text encoded once; tested for length and for equal texts."""
-    docs = read(spark, sf_dir, "documents").filter(F.length(tx.strip(F.col("text"))) > 0).select("doc_id", "text")
-    out = embed.embed_texts(docs, "text", embed.hashing_embedder(SETTINGS.embed_dim), SETTINGS)[0]
-    return out.select("doc_id", F.round(vx.norm(F.col("embedding")), 4).alias("norm"), F.size("embedding").alias("dim"))
-
-
 @query()
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of users against the benchmark's passages: one row for each question."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text", F.lit("passage").alias("section"), F.lit("elss").alias("scheme"), F.lit("Passages").alias("scheme_name"), F.lit("benchmark").alias("category"), F.lit("https://example.com/elss").alias("source_url"), F.lit("2024-01-01T00:00:00Z").alias("fetched_at"), F.array(F.lit("passage")).alias("heading_path"))
-    table = embed.embed_texts(items, "text", embed.hashing_embedder(SETTINGS.embed_dim), SETTINGS)[0].persist()
+    table = embed.embed_texts(items, "text", embed.hashing_embedder(SETTINGS.embed_dim), SETTINGS)[0]
     users = read(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("query_id"), F.col("text").alias("question"))
     own = probes(spark, PROBES, "id long, question string").select((-F.col("id")).cast("string").alias("query_id"), "question")
     loose = Settings(scheme_urls=URLS, embed_dim=64, max_distance=0.9)
@@ -511,3 +384,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieve.top_k(wanted, items, 5, item_id="vec_id", filter_col="label", exclude_self=True)
     kept = retrieve.greedy_dedupe(found, items, DEFAULT.dedupe_similarity, item_id="vec_id")
     return kept.join(retrieve.gate(wanted, found).select("query_id", "passes_gate"), "query_id").withColumn("distance", F.round("distance", 6)).orderBy("query_id", "rank")
+
+
+# Registers the rest; it reads this module's helpers.
+from groundline import catalog_corpus as _catalog_corpus  # noqa: E402, F401

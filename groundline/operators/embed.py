@@ -79,8 +79,12 @@ def embed_texts(rows: DataFrame, column: str, embedder: Callable[[list[str]], li
         distinct = distinct.join(known, "text_key", "left_anti")
     new = encode(distinct, "_text", embedder, settings.embed_dim, settings.embed_batch).select("text_key", "embedding")
     every = new if known is None else new.unionByName(known)
-    fresh = new.select("text_key", F.lit(settings.embed_model).alias("model"), F.lit(settings.embed_dim).alias("dim"), F.lit(settings.embed_window).alias("window"), "embedding")
-    return keyed.join(every, "text_key").drop("text_key"), fresh
+    return keyed.join(every, "text_key").drop("text_key"), cache_rows(new, settings)
+
+
+def cache_rows(vectors: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows of the cache from text_key and embedding."""
+    return vectors.select("text_key", F.lit(settings.embed_model).alias("model"), F.lit(settings.embed_dim).alias("dim"), F.lit(settings.embed_window).alias("window"), "embedding")
 
 
 def embed_query(text: str, embedder: Callable[[list[str]], list]) -> list[float]:

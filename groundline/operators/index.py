@@ -39,7 +39,9 @@ def build(chunks: DataFrame, path: str, settings: Settings = DEFAULT, rebuild: b
 
 def upserted(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """The index with these chunks in place of those of the same ids; doing it twice changes nothing."""
-    new = chunks.dropDuplicates(["chunk_id"])
+    text = F.col("text") if "text" in chunks.columns else F.lit("")
+    # of rows with one id that with the least text stays
+    new = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*chunks.columns), F.struct(text, F.to_json(F.struct(*chunks.columns)))).alias("row")).select("row.*")
     return index.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*index.columns).unionByName(new, allowMissingColumns=True)
 
 
@@ -101,7 +103,7 @@ def write_meta(index: DataFrame, path: str) -> dict:
 
 
 def dump_lines(index: DataFrame, neighbours: DataFrame | None = None, per_line: int = 8) -> DataFrame:
-    """The index as text: chunk_id, line number and line."""
+    """The index as text: chunk_id, line number and line; `neighbours` are those of `retrieve.all_neighbours`."""
     values = F.transform("embedding", lambda x: F.format_string("%+.4f", x.cast("double")))
     rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / per_line).cast("int")), lambda k: F.array_join(F.slice(values, k * per_line + 1, per_line), " "))
     near = F.lit(None).cast("array<string>")
@@ -116,3 +118,12 @@ def dump_lines(index: DataFrame, neighbours: DataFrame | None = None, per_line:
 
 def table_of_contents(index: DataFrame) -> DataFrame:
     return index.groupBy("scheme", "section").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens")).orderBy("scheme", "section")
+
+
+def dump_header(index: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """What stands before a dump, as rows of name and value."""
+    from groundline.operators.retrieve import norm_stats
+
+    row, tokens = norm_stats(index), F.format_string("%d to %d", "min_tokens", "max_tokens")
+    values = {"model": F.lit(settings.embed_model), "dimensions": F.lit(settings.embed_dim), "window": F.lit(settings.embed_window), "chunks": F.col("n_rows"), "schemes": F.col("n_schemes"), "sections": F.col("n_sections"), "tokens": F.col("tokens"), "tokens of a chunk": tokens, "least norm": F.format_string("%.6f", "min_norm"), "greatest norm": F.format_string("%.6f", "max_norm")}
+    return row.select(F.posexplode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in values.items()])).alias("pos", "x")).select("pos", "x.name", "x.value")

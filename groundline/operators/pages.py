@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -313,66 +314,70 @@ def list_block(node: Node) -> tuple[str, str]:
     return "list", "\n".join(f"- {t}" for t in items)
 
 
-class Reader:
-    """Sections of a cleaned tree, in document order."""
-
-    def __init__(self, settings: Settings):
-        self.settings, self.sections, self.path, self.words, self.current = settings, [], [], [], None
-
-    def overview(self) -> dict:
-        name = self.settings.overview_heading
-        found = next((s for s in self.sections if s["heading"] == name), None)
-        if found is None:
-            found = {"heading": name, "level": 0, "heading_path": [name], "blocks": []}
-            self.sections.insert(0, found)
-        return found
-
-    def emit(self, kind: str, text: str) -> None:
-        if self.current is None:
-            self.current = self.overview()
-        self.current["blocks"].append({"kind": kind, "text": text})
-
-    def flush(self) -> None:
-        text = norm(" ".join(self.words))
-        self.words.clear()
-        if text:
-            self.emit("text", text)
-
-    def begin(self, heading: str, level: int) -> None:
-        self.flush()
-        self.path = [*self.path[: level - 1], heading] if self.settings.heading_path_mode == "tree" else [heading]
-        self.current = {"heading": heading, "level": level, "heading_path": list(self.path), "blocks": []}
-        self.sections.append(self.current)
-
-    def read(self, node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                if text := norm(child):
-                    self.words.append(text)
-            elif child.tag in DROP_TAGS:
-                continue
-            elif child.tag in HEADINGS[: self.settings.max_heading_level] and child.find(*HEADINGS) is None:
-                self.begin(child.text(), int(child.tag[1]))
-            elif child.tag in HEADINGS[: self.settings.max_heading_level]:
-                self.read(child)
-            elif child.tag == "table":
-                self.flush()
-                self.emit(*table_block(child))
-            elif child.tag in ("ul", "ol", "dl"):
-                self.flush()
-                self.emit(*list_block(child))
-            elif pairs := pairs_of(child, self.settings):
-                self.flush()
-                self.emit("keyvalue", "\n".join(pair_line(*p) for p in pairs))
-            elif not child.elements:
-                if text := child.text():
-                    self.words.append(text)
-            else:
-                self.read(child)
+def kind_of(node: Node, settings: Settings) -> str:
+    """What an element is to a reader: nothing, a heading, a block of some kind, words, or a holder of others."""
+    titles = HEADINGS[: settings.max_heading_level]
+    if node.tag in DROP_TAGS:
+        return "nothing"
+    if node.tag in titles:
+        return "holder" if node.find(*HEADINGS) else "heading"
+    if node.tag == "table":
+        return "table"
+    if node.tag in ("ul", "ol", "dl"):
+        return "list"
+    return "keyvalue" if pairs_of(node, settings) else "holder" if node.elements else "words"
+
+
+def pieces_in(node: Node, settings: Settings) -> Iterator[tuple[str, str, int]]:
+    """Kind, text and level of all that is read below an element, in document order."""
+    todo: list[Node | str] = list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        kind = "words" if isinstance(x, str) else kind_of(x, settings)
+        if kind == "holder":
+            todo += reversed(x.children)
+        elif kind == "heading":
+            yield kind, x.text(), int(x.tag[1])
+        elif kind == "table":
+            yield *table_block(x), 0
+        elif kind == "list":
+            yield *list_block(x), 0
+        elif kind == "keyvalue":
+            yield kind, "\n".join(pair_line(*p) for p in pairs_of(x, settings)), 0
+        elif kind == "words" and (text := norm(x) if isinstance(x, str) else x.text()):
+            yield kind, text, 0
+
+
+def paths_of(headings: list[tuple[str, int]], tree: bool) -> Iterator[list[str]]:
+    """The path of each heading (text and level): itself alone, or with `tree` the headings above it."""
+    path: list[str] = []
+    for text, level in headings:
+        path = [*path[: level - 1], text] if tree else [text]
+        yield path
+
+
+def sections_of(node: Node, settings: Settings) -> list[dict]:
+    """Sections below an element: what stands before the first heading belongs to the overview; neighbouring words are one text."""
+    pieces = list(pieces_in(node, settings))
+    starts = [k for k, p in enumerate(pieces) if p[0] == "heading"]
+    names = [(pieces[k][1], pieces[k][2]) for k in starts]
+    own = zip(starts, [*starts[1:], len(pieces)], names, paths_of(names, settings.heading_path_mode == "tree"), strict=False)
+    parts = [(name, level, path, pieces[a + 1 : b]) for a, b, (name, level), path in own]
+    lead = pieces[: starts[0]] if starts else pieces
+    if lead:
+        parts.insert(0, (settings.overview_heading, 0, [settings.overview_heading], lead))
+    out = []
+    for name, level, path, held in parts:
+        blocks = []
+        for kind, run in itertools.groupby(held, key=lambda p: p[0]):
+            texts = [t for _, t, _ in run]
+            blocks += [{"kind": "text", "text": norm(" ".join(texts))}] if kind == "words" else [{"kind": kind, "text": t} for t in texts]
+        out.append({"heading": name, "level": level, "heading_path": path, "blocks": [b for b in blocks if b["text"].strip()]})
+    return out
 
 
 def read_page(markup: str, fallback: str = "", settings: Settings = DEFAULT) -> tuple[str, list[dict]]:
-    """Title and sections of a page."""
+    """Title and sections of a page; sections without blocks are left out, and pills stand first in the overview."""
     tree = parse(markup)
     title = title_of(tree, fallback)
     root = content_root(tree, settings)
@@ -380,18 +385,15 @@ def read_page(markup: str, fallback: str = "", settings: Settings = DEFAULT) ->
     holder = Node("#root", children=[root])
     root.parent = holder
     strip_boilerplate(holder)
-    reader = Reader(settings)
-    reader.read(holder)
-    reader.flush()
-    sections = reader.sections
-    for s in sections:
-        s["blocks"] = [b for b in s["blocks"] if b["text"].strip()]
-    reader.sections = [s for s in sections if s["blocks"] or s["heading"] == settings.overview_heading]
+    overview = settings.overview_heading
+    sections = [s for s in sections_of(holder, settings) if s["blocks"] or s["heading"] == overview]
     if pills:
         risk = re.compile(settings.risk_pattern)
-        first = reader.overview()
+        if not any(s["heading"] == overview for s in sections):
+            sections.insert(0, {"heading": overview, "level": 0, "heading_path": [overview], "blocks": []})
+        first = next(s for s in sections if s["heading"] == overview)
         first["blocks"] = [{"kind": "keyvalue", "text": f"{settings.risk_label}: {p}"} if risk.search(p) else {"kind": "text", "text": p} for p in pills] + first["blocks"]
-    return title, reader.sections
+    return title, sections
 
 
 def documents(pages: DataFrame, settings: Settings = DEFAULT, strict: bool = False) -> DataFrame:

@@ -11,16 +11,28 @@ from groundline.functions import vectors as vx
 from groundline.settings import DEFAULT, Settings
 
 
-def open_index(spark, path: str, settings: Settings = DEFAULT) -> DataFrame:
-    """The index at a path; missing, empty and foreign ones have errors of their own."""
+def open_index(spark, path: str, settings: Settings = DEFAULT, meta_path: str | None = None) -> DataFrame:
+    """The index at a path; missing and empty ones have errors of their own, and so has one of another model.
+
+    Its metadata stand at `meta_path`, or in index_meta beside it; an index without any is taken as it is.
+    """
     from pyspark.errors import AnalysisException
 
+    from groundline.operators.embed import assert_compatible
+
     try:
         index = spark.read.parquet(path)
     except AnalysisException as e:
         raise MissingCollectionError(f"there is no index at {path}") from e
     if index.isEmpty():
         raise EmptyCollectionError(f"the index at {path} has no rows")
+    try:
+        meta = spark.read.parquet(meta_path or f"{path.rstrip('/').rpartition('/')[0]}/index_meta")
+    except AnalysisException:
+        if meta_path is not None:
+            raise
+        return index
+    assert_compatible(meta, settings)
     return index
 
 
@@ -43,30 +55,64 @@ def beside(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def ranked_block(items: tuple, asked: tuple, k: int, same: bool, exclude_self: bool) -> list[tuple]:
+    """The k nearest items of a block for each question, by one product of matrices: (question, item, distance).
+
+    Products only choose; what is near the k-th best is measured again term by term, so ties and last digits do not hang on a product's order.
+    """
+    import numpy as np
+
+    ids, vectors, groups = items
+    q_ids, q_vectors, q_groups = asked
+    out = []
+    for a in range(0, len(q_ids), 512):
+        far = 1.0 - q_vectors[a : a + 512] @ vectors.T
+        for i, row in enumerate(far, a):
+            if same and q_groups[i] is not None:
+                row = np.where(groups == q_groups[i], row, np.inf)
+            if exclude_self:
+                row = np.where(ids == q_ids[i], np.inf, row)
+            limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+            near = np.flatnonzero((row <= limit + 1e-9) & (row < np.inf))
+            exact = [(1.0 - float(np.cumsum(q_vectors[i] * vectors[j])[-1]), ids[j]) for j in near]
+            out += [(q_ids[i], item, d) for d, item in sorted(exact, key=lambda x: x[:2])[:k]]
+    return out
+
+
+def framed(rows: list[tuple], *names: str):
+    """Rows as a pandas frame of plain objects, whose types Spark's schema settles."""
+    import pandas as pd
+
+    return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int | None = None, exclude_self: bool = False, settings: Settings = DEFAULT) -> DataFrame:
     """The k nearest items of each query: query_id, rank, item_id, distance.
 
-    Queries are the stated set and go against all items in blocks (as many as there are shuffle partitions, unless told): the
-    index is dealt to blocks, each query meets each block, keeps its k best there, and the few winners of all blocks are ranked again.  With `filter_col`, a query whose value is
-    not null meets items of that value alone, by an equality join.
+    Queries are the stated set and go against all items in blocks (as many as there are shuffle partitions, unless told): questions
+    are dealt to batches, each block meets each batch in one task as two matrices, keeps the k best of each question there, and the
+    few winners of all blocks are ranked again.  No pair of question and item is ever a row.  With `filter_col`, a query whose
+    value is not null meets items of that value alone.
     """
+    import pandas as pd
+
     blocks = blocks or block_count(index)
-    q = queries.select(F.col(query_id).alias("_q"), F.col("embedding").alias("_qv"), *([F.col(filter_col).alias("_f")] if filter_col else []))
-    items = index.select(F.col(item_id).alias("_i"), F.col("embedding").alias("_iv"), *([F.col(filter_col).alias("_g")] if filter_col else []))
-    items = items.withColumn("_b", F.pmod(F.xxhash64("_i"), F.lit(blocks)).cast("int"))
-    every = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if filter_col:
-        free = every.filter("_f is null").join(items, "_b")
-        own = every.filter("_f is not null").join(items, (every["_b"] == items["_b"]) & (F.col("_f") == F.col("_g"))).drop(items["_b"])
-        pairs = free.unionByName(own)
-    else:
-        pairs = every.join(items, "_b")
-    if exclude_self:
-        pairs = pairs.filter("_q <> _i")
-    scored = pairs.select("_q", "_b", "_i", vx.distance(F.col("_qv"), F.col("_iv")).alias("_d"))
-    order = [F.col("_d"), F.col("_i")]
-    best = scored.withColumn("_r", F.row_number().over(Window.partitionBy("_q", "_b").orderBy(*order))).filter(F.col("_r") <= k)
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy(*order))).filter(F.col("rank") <= k)
+    kinds = dict(queries.dtypes)[query_id], dict(index.dtypes)[item_id]
+    group = (lambda c: F.col(c).cast("string")) if filter_col else (lambda c: F.lit(None).cast("string"))
+    q = queries.select(F.col(query_id).alias("_q"), F.lit(None).cast(kinds[1]).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), group(filter_col).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    items = index.select(F.lit(None).cast(kinds[0]).alias("_q"), F.col(item_id).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), group(filter_col).alias("_g"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_b"))
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(left) or not len(right):
+            return framed([], "_q", "_i", "_d")
+        taken = lambda rows, c: (rows[c].to_numpy(object), np.stack(rows["_v"].to_numpy()), rows["_g"].to_numpy(object))
+        got = ranked_block(taken(right, "_i"), taken(left, "_q"), k, filter_col is not None, exclude_self)
+        return framed(got, "_q", "_i", "_d")
+
+    found = q.groupBy("_b").cogroup(items.groupBy("_b")).applyInPandas(run, f"_q {kinds[0]}, _i {kinds[1]}, _d double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_i"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("_q").alias(query_id), "rank", F.col("_i").alias(item_id), F.col("_d").alias("distance"))
 
 
@@ -109,15 +155,41 @@ def gate(queries: DataFrame, found: DataFrame, limit: float = DEFAULT.max_distan
 def all_neighbours(index: DataFrame, n: int = 3, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
     """The n nearest other items of each item; distances are at least 0."""
     found = top_k(index.withColumn("query_id", F.col(item_id)), index, n, item_id=item_id, blocks=blocks, exclude_self=True)
-    return found.withColumn("distance", F.greatest(F.lit(0.0), "distance"))
+    return found.select(F.col("query_id"), "rank", F.col(item_id).alias("neighbour"), F.greatest(F.lit(0.0), "distance").alias("distance"))
+
 
+def similar_links(index: DataFrame, similarity: float, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
+    """For every item the number of other items above a similarity, and the least id among them and itself.
+
+    Blocks of items meet blocks of items as matrices, each pair of blocks in one task; pairs of items are never rows.
+    """
+    import pandas as pd
 
-def near_duplicate_pairs(index: DataFrame, queries: DataFrame, similarity: float, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
-    """Pairs of a stated query set with all items, above a similarity."""
     blocks = blocks or block_count(index)
-    q = queries.select(F.col(item_id).alias("a"), F.col("embedding").alias("_qv")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    items = index.select(F.col(item_id).alias("b"), F.col("embedding").alias("_iv")).withColumn("_b", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
-    return q.join(items, "_b").filter("a <> b").select("a", "b", vx.dot(F.col("_qv"), F.col("_iv")).alias("similarity")).filter(F.col("similarity") > similarity)
+    kind = dict(index.dtypes)[item_id]
+    items = index.select(F.col(item_id).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_b"))
+    every = lambda side: items.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_x": F.col("_b") if side else F.col("_o"), "_y": F.col("_o") if side else F.col("_b")}).select("_x", "_y", "_i", "_v")
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(left) or not len(right):
+            return framed([], "_i", "_n", "_least")
+        ids, others = left["_i"].to_numpy(), right["_i"].to_numpy()
+        a, b = np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy())
+        near, out = a @ b.T, []
+        for i in range(len(ids)):
+            for j in np.flatnonzero(abs(near[i] - similarity) < 1e-9):  # a product's order of terms decides nothing
+                near[i, j] = np.cumsum(a[i] * b[j])[-1]
+            hit = others[(near[i] > similarity) & (others != ids[i])]
+            if len(hit):
+                out.append((ids[i], len(hit), min(hit)))
+        return framed(out, "_i", "_n", "_least")
+
+    found = every(True).groupBy("_x", "_y").cogroup(every(False).groupBy("_x", "_y")).applyInPandas(run, f"_i {kind}, _n long, _least {kind}")
+    counted = found.groupBy("_i").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
+    rows = index.select(F.col(item_id).alias("_i")).join(counted, "_i", "left")
+    return rows.select(F.col("_i").alias(item_id), F.coalesce("_n", F.lit(0)).alias("n_links"), F.least("_i", F.coalesce("_least", "_i")).alias("least_link"))
 
 
 def greedy_dedupe(found: DataFrame, index: DataFrame, similarity: float = DEFAULT.dedupe_similarity, query_id: str = "query_id", item_id: str = "chunk_id") -> DataFrame:
@@ -150,9 +222,13 @@ def context(found: DataFrame, index: DataFrame, settings: Settings = DEFAULT) ->
     return within_budget(rows.withColumn("tokens", tx.count_tokens(F.col("block"))), settings.context_budget)
 
 
-def norm_stats(index: DataFrame) -> DataFrame:
-    length = vx.norm(F.col("embedding"))
-    return index.agg(F.count("*").alias("n_rows"), F.round(F.min(length), 6).alias("min_norm"), F.round(F.max(length), 6).alias("max_norm"))
+def norm_stats(index: DataFrame, scheme: str = "scheme", section: str = "section", tokens: str = "n_tokens") -> DataFrame:
+    """Rows and norms, and as far as the columns are there: numbers of schemes and sections, sum and range of tokens."""
+    length, have = vx.norm(F.col("embedding")), set(index.columns)
+    more = [F.count_distinct(c).alias(n) for c, n in ((scheme, "n_schemes"), (section, "n_sections")) if c in have]
+    if tokens in have:
+        more += [F.sum(tokens).cast("long").alias("tokens"), F.min(tokens).alias("min_tokens"), F.max(tokens).alias("max_tokens")]
+    return index.agg(F.count("*").alias("n_rows"), F.round(F.min(length), 6).alias("min_norm"), F.round(F.max(length), 6).alias("max_norm"), *more)
 
 
 def probe_report(found: DataFrame, settings: Settings = DEFAULT, chars: int = 160) -> DataFrame:

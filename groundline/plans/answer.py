@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
 from groundline.operators import embed, guards, retrieve, rewrite, verify
+from groundline.session import kept
 from groundline.settings import DEFAULT, DISCLAIMER, Settings
 
 CITATION = "array<struct<source_url: string, section: string, scheme_name: string, fetched_at: string>>"
@@ -21,14 +22,15 @@ def answer(questions: DataFrame, index: DataFrame, embedder: Callable | None = N
     """
     embedder = embedder or embed.hashing_embedder(settings.embed_dim)
     # read by several branches of the plan
-    checked = guards.check(questions, "question", settings).withColumn("named", rewrite.detect_scheme(F.col("question"), settings)).persist()
+    checked = guards.check(questions, "question", settings).withColumn("named", rewrite.detect_scheme(F.col("question"), settings))
+    checked = kept(checked, "checked")
     refused = checked.filter("action = 'refuse'")
     asked = checked.filter("action = 'answer'").select("query_id", F.col("query").alias("question"), "named", "warnings")
 
     vectors = lambda rows, column: embed.embed_texts(rows, column, embedder, settings)[0]
     # a blank question has no hits, and so does not pass the gate
     found = retrieve.retrieve(asked.filter(F.length(tx.strip(F.col("question"))) > 0), index, vectors, settings)
-    found = found.persist()  # the gate, the context and the result read it
+    found = kept(found, "found")  # the gate, the context and the result read it
     gate = retrieve.gate(asked, found, settings.max_distance, settings.gate_aggregation)
     listed = found.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "scheme", "section", F.round("distance", 4).alias("distance"), "source_url", "scheme_name", "fetched_at"))).alias("hits"),
@@ -36,7 +38,7 @@ def answer(questions: DataFrame, index: DataFrame, embedder: Callable | None = N
         F.array_distinct(F.collect_list("source_url")).alias("context_urls"),
     )
     rows = asked.join(gate, "query_id").join(listed, "query_id", "left")
-    rows = rows.persist()
+    rows = kept(rows, "asked")
     passed = rows.filter("passes_gate")
     inside = found.join(passed.select("query_id"), "query_id", "left_semi")
     blocks = retrieve.context(inside, index, settings).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]).alias("blocks"))
@@ -68,6 +70,19 @@ def ask_payload(answers: DataFrame, questions: DataFrame, include_trace: bool =
     return rows.select("query_id", F.to_json(F.struct(*fields, *trace), {"ignoreNullFields": "false"}).alias("payload"))
 
 
+#: What a client is told when an answer cannot be made, by the class of the error.
+FAILURES = ((("MissingCollectionError", "EmptyCollectionError", "RetrievalError", "EmbeddingError", "ModelMismatchError", "OSError"), 503, "The index is not available."), (("GenerationError", "GeneratorNotConfiguredError"), 503, "The language model is not available."))
+
+
+def failure_status(error: BaseException) -> tuple[int, str]:
+    """Status and detail of an error: 503 where a part is missing, 500 for anything else."""
+    names = [c.__name__ for c in type(error).__mro__]
+    for known, status, detail in FAILURES:
+        if any(n in known for n in names):
+            return status, detail
+    return 500, "The question could not be answered."
+
+
 def valid_requests(requests: DataFrame, most: int = DEFAULT.max_query_chars) -> DataFrame:
     """Adds error to requests whose question is missing, blank or too long."""
     text = tx.strip(F.col("question"))

@@ -4,29 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
+from groundline.functions import text as tx
+from groundline.functions.logs import StageLog
 from groundline.operators import chunks, embed, index, pages
 from groundline.settings import DEFAULT, Settings
 
 
 def build_index(raw: DataFrame, sources: DataFrame, folder: str, embedder: Callable | None = None, settings: Settings = DEFAULT, rebuild: bool = True) -> dict[str, str]:
-    """Write documents, chunks, the embedding cache, the index and its metadata under a folder; their paths by name."""
-    spark = raw.sparkSession
-    paths = {k: f"{folder.rstrip('/')}/{k}" for k in ("documents", "chunks", "embedding_cache", "index", "index_meta", "corpus_meta")}
+    """Write pages, documents, chunks, the index, its metadata and new rows of the embedding cache under a folder; their paths by name.
+
+    Texts that the cache holds are not embedded again, and the embedder runs once over the others.
+    """
+    spark, log = raw.sparkSession, StageLog("build")
+    paths = {k: f"{folder.rstrip('/')}/{k}" for k in ("raw_html", "documents", "chunks", "embedding_cache", "index", "index_meta", "corpus_meta")}
     mode = "overwrite" if rebuild else "errorifexists"
     embedder = embedder or embed.hashing_embedder(settings.embed_dim)
-    pages.documents(raw, settings).write.mode(mode).parquet(paths["documents"])
+    raw.write.mode(mode).parquet(paths["raw_html"])
+    pages.documents(spark.read.parquet(paths["raw_html"]), settings).write.mode(mode).parquet(paths["documents"])
     docs = spark.read.parquet(paths["documents"]).filter("parse_error is null")
     chunks.chunk_documents(docs, settings, embedder).write.mode(mode).parquet(paths["chunks"])
     table = spark.read.parquet(paths["chunks"])
     chunks.assert_invariants(table, settings.chunk_size)
-    with_vectors, fresh = embed.embed_texts(table, "text", embedder, settings)
-    index.build(with_vectors, paths["index"], settings, rebuild)
-    fresh.write.mode("overwrite").parquet(paths["embedding_cache"])
+    log.info("chunked", documents=docs.count(), chunks=table.count())
+    try:
+        cache = spark.read.parquet(paths["embedding_cache"])
+        stats = embed.cache_stats(table, "text", cache, settings).first()
+        log.info("cache", **stats.asDict())
+    except AnalysisException:
+        cache = None
+    index.build(embed.embed_texts(table, "text", embedder, settings, cache)[0], paths["index"], settings, rebuild)
     built = spark.read.parquet(paths["index"])
     index.verify(built, table, sources, settings)
+    fresh = embed.cache_rows(built.select(tx.text_key(built["text"]).alias("text_key"), "embedding").dropDuplicates(["text_key"]), settings)
+    if cache is not None:
+        fresh = fresh.join(embed.usable_cache(cache, settings).select("text_key"), "text_key", "left_anti")
+    embed.append_cache(fresh, paths["embedding_cache"])
     meta = index.corpus_meta(built)
     meta.write.mode("overwrite").json(paths["corpus_meta"])
     embed.index_meta(spark, settings, meta.first()["last_updated"]).write.mode("overwrite").parquet(paths["index_meta"])
+    log.info("built", chunks=meta.first()["chunk_count"], path=paths["index"])
     return paths

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,24 @@ def spread(table: DataFrame) -> DataFrame:
     """A table of fewer pieces than there are cores is dealt to all of them; others, as any large one, stay as they are."""
     cores = table.sparkSession.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only on a local master.  Its files go with the driver's JVM."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(found := tempfile.mkdtemp(prefix="groundline-"))
+    path = f"{found.rstrip('/')}/groundline/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """A table that several branches read, written once and read again, so that lost executors cost nothing."""
+    table.write.parquet(path := scratch(table.sparkSession, name))
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -98,27 +98,55 @@ def fetch(url: str, get: Callable[[str], tuple[int, str, bytes]] | None = None,
     raise FetchError(f"{url}: {last}")
 
 
-def fetch_all(sources: DataFrame, cached: DataFrame | None = None, get: Callable | None = None, settings: Settings = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Pages of all sources in their order, from the cache first, with a pause between requests; one failure ends it.
+FETCHED_PAGES = "url string, scheme string, scheme_name string, category string, status int, content_type string, n_bytes int, fetched_at string, elapsed_ms double, attempts int, cached boolean, html_path string, html string"
 
-    The allowlist is a short table by its nature, and requests go out one by one to be polite.
+
+def fetch_all(sources: DataFrame, path: str, cached: DataFrame | None = None, get: Callable | None = None, settings: Settings = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Pages of all sources in their order, from the cache first, with a pause between requests; written to `path` page by page.
+
+    The allowlist is a short table by its nature, and requests go out one by one, from one task, to be polite; one failure ends it.
     """
-    spark, out = sources.sparkSession, []
-    known = {r["url"]: r.asDict() for r in cached.collect()} if cached is not None else {}
-    for n, row in enumerate(sources.toLocalIterator()):
-        if row["url"] in known:
-            got = known[row["url"]]
-        else:
-            if n:
-                sleep(settings.http_delay_s)
-            got = fetch(row["url"], get, settings, sleep)
-        out.append((row["url"], row["scheme"], row["scheme_name"], row["category"], *[got[k] for k in ("status", "content_type", "n_bytes", "fetched_at", "elapsed_ms", "attempts", "cached")], f"raw_{row['scheme']}.html", got["html"]))
-    return spark.createDataFrame(out, schemas.schema("url string, scheme string, scheme_name string, category string, status int, content_type string, n_bytes int, fetched_at string, elapsed_ms double, attempts int, cached boolean, html_path string, html string"))
+    import pandas as pd
+
+    rows = sources.select("url", "scheme", "scheme_name", "category", F.monotonically_increasing_id().alias("place"))
+    fields = ("status", "content_type", "n_bytes", "fetched_at", "elapsed_ms", "attempts", "cached", "html")
+    if cached is not None:
+        rows = rows.join(cached.select("url", *fields), "url", "left")
+    ordered, none = rows.repartition(1).sortWithinPartitions("place"), cached is None
+
+    def run(batches):
+        asked = False
+        for b in batches:
+            for r in b.to_dict("records"):
+                got = r
+                if none or not isinstance(r["html"], str):
+                    if asked:
+                        sleep(settings.http_delay_s)
+                    asked, got = True, fetch(r["url"], get, settings, sleep)
+                page = {k: r[k] for k in ("url", "scheme", "scheme_name", "category")} | {k: got[k] for k in fields} | {"html_path": f"raw_{r['scheme']}.html"}
+                yield pd.DataFrame([page])
+
+    ordered.mapInPandas(run, FETCHED_PAGES).write.mode("overwrite").parquet(path)
+    return sources.sparkSession.read.parquet(path)
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of registered segments, from a CSV with a header that names a column id."""
+    return spark.read.option("header", True).csv(path).select(F.trim("id").alias("id")).filter("id <> ''")
+
+
+def sources_payload(sources: DataFrame) -> DataFrame:
+    """What a client is told about each source, as JSON."""
+    fields = ("scheme", "scheme_name", "category", "url")
+    return sources.select("scheme", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def cached_pages(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Pages kept as files (url, content, modificationTime): blank ones are none; the stamp is the manifest's or the file's."""
-    html = F.decode(F.col("content"), F.lit("UTF-8"))
+    """Pages kept as files (url, content, modificationTime): blank ones are none; the stamp is the manifest's or the file's.
+
+    Bytes that are no UTF-8 become replacement characters.
+    """
+    html = F.call_function("make_valid_utf8", F.col("content").cast("string"))
     stamp = F.coalesce(F.col("m.fetched_at"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     rows = files.alias("f").join(manifest.select("url", "fetched_at").alias("m"), "url", "left").filter(F.length(tx.strip(html)) > 0)
     return rows.select("url", html.alias("html"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.length("content").alias("n_bytes"), stamp.alias("fetched_at"), F.lit(0.0).alias("elapsed_ms"), F.lit(0).alias("attempts"), F.lit(True).alias("cached"))
@@ -156,8 +184,8 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """One object for each line, in the order of the corpus."""
-    chunks.orderBy("source_url", "ordinal").write.mode("overwrite").json(path)
+    """One object for each line, in the order of the corpus: by source (its place, if the column is there, else its url), then ordinal."""
+    chunks.orderBy("source_pos" if "source_pos" in chunks.columns else "source_url", "ordinal").write.mode("overwrite").json(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

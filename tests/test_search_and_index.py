@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.errors import EmptyCollectionError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
+from groundline.errors import EmptyCollectionError, GeneratorNotConfiguredError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
 from groundline.operators import embed, index, retrieve
-from groundline.plans.answer import answer, ask_payload, valid_requests
+from groundline.plans.answer import answer, ask_payload, failure_status, valid_requests
 from groundline.plans.build import build_index
 from groundline.settings import Settings
 
@@ -19,7 +19,7 @@ def built(spark, tmp_path_factory):
     pages = [("https://example.com/elss", "<body><h1>Tax saver</h1><h2>Exit load</h2><p>The exit load of the tax saver is nil after three years.</p></body>", "elss", "Tax Saver", "equity", "2024-01-02T00:00:00Z"), ("https://example.com/small", "<body><h1>Small cap</h1><p>The expense ratio of the small cap scheme is one percent.</p></body>", "small_cap", "Small Cap", "equity", "2024-01-01T00:00:00Z")]
     raw = spark.createDataFrame(pages, "url string, html string, scheme string, scheme_name string, category string, fetched_at string")
     paths = build_index(raw, raw.select("url"), folder, settings=S)
-    return paths, retrieve.open_index(spark, paths["index"])
+    return paths, retrieve.open_index(spark, paths["index"], S)
 
 
 def test_build_and_meta(spark, built):
@@ -29,7 +29,44 @@ def test_build_and_meta(spark, built):
     embed.assert_compatible(spark.read.parquet(paths["index_meta"]), S)
     with pytest.raises(ModelMismatchError):
         embed.assert_compatible(spark.read.parquet(paths["index_meta"]), Settings(embed_dim=8))
+    with pytest.raises(ModelMismatchError):
+        retrieve.open_index(spark, paths["index"])
     assert index.dump_lines(table).count() > 4 and index.table_of_contents(table).count() == 2
+    near = index.dump_lines(table, retrieve.all_neighbours(table)).filter("line like '  near: %'")
+    assert near.count() == 2
+    assert {r["name"]: r["value"] for r in index.dump_header(table, S).collect()}["chunks"] == "2"
+
+
+def test_build_reuses_the_cache(spark, built, tmp_path):
+    paths, _ = built
+    raw, seen = spark.read.parquet(paths["raw_html"]), spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        seen.add(len(texts))
+        return embed.hashing_embedder(64)(texts)
+
+    folder = str(tmp_path / "again")
+    build_index(raw, raw.select("url"), folder, embedder, S)
+    assert seen.value == 2 and spark.read.parquet(f"{folder}/embedding_cache").count() == 2
+    build_index(raw, raw.select("url"), folder, embedder, S)
+    assert seen.value == 2 and spark.read.parquet(f"{folder}/embedding_cache").count() == 2
+
+
+def test_status_of_failures():
+    assert failure_status(MissingCollectionError("x"))[0] == failure_status(ModelMismatchError("x"))[0] == failure_status(OSError())[0] == 503
+    assert failure_status(GeneratorNotConfiguredError("x")) == (503, "The language model is not available.") and failure_status(KeyError("x"))[0] == 500
+
+
+def test_links_of_all_items_match_plain_python(spark):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(70, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(70)], "vec_id long, embedding array<double>")
+    near = v @ v.T > 0.5
+    for blocks in (1, 5):
+        got = {x["vec_id"]: (x["n_links"], x["least_link"]) for x in retrieve.similar_links(table, 0.5, "vec_id", blocks).collect()}
+        assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i])[0])) for i in range(70)}
+    assert retrieve.similar_links(table.limit(0), 0.5, "vec_id").count() == 0 and retrieve.top_k(table.withColumnRenamed("vec_id", "query_id"), table.limit(0), 3, item_id="vec_id").count() == 0
 
 
 def test_verify_finds_differences(spark, built):

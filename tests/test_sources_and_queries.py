@@ -42,7 +42,8 @@ def test_fetch_tries_again():
 
 def test_fetch_all_and_manifest(spark, tmp_path):
     sources = tables.read_sources(spark, csv(tmp_path, GOOD))
-    got = tables.fetch_all(sources, None, lambda u: (200, "text/html", u.encode()), sleep=lambda _: None)
+    got = tables.fetch_all(sources, str(tmp_path / "pages"), None, lambda u: (200, "text/html", u.encode()), sleep=lambda _: None)
+    assert [r["html"] for r in got.orderBy("url").collect()] == ["https://example.com/a", "https://example.com/b"]
     row = tables.manifest(got).first()
     assert row["n_sources"] == 2 and row["latest_fetched_at"] == max(r["fetched_at"] for r in got.collect())
     tables.write_json(tables.manifest(got), str(tmp_path / "m"))
@@ -51,6 +52,32 @@ def test_fetch_all_and_manifest(spark, tmp_path):
     assert cached["latest_fetched_at"] == row["latest_fetched_at"]
 
 
+def test_cached_pages(spark):
+    files = spark.createDataFrame([("a", b"plain"), ("b", b"caf\xe9 \xe2\x82"), ("c", b" \n"), ("d", "é".encode())], "url string, content binary").withColumn("modificationTime", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    manifest = spark.createDataFrame([("a", "2024-05-05T00:00:00Z")], "url string, fetched_at string")
+    got = {r["url"]: (r["html"], r["fetched_at"], r["n_bytes"]) for r in tables.cached_pages(files, manifest).collect()}
+    assert got == {"a": ("plain", "2024-05-05T00:00:00Z", 5), "b": (b"caf\xe9 \xe2\x82".decode("utf-8", "replace"), "2024-01-02T03:04:05Z", 7), "d": ("é", "2024-01-02T03:04:05Z", 2)}
+
+
+def test_cached_pages_are_not_fetched(spark, tmp_path):
+    sources = tables.read_sources(spark, csv(tmp_path, GOOD))
+    files = spark.createDataFrame([("https://example.com/a", b"kept")], "url string, content binary").withColumn("modificationTime", F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    kept = tables.cached_pages(files, spark.createDataFrame([], "url string, fetched_at string"))
+
+    def get(url):
+        if url.endswith("a"):
+            raise AssertionError("asked for a page that is kept")
+        return 200, "text/html", b"new"
+
+    got = tables.fetch_all(sources, str(tmp_path / "pages"), kept, get, sleep=float)
+    assert [(r["html"], r["cached"], r["attempts"]) for r in got.orderBy("url").collect()] == [("kept", True, 0), ("new", False, 1)]
+
+
+def test_registry(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("id,type\n 1-2 ,x\n,y\n")
+    assert [r["id"] for r in tables.read_registry(spark, str(tmp_path / "r.csv")).collect()] == ["1-2"]
+
+
 def test_logs(spark):
     assert StageLog("s").line("e", a=None, b=True, c=1.234, d="x y") == "stage=s event=e a=- b=true c=1.23 d=x_y"
     df, seen = counted(spark.range(7), "n")

@@ -90,9 +90,9 @@ def test_detect_scheme(spark):
 
 
 GENERATED = [
-    ("A. B. C. D. E.", None, "truncated"), ("See https://bad.example/x now.", None, "stripped URL"), ("You should i think buy", "advice", "advice"), ("It will grow a lot.", "performance", "performance"),
-    ("It returned 5 percent in 2020. https://ok.example/p", None, None), ("", "out_of_corpus", "empty"), ("I couldn't find that in my sources.", "out_of_corpus", "sentinel"), ("**I couldn't find that in my sources.**", "out_of_corpus", "sentinel"),
-    ("Fine https://ok.example/p\nLast updated from sources: 1999-01-01", None, "replaced"),
+    ("A. B. C. D. E.", None, "were cut"), ("See https://bad.example/x now.", None, "was removed"), ("You should i think buy", "advice", "advice"), ("It will grow a lot.", "performance", "performance"),
+    ("It returned 5 percent in 2020. https://ok.example/p", None, None), ("", "out_of_corpus", "empty"), ("I couldn't find that in my sources.", "out_of_corpus", "hold none"), ("**I couldn't find that in my sources.**", "out_of_corpus", "hold none"),
+    ("Fine https://ok.example/p\nLast updated from sources: 1999-01-01", None, "gave way"),
 ]
 
 
