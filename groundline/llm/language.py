@@ -1,21 +1,25 @@
 """Language-model scores by deleted interpolation.
 
-The probability of a token after its predecessor is a mixture of maximum-likelihood estimates,
+The probability of a token after its two predecessors mixes maximum-likelihood estimates of three orders with the uniform one,
 
-    p(w | h) = a2[b] * c(h, w) / c(h) + a1[b] * c(w) / N + a0[b] / (V + 1),
+    p3(w | u, v) = l3[b] * c(u, v, w) / c(u, v) + (1 - l3[b]) * p2(w | v),    b the bucket of c(u, v),
+    p2(w | v) = l2[b] * c(v, w) / c(v) + (1 - l2[b]) * p1(w),                 b the bucket of c(v),
+    p1(w) = l1 * c(w) / N + (1 - l1) / (V + 1),
 
-with weights for each bucket b of the context's frequency c(h), doubling from bucket to bucket.  The weights are learned by
-expectation-maximisation on the counts of a part of the training documents that is deleted from the estimates while they
-are learned; the final estimates count both parts.  Counts and expectations are over all training documents.
+with weights for each bucket of the context's frequency, doubling from bucket to bucket.  The weights are learned by
+expectation-maximisation on the exact counts of a part of the training documents that is deleted from the estimates while they
+are learned; each round is a sum over all deleted tokens, where they lie.  The final estimates count both parts.
 
 The corpus is read once, into blocks of documents whose tokens are numbers of the block's own word list.  A block sends the
 hashes of its distinct words and pairs, with their counts, to key ranges; a range sums each key over all blocks
 and answers each block with the sums of its keys, in its order.  So a frequent key costs a block one entry,
-rows are many times fewer than tokens, and a task holds one block or one range.
+rows are many times fewer than tokens, and a task holds one block or one range.  Triples go the same way afterwards, but for those
+whose first two words stand together once in the whole corpus: their counts are known where they stand.
 
-Words and pairs are told apart by 64-bit hashes.  Defined results: a null text counts as an empty one, which has the end
-token alone; a null doc_id trains and is not held out; repeated rows each give a row and count each; where a context
-was never seen its weight goes to the word's own estimate, and without training tokens all weight goes to 1 / (V + 1).
+Words, pairs and triples are told apart by 64-bit hashes, without confirmation.  Defined results: a null text counts as an empty one, which
+has the end token alone; a null doc_id trains and is not held out; repeated rows each give a row and count each; where a context
+was never seen its order is left out, and without training tokens all weight goes to 1 / (V + 1); an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,9 +41,10 @@ BLOCK_TOKENS = 1_500_000
 RANGE_KEYS = 1_500_000
 FOLDS, TEST_FOLD, DELETED_FOLD = 5, 1, 4
 CORE, DELETED, TEST = 0, 1, 2
-ROUNDS = 60
-#: Context buckets: 0, 1, 2-3, 4-7 ...; quantised logarithms of ratios in steps of 1 / STEPS.
-BUCKETS, STEPS, BINS = 40, 4, 256
+#: Rounds of expectation-maximisation at most, and the change of all weights at which they end.
+ROUNDS, SETTLED = 25, 1e-4
+#: Context buckets: 0, 1, 2-3, 4-7 ...
+BUCKETS = 40
 END_KEY, START_KEY = b"\n<end>", b"\n<start>"
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,32 +120,36 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
 
 class Block:
-    """A block's tokens with their predecessors, and its distinct words and pairs."""
+    """A block's tokens with their predecessors, and its distinct words, pairs and triples."""
 
     def __init__(self, row: dict):
+        import xxhash
+
         self.lengths = np.frombuffer(row["lengths"], np.int64)
         self.parts = np.frombuffer(row["parts"], np.uint8)
-        self.tokens = grown(row["tokens"], np.uint32)
-        self.n_words = 0
-
-    def pairs(self, n_words: int) -> None:
-        """Number pairs of predecessor and token; the start stands before a document's first token, numbered beyond all words."""
-        self.n_words = n_words
+        self.tokens = grown(row["tokens"], np.uint32).astype(np.int64)
+        self.words = grown(row["words"], np.uint64)
+        self.n_words = len(self.words)
+        #: The start stands before a document's first token, numbered beyond all words.
         self.ends = np.cumsum(self.lengths)
+        self.first = self.ends - self.lengths
         self.before = np.empty(len(self.tokens), np.int64)
         self.before[1:] = self.tokens[:-1]
-        self.before[self.ends - self.lengths] = n_words
-        self.distinct, self.pair = np.unique(self.before * n_words + self.tokens, return_inverse=True)
+        self.before[self.first] = self.n_words
+        self.distinct, self.pair = np.unique(self.before * self.n_words + self.tokens, return_inverse=True)
         self.part = np.repeat(self.parts, self.lengths)
+        left = np.append(self.words, np.uint64(xxhash.xxh3_64_intdigest(START_KEY)))[self.distinct // self.n_words]
+        self.pair_keys = mixed(mixed(left * _GOLD) + self.words[self.distinct % self.n_words])
 
-
-def hashes_of(block: Block, words: np.ndarray) -> list[np.ndarray]:
-    """Keys of the distinct words and of the distinct pairs."""
-    import xxhash
-
-    left = np.append(words, np.uint64(xxhash.xxh3_64_intdigest(START_KEY)))[block.distinct // block.n_words]
-    right = words[block.distinct % block.n_words]
-    return [words, mixed(mixed(left * _GOLD) + right)]
+    def triples(self, often: np.ndarray) -> None:
+        """Number the triples whose first two words are a pair that comes often (by distinct pair)."""
+        ahead = np.empty(len(self.tokens), np.int64)  # the pair before each token, -1 at a document's first
+        ahead[1:] = self.pair[:-1]
+        ahead[self.first] = -1
+        self.ahead = ahead
+        self.asked = np.flatnonzero((ahead >= 0) & often[ahead])
+        codes, self.triple = np.unique(ahead[self.asked] * self.n_words + self.tokens[self.asked], return_inverse=True)
+        self.triple_keys = mixed(mixed(self.pair_keys[codes // self.n_words] * _GOLD + np.uint64(1)) + self.words[codes % self.n_words])
 
 
 def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,35 +159,46 @@ def dealt(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(ranges, np.arange((1 << bits) + 1))
 
 
-KEY_DDL = "kind int, range int, block long, keys binary, core binary, deleted binary"
+#: Counts by part go beside the keys; those of held-out documents tell only how often a pair comes at all.
+COUNTS = ("core", "deleted", "test")
+KEY_DDL = "kind int, range int, block long, keys binary, core binary, deleted binary, test binary"
+WORD, PAIR, TRIPLE = 0, 1, 2
+
+
+def keyed(row: dict, triples: bool) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Kind, keys and counts by part of the distinct words and pairs of a block, or of its triples."""
+    block = Block(row)
+    count = lambda where, part, size: [np.bincount(where[part == p], minlength=size).astype(np.uint32) for p in (CORE, DELETED, TEST)]
+    if triples:
+        block.triples(grown(row["pair_core"], np.uint64) + grown(row["pair_deleted"], np.uint64) + grown(row["pair_test"], np.uint64) > 1)
+        return [(TRIPLE, block.triple_keys, count(block.triple, block.part[block.asked], len(block.triple_keys)))]
+    return [(WORD, block.words, count(block.tokens, block.part, block.n_words)), (PAIR, block.pair_keys, count(block.pair, block.part, len(block.distinct)))]
 
 
-def sent(block_rows: DataFrame, bits: int) -> DataFrame:
-    """A row for each block, kind (0 words, 1 pairs) and range: its keys in ascending order and their counts."""
+def sent(block_rows: DataFrame, bits: int, triples: bool = False) -> DataFrame:
+    """A row for each block, kind and range: its keys in ascending order and their counts."""
     out = common.arrow_schema(KEY_DDL)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = {f.name: b.column(f.name)[k].as_py() for f in b.schema}
-                block, words = Block(row), grown(row["words"], np.uint64)
-                block.pairs(len(words))
-                counts = [[np.bincount(where[block.part == p], minlength=size).astype(np.uint32) for p in (CORE, DELETED)] for where, size in ((block.tokens, len(words)), (block.pair, len(block.distinct)))]
-                for kind, keys in enumerate(hashes_of(block, words)):
+                for kind, keys, counts in keyed(row, triples):
                     order, cuts = dealt(keys, bits)
                     rows = []
                     for r in range(1 << bits):
                         at = order[cuts[r] : cuts[r + 1]]
                         if len(at):
                             ascending = keys[at]
-                            rows.append((kind, r, row["block"], shrunk(np.diff(ascending, prepend=np.uint64(0))), shrunk(counts[kind][0][at]), shrunk(counts[kind][1][at])))
+                            rows.append((kind, r, row["block"], shrunk(np.diff(ascending, prepend=np.uint64(0))), *(shrunk(c[at]) for c in counts)))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return block_rows.select("block", "lengths", "parts", "words", "tokens").mapInArrow(run, KEY_DDL)
+    more = ["pair_core", "pair_deleted", "pair_test"] if triples else []
+    return block_rows.select("block", "lengths", "parts", "words", "tokens", *more).mapInArrow(run, KEY_DDL)
 
 
-SUM_DDL = "block long, kind int, range int, core binary, deleted binary, n_distinct long, n_core long, n_deleted long"
+SUM_DDL = "block long, kind int, range int, core binary, deleted binary, test binary, n_distinct long, n_core long, n_deleted long"
 
 
 def summed(keys: DataFrame, ranges: int) -> DataFrame:
@@ -193,13 +213,14 @@ def summed(keys: DataFrame, ranges: int) -> DataFrame:
         new = np.concatenate(([True], ascending[1:] != ascending[:-1]))
         group = np.empty(len(every), np.int64)
         group[order] = np.cumsum(new) - 1
-        totals = [np.bincount(group, np.concatenate([grown(r[p], np.uint32) for r in rows])).astype(np.uint64) for p in ("core", "deleted")]
+        totals = [np.bincount(group, np.concatenate([grown(r[p], np.uint32) for r in rows])).astype(np.uint64) for p in COUNTS]
         got, at = [], 0
         for i, (r, keys_) in enumerate(zip(rows, lists, strict=True)):
             own = group[at : at + len(keys_)]
             at += len(keys_)
             own_totals = (int(((totals[0] + totals[1]) > 0).sum()), int(totals[0].sum()), int(totals[1].sum())) if i == 0 else (0, 0, 0)
-            got.append((r["block"], r["kind"], r["range"], shrunk(totals[0][own]), shrunk(totals[1][own]), *own_totals))
+            # the last is asked for pairs alone
+            got.append((r["block"], r["kind"], r["range"], shrunk(totals[0][own]), shrunk(totals[1][own]), shrunk(totals[2][own]) if r["kind"] == PAIR else b"", *own_totals))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), out, strict=True)], schema=out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,98 +237,160 @@ def summed(keys: DataFrame, ranges: int) -> DataFrame:
     return keys.repartition(max(1, ranges), "kind", "range").sortWithinPartitions("kind", "range").mapInArrow(run, SUM_DDL)
 
 
+def gathered(keys: np.ndarray, bits: int, replies: dict, kind: int, names: tuple[str, ...]) -> list[np.ndarray]:
+    """The sums of a block's keys, in their order, from the answers of the ranges."""
+    order, cuts = dealt(keys, bits)
+    got = np.zeros((len(names), len(keys)), np.uint64)
+    for r in range(1 << bits):
+        if cuts[r + 1] > cuts[r]:
+            for p, name in enumerate(names):
+                got[p, order[cuts[r] : cuts[r + 1]]] = grown(replies[kind, r][name], np.uint64)
+    return list(got)
+
+
+PAIRED_DDL = BLOCK_DDL + ", word_core binary, word_deleted binary, pair_core binary, pair_deleted binary, pair_test binary"
+
+
+def paired(block_rows: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
+    """Blocks with the sums of their words and pairs."""
+    out = common.arrow_schema(PAIRED_DDL)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        block, replies = Block(row), {(r["kind"], r["range"]): r for r in right.to_pylist()}
+        sums = gathered(block.words, bits, replies, WORD, COUNTS[:2]) + gathered(block.pair_keys, bits, replies, PAIR, COUNTS)
+        values = [*(row[f.name] for f in list(out)[: len(row)]), *map(shrunk, sums)]
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
+
+    own = block_rows.select(*[f.split(" ")[0] for f in BLOCK_DDL.split(", ")])
+    return own.groupBy("block").cogroup(answers.drop("n_distinct", "n_core", "n_deleted").groupBy("block")).applyInArrow(run, PAIRED_DDL)
+
+
 def context_bucket(count: np.ndarray) -> np.ndarray:
     """0 for 0, 1 for 1, 2 for 2 and 3, 3 for 4 to 7 and so on."""
     return np.minimum(np.frexp(count.astype(np.float64))[1], BUCKETS - 1)
 
 
-COUNTED_DDL = "doc_ids binary, known binary, lengths binary, parts binary, of_word binary, of_pair binary, cells binary, cell_counts binary"
+COUNTED_DDL = "doc_ids binary, known binary, lengths binary, parts binary, of_word binary, of_pair binary, of_triple binary, cells binary, cell_counts binary"
+#: What a token's probability is made of, beside totals.
+CELL = ("triple", "triple_context", "pair", "pair_context", "word")
+
 
+def cells_of(block: Block, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, documents: int) -> np.ndarray:
+    """Rows of CELL for each token, from counts by distinct word, by distinct pair, and by token."""
+    ahead = np.where(block.ahead >= 0, pair[block.ahead], 0)
+    return np.stack([triple, ahead, pair[block.pair], np.append(word, np.uint64(documents))[block.before], word[block.tokens]]).astype(np.int64)
 
-def counted(block_rows: DataFrame, answers: DataFrame, bits: int, core_docs: int, core_tokens: int, vocabulary: int) -> DataFrame:
-    """Counts of each token and of its pair, beside the documents of each block; and the deleted part's tokens by cell.
 
-    A cell is a context bucket and the quantised ratios of the pair's estimate, and of the uniform one, to the word's.
-    """
+def counted(block_rows: DataFrame, answers: DataFrame, bits: int, core_docs: int) -> DataFrame:
+    """Counts of each token, its pair and its triple, beside the documents of each block; and the deleted tokens' cells with their numbers."""
     out = common.arrow_schema(COUNTED_DDL)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        block, words = Block(row), grown(row["words"], np.uint64)
-        block.pairs(len(words))
-        totals = []
-        by = {(r["kind"], r["range"]): r for r in right.to_pylist()}
-        for kind, keys in enumerate(hashes_of(block, words)):
-            order, cuts = dealt(keys, bits)
-            got = np.zeros((2, len(keys)), np.uint64)
-            for r in range(1 << bits):
-                if cuts[r + 1] > cuts[r]:
-                    reply = by[kind, r]
-                    for p, name in enumerate(("core", "deleted")):
-                        got[p, order[cuts[r] : cuts[r + 1]]] = grown(reply[name], np.uint64)
-            totals.append(got)
-        (word_core, word_deleted), (pair_core, pair_deleted) = totals
-        in_deleted = np.flatnonzero(block.part == DELETED)
-        context = np.append(word_core, np.uint64(core_docs))[block.before[in_deleted]].astype(np.float64)
-        pair = pair_core[block.pair[in_deleted]].astype(np.float64)
-        word = word_core[block.tokens[in_deleted]].astype(np.float64)
-        code = cell(context, pair, word, core_tokens, vocabulary)
-        cells, counts = np.unique(code, return_counts=True)
-        of_word, of_pair = word_core + word_deleted, pair_core + pair_deleted
-        values = [row["doc_ids"], row["known"], row["lengths"], row["parts"], shrunk(of_word[block.tokens]), shrunk(of_pair[block.pair]), cells.astype(np.int64).tobytes(), counts.astype(np.int64).tobytes()]
+        block = Block(row)
+        word, pair = ([grown(row[f"{k}_{p}"], np.uint64) for p in names] for k, names in (("word", COUNTS[:2]), ("pair", COUNTS)))
+        block.triples(pair[0] + pair[1] + pair[2] > 1)
+        replies = {(r["kind"], r["range"]): r for r in right.to_pylist()}
+        sums = gathered(block.triple_keys, bits, replies, TRIPLE, COUNTS[:2])
+        # a pair that stands once in all the corpus has its triple's count with it
+        triple = [np.where((block.ahead >= 0) & (block.part == p), 1, 0).astype(np.uint64) for p in (CORE, DELETED)]
+        for t, got in zip(triple, sums, strict=True):
+            t[block.asked] = got[block.triple]
+        deleted = block.part == DELETED
+        core = cells_of(block, word[0], pair[0], triple[0], core_docs)[:, deleted]
+        cells, counts = np.unique(core, axis=1, return_counts=True) if core.size else (core, np.zeros(0, np.int64))
+        totals = (word[0] + word[1])[block.tokens], (pair[0] + pair[1])[block.pair], triple[0] + triple[1]
+        values = [row["doc_ids"], row["known"], row["lengths"], row["parts"], *(shrunk(t.astype(np.uint64)) for t in totals), shrunk(cells.reshape(-1).astype(np.uint64)), shrunk(counts.astype(np.uint64))]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
 
-    left = block_rows.groupBy("block")
-    right = answers.select("block", "kind", "range", "core", "deleted").groupBy("block")
-    return left.cogroup(right).applyInArrow(run, COUNTED_DDL)
-
-
-def cell(context: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
-    """Bucket and quantised logarithms (base 2) of pair estimate / uniform and word estimate / uniform; bin 0: the estimate is 0."""
-    uniform = 1 / (vocabulary + 1)
-    bins = []
-    for top, bottom in ((pair, context), (word, np.full(len(word), float(max(tokens, 1))))):
-        ratio = np.where(top > 0, top / np.maximum(bottom, 1) / uniform, 1.0)
-        bins.append(np.where(top > 0, np.clip(np.rint(np.log2(ratio) * STEPS) + BINS // 2, 1, BINS - 1), 0).astype(np.int64))
-    return (context_bucket(context).astype(np.int64) * BINS + bins[0]) * BINS + bins[1]
-
-
-def expectation_maximisation(cells: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (pair, word, uniform) for each context bucket; a bucket without tokens gets those of all together."""
-    bucket, two, one = cells // (BINS * BINS), cells // BINS % BINS, cells % BINS
-    value = lambda b: np.where(b > 0, 2.0 ** ((b - BINS // 2) / STEPS), 0.0)
-    parts = np.stack([value(two), value(one), np.ones(len(cells))], axis=1)
-
-    def learn(rows: np.ndarray) -> np.ndarray:
-        a = np.full(3, 1 / 3)
-        for _ in range(rounds if len(rows) else 0):
-            share = a * parts[rows]
-            share /= share.sum(axis=1, keepdims=True)
-            a = (share * counts[rows, None]).sum(axis=0) / counts[rows].sum()
-        return np.maximum(a, 1e-9) / np.maximum(a, 1e-9).sum()
-
-    every = learn(np.arange(len(cells)))
-    out = np.tile(every, (BUCKETS, 1))
-    for b in np.unique(bucket).tolist():
-        out[b] = learn(np.flatnonzero(bucket == b))
-    return out
-
-
-def probabilities(context: np.ndarray, pair: np.ndarray, word: np.ndarray, tokens: int, vocabulary: int, weights: np.ndarray) -> np.ndarray:
-    a = weights[context_bucket(context)].copy()
-    unseen = context == 0
-    a[unseen, 1] += a[unseen, 0]
-    a[unseen, 0] = 0
-    if not tokens:
-        a[:, 2] += a[:, 1]
-        a[:, 1] = 0
-    return a[:, 0] * pair / np.maximum(context, 1) + a[:, 1] * word / max(tokens, 1) + a[:, 2] / (vocabulary + 1)
+    right = answers.filter(F.col("kind") == TRIPLE).select("block", "kind", "range", "core", "deleted")
+    return block_rows.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, COUNTED_DDL)
+
+
+class Weights:
+    """The share of each order's own estimate: by bucket of its context for triples and pairs, and one for words."""
+
+    def __init__(self, triple: np.ndarray | None = None, pair: np.ndarray | None = None, word: float = 0.5):
+        self.triple = np.full(BUCKETS, 0.5) if triple is None else triple
+        self.pair = np.full(BUCKETS, 0.5) if pair is None else pair
+        self.word = word
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate((self.triple, self.pair, [self.word]))
+
+    def parts(self, cells: np.ndarray, tokens: int, vocabulary: int) -> tuple[np.ndarray, ...]:
+        """The probability of each cell by the order that gives it: triple, pair, word, uniform."""
+        triple, triple_context, pair, pair_context, word = (c.astype(np.float64) for c in cells)
+        a = np.where(triple_context > 0, self.triple[context_bucket(triple_context)], 0.0)
+        b = np.where(pair_context > 0, self.pair[context_bucket(pair_context)], 0.0)
+        c = self.word if tokens else 0.0
+        left = (1 - a) * (1 - b)
+        return a * triple / np.maximum(triple_context, 1), (1 - a) * b * pair / np.maximum(pair_context, 1), left * c * word / max(tokens, 1), left * (1 - c) / (vocabulary + 1)
+
+    def probabilities(self, cells: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+        return sum(self.parts(cells, tokens, vocabulary))
+
+    def expected(self, cells: np.ndarray, counts: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+        """Sums over cells: how often an order was asked and how often it gave the token, by bucket, for triples, pairs and words."""
+        parts = self.parts(cells, tokens, vocabulary)
+        shares = [p / sum(parts) * counts for p in parts]
+        out = []
+        for k, context in enumerate((cells[1], cells[3])):
+            seen = context > 0
+            bucket = context_bucket(context[seen])
+            for own in (sum(shares[k:]), shares[k]):
+                out.append(np.bincount(bucket, own[seen], minlength=BUCKETS))
+        return np.concatenate([*out, [(shares[2] + shares[3]).sum(), shares[2].sum()]])
+
+    def next(self, sums: np.ndarray) -> Weights:
+        """Those that the sums give; a bucket that was never asked gets the share of all buckets."""
+        got = []
+        for k in (0, 1):
+            asked, gave = (sums[(2 * k + j) * BUCKETS : (2 * k + j + 1) * BUCKETS] for j in (0, 1))
+            every = gave.sum() / asked.sum() if asked.sum() > 0 else 0.5
+            got.append(np.clip(np.where(asked > 0, gave / np.maximum(asked, 1e-300), every), 1e-6, 1 - 1e-6))
+        asked, gave = sums[4 * BUCKETS :]
+        return Weights(*got, float(np.clip(gave / asked, 1e-6, 1 - 1e-6)) if asked > 0 else 0.5)
+
+
+def settled(expected, rounds: int = ROUNDS) -> Weights:
+    """Expectation-maximisation; `expected` gives the sums over all deleted tokens for some weights."""
+    weights = Weights()
+    for _ in range(rounds):
+        before, weights = weights, weights.next(expected(weights))
+        if np.abs(before.flat() - weights.flat()).max() < SETTLED:
+            break
+    return weights
+
+
+def learned(rows: DataFrame, tokens: int, vocabulary: int) -> Weights:
+    """Weights from the cells of all blocks; each round sums them up where they lie, and a row for each weight comes back."""
+    out = common.arrow_schema(ddl := "k int, v double")
+    cells = rows.select("cells", "cell_counts")
+
+    def expected(weights: Weights) -> np.ndarray:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(4 * BUCKETS + 2)
+            for b in batches:
+                for c, n in zip(b.column("cells"), b.column("cell_counts"), strict=True):
+                    counts = grown(n.as_py(), np.uint64).astype(np.float64)
+                    if len(counts):
+                        total += weights.expected(grown(c.as_py(), np.uint64).reshape(len(CELL), -1).astype(np.int64), counts, tokens, vocabulary)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], schema=out)
+
+        got = np.zeros(4 * BUCKETS + 2)
+        for r in cells.mapInArrow(run, ddl).groupBy("k").agg(F.sum("v").alias("v")).collect():
+            got[r["k"]] = r["v"]
+        return got
+
+    return settled(expected)
 
 
 SCORE_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored(rows: DataFrame, train_docs: int, tokens: int, vocabulary: int, weights: np.ndarray) -> DataFrame:
+def scored(rows: DataFrame, train_docs: int, tokens: int, vocabulary: int, weights: Weights) -> DataFrame:
     out = common.arrow_schema(SCORE_DDL)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,34 +398,37 @@ def scored(rows: DataFrame, train_docs: int, tokens: int, vocabulary: int, weigh
             for k in range(b.num_rows):
                 row = {f.name: b.column(f.name)[k].as_py() for f in b.schema}
                 lengths, parts = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["parts"], np.uint8)
-                word, pair = grown(row["of_word"], np.uint64).astype(np.float64), grown(row["of_pair"], np.uint64).astype(np.float64)
+                word, pair, triple = (grown(row[c], np.uint64).astype(np.int64) for c in ("of_word", "of_pair", "of_triple"))
                 begins = np.cumsum(lengths) - lengths
-                context = np.empty(len(word))
-                context[1:] = word[:-1]
-                context[begins] = train_docs
+                context, ahead = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+                context[1:], ahead[1:] = word[:-1], pair[:-1]
+                context[begins], ahead[begins] = train_docs, 0
                 base = np.log10((word + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
-                own = np.log10(probabilities(context, pair, word, tokens, vocabulary, weights))
+                own = np.log10(weights.probabilities(np.stack([triple, ahead, pair, context, word]), tokens, vocabulary))
                 of = lambda x, at=begins: np.add.reduceat(x, at)
                 ids = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["known"], np.uint8) == 0)
                 n = len(lengths)
                 columns = [ids, pa.array(parts == TEST), pa.array(lengths), pa.array(of((word > 0).astype(np.int64))), pa.array(np.full(n, tokens, np.int64)), pa.array(of(base)), pa.array(of(own))]
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    return rows.select("doc_ids", "known", "lengths", "parts", "of_word", "of_pair").mapInArrow(run, SCORE_DDL)
+    return rows.select("doc_ids", "known", "lengths", "parts", "of_word", "of_pair", "of_triple").mapInArrow(run, SCORE_DDL)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row."""
     rows = common.materialize(blocks(docs, id_col, text_col, block_tokens), "blocks")
     sizes = rows.agg(F.sum(F.octet_length("tokens")).alias("size")).first()["size"] or 0
-    bits = min(20, max(0, math.ceil(math.log2(max(1, sizes / 2 / range_keys)))))
+    bits = max(0, math.ceil(math.log2(max(1, sizes / 2 / range_keys))))
     answers = common.materialize(summed(sent(rows, bits), 2 << bits), "answers")
-    words = answers.filter("kind = 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_distinct", "n_core", "n_deleted")]).first()
+    words = answers.filter(F.col("kind") == WORD).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_distinct", "n_core", "n_deleted")]).first()
     # documents of each training part
     core_docs, train_docs = part_sizes(rows)
-    found = counted(rows, answers, bits, core_docs, words["n_core"], words["n_distinct"])
-    found = common.materialize(found, "counted")
-    weights = learned(found)
+    both = common.materialize(paired(rows, answers, bits), "paired")
+    common.release(rows, answers)
+    answers = common.materialize(summed(sent(both, bits, triples=True), 1 << bits), "answers")
+    found = common.materialize(counted(both, answers, bits, core_docs), "counted")
+    common.release(both, answers)
+    weights = learned(found, words["n_core"], words["n_distinct"])
     return scored(found, train_docs, words["n_core"] + words["n_deleted"], words["n_distinct"], weights)
 
 
@@ -356,16 +442,3 @@ def part_sizes(rows: DataFrame) -> tuple[int, int]:
 
     r = rows.select("parts").mapInArrow(run, "core long, deleted long").agg(F.coalesce(F.sum("core"), F.lit(0)).alias("core"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted")).first()
     return r["core"], r["core"] + r["deleted"]
-
-
-def learned(rows: DataFrame) -> np.ndarray:
-    """Weights from the cells of all blocks; there are no more cells than buckets and bins allow."""
-    out = common.arrow_schema("cell long, n long")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for c, n in zip(b.column("cells"), b.column("cell_counts"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (c, n)], schema=out)
-
-    found = rows.select("cells", "cell_counts").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    return expectation_maximisation(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64))

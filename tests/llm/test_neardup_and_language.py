@@ -109,33 +109,43 @@ def test_scores_equal_brute_force(spark):
     r = random.Random(2)
     words = ["".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(60)]
     docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(250)] + [(None, "a b"), (7777, None), (7778, ""), (5, "again a b"), (7779, "a " * 20_000)]
+    docs += [(8000 + k, docs[k][1]) for k in range(40)] + [(9000 + k, f"once{k} only{k} here{k} a") for k in range(20)]
     frame = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double").repartition(4)
     got = defaultdict(list)
     for row in language.score(frame, block_tokens=900, range_keys=300).collect():
         got[row["doc_id"]].append(row)
     fold = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
-    tokens = lambda t: [*(t or "").encode().lower().split(), language.END_KEY]
-    uni, pairs, n_docs = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    tokens = lambda t: [language.START_KEY, *(t or "").encode().lower().split(), language.END_KEY]
+    counts, n_docs = [Counter(), Counter()], [0, 0]  # of words, pairs and triples, as tuples
     for i, t in docs:
         if fold(i) != 1:
             p, w = int(fold(i) == 4), tokens(t)
-            uni[p].update(w)
-            pairs[p].update(zip([language.START_KEY, *w], w, strict=False))
+            counts[p].update((x,) for x in w[1:])
+            counts[p].update(zip(w, w[1:], strict=False))
+            counts[p].update(zip(w, w[1:], w[2:], strict=False))
             n_docs[p] += 1
-    all_uni, all_pairs = uni[0] + uni[1], pairs[0] + pairs[1]
-    total, distinct = sum(all_uni.values()), len(all_uni)
-    one = lambda x: np.array([float(x)])
-    cells = Counter()
-    for (h, w), k in pairs[1].items():
-        cells[int(language.cell(one(n_docs[0] if h == language.START_KEY else uni[0][h]), one(pairs[0][h, w]), one(uni[0][w]), sum(uni[0].values()), distinct)[0])] += k
-    weights = language.expectation_maximisation(np.array(list(cells)), np.array(list(cells.values()), float))
-    assert sum(map(len, got.values())) == len(docs)
+
+    def cells(w, count, documents):
+        out = []
+        for k in range(1, len(w)):
+            three = tuple(w[k - 2 : k + 1]) if k > 1 else ()
+            context = documents if k == 1 else count[w[k - 1],]
+            out.append((count[three] if three else 0, count[three[:2]] if three else 0, count[w[k - 1], w[k]], context, count[w[k],]))
+        return out
+
+    every = counts[0] + counts[1]
+    sizes = [sum(n for k, n in c.items() if len(k) == 1) for c in (counts[0], every)]
+    distinct = sum(len(k) == 1 for k in every)
+    held = Counter(c for i, t in docs if fold(i) == 4 for c in cells(tokens(t), counts[0], n_docs[0]))
+    table, n = np.array(list(held)).T, np.array(list(held.values()), float)
+    weights = language.settled(lambda w: w.expected(table, n, sizes[0], distinct))
+    assert weights.triple[1] != weights.triple[2] and sum(map(len, got.values())) == len(docs)
     for i, t in docs:
         w = tokens(t)
-        base = sum(math.log10((all_uni[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
-        own = sum(math.log10(language.probabilities(one(sum(n_docs) if h == language.START_KEY else all_uni[h]), one(all_pairs[h, x]), one(all_uni[x]), total, distinct, weights)[0]) for h, x in zip([language.START_KEY, *w], w, strict=False))
-        row = next(x for x in got[i] if x["n_tokens"] == len(w))
-        assert (row["held_out"], row["n_known"], row["train_tokens"]) == (fold(i) == 1, sum(all_uni[x] > 0 for x in w), total)
+        base = sum(math.log10((every[x,] + 0.5) / (sizes[1] + 0.5 * (distinct + 1))) for x in w[1:])
+        own = np.log10(weights.probabilities(np.array(cells(w, every, sum(n_docs))).T, sizes[1], distinct)).sum()
+        row = next(x for x in got[i] if x["n_tokens"] == len(w) - 1)
+        assert (row["held_out"], row["n_known"], row["train_tokens"]) == (fold(i) == 1, sum(every[x,] > 0 for x in w[1:]), sizes[1])
         assert row["base_score"] == pytest.approx(base, rel=1e-9) and row["score"] == pytest.approx(own, rel=1e-9)
     assert language.score(frame.limit(0)).count() == 0
     alone = language.score(frame.filter("doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)).first()
@@ -143,24 +153,25 @@ def test_scores_equal_brute_force(spark):
 
 
 def test_probabilities_of_a_context_sum_to_one():
-    weights = np.tile(np.array([0.5, 0.3, 0.2]), (language.BUCKETS, 1))
-    word, pair = np.array([3.0, 5.0, 2.0, 0.0]), np.array([1.0, 1.0, 0.0, 0.0])
-    for context in (2.0, 0.0):
-        got = language.probabilities(np.full(4, context), pair * (context > 0), word, 10, 3, weights)
-        assert got.sum() == pytest.approx(1.0)
+    weights = language.Weights(np.full(language.BUCKETS, 0.4), np.full(language.BUCKETS, 0.3), 0.8)
+    word, pair, triple = np.array([3, 5, 2, 0]), np.array([1, 1, 0, 0]), np.array([1, 0, 0, 0])
+    for three, two in ((1, 2), (0, 2), (0, 0)):
+        cells = np.stack([triple * (three > 0), np.full(4, three), pair * (two > 0), np.full(4, two), word])
+        assert weights.probabilities(cells, 10, 3).sum() == pytest.approx(1.0)
 
 
 def test_expectation_maximisation_finds_the_mixture():
     r = np.random.default_rng(0)
-    n = 20_000
-    two, one = r.choice([0.0, 8.0], n), r.choice([0.5, 2.0], n)
-    take = r.random(n)
-    keep = take < (0.6 * two + 0.3 * one + 0.1) / 6
-    context = np.full(keep.sum(), 4.0)
-    code = language.cell(context, two[keep] / 4, one[keep] / 1, 3, 3)  # estimates over 1/4: two/16 and one/3 in units of the uniform
-    cells, counts = np.unique(code, return_counts=True)
-    got = language.expectation_maximisation(cells, counts.astype(float))[int(language.context_bucket(context[:1])[0])]
-    assert got.sum() == pytest.approx(1.0) and (got > 0).all()
+    n = 200_000
+    # contexts of 4 that gave w three times and another word once; words of a vocabulary of ten
+    true = language.Weights(np.full(language.BUCKETS, 0.6), np.full(language.BUCKETS, 0.5), 0.9)
+    cells = np.array([(3, 4, 1, 8, 5), (1, 4, 7, 8, 5)] + [(0, 4, 0, 8, 10)] * 9).T
+    p = true.probabilities(cells, 100, 10)
+    counts = np.bincount(r.choice(len(p), n, p=p / p.sum()), minlength=len(p)).astype(float)
+    got = language.settled(lambda w: w.expected(cells, counts, 100, 10), 500)
+    assert got.triple[3] == pytest.approx(0.6, abs=0.1) and np.isfinite(got.flat()).all()
+    likelihood = lambda w: (counts * np.log(w.probabilities(cells, 100, 10))).sum()
+    assert likelihood(got) >= likelihood(language.Weights())
 
 
 def test_shrunk_round_trip():
