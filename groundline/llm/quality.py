@@ -7,7 +7,9 @@ character classes are nearest to the sum of them all.  A document is rejected if
 every language's, unless it is too short for that kind (the minimum-length guards).
 
 Defined results: a null or empty text has no words and fails the base rules; where no language has a
-reference, only the base rules count; repeated rows each give a row and count as often.
+reference, only the base rules count, and so they do for a text that is marked as of a language without one (one without a mark
+is compared to all); repeated rows each give a row and count as often; an empty table gives no rows; other columns are kept by
+`keep`, whatever their names, and ignored by `judge`.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ REPEAT_PERCENT = 50
 #: Limits of the distances, and words and characters from which each is asked for.
 CLASS_LIMIT, CLASS_GUARD = 0.18, 200
 WORD_LIMIT, WORD_GUARD = 0.305, 150
+#: Distances are counted in so many steps from 0 to 1.
+STEPS = 10_000
 
 
 def let(value: Column, body) -> Column:
@@ -142,14 +146,30 @@ def js_distance_of(counts: list[int], shares: list[float]) -> float:
     return math.sqrt(max(total, 0.0))
 
 
+def medians(rows: DataFrame) -> dict[str, float]:
+    """The median of class_distance by language, in steps of 1 / STEPS: the same however rows are dealt, and a few rows for the driver."""
+    step = F.ceil(F.col("class_distance") * STEPS)
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("lang", step.alias("step")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["lang"], []).append((r["step"], r["n"]))
+    out = {}
+    for lang, steps in counts.items():
+        left = sum(n for _, n in steps) / 2
+        for s, n in sorted(steps):
+            left -= n
+            if left <= 0:
+                out[lang] = s / STEPS
+                break
+    return out
+
+
 def verdicts(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, class_guard: int = CLASS_GUARD, word_guard: int = WORD_GUARD, **columns) -> DataFrame:
     """The features with the distances and kept."""
     rows = common.materialize(features(docs, **columns), "quality")
     references = language_references(rows)
     if references:
         core = with_distances(rows, references)
-        middle = F.expr("percentile_approx(class_distance, 0.5, 1000)")
-        limits = {r["lang"]: r["m"] for r in core.filter(~F.col("base_failed") & F.col("lang").isin(*references)).groupBy("lang").agg(middle.alias("m")).collect()}
+        limits = medians(core.filter(~F.col("base_failed") & F.col("lang").isin(*references)))
         near = F.lit(False)
         for lang, limit in limits.items():
             near = near | ((F.col("lang") == lang) & (F.col("class_distance") <= limit))
@@ -157,7 +177,9 @@ def verdicts(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: floa
     else:
         rows = rows.withColumns({"class_distance": F.lit(0.0), "word_distance": F.lit(0.0)})
     far = ((F.col("n") >= class_guard) & (F.col("class_distance") > class_limit)) | ((F.col("n_words") >= word_guard) & (F.col("word_distance") > word_limit))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far)
+    # what is marked as of a language without a reference cannot be compared to its own
+    known = F.col("lang").isNull() | F.col("lang").isin(*references) if references else F.lit(False)
+    return rows.withColumn("kept", ~F.col("base_failed") & ~(far & known))
 
 
 def judge(docs: DataFrame, **options) -> DataFrame:

@@ -6,7 +6,7 @@ layers read a window from either end, attention pools their states, and a text's
 Training picks the worst window of each labelled text again in every epoch (labels are of whole texts).
 
 Training takes at most `sample_rows` labelled rows, half of each label if there are so many, in the order of a
-hash of doc_id; that bound is a parameter.  Scoring reads every word of every row.
+hash of doc_id, and whole texts up to `sample_bytes`; these bounds are parameters.  Scoring reads every word of every row.
 
 Defined results: a null text counts as an empty one, which has no window and gets the share of toxic
 rows in training, at most 0.49; with labels of one kind alone every text gets that share; of repeated
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm import common
 
-SAMPLE_ROWS = 2400
+#: Labelled rows that training takes at most, and bytes of their texts.
+SAMPLE_ROWS, SAMPLE_BYTES = 2400, 64 << 20
 #: Words of the vocabulary at most (all others share its first place), and of how many training texts each is.
 VOCABULARY, LEAST_TEXTS = 1 << 15, 3
 GRAM_BUCKETS = 1 << 12
@@ -338,14 +339,17 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> list[tuple[bytes, int]]:
-    """At most `most` labelled texts that are not held out, half of each label if there are so many."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """At most `most` labelled texts of `most_bytes` together that are not held out, half of each label if there are so many."""
     rows = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     rows = rows.filter(~held_out("label_id")).withColumn("order", F.xxhash64("label_id"))
     pick = [rows.filter(c).orderBy("order", "label_id").limit(most // 2).select("label_id", "label") for c in ("label = 1", "label = 0")]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # at most `most` rows
     found = docs.select(F.col("doc_id").cast("long").alias("label_id"), common.as_bytes(common.text_or_empty()).alias("_text")).join(chosen, "label_id")
     one = found.groupBy("label_id", "label").agg(F.min("_text").alias("_text"))
+    # of at most `most` rows, those of each label whose texts together stay within half the bytes, and the first in any case
+    before = Window.partitionBy("label").orderBy(F.xxhash64("label_id"), "label_id")
+    one = one.withColumns({"_sum": F.sum(F.octet_length("_text")).over(before), "_place": F.row_number().over(before)}).filter((F.col("_sum") <= most_bytes // 2) | (F.col("_place") == 1))
     return [(bytes(r["_text"]), int(r["label"])) for r in one.orderBy(F.xxhash64("label_id"), "label_id").collect()]
 
 

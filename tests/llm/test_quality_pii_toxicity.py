@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -54,6 +55,64 @@ def test_junk_goes_and_prose_stays(spark, sf_dir):
     assert kept.columns == docs.columns
 
 
+def plain_verdicts(rows):
+    """kept by the method's definition: references of the core, distances to the nearest, guards."""
+    def figures(t):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        bare = "".join(words)
+        letters, upper, digits, punct = (sum(f(c) for c in t) for f in (str.isalpha, str.isupper, lambda c: c in "0123456789", lambda c: c in ".,;:!?'\"()-"))
+        classes = [letters - upper, upper, len(t) - len(bare), punct, len(bare) - letters - digits - punct]
+        return plain_base(t)[5], len(t), len(words), classes, Counter(w.lower() for w in words)
+
+    found = [(lang, *figures(t)) for _, t, lang in rows]
+
+    def reference(chosen):
+        out = {}
+        for lang, own in quality.COMMON_WORDS.items():
+            part = [f for f in chosen if f[0] == lang]
+            total, chars = sum(f[3] for f in part), [sum(f[4][k] for f in part) for k in range(5)]
+            counts = [sum(f[5][w] for f in part) for w in own]
+            if total and sum(chars):
+                out[lang] = ([c / sum(chars) for c in chars], [c / total for c in [*counts, total - sum(counts)]])
+        return out
+
+    def distances(f, refs):
+        words = {k: [f[5][w] for w in own] for k, own in quality.COMMON_WORDS.items()}
+        return min(quality.js_distance_of(f[4], c) for c, _ in refs.values()), min(quality.js_distance_of([*words[k], f[3] - sum(words[k])], w) for k, (_, w) in refs.items())
+
+    good = [f for f in found if not f[1] and f[0] in quality.COMMON_WORDS]
+    refs = reference(good)
+    limit = {}
+    for lang in refs:
+        steps = sorted(math.ceil(distances(f, refs)[0] * quality.STEPS) for f in good if f[0] == lang)
+        limit[lang] = steps[math.ceil(len(steps) / 2) - 1] / quality.STEPS
+    refs = reference([f for f in good if distances(f, refs)[0] <= limit[f[0]]])
+    out = []
+    for f in found:
+        a, b = distances(f, refs)
+        far = f[2] >= quality.CLASS_GUARD and a > quality.CLASS_LIMIT or f[3] >= quality.WORD_GUARD and b > quality.WORD_LIMIT
+        out.append(not f[1] and not (far and (f[0] is None or f[0] in refs)))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_verdicts_against_plain_python(spark, parts):
+    r = random.Random(8)
+    rows = []
+    for i in range(160):
+        lang = r.choice(["en", "en", "de", "fr", "xx", None])
+        own = quality.COMMON_WORDS.get(lang, ("zu", "ka"))
+        words = [r.choice(own) if r.random() < 0.35 else "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) + r.choice(["", "", ",", "."]) for _ in range(r.randint(20, 400))]
+        if i % 7 == 0:
+            words = [w + r.choice(["###", "%%", "$$$"]) for w in words]
+        rows.append((i, " ".join(words), lang))
+    want = plain_verdicts(rows)
+    assert 10 < sum(not k for k in want) < 120
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    assert {x["doc_id"]: x["kept"] for x in quality.judge(docs).collect()} == dict(enumerate(want))
+
+
 def plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -225,6 +284,53 @@ def toxic_rows(n, seed):
     return out
 
 
+def plain_score(net, text):
+    """The score of a text by the network's definition, one word and one window at a time."""
+    words = [toxicity.bare(w) for w in text.lower().split()]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    h_ = toxicity.HIDDEN
+
+    def vector(word):
+        data = np.frombuffer(b"\2" + word + b"\3", np.uint8).astype(np.uint64)
+        grams = [int(toxicity.hashed(np.array([a * np.uint64(65536) + b * np.uint64(256) + c + np.uint64(1)]), toxicity.GRAM_BUCKETS)[0]) for a, b, c in zip(data, data[1:], data[2:], strict=False)]
+        return w["word"][net.vocabulary.get(word, 0)] + (sum(w["gram"][g] for g in grams) / len(grams) if grams else 0)
+
+    best = -np.inf
+    for a, b in toxicity.windows(len(words)):
+        x, states = [vector(v) for v in words[a:b]], [[None] * (b - a) for _ in "fb"]
+        for k, d in enumerate("fb"):
+            h = np.zeros(h_)
+            for t in range(b - a) if d == "f" else reversed(range(b - a)):
+                g, u = x[t] @ w[f"in_{d}"] + w[f"bias_{d}"], h @ w[f"re_{d}"]
+                z, r = sigmoid(g[:h_] + u[:h_]), sigmoid(g[h_ : 2 * h_] + u[h_ : 2 * h_])
+                h = z * h + (1 - z) * np.tanh(g[2 * h_ :] + r * u[2 * h_ :])
+                states[k][t] = h
+        both = [np.concatenate(s) for s in zip(*states, strict=True)]
+        ask = np.array([np.tanh(s @ w["att"]) @ w["ask"] for s in both])
+        share = np.exp(ask - ask.max()) / np.exp(ask - ask.max()).sum()
+        best = max(best, float(sum(p * s for p, s in zip(share, both, strict=True)) @ w["out"] + w["base"][0]))
+    return 1 / (1 + np.exp(-best))
+
+
+def test_scores_against_one_word_at_a_time(spark):
+    rows = toxic_rows(200, 5)
+    net = toxicity.train([t.encode() for _, t, _ in rows], [y for _, _, y in rows], epochs=1)
+    texts = [t for _, t, _ in toxic_rows(25, 6)] + ["idiot", "unknown wörds: here!", "\u00e9 , ."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["toxicity_score"] for r in toxicity.score(docs, net).collect()}
+    assert all(got[i] == pytest.approx(plain_score(net, t.encode()), abs=2e-4) for i, t in enumerate(texts))
+
+
+def test_training_rows_are_bounded(spark):
+    rows = toxic_rows(60, 3)
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    every = toxicity.training_rows(docs, labels)
+    few = toxicity.training_rows(docs, labels, most_bytes=4000)
+    assert set(few) < set(every) and {y for _, y in few} == {0, 1} and all(sum(len(t) for t, y in few if y == k) <= 2000 for k in (0, 1))
+    assert len(toxicity.training_rows(docs, labels, most=10)) == 10 and len(toxicity.training_rows(docs, labels, most_bytes=0)) == 2
+
+
 def test_held_out_accuracy(spark):
     rows = toxic_rows(500, 3)
     docs = spark.createDataFrame([(i, t, 0.0) for i, t, _ in rows] + [(9001, None, 0.0), (9002, "", 0.0), (9003, "plain then idiot " + "er on " * 30_000, 0.0)], "doc_id long, text string, toxicity_score double")
