@@ -61,7 +61,7 @@ WITH p AS (
   FROM (SELECT page_id, row_number() OVER () AS n, coalesce({_REST}, '') AS rest FROM pages)
 ), r(verdict, rule, h, start) AS (VALUES {_RULES})
 SELECT page_id, host, path, rule, coalesce(verdict, '{urls.DEFAULT}') AS verdict FROM (
-  SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY n ORDER BY length(r.rule) DESC NULLS LAST) AS k
+  SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY n ORDER BY length(r.rule) DESC NULLS LAST, length(r.h) DESC) AS k
   FROM p LEFT JOIN r ON host <> '' AND (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.start)
 ) WHERE k = 1"""
 

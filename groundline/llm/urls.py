@@ -9,7 +9,8 @@ The rule file goes to executors with SparkContext.addFile, if it is no larger th
 set is looked up by a join on the digest with the same confirmation.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and gets the
-default verdict; repeated rows each give a row; among rules of one text the first counts.
+default verdict; repeated rows each give a row; among rules of one text the first
+counts; of rules of one length that fit, that with the longer host wins.
 """
 
 from __future__ import annotations
@@ -190,5 +191,5 @@ def _joined(rows: DataFrame, rules: list[tuple[str, str]], default: str) -> Data
 
     keyed = common.materialize(rows.mapInArrow(run, keyed_ddl), "urls")
     probes = keyed.select("row_key", F.explode("probes").alias("probe")).withColumn("digest", F.xxhash64("probe"))
-    hits = probes.join(table, "digest").filter("probe = rule").groupBy("row_key").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("hit"))
+    hits = probes.join(table, "digest").filter("probe = rule").groupBy("row_key").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length(F.substring_index("rule", "/", 1)))).alias("hit"))
     return keyed.join(hits, "row_key", "left").select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))

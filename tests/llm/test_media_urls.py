@@ -75,6 +75,13 @@ def test_url_rules(spark):
     assert urls.filter_urls(table.limit(0)).count() == 0
 
 
+def test_ties_go_to_the_longer_host(spark):
+    rules = (("allow", "a.b.c/"), ("block", "b.c/xx"))
+    table = spark.createDataFrame([(1, "http://a.b.c/xx"), (2, "http://b.c/xx")], "page_id long, url string")
+    for most in (urls.MOST_BYTES, 0):
+        assert [r["verdict"] for r in urls.filter_urls(table, rules, most_bytes=most).orderBy("page_id").collect()] == ["allow", "block"]
+
+
 def test_digests_that_collide_are_told_apart(tmp_path):
     same = lambda _: 7
     (tmp_path / "r").write_bytes(urls.DigestArray.build([("block", "a/"), ("allow", "b/"), ("block", "b/")], same))
