@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -52,9 +53,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle(spark: SparkSession, rounds: int = 2) -> None:
+    """Let the shuffle files of finished plans go before more are written: they stay until the driver happens to collect its garbage."""
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Written like `materialize`, in buckets of a column, as many as there are shuffle partitions: grouping by it moves no row."""
+    spark = importable(df.sparkSession)
+    settle(spark)
+    table = f"groundline_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/groundline/{table}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.written_at, out.table_name = path, table
+    return out
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete the files of materialised tables; nothing that reads them may run any more."""
     for t in tables:
+        if t is not None and (name := getattr(t, "table_name", None)):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if t is not None and (path := getattr(t, "written_at", None)):
             where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

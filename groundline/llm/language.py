@@ -29,6 +29,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ RANGE_KEYS = 1_500_000
 FOLDS, TEST_FOLD, DELETED_FOLD = 5, 1, 4
 CORE, DELETED, TEST = 0, 1, 2
 #: Rounds of expectation-maximisation at most, and the change of all weights at which they end.
-ROUNDS, SETTLED = 25, 1e-4
+ROUNDS, SETTLED = 25, 1e-3
 #: Context buckets: 0, 1, 2-3, 4-7 ...
 BUCKETS = 40
 END_KEY, START_KEY = b"\n<end>", b"\n<start>"
@@ -136,7 +137,7 @@ class Block:
         self.before = np.empty(len(self.tokens), np.int64)
         self.before[1:] = self.tokens[:-1]
         self.before[self.first] = self.n_words
-        self.distinct, self.pair = np.unique(self.before * self.n_words + self.tokens, return_inverse=True)
+        self.pair, self.distinct = pd.factorize(self.before * self.n_words + self.tokens)
         self.part = np.repeat(self.parts, self.lengths)
         left = np.append(self.words, np.uint64(xxhash.xxh3_64_intdigest(START_KEY)))[self.distinct // self.n_words]
         self.pair_keys = mixed(mixed(left * _GOLD) + self.words[self.distinct % self.n_words])
@@ -148,7 +149,7 @@ class Block:
         ahead[self.first] = -1
         self.ahead = ahead
         self.asked = np.flatnonzero((ahead >= 0) & often[ahead])
-        codes, self.triple = np.unique(ahead[self.asked] * self.n_words + self.tokens[self.asked], return_inverse=True)
+        self.triple, codes = pd.factorize(ahead[self.asked] * self.n_words + self.tokens[self.asked])
         self.triple_keys = mixed(mixed(self.pair_keys[codes // self.n_words] * _GOLD + np.uint64(1)) + self.words[codes % self.n_words])
 
 
@@ -282,6 +283,14 @@ def cells_of(block: Block, word: np.ndarray, pair: np.ndarray, triple: np.ndarra
     return np.stack([triple, ahead, pair[block.pair], np.append(word, np.uint64(documents))[block.before], word[block.tokens]]).astype(np.int64)
 
 
+def repeated(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns and how often each comes."""
+    order = np.lexsort(cells)
+    ordered = cells[:, order]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(ordered, axis=1) != 0).any(axis=0)))) if cells.shape[1] else np.zeros(0, np.int64)
+    return ordered[:, first], np.diff(np.append(first, cells.shape[1]))
+
+
 def counted(block_rows: DataFrame, answers: DataFrame, bits: int, core_docs: int) -> DataFrame:
     """Counts of each token, its pair and its triple, beside the documents of each block; and the deleted tokens' cells with their numbers."""
     out = common.arrow_schema(COUNTED_DDL)
@@ -299,7 +308,7 @@ def counted(block_rows: DataFrame, answers: DataFrame, bits: int, core_docs: int
             t[block.asked] = got[block.triple]
         deleted = block.part == DELETED
         core = cells_of(block, word[0], pair[0], triple[0], core_docs)[:, deleted]
-        cells, counts = np.unique(core, axis=1, return_counts=True) if core.size else (core, np.zeros(0, np.int64))
+        cells, counts = repeated(core)
         totals = (word[0] + word[1])[block.tokens], (pair[0] + pair[1])[block.pair], triple[0] + triple[1]
         values = [row["doc_ids"], row["known"], row["lengths"], row["parts"], *(shrunk(t.astype(np.uint64)) for t in totals), shrunk(cells.reshape(-1).astype(np.uint64)), shrunk(counts.astype(np.uint64))]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
@@ -416,16 +425,17 @@ def scored(rows: DataFrame, train_docs: int, tokens: int, vocabulary: int, weigh
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, range_keys: int = RANGE_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row."""
-    rows = common.materialize(blocks(docs, id_col, text_col, block_tokens), "blocks")
+    rows = common.bucketed(blocks(docs, id_col, text_col, block_tokens), "blocks", "block")
     sizes = rows.agg(F.sum(F.octet_length("tokens")).alias("size")).first()["size"] or 0
     bits = max(0, math.ceil(math.log2(max(1, sizes / 2 / range_keys))))
     answers = common.materialize(summed(sent(rows, bits), 2 << bits), "answers")
     words = answers.filter(F.col("kind") == WORD).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_distinct", "n_core", "n_deleted")]).first()
     # documents of each training part
     core_docs, train_docs = part_sizes(rows)
-    both = common.materialize(paired(rows, answers, bits), "paired")
+    both = common.bucketed(paired(rows, answers, bits), "paired", "block")
     common.release(rows, answers)
     answers = common.materialize(summed(sent(both, bits, triples=True), 1 << bits), "answers")
+    common.settle(both.sparkSession)
     found = common.materialize(counted(both, answers, bits, core_docs), "counted")
     common.release(both, answers)
     weights = learned(found, words["n_core"], words["n_distinct"])
