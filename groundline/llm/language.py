@@ -169,7 +169,7 @@ WORD, PAIR, TRIPLE = 0, 1, 2
 def keyed(row: dict, triples: bool) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
     """Kind, keys and counts by part of the distinct words and pairs of a block, or of its triples."""
     block = Block(row)
-    count = lambda where, part, size: [np.bincount(where[part == p], minlength=size).astype(np.uint32) for p in (CORE, DELETED, TEST)]
+    count = lambda where, part, size: np.bincount(where * 3 + part, minlength=3 * size).astype(np.uint32).reshape(-1, 3).T
     if triples:
         block.triples(grown(row["pair_core"], np.uint64) + grown(row["pair_deleted"], np.uint64) + grown(row["pair_test"], np.uint64) > 1)
         return [(TRIPLE, block.triple_keys, count(block.triple, block.part[block.asked], len(block.triple_keys)))]
@@ -277,18 +277,20 @@ COUNTED_DDL = "doc_ids binary, known binary, lengths binary, parts binary, of_wo
 CELL = ("triple", "triple_context", "pair", "pair_context", "word")
 
 
-def cells_of(block: Block, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, documents: int) -> np.ndarray:
-    """Rows of CELL for each token, from counts by distinct word, by distinct pair, and by token."""
-    ahead = np.where(block.ahead >= 0, pair[block.ahead], 0)
-    return np.stack([triple, ahead, pair[block.pair], np.append(word, np.uint64(documents))[block.before], word[block.tokens]]).astype(np.int64)
+def cells_of(block: Block, at: np.ndarray, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, documents: int) -> np.ndarray:
+    """Rows of CELL for the tokens at these places, from counts by distinct word, by distinct pair, and by token."""
+    ahead = block.ahead[at]
+    return np.stack([triple[at], np.where(ahead >= 0, pair[ahead], 0), pair[block.pair[at]], np.append(word, np.uint64(documents))[block.before[at]], word[block.tokens[at]]]).astype(np.int64)
 
 
 def repeated(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct columns and how often each comes."""
-    order = np.lexsort(cells)
-    ordered = cells[:, order]
-    first = np.flatnonzero(np.concatenate(([True], (np.diff(ordered, axis=1) != 0).any(axis=0)))) if cells.shape[1] else np.zeros(0, np.int64)
-    return ordered[:, first], np.diff(np.append(first, cells.shape[1]))
+    code = np.zeros(cells.shape[1], np.int64)
+    for column in cells:
+        value, values = pd.factorize(column)
+        code = pd.factorize(code * max(1, len(values)) + value)[0]
+    _, first = np.unique(code, return_index=True)
+    return cells[:, first], np.bincount(code, minlength=len(first))
 
 
 def counted(block_rows: DataFrame, answers: DataFrame, bits: int, core_docs: int) -> DataFrame:
@@ -306,9 +308,7 @@ def counted(block_rows: DataFrame, answers: DataFrame, bits: int, core_docs: int
         triple = [np.where((block.ahead >= 0) & (block.part == p), 1, 0).astype(np.uint64) for p in (CORE, DELETED)]
         for t, got in zip(triple, sums, strict=True):
             t[block.asked] = got[block.triple]
-        deleted = block.part == DELETED
-        core = cells_of(block, word[0], pair[0], triple[0], core_docs)[:, deleted]
-        cells, counts = repeated(core)
+        cells, counts = repeated(cells_of(block, np.flatnonzero(block.part == DELETED), word[0], pair[0], triple[0], core_docs))
         totals = (word[0] + word[1])[block.tokens], (pair[0] + pair[1])[block.pair], triple[0] + triple[1]
         values = [row["doc_ids"], row["known"], row["lengths"], row["parts"], *(shrunk(t.astype(np.uint64)) for t in totals), shrunk(cells.reshape(-1).astype(np.uint64)), shrunk(counts.astype(np.uint64))]
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, out, strict=True)], schema=out)
