@@ -306,6 +306,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id"
     out = common.arrow_schema(ddl)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("bpe", _loaded.clear)
         bpe = loaded(path)
         for b in common.slices(batches, "text"):
             got = bpe.encode_texts(b.column("text").to_pylist())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,6 +118,31 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+_clear: dict[str, Callable[[], None]] = {}
+
+
+def enter(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """Called in workers: a process that goes over from one operator to another drops what the others kept there."""
+    others = [name for name in _clear if name != operator]
+    for name in others:
+        _clear.pop(name)()
+    if others:
+        gc.collect()
+        trim()
+    if clear:
+        _clear[operator] = clear
+
+
+def trim() -> None:
+    """Free memory goes back to the system, where the C library can do that: idle workers would hold it."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def numbered(rows: DataFrame) -> DataFrame:
     """Columns by place, c0, c1 and so on: mapInArrow finds no column whose name has a dot."""
     return rows.toDF(*[f"c{k}" for k in range(len(rows.columns))])
@@ -144,3 +169,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYT
                 gc.collect()
     finally:
         gc.enable()
+        trim()

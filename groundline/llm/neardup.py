@@ -72,10 +72,13 @@ class WordHashes(dict):
         self.held += len(word) + 160
         return h
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
     def trim(self) -> None:
         if self.held > KEPT_BYTES:
-            self.clear()
-            self.held = 0
+            self.forget()
 
 
 _hashes = WordHashes()
@@ -141,6 +144,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        common.enter("neardup", _hashes.forget)
         kept: dict[bytes, bytes] = {}
         for b in common.slices(batches, "text", 4 << 20):
             sets = shingle_sets(b.column("text").to_pylist())
@@ -350,6 +354,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col:
         rows = rows.join(ids, "rep", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("neardup", _hashes.forget)
         words = np.frombuffer(bits.value, np.uint32) if few else None
         for b in common.slices(batches, "text", 4 << 20):
             if few:

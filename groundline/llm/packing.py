@@ -30,7 +30,7 @@ from groundline.llm import common
 WINDOW = 1024
 END_ID = 0
 #: Bytes of pieces and ids, about, after which a worker begins to forget those that it does not meet again.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 24 << 20
 #: Pieces that are encoded as one text.
 AT_ONCE = 256
 _SIGNED = re.compile(r"\A(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)\Z")
@@ -177,9 +177,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, id_c
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.enter("packing", _encoders.clear)
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        for b in common.slices(batches, "text"):
+        for b in common.slices(batches, "text", 4 << 20):
             ids = [x + end for x in enc.encode(b.column("text").to_pylist())]
             counts = [len(x) // 4 for x in ids]
             begins = []

@@ -131,6 +131,7 @@ def holding(rows: DataFrame) -> DataFrame:
     out = common.arrow_schema(ddl := "key long, entities array<string>, text string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("pii")
         for b in common.slices(batches, "text"):
             got = [(key, sorted({entity(k, text[x:y]) for k, x, y in spans}), text) for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True) if (spans := base_spans(text))]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], out.field(k).type) for k in range(3)], schema=out)
@@ -143,6 +144,7 @@ def words(held: DataFrame) -> DataFrame:
     out = common.arrow_schema(ddl := "key long, term string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("pii")
         for b in common.slices(batches, "text", 1 << 20):
             got = [(key, w) for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True) for w in set(WORD.findall(folded(text)))]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], schema=out)
@@ -155,6 +157,7 @@ def marked_places(held: DataFrame) -> DataFrame:
     out = common.arrow_schema(ddl := "key long, marks array<struct<start:int,stop:int,action:string>>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("pii")
         for b in common.slices(batches, "text"):
             marks = [[dict(zip(("start", "stop", "action"), p, strict=True)) for p in places(text, {t["term"]: t["action"] for t in terms})] for text, terms in zip(b.column("text").to_pylist(), b.column("terms").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(marks, out.field(1).type)], schema=out)
@@ -241,6 +244,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     out = common.arrow_schema(ddl := "key long, doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("pii")
         for b in common.slices(batches, "text"):
             got = [base_spans(t) for t in b.column("text").to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in g) for g in got], pa.int64()) for k in KINDS]
@@ -276,6 +280,7 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     out, at = common.arrow_schema_of(docs.schema), f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("pii")
         for b in common.slices(batches, at):
             texts = [None if t is None else sanitized_text(t, [(m["start"], m["stop"], m["action"]) for m in ms or ()]) for t, ms in zip(b.column(at).to_pylist(), b.column(len(out)).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text_col else b.column(k).cast(f.type) for k, f in enumerate(out)], schema=out)

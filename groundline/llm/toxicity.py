@@ -375,6 +375,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "to
     target = common.arrow_schema_of(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("toxicity", _scorers.clear)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = Scorer(pickle.loads(model.value))
