@@ -34,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/groundline/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
@@ -86,6 +94,26 @@ def release(*tables: DataFrame | None) -> None:
             where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key with more than this share of the rows is hot; there are fewer hot keys than this, whatever the size.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int, lane: Column, apart: Column | None = None) -> DataFrame:
+    """Rows with the other columns of a table that has one row for each key, null where it lacks the key.
+
+    `count` says how many rows have a key, of `total`.  The table's rows for hot keys, fewer than a thousand, are broadcast; rows with such
+    keys, and those that `apart` says have no key there, are dealt by `lane`, and all others by their key, none of which is hot.
+    """
+    others = [c for c in table.columns if c not in keys]
+    hot = table.filter(F.col(count) * HOT_SHARE > total)
+    rest = table.filter(F.col(count) * HOT_SHARE <= total).withColumn("_lane", F.lit(-1).cast("long"))
+    near = rows.join(F.broadcast(hot.withColumnsRenamed({c: f"_hot_{c}" for c in others})), keys, "left")
+    alone = F.col(f"_hot_{count}").isNotNull() | (F.lit(False) if apart is None else apart)
+    near = near.withColumn("_lane", F.when(alone, F.pmod(lane, F.lit(1 << 31))).otherwise(-1).cast("long"))
+    out = near.join(rest, [*keys, "_lane"], "left")
+    return out.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in others])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
