@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
-from groundline.operators import chunks, embed, guards, index, pages, retrieve, rewrite, verify
+from groundline.operators import chunks, embed, guards, index, lists, pages, retrieve, rewrite, verify
 from groundline.plans.answer import answer, status
-from groundline.session import importable, spread
+from groundline.session import importable, scratch, spread
 from groundline.settings import DEFAULT, Settings
 from groundline.sources import tables
 
@@ -86,6 +86,22 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, sf_dir, filter_col="label")
 
 
+@query()
+def knn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate index beside the exact search: of each question's five nearest how many it found, and what it read for them.
+
+    These vectors have no clusters, so half of the lists are looked at; the codes are what spares the vectors.
+    """
+    asked, items = vector_queries(spark, sf_dir)
+    quantiser = lists.fit(items, "vec_id")
+    lists.write(items, path := scratch(spark, "lists"), quantiser, "vec_id", "label")
+    opened = lists.open_lists(spark, path)
+    found = lists.search(asked, opened, 5, probes=max(1, len(quantiser.centres) * 3 // 4), refine=9, item_id="vec_id", exclude_self=True)
+    exact = retrieve.top_k(asked, items, 5, item_id="vec_id", exclude_self=True)
+    told = found.groupBy("query_id").agg(F.max("codes_read").alias("codes_read"), F.max("vectors_read").alias("vectors_read"))
+    return lists.recall(found, exact, item_id="vec_id").join(told, "query_id", "left")
+
+
 GATE = "SELECT query_id, round({agg}(d), 6) AS gate_score, {agg}(d) <= 0.57 AS passes_gate FROM ({knn}) WHERE rank <= 5 GROUP BY query_id"
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.errors import EmptyCollectionError, MissingCollectionError, RetrievalError
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
+from groundline.operators import pivots
+from groundline.operators.pivots import BLOCK_BYTES, SLACK, STRIP, Dealt
+from groundline.session import kept
 from groundline.settings import DEFAULT, Settings
 
 
@@ -46,36 +51,38 @@ def sized(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return F.broadcast(df) if size_in_bytes(df) <= settings.broadcast_bytes else df
 
 
-def block_count(table: DataFrame) -> int:
-    return max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def beside(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two tables of one row each as one row."""
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def exact_products(x, rows):
+    """Products of one vector with some others, summed term by term: the last digits hang on no matrix product's order."""
+    return (rows * x).cumsum(axis=1)[:, -1]
+
+
 def ranked_block(items: tuple, asked: tuple, k: int, same: bool, exclude_self: bool) -> list[tuple]:
-    """The k nearest items of a block for each question, by one product of matrices: (question, item, distance).
+    """The k nearest items of a block for each question, by strips of one product of matrices: (question, item, distance).
 
-    Products only choose; what is near the k-th best is measured again term by term, so ties and last digits do not hang on a product's order.
+    Products only choose; what they leave, ties at the limit with it, is measured again term by term.
     """
     import numpy as np
 
     ids, vectors, groups = items
     q_ids, q_vectors, q_groups = asked
     out = []
-    for a in range(0, len(q_ids), 512):
-        far = 1.0 - q_vectors[a : a + 512] @ vectors.T
+    for a in range(0, len(q_ids), STRIP):
+        far = 1.0 - q_vectors[a : a + STRIP] @ vectors.T
         for i, row in enumerate(far, a):
             if same and q_groups[i] is not None:
                 row = np.where(groups == q_groups[i], row, np.inf)
             if exclude_self:
                 row = np.where(ids == q_ids[i], np.inf, row)
             limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-            near = np.flatnonzero((row <= limit + 1e-9) & (row < np.inf))
-            exact = [(1.0 - float(np.cumsum(q_vectors[i] * vectors[j])[-1]), ids[j]) for j in near]
-            out += [(q_ids[i], item, d) for d, item in sorted(exact, key=lambda x: x[:2])[:k]]
+            near = np.flatnonzero((row <= limit + SLACK) & (row < np.inf))
+            exact = 1.0 - exact_products(q_vectors[i], vectors[near])
+            best = sorted(zip(exact.tolist(), ids[near]), key=lambda x: x[:2])[:k]
+            out += [(q_ids[i], item, d) for d, item in best]
     return out
 
 
@@ -86,21 +93,30 @@ def framed(rows: list[tuple], *names: str):
     return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int | None = None, exclude_self: bool = False, settings: Settings = DEFAULT) -> DataFrame:
+def block_number(table: DataFrame, id_col: str, block_bytes: int) -> int:
+    """Into how many blocks of so many bytes the vectors of a table go, as doubles; the table is counted, so it should be one that is written."""
+    first = table.select(F.size("embedding").alias("n")).first()
+    return 1 if first is None else max(1, -(-table.select(id_col).count() * 8 * max(1, first["n"]) // block_bytes))
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int | None = None, exclude_self: bool = False, settings: Settings = DEFAULT, batches: int | None = None) -> DataFrame:
     """The k nearest items of each query: query_id, rank, item_id, distance.
 
-    Queries are the stated set and go against all items in blocks (as many as there are shuffle partitions, unless told): questions
-    are dealt to batches, each block meets each batch in one task as two matrices, keeps the k best of each question there, and the
-    few winners of all blocks are ranked again.  No pair of question and item is ever a row.  With `filter_col`, a query whose
-    value is not null meets items of that value alone.
+    Queries are the stated set and go against all items in blocks.  Both sides are dealt by hashes to as many parts as bound a part's bytes
+    (unless told); each batch of queries meets each block in one task as two matrices, keeps the k best of each query there, and the few
+    winners of all blocks are ranked again.  So a task holds one batch and one block, however many rows there are, and no pair of query
+    and item is ever a row.  With `filter_col`, a query whose value is not null meets items of that value alone.
     """
     import pandas as pd
 
-    blocks = blocks or block_count(index)
+    blocks = blocks or block_number(index, item_id, BLOCK_BYTES)
+    batches = batches or block_number(queries, query_id, BLOCK_BYTES)
     kinds = dict(queries.dtypes)[query_id], dict(index.dtypes)[item_id]
     group = (lambda c: F.col(c).cast("string")) if filter_col else (lambda c: F.lit(None).cast("string"))
-    q = queries.select(F.col(query_id).alias("_q"), F.lit(None).cast(kinds[1]).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), group(filter_col).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    items = index.select(F.lit(None).cast(kinds[0]).alias("_q"), F.col(item_id).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), group(filter_col).alias("_g"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_b"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(F.col(query_id).alias("_q"), F.col("embedding").cast("array<double>").alias("_v"), group(filter_col).alias("_g"), dealt(query_id, batches).alias("_a"), every(blocks).alias("_b"))
+    items = index.select(F.col(item_id).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), group(filter_col).alias("_g"), dealt(item_id, blocks).alias("_b"), every(batches).alias("_a"))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -111,7 +127,12 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id
         got = ranked_block(taken(right, "_i"), taken(left, "_q"), k, filter_col is not None, exclude_self)
         return framed(got, "_q", "_i", "_d")
 
-    found = q.groupBy("_b").cogroup(items.groupBy("_b")).applyInPandas(run, f"_q {kinds[0]}, _i {kinds[1]}, _d double")
+    found = q.groupBy("_a", "_b").cogroup(items.groupBy("_a", "_b")).applyInPandas(run, f"_q {kinds[0]}, _i {kinds[1]}, _d double")
+    return best_of(found, k, query_id, item_id)
+
+
+def best_of(found: DataFrame, k: int, query_id: str, item_id: str) -> DataFrame:
+    """The k nearest of what all blocks found (_q, _i, _d)."""
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy("_d", "_i"))).filter(F.col("rank") <= k)
     return ranked.select(F.col("_q").alias(query_id), "rank", F.col("_i").alias(item_id), F.col("_d").alias("distance"))
 
@@ -152,43 +173,91 @@ def gate(queries: DataFrame, found: DataFrame, limit: float = DEFAULT.max_distan
     return queries.select(query_id).join(scores, query_id, "left").withColumn("passes_gate", F.coalesce(F.col("gate_score") <= limit, F.lit(False)))
 
 
-def all_neighbours(index: DataFrame, n: int = 3, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
-    """The n nearest other items of each item; distances are at least 0."""
-    found = top_k(index.withColumn("query_id", F.col(item_id)), index, n, item_id=item_id, blocks=blocks, exclude_self=True)
-    return found.select(F.col("query_id"), "rank", F.col(item_id).alias("neighbour"), F.greatest(F.lit(0.0), "distance").alias("distance"))
+def tiles(met: DataFrame, dealt: Dealt, run: Callable, ddl: str, ordered: bool = False) -> DataFrame:
+    """Items that have to meet a pivot against that pivot's items, slice by slice; run(left, right) gets two frames of bounded size.
+
+    With `ordered` a pair of slices meets once: the right side are then those items of the pivot that have to meet the left side's.
+    """
+    left = met if not ordered else met.filter("_p <= _q")
+    left = left.withColumn("_t", F.explode(pivots.slices_of(dealt, "_q"))).select("_i", "_v", F.col("_p").alias("_a"), F.col("_s").alias("_b"), F.col("_q").alias("_c"), F.col("_t").alias("_d"))
+    if ordered:
+        right = met.filter("_q <= _p").withColumn("_t", F.explode(pivots.slices_of(dealt, "_q"))).select("_i", "_v", F.col("_q").alias("_a"), F.col("_t").alias("_b"), F.col("_p").alias("_c"), F.col("_s").alias("_d"))
+        left, right = left.filter("_a < _c or _b <= _d"), right.filter("_a < _c or _b <= _d")
+    else:
+        # the slices that some item asks for, a row for each pair of slices, meet the items that lie there
+        right = left.select("_a", "_b", "_c", "_d").distinct().join(dealt.items.withColumnsRenamed({"_p": "_c", "_s": "_d"}), ["_c", "_d"]).select("_i", "_v", "_a", "_b", "_c", "_d")
+        right = right.toDF(*right.columns)  # attributes of its own
+
+    by = ("_a", "_b", "_c", "_d")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, ddl)
+
+
+def all_neighbours(index: DataFrame, n: int = 3, item_id: str = "chunk_id", pivot_count: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The n nearest other items of each item; distances are at least 0.
+
+    First each item meets those of its own pivot; the n-th best there is a limit that no block has to be met for whose bound is below it, so only
+    the others follow.  A task holds a slice of two pivots; results are those of comparing all with all.
+    """
+    import pandas as pd
+
+    dealt = pivots.deal(index, item_id, pivot_count, block_bytes)
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if not len(left) or not len(right):
+            return framed([], "_q", "_i", "_d")
+        taken = lambda rows: (rows["_i"].to_numpy(object), np.stack(rows["_v"].to_numpy()), None)
+        return framed(ranked_block(taken(right), taken(left), n, False, True), "_q", "_i", "_d")
+
+    ddl = f"_q {dealt.kind}, _i {dealt.kind}, _d double"
+    own = dealt.items.withColumn("_q", F.col("_p"))
+    first = kept(best_of(tiles(own, dealt, run, ddl), n, "_q", "_i"), "own")
+    worst = first.filter(F.col("rank") == n).select(F.col("_q").alias("_i"), (1.0 - F.col("distance")).alias("_limit"))
+    limited = dealt.items.join(worst, "_i", "left").withColumn("_limit", F.coalesce("_limit", F.lit(-float("inf"))))
+    rest = tiles(pivots.meeting(limited, dealt).filter("_p <> _q"), dealt, run, ddl)
+    found = first.select("_q", "_i", F.col("distance").alias("_d")).unionByName(rest)
+    best = best_of(found, n, "query_id", item_id)
+    return best.select("query_id", "rank", F.col(item_id).alias("neighbour"), F.greatest(F.lit(0.0), "distance").alias("distance"))
 
 
-def similar_links(index: DataFrame, similarity: float, item_id: str = "chunk_id", blocks: int | None = None) -> DataFrame:
+def similar_links(index: DataFrame, similarity: float, item_id: str = "chunk_id", pivot_count: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For every item the number of other items above a similarity, and the least id among them and itself.
 
-    Blocks of items meet blocks of items as matrices, each pair of blocks in one task; pairs of items are never rows.
+    Items meet only the pivots whose bound reaches the similarity, and those items of theirs for which the same holds, slice by slice as
+    matrices, each pair of slices in one task; pairs of items are never rows.
     """
     import pandas as pd
 
-    blocks = blocks or block_count(index)
-    kind = dict(index.dtypes)[item_id]
-    items = index.select(F.col(item_id).alias("_i"), F.col("embedding").cast("array<double>").alias("_v"), F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_b"))
-    every = lambda side: items.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_x": F.col("_b") if side else F.col("_o"), "_y": F.col("_o") if side else F.col("_b")}).select("_x", "_y", "_i", "_v")
+    dealt = pivots.deal(index, item_id, pivot_count, block_bytes)
+    met = pivots.meeting(dealt.items.withColumn("_limit", F.lit(float(similarity))), dealt)
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         if not len(left) or not len(right):
             return framed([], "_i", "_n", "_least")
-        ids, others = left["_i"].to_numpy(), right["_i"].to_numpy()
-        a, b = np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy())
-        near, out = a @ b.T, []
-        for i in range(len(ids)):
-            for j in np.flatnonzero(abs(near[i] - similarity) < 1e-9):  # a product's order of terms decides nothing
-                near[i, j] = np.cumsum(a[i] * b[j])[-1]
-            hit = others[(near[i] > similarity) & (others != ids[i])]
-            if len(hit):
-                out.append((ids[i], len(hit), min(hit)))
+        same = key[0] == key[2] and key[1] == key[3]
+        ids, others = left["_i"].to_numpy(object), right["_i"].to_numpy(object)
+        a, b, out = np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy()), []
+        count, least = np.zeros(len(others), int), np.full(len(others), None, object)
+        for at in range(0, len(ids), STRIP):
+            near = a[at : at + STRIP] @ b.T
+            for i, j in zip(*np.nonzero(abs(near - similarity) < SLACK)):
+                near[i, j] = exact_products(a[at + i], b[j : j + 1])[0]
+            hit = (near > similarity) & (ids[at : at + STRIP, None] != others[None, :])
+            out += [(ids[at + i], int(hit[i].sum()), min(others[hit[i]])) for i in np.flatnonzero(hit.any(axis=1))]
+            if not same:
+                count += hit.sum(axis=0)
+                for j in np.flatnonzero(hit.any(axis=0)):
+                    low = min(ids[at : at + STRIP][hit[:, j]])
+                    least[j] = low if least[j] is None else min(least[j], low)
+        out += [(others[j], int(count[j]), least[j]) for j in np.flatnonzero(count)]
         return framed(out, "_i", "_n", "_least")
 
-    found = every(True).groupBy("_x", "_y").cogroup(every(False).groupBy("_x", "_y")).applyInPandas(run, f"_i {kind}, _n long, _least {kind}")
+    found = tiles(met, dealt, run, f"_i {dealt.kind}, _n long, _least {dealt.kind}", ordered=True)
     counted = found.groupBy("_i").agg(F.sum("_n").alias("_n"), F.min("_least").alias("_least"))
-    rows = index.select(F.col(item_id).alias("_i")).join(counted, "_i", "left")
+    rows = dealt.items.select("_i").join(counted, "_i", "left")
     return rows.select(F.col("_i").alias(item_id), F.coalesce("_n", F.lit(0)).alias("n_links"), F.least("_i", F.coalesce("_least", "_i")).alias("least_link"))
 
 

@@ -64,7 +64,7 @@ def test_links_of_all_items_match_plain_python(spark):
     table = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(70)], "vec_id long, embedding array<double>")
     near = v @ v.T > 0.5
     for blocks in (1, 5):
-        got = {x["vec_id"]: (x["n_links"], x["least_link"]) for x in retrieve.similar_links(table, 0.5, "vec_id", blocks).collect()}
+        got = {x["vec_id"]: (x["n_links"], x["least_link"]) for x in retrieve.similar_links(table, 0.5, "vec_id", blocks, 400).collect()}
         assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i])[0])) for i in range(70)}
     assert retrieve.similar_links(table.limit(0), 0.5, "vec_id").count() == 0 and retrieve.top_k(table.withColumnRenamed("vec_id", "query_id"), table.limit(0), 3, item_id="vec_id").count() == 0
 
@@ -171,3 +171,102 @@ def test_prune(tmp_path):
     assert index.prune_orphans(str(tmp_path), None) == []
     assert index.prune_orphans(str(tmp_path), {good}) == [f"{orphan}:5"]
     assert sorted(os.listdir(tmp_path)) == [good, "notes"]
+
+
+def clustered(n, dim, centres, seed=7, spread=0.05):
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(centres, dim))[r.integers(0, centres, n)] + spread * r.normal(size=(n, dim))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def vector_table(spark, v):
+    return spark.createDataFrame([(i, [float(x) for x in e]) for i, e in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("v", [clustered(300, 6, 12), clustered(150, 6, 150), np.repeat(clustered(3, 6, 3), 20, axis=0) * np.linspace(0.5, 3, 60)[:, None]], ids=["clusters", "spread", "repeated and of other lengths"])
+def test_pruned_joins_equal_comparing_all(spark, v):
+    table, products = vector_table(spark, v), v @ v.T
+    ids = np.arange(len(v))
+    for pivot_count, block_bytes in ((1, 1 << 20), (9, 700)):
+        got = {r["vec_id"]: (r["n_links"], r["least_link"]) for r in retrieve.similar_links(table, 0.9, "vec_id", pivot_count, block_bytes).collect()}
+        near = (products > 0.9) | np.eye(len(v), dtype=bool)
+        assert got == {i: (int(near[i].sum()) - 1, int(np.flatnonzero(near[i])[0])) for i in ids.tolist()}
+        lists = {}
+        for r in retrieve.all_neighbours(table, 3, "vec_id", pivot_count, block_bytes).orderBy("query_id", "rank").collect():
+            lists.setdefault(r["query_id"], []).append((r["neighbour"], round(r["distance"], 9)))
+        for i in ids.tolist():
+            exact = [1.0 - float(np.cumsum(v[i] * v[j])[-1]) for j in ids]
+            want = sorted((j for j in ids.tolist() if j != i), key=lambda j: (exact[j], j))[:3]
+            assert lists[i] == [(j, round(max(0.0, exact[j]), 9)) for j in want]
+
+
+def test_blocks_beyond_the_bound_are_skipped_and_tasks_stay_small(spark):
+    from groundline.operators import pivots
+
+    sizes = []
+    for n in (300, 900):
+        dealt = pivots.deal(vector_table(spark, clustered(n, 6, 12)), "vec_id", 12, 6 * 8 * 20)
+        met = pivots.meeting(dealt.items.withColumn("_limit", F.lit(0.95)), dealt)
+        out, every = pivots.skipped(met, dealt)
+        assert out > 0.8 * every == 0.8 * n * 12 and met.filter("_p = _q").count() == n
+        sizes.append(dealt.items.groupBy("_p", "_s").count().agg(F.max("count")).first()[0])
+    assert max(sizes) <= 2 * 20  # a slice's rows do not grow with the table's
+
+
+def test_batches_of_questions_meet_blocks_of_items(spark):
+    v = clustered(120, 6, 40)
+    table = vector_table(spark, v)
+    asked = table.withColumnRenamed("vec_id", "query_id")
+    want = sorted(map(tuple, retrieve.top_k(asked, table, 4, item_id="vec_id", blocks=1, batches=1).collect()))
+    assert sorted(map(tuple, retrieve.top_k(asked, table, 4, item_id="vec_id", blocks=5, batches=3).collect())) == want and len(want) == 480
+    assert retrieve.block_number(table, "vec_id", 120 * 6 * 8 // 7) == 8
+
+
+def test_lists_find_nearly_all_and_read_little(spark, sf_dir):
+    from groundline import catalog
+
+    rows = catalog.knn_lists(spark, sf_dir).collect()
+    items = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert sum(r["found"] for r in rows) >= 0.9 * sum(r["nearest"] for r in rows) and len(rows) == items // 50
+    assert all(r["vectors_read"] < items / 10 and r["codes_read"] < items for r in rows)
+
+
+def test_lists_on_texts_filters_and_the_exact_way(spark, tmp_path):
+    from groundline.operators import lists
+
+    v = clustered(900, 10, 30, spread=0.2)
+    table = vector_table(spark, v).withColumn("kind", F.col("vec_id") % 3)
+    asked = table.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    lists.write(table, str(tmp_path / "l"), lists.fit(table, "vec_id", 30), "vec_id", "kind")
+    opened = lists.open_lists(spark, str(tmp_path / "l"))
+    assert opened.rows.sum() == 900 and opened.table.count() == 900
+    exact = retrieve.top_k(asked, table, 5, item_id="vec_id")
+    found = lists.search(asked, opened, 5, probes=5, refine=8, item_id="vec_id")
+    got = lists.recall(found, exact, item_id="vec_id").agg(F.sum("found"), F.sum("nearest")).first()
+    assert got[0] >= 0.9 * got[1] and got[1] == 90
+    read = found.agg(F.max("codes_read"), F.max("vectors_read")).first()
+    assert read[0] < 450 and read[1] == 40
+    # every list and every candidate: the exact search
+    same = lists.search(asked, opened, 5, probes=30, refine=200, item_id="vec_id", filter_col="kind", exclude_self=True)
+    want = retrieve.top_k(asked, table, 5, item_id="vec_id", filter_col="kind", exclude_self=True)
+    key = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["distance"], 5)) for r in df.collect())
+    assert key(same) == key(want)
+    with pytest.raises(MissingCollectionError):
+        lists.open_lists(spark, str(tmp_path / "none"))
+    with pytest.raises(EmptyCollectionError):
+        lists.fit(table.limit(0), "vec_id")
+    with pytest.raises(RetrievalError):
+        lists.search(asked, opened, 0, item_id="vec_id")
+    assert lists.search(asked.limit(0), opened, 5, item_id="vec_id").count() == 0
+
+
+def test_one_list_holds_all(spark, tmp_path, monkeypatch):
+    from groundline.operators import lists
+
+    monkeypatch.setattr(lists, "SLICE_ROWS", 16)
+    monkeypatch.setattr(lists, "BATCH_ROWS", 3)
+    v = np.repeat(clustered(2, 7, 2), [90, 10], axis=0)
+    table = vector_table(spark, v)
+    lists.write(table, str(tmp_path / "l"), lists.fit(table, "vec_id", 4), "vec_id")
+    found = lists.search(table.filter("vec_id in (0, 1, 2, 95)").withColumnRenamed("vec_id", "query_id"), lists.open_lists(spark, str(tmp_path / "l")), 3, 1, 2, item_id="vec_id")
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["codes_read"]) for r in found.orderBy("query_id", "rank").collect()] == [(q, n + 1, (0 if q < 90 else 90) + n, 90 if q < 90 else 10) for q in (0, 1, 2, 95) for n in range(3)]
