@@ -37,9 +37,8 @@ def probe(spark, table, question: str, given, embedder, settings: Settings) -> N
     questions = spark.createDataFrame([("1", question, given.scheme)], "query_id string, question string, scheme string")
     vectors = lambda rows, column: embed.embed_texts(rows, column, embedder, settings)[0]
     found = retrieve.retrieve(questions, table, vectors, settings, auto_detect=not given.unfiltered).persist()
-    for r in retrieve.probe_report(found).orderBy("rank").collect():
+    for r in retrieve.probe_report(questions, found, settings).orderBy("line_no").collect():
         print(r["line"])
-    print("gate:", "pass" if retrieve.gate(questions, found).first()["passes_gate"] else "reject")
     for r in found.filter(F.col("rank") <= given.show_text).orderBy("rank").collect():
         print(f"[{r['rank']}] {r['chunk_id']} {r['section']}\n{r['text']}")
     found.unpersist()

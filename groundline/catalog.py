@@ -12,7 +12,7 @@ from groundline.functions import text as tx
 from groundline.functions import vectors as vx
 from groundline.operators import chunks, embed, guards, index, lists, pages, retrieve, rewrite, verify
 from groundline.plans.answer import answer, status
-from groundline.session import importable, scratch, spread
+from groundline.session import importable, kept, scratch, spread
 from groundline.settings import DEFAULT, Settings
 from groundline.sources import tables
 
@@ -140,6 +140,18 @@ def latest_stamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Questions: turns of conversations and probes that hold what each class looks for.
 
+DUAL = "SELECT q.vec_id - q.vec_id % 50 AS query_id, i.vec_id, min(1 - list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])) AS d FROM embeddings q JOIN embeddings i ON q.vec_id % 50 < 2 AND i.vec_id % 50 >= 2 GROUP BY 1, 2"
+
+
+@query(f"SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM ({DUAL})) WHERE rank <= 5")
+def dual_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions asked in two forms (the vectors of an id divisible by 50 and of the next one), against the others: the best of both."""
+    items = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    form = F.col("vec_id") % 50
+    asked = items.filter(form < 2).select((F.col("vec_id") - form).alias("query_id"), form.alias("form"), "embedding")
+    return retrieve.merged_top_k(asked, items.filter(form >= 2), 5, "form", item_id="vec_id").withColumn("distance", F.round("distance", 6))
+
+
 PROBES = (
     (1, "Should I invest in the large cap fund?"), (2, "What is the exit load of the ELSS fund"), (3, "My PAN is ABCDE1234F"), (4, "call me on 9876543210"),
     (5, "What was the cagr last year"), (6, "Which gave more return"), (7, "minimum sip amount"), (8, "Will grow next year"), (9, "is it safe to use tax saver"),
@@ -196,12 +208,14 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", F.sha1(tx.normalize(F.col("question"))).alias("digest"))
 
 
-SCHEMES = "list_filter([" + ", ".join(f"CASE WHEN {EITHER([rf'\b{re.escape(a)}\b' for a in names], NORMAL)} THEN '{slug}' END" for slug, names in DEFAULT.aliases) + "], lambda x: x IS NOT NULL)"
+# Fixed values, spelled out here so that a wrong table of aliases would be seen.
+NAMED = {"large_cap": "large cap|largecap", "flexi_cap": "flexi cap|flexicap|acme equity fund", "elss": "elss|tax saver|tax saver fund", "small_cap": "small cap|smallcap", "balanced_advantage": "balanced advantage|balanced advantage fund"}
+SCHEMES = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({NORMAL}, '\\b({names})\\b') THEN '{slug}' END" for slug, names in NAMED.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"SELECT id, CASE WHEN len(s) = 1 THEN s[1] END AS scheme FROM (SELECT id, {SCHEMES} AS s FROM {ASKED})")
 def detect_scheme(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return asked(spark, sf_dir).select("id", rewrite.detect_scheme(F.col("question")).alias("scheme"))
+    return asked(spark, sf_dir).select("id", rewrite.detect_scheme(F.col("question"), Settings(brand="Acme")).alias("scheme"))
 
 
 # Texts.
@@ -380,7 +394,7 @@ def answer_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of users against the benchmark's passages: one row for each question."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("chunk_id"), "text", F.lit("passage").alias("section"), F.lit("elss").alias("scheme"), F.lit("Passages").alias("scheme_name"), F.lit("benchmark").alias("category"), F.lit("https://example.com/elss").alias("source_url"), F.lit("2024-01-01T00:00:00Z").alias("fetched_at"), F.array(F.lit("passage")).alias("heading_path"))
-    table = embed.embed_texts(items, "text", embed.hashing_embedder(SETTINGS.embed_dim), SETTINGS)[0]
+    table = kept(embed.embed_texts(items, "text", embed.hashing_embedder(SETTINGS.embed_dim), SETTINGS)[0], "passages")
     users = read(spark, sf_dir, "conversations").filter("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("query_id"), F.col("text").alias("question"))
     own = probes(spark, PROBES, "id long, question string").select((-F.col("id")).cast("string").alias("query_id"), "question")
     loose = Settings(scheme_urls=URLS, embed_dim=64, max_distance=0.9)

@@ -203,7 +203,7 @@ def chunk_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(spark, sf_dir, F.array_join(lines, "\n"))
 
 
-@query(f"SELECT doc_id, p AS ordinal, 1 + 14 + 5 * len(s) AS n_tokens, sha1('head' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(s, chr(10))) AS digest FROM (SELECT doc_id, p, CASE WHEN len(r) <= 99 THEN r ELSE r[82 * p + 1 : 82 * p + 82] END AS s FROM (SELECT doc_id, r, unnest(generate_series(0, CASE WHEN len(r) <= 99 THEN 0 ELSE (len(r) - 1) // 82 END)) AS p FROM (SELECT doc_id, list_transform(w, lambda x: '| ' || x || ' | y |') AS r FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0)))")
+@query(f"SELECT doc_id, p AS ordinal, 1 + 14 + 5 * len(s) AS n_tokens, sha1('head' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || array_to_string(s, chr(10))) AS digest FROM (SELECT doc_id, p, r[82 * p + 1 : 82 * p + 82] AS s FROM (SELECT doc_id, r, unnest(generate_series(0, (len(r) - 1) // 82)) AS p FROM (SELECT doc_id, list_transform(w, lambda x: '| ' || x || ' | y |') AS r FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) > 0)))")
 def chunk_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables are cut between rows, each part with the header."""
     rows = F.array_join(F.transform(words_of(), lambda w: F.concat(F.lit("| "), w, F.lit(" | y |"))), "\n")

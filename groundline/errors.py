@@ -53,7 +53,11 @@ class EmptyCollectionError(RetrievalError):
 
 
 class GenerationError(RuntimeError):
-    """A generator failed."""
+    """A generator failed; a transient failure may pass, after so many seconds if it says so."""
+
+    def __init__(self, said: str = "", transient: bool = True, wait_s: float | None = None) -> None:
+        super().__init__(said)
+        self.transient, self.wait_s = transient, wait_s
 
 
 class GeneratorNotConfiguredError(GenerationError):

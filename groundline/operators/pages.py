@@ -1,351 +1,186 @@
-"""Pages to titled sections of typed blocks: a small tree builder and the reading of structure."""
+"""Pages to titled sections of typed blocks."""
 
 from __future__ import annotations
 
 import hashlib
-import html as entities
 import itertools
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.errors import StructureError
+from groundline.operators.tree import HEADINGS, Tree, View, norm
 from groundline.schemas import SECTION_DDL
 from groundline.settings import BOILERPLATE_CLASSES, BOILERPLATE_IDS, DEFAULT, DROP_TAGS, JUNK_TEXTS, Settings
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset(("script", "style", "textarea", "title"))
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-ENDS_PARAGRAPH = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-#: A new element closes these open ones, up to the barriers.
-IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+CONTAINERS = ("main", "article", "section", "div", "td", "body")
+#: Elements that are read as something else than labels and values.
+UNPAIRED = frozenset(("ul", "ol", "dl", "table", *HEADINGS))
 # Labels that are numbers are none.
 PERCENT_LABEL = re.compile(r"\d+(?:\.\d+)?\s*%")
 NUMBER_LABEL = re.compile(r"^[+\-₹$]?\s*\d[\d.,]*\s*%?$")
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPACE = re.compile(r"\s+")
-
-
-@dataclass(eq=False)
-class Node:
-    tag: str
-    attributes: dict[str, str] = field(default_factory=dict)
-    children: list[Node | str] = field(default_factory=list)
-    parent: Node | None = None
-
-    @property
-    def elements(self) -> list[Node]:
-        return [c for c in self.children if isinstance(c, Node)]
-
-    def walk(self) -> Iterator[Node]:
-        """This element and all below, in document order."""
-        todo = [self]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo += reversed(node.elements)
-
-    def strings(self) -> Iterator[str]:
-        todo: list[Node | str] = [self]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                yield x
-            else:
-                todo += reversed(x.children)
-
-    def text(self) -> str:
-        """Trimmed strings joined by blanks, white space single."""
-        return norm(" ".join(s for s in (x.strip() for x in self.strings()) if s))
-
-    def text_length(self) -> int:
-        parts = [len(s) for s in (x.strip() for x in self.strings()) if s]
-        return sum(parts) + max(0, len(parts) - 1)
-
-    def find(self, *tags: str) -> Node | None:
-        return next((n for n in self.walk() if n is not self and n.tag in tags), None)
-
-    def find_all(self, *tags: str) -> list[Node]:
-        return [n for n in self.walk() if n is not self and n.tag in tags]
-
-    @property
-    def classes(self) -> list[str]:
-        return self.attributes.get("class", "").split()
-
-    def remove(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
-
-def norm(text: str) -> str:
-    return _SPACE.sub(" ", text).strip()
-
-
-def parse(markup: str) -> Node:
-    """A tree with implied end tags; comments, declarations and instructions are left out."""
-    root = Node("#root")
-    open_ = [root]
-
-    def add_text(raw: str, decode: bool = True) -> None:
-        if raw:
-            open_[-1].children.append(entities.unescape(raw) if decode else raw)
-
-    def close(tags: set[str] | frozenset[str], barriers: set[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                del open_[k:]
-                close(tags, barriers)
-                return
-            if open_[k].tag in barriers:
-                return
-
-    at = 0
-    for m in iter(lambda: _MARKUP.search(markup, at), None):
-        add_text(markup[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if m["end"]:
-            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k].tag == tag), 0)
-            if k:
-                del open_[k:]
-            continue
-        if tag in ENDS_PARAGRAPH:
-            close({"p"}, {"button", "td", "th", "caption", "li", "div", "section", "article"})
-        if tag in IMPLIED:
-            close(*IMPLIED[tag])
-        if tag in HEADINGS and open_[-1].tag in HEADINGS:
-            open_.pop()
-        if tag == "body":
-            close({"head"}, set())
-        attributes: dict[str, str] = {}
-        for name, *values in _ATTRIBUTE.findall(m["rest"]):
-            attributes.setdefault(name.lower(), entities.unescape("".join(values)))
-        node = Node(tag, attributes, parent=open_[-1])
-        open_[-1].children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(markup, at)
-            raw = markup[at : end.start() if end else len(markup)]
-            if raw:
-                node.children.append(entities.unescape(raw) if tag in ("title", "textarea") else raw)
-            at = end.end() if end else len(markup)
-        elif tag not in VOID:
-            open_.append(node)
-    add_text(markup[at:])
-    return root
-
-
-def matches(node: Node, simple: str) -> bool:
-    """tag, .class and [name=value] or [name*=value] parts of one compound selector."""
-    for part in re.findall(r"\[[^\]]+\]|\.[\w-]+|[\w-]+", simple):
-        if part[0] == ".":
-            if part[1:] not in node.classes:
-                return False
-        elif part[0] == "[":
-            name, sign, value = re.fullmatch(r"\[([\w-]+)(\*?=)\"?([^\]\"]*)\"?\]", part).groups()
-            have = node.attributes.get(name)
-            if have is None or (value not in have if sign == "*=" else have != value):
-                return False
-        elif node.tag != part:
-            return False
-    return True
-
-
-def select(root: Node, selector: str) -> Iterator[Node]:
-    """Elements below root that match compound selectors joined by blanks."""
-    *above, last = selector.split()
-    for node in root.walk():
-        if node is root or not matches(node, last):
-            continue
-        up, rest = node.parent, list(above)
-        while up is not None and rest:
-            if matches(up, rest[-1]):
-                rest.pop()
-            up = up.parent
-        if not rest:
-            yield node
 
 
-def title_of(tree: Node, fallback: str) -> str:
+def title_of(view: View, fallback: str) -> str:
     for tag in ("h1", "title"):
-        node = tree.find(tag)
-        if node is not None and (text := node.text()):
+        k = view.tree.first_of(tag)
+        if k is not None and (text := view.text(k)):
             return text
     return fallback
 
 
-def content_root(tree: Node, settings: Settings = DEFAULT) -> Node:
+def content_root(view: View, settings: Settings = DEFAULT) -> int:
     """The first pinned selector's element with enough text, else the container with most text."""
+    tree = view.tree
     for selector in settings.root_selectors:
-        node = next(select(tree, selector), None)
-        if node is not None and node.text_length() >= settings.min_root_chars:
-            return node
-    best, most = None, 0
-    for node in tree.find_all("main", "article", "section", "div", "td", "body"):
-        if (n := node.text_length()) > most:
-            best, most = node, n
-    if best is not None:
+        k = tree.first(selector)
+        if k is not None and view.length(k, raw=True) >= settings.min_root_chars:
+            return k
+    held = [k for k in range(1, len(tree.tags)) if tree.tags[k] in CONTAINERS]
+    best = max(held, key=lambda k: view.length(k, raw=True), default=None)
+    if best is not None and view.length(best, raw=True):
         return best
-    if tree.find("body") is None and tree.text_length():
-        return tree  # a page without a body element has one by implication
+    if tree.first_of("body") is None and view.length(0, raw=True):
+        return 0  # a page without a body element has one by implication
     raise StructureError("there is no container with text")
 
 
-def pills_of(root: Node) -> list[str]:
-    texts = (t.text() for box in select(root, "[class*=pills_container]") for t in box.find_all("a", "span", "div"))
-    return list(dict.fromkeys(t for t in texts if t))
-
-
-def strip_boilerplate(root: Node) -> None:
-    for selector in [f"[class*={c}]" for c in BOILERPLATE_CLASSES] + [f"[id*={i}]" for i in BOILERPLATE_IDS]:
-        for node in list(select(root, selector)):
-            node.remove()
-    for node in list(root.walk()):
-        if node is root or not attached(node, root):
-            continue
-        if node.tag in DROP_TAGS or node.text().lower() in JUNK_TEXTS:
-            node.remove()
-
+def pills_of(view: View, root: int) -> list[str]:
+    """Distinct texts of the links, spans and divs within boxes of pills."""
+    tree, inside, spans = view.tree, set(), {}
+    for k in view.below(root):
+        if tree.parents[k] in inside:
+            inside.add(k)
+            if tree.tags[k] in ("a", "span", "div"):
+                spans.setdefault(view.span(k), k)
+        if "pills_container" in tree.attributes[k].get("class", ""):
+            inside.add(k)
+    return list(dict.fromkeys(t for t in map(view.text, spans.values()) if t))
 
-def to_html(node: Node) -> str:
-    """A tree as markup."""
-    out: list[str] = []
 
-    def show(x: Node | str, raw: bool) -> None:
-        if isinstance(x, str):
-            out.append(x if raw else entities.escape(x, quote=False))
-            return
-        attributes = "".join(f' {k}="{entities.escape(v)}"' for k, v in x.attributes.items())
-        if x.tag[0] != "#":
-            out.append(f"<{x.tag}{attributes}>")
-        for c in x.children:
-            show(c, x.tag in ("script", "style"))
-        if x.tag[0] != "#" and x.tag not in VOID:
-            out.append(f"</{x.tag}>")
-
-    show(node, False)
-    return "".join(out)
+def boilerplate(tree: Tree, first: int, end: int) -> list[int]:
+    """Elements that go: those of a class or an id that says so, then those of a tag that does and those with nothing but a junk phrase."""
+    named = [k for k in range(first, end) if any(c in tree.attributes[k].get("class", "") for c in BOILERPLATE_CLASSES) or any(i in tree.attributes[k].get("id", "") for i in BOILERPLATE_IDS)]
+    view, longest = View(tree, named), max(map(len, JUNK_TEXTS))
+    rest = [k for k in range(first, end) if not view.dead[k] and (tree.tags[k] in DROP_TAGS or (view.length(k) <= longest and view.text(k).lower() in JUNK_TEXTS))]
+    return named + rest
 
 
 def clean_html(markup: str) -> str:
     """Markup without boilerplate and comments, white space single."""
-    tree = parse(markup)
-    strip_boilerplate(tree)
-    for node in tree.walk():
-        node.children = [_SPACE.sub(" ", c) if isinstance(c, str) else c for c in node.children]
-    return to_html(tree)
-
-
-def attached(node: Node | None, root: Node) -> bool:
-    while node is not None and node is not root:
-        node = node.parent
-    return node is root
-
-
-def table_rows(table: Node) -> list[list[str]]:
-    """Cells of the rows that belong to this table and not to one within it; blank rows are left out."""
-    rows = []
-    for tr in table.find_all("tr"):
-        owner = tr.parent
-        while owner is not None and owner.tag != "table":
-            owner = owner.parent
-        if owner is table:
-            cells = [c for c in tr.elements if c.tag in ("th", "td")] or tr.find_all("th", "td")
-            values = [c.text().replace("|", "\\|") for c in cells]
-            if any(values):
-                rows.append(values)
-    return rows
-
-
-def table_block(table: Node) -> tuple[str, str]:
-    rows = table_rows(table)
-    if not rows:
-        raise StructureError("a table has no text")
-    width = max(map(len, rows))
-    line = lambda cells: f"| {' | '.join(cells)} |"
-    header, *body = [r + [""] * (width - len(r)) for r in rows]
-    # a table of a header alone has one line without cells
-    return "table", "\n".join([line(header), line(["---"] * width), *(map(line, body) if body else [line([])])])
-
-
-def pairs_of(node: Node, settings: Settings = DEFAULT) -> list[tuple[str, str]]:
-    """Labels and values of an element that is made of nothing else, or none."""
-    if node.tag in ("ul", "ol", "dl", "table", *HEADINGS) or node.find(*HEADINGS) is not None:
-        return []
-    inner = lambda n: [c for c in n.elements if c.tag not in DROP_TAGS]
-    children = inner(node)
-    if len(children) < 2:
-        return []
-    if len(children) == 2 and all(len(inner(c)) < 2 for c in children) and (pair := pair_of(*children, settings)):
-        return [pair]
-    out = []
-    for c in children:
-        got = pairs_of(c, settings)
-        if not got:
-            return []
-        out += got
-    return out
-
-
-def pair_of(label: Node, value: Node, settings: Settings) -> tuple[str, str] | None:
-    if all(set(settings.interactive_classes) & set(n.classes) for n in (label, value)):
-        return None
-    name, said = label.text(), value.text()
-    if not name or not said or len(name) > settings.kv_label_chars:
-        return None
-    numeric = ":" not in name and (PERCENT_LABEL.search(name) or NUMBER_LABEL.match(name))
-    return None if numeric else (name, said)
-
-
-def pair_line(name: str, value: str) -> str:
-    return f"{name} {value}" if ":" in name else f"{name}: {value}"
-
-
-def list_block(node: Node) -> tuple[str, str]:
-    items = [t for t in (i.text() for i in node.elements if i.tag == "li") if t]
-    if not items:
-        raise StructureError(f"a {node.tag} has no items with text")
-    return "list", "\n".join(f"- {t}" for t in items)
-
-
-def kind_of(node: Node, settings: Settings) -> str:
-    """What an element is to a reader: nothing, a heading, a block of some kind, words, or a holder of others."""
-    titles = HEADINGS[: settings.max_heading_level]
-    if node.tag in DROP_TAGS:
-        return "nothing"
-    if node.tag in titles:
-        return "holder" if node.find(*HEADINGS) else "heading"
-    if node.tag == "table":
-        return "table"
-    if node.tag in ("ul", "ol", "dl"):
-        return "list"
-    return "keyvalue" if pairs_of(node, settings) else "holder" if node.elements else "words"
-
-
-def pieces_in(node: Node, settings: Settings) -> Iterator[tuple[str, str, int]]:
-    """Kind, text and level of all that is read below an element, in document order."""
-    todo: list[Node | str] = list(reversed(node.children))
-    while todo:
-        x = todo.pop()
-        kind = "words" if isinstance(x, str) else kind_of(x, settings)
-        if kind == "holder":
-            todo += reversed(x.children)
-        elif kind == "heading":
-            yield kind, x.text(), int(x.tag[1])
-        elif kind == "table":
-            yield *table_block(x), 0
-        elif kind == "list":
-            yield *list_block(x), 0
-        elif kind == "keyvalue":
-            yield kind, "\n".join(pair_line(*p) for p in pairs_of(x, settings)), 0
-        elif kind == "words" and (text := norm(x) if isinstance(x, str) else x.text()):
-            yield kind, text, 0
+    tree = Tree(markup)
+    return View(tree, boilerplate(tree, 1, len(tree.tags))).markup()
+
+
+class Page:
+    """What is read below an element of a page without its boilerplate."""
+
+    def __init__(self, view: View, root: int, settings: Settings) -> None:
+        self.view, self.tree, self.settings = view, view.tree, settings
+        self.titles = HEADINGS[: settings.max_heading_level]
+        self._find_pairs(root)
+
+    def _find_pairs(self, root: int) -> None:
+        """From the innermost elements outwards: which hold one label and its value, and which hold nothing but such elements."""
+        view, tree = self.view, self.tree
+        self.pair: dict[int, tuple[int, int]] = {}
+        self.paired = bytearray(len(tree.tags))
+        for k in range(tree.ends[root] - 1, root - 1, -1):
+            kids = view.kids[k]
+            if view.dead[k] or len(kids) < 2 or tree.tags[k] in UNPAIRED or view.headed(k):
+                continue
+            if len(kids) == 2 and not any(len(view.kids[c]) > 1 for c in kids) and self.labels(kids[0]) and self.says(*kids):
+                self.pair[k] = tuple(kids)
+            self.paired[k] = k in self.pair or all(self.paired[c] for c in kids)
+
+    def labels(self, k: int) -> bool:
+        """Can this element's text be a label: short, and no number unless a colon follows it?"""
+        if not 0 < self.view.length(k) <= self.settings.kv_label_chars:
+            return False
+        text = self.view.text(k)
+        return ":" in text or not (NUMBER_LABEL.match(text) or PERCENT_LABEL.search(text))
+
+    def says(self, label: int, value: int) -> bool:
+        """Is there a value, and is one of both no control?"""
+        pressed = [bool(set(self.settings.interactive_classes).intersection(self.tree.classes(k))) for k in (label, value)]
+        return self.view.length(value) > 0 and not all(pressed)
+
+    def pairs(self, k: int) -> str:
+        """The labels and values within an element, a line for each."""
+        lines, end = [], self.tree.ends[k]
+        while k < end:
+            if k in self.pair:
+                name, said = map(self.view.text, self.pair[k])
+                lines.append(f"{name} {said}" if ":" in name else f"{name}: {said}")
+                k = self.tree.ends[k]
+            else:
+                k += 1
+        return "\n".join(lines)
+
+    def rows(self, table: int) -> list[list[str]]:
+        """Cells of the rows that belong to this table and not to one within it; blank rows are left out."""
+        tree, view, rows = self.tree, self.view, []
+        k = table + 1
+        while k < tree.ends[table]:
+            if view.dead[k] or tree.tags[k] == "table":
+                k = tree.ends[k]
+                continue
+            if tree.tags[k] == "tr":
+                cells = [c for c in view.kids[k] if tree.tags[c] in ("th", "td")] or [c for c in view.below(k) if tree.tags[c] in ("th", "td")]
+                rows.append([view.text(c).replace("|", "\\|") for c in cells])
+            k += 1
+        return [r for r in rows if any(r)]
+
+    def table(self, k: int) -> str:
+        rows = self.rows(k)
+        if not rows:
+            raise StructureError("a table has no text")
+        width = max(map(len, rows))
+        line = lambda cells: f"| {' | '.join(cells)} |"
+        header, *body = [r + [""] * (width - len(r)) for r in rows]
+        # a table of a header alone has one line without cells
+        return "\n".join([line(header), line(["---"] * width), *(map(line, body) if body else [line([])])])
+
+    def items(self, k: int) -> str:
+        items = [t for t in (self.view.text(c) for c in self.view.kids[k] if self.tree.tags[c] == "li") if t]
+        if not items:
+            raise StructureError(f"a {self.tree.tags[k]} has no items with text")
+        return "\n".join(f"- {t}" for t in items)
+
+    def kind(self, k: int) -> str:
+        """What an element is to a reader: a heading, a block of some kind, words, or a holder of others."""
+        tag = self.tree.tags[k]
+        if tag in self.titles:
+            return "holder" if self.view.headed(k) else "heading"
+        if tag == "table":
+            return "table"
+        if tag in ("ul", "ol", "dl"):
+            return "list"
+        return "keyvalue" if self.paired[k] else "holder" if self.view.kids[k] else "words"
+
+    def pieces(self, root: int) -> Iterator[tuple[str, str, int]]:
+        """Kind, text and level of all that is read, in document order."""
+        tree, place = self.tree, self.tree.at[root]
+        read = {"table": self.table, "list": self.items, "keyvalue": self.pairs}
+        while place < tree.done[root]:
+            e = tree.events[place]
+            place += 1
+            if e < 0:
+                if text := norm(tree.texts[-1 - e]):
+                    yield "words", text, 0
+                continue
+            kind = "nothing" if self.view.dead[e] else self.kind(e)
+            if kind == "holder":
+                continue
+            place = tree.done[e]
+            if kind == "heading":
+                yield kind, self.view.text(e), int(tree.tags[e][1])
+            elif kind in read:
+                yield kind, read[kind](e), 0
+            elif kind == "words" and (text := self.view.text(e)):
+                yield kind, text, 0
 
 
 def paths_of(headings: list[tuple[str, int]], tree: bool) -> Iterator[list[str]]:
@@ -356,9 +191,9 @@ def paths_of(headings: list[tuple[str, int]], tree: bool) -> Iterator[list[str]]
         yield path
 
 
-def sections_of(node: Node, settings: Settings) -> list[dict]:
+def sections_of(page: Page, root: int) -> list[dict]:
     """Sections below an element: what stands before the first heading belongs to the overview; neighbouring words are one text."""
-    pieces = list(pieces_in(node, settings))
+    settings, pieces = page.settings, list(page.pieces(root))
     starts = [k for k, p in enumerate(pieces) if p[0] == "heading"]
     names = [(pieces[k][1], pieces[k][2]) for k in starts]
     own = zip(starts, [*starts[1:], len(pieces)], names, paths_of(names, settings.heading_path_mode == "tree"), strict=False)
@@ -378,15 +213,13 @@ def sections_of(node: Node, settings: Settings) -> list[dict]:
 
 def read_page(markup: str, fallback: str = "", settings: Settings = DEFAULT) -> tuple[str, list[dict]]:
     """Title and sections of a page; sections without blocks are left out, and pills stand first in the overview."""
-    tree = parse(markup)
-    title = title_of(tree, fallback)
-    root = content_root(tree, settings)
-    pills = pills_of(root)
-    holder = Node("#root", children=[root])
-    root.parent = holder
-    strip_boilerplate(holder)
+    tree = Tree(markup)
+    raw = View(tree)
+    title, root = title_of(raw, fallback), content_root(raw, settings)
+    pills = pills_of(raw, root)
+    page = Page(View(tree, boilerplate(tree, root, tree.ends[root])), root, settings)
     overview = settings.overview_heading
-    sections = [s for s in sections_of(holder, settings) if s["blocks"] or s["heading"] == overview]
+    sections = [s for s in sections_of(page, root) if s["blocks"] or s["heading"] == overview]
     if pills:
         risk = re.compile(settings.risk_pattern)
         if not any(s["heading"] == overview for s in sections):

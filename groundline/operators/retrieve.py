@@ -99,7 +99,7 @@ def block_number(table: DataFrame, id_col: str, block_bytes: int) -> int:
     return 1 if first is None else max(1, -(-table.select(id_col).count() * 8 * max(1, first["n"]) // block_bytes))
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int | None = None, exclude_self: bool = False, settings: Settings = DEFAULT, batches: int | None = None) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int = DEFAULT.top_k, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, blocks: int | None = None, exclude_self: bool = False, batches: int | None = None) -> DataFrame:
     """The k nearest items of each query: query_id, rank, item_id, distance.
 
     Queries are the stated set and go against all items in blocks.  Both sides are dealt by hashes to as many parts as bound a part's bytes
@@ -137,6 +137,15 @@ def best_of(found: DataFrame, k: int, query_id: str, item_id: str) -> DataFrame:
     return ranked.select(F.col("_q").alias(query_id), "rank", F.col("_i").alias(item_id), F.col("_d").alias("distance"))
 
 
+def merged_top_k(queries: DataFrame, index: DataFrame, k: int, form: str, query_id: str = "query_id", item_id: str = "chunk_id", **options) -> DataFrame:
+    """The k nearest items of each query that is asked in several forms: an item counts once, by the form that it is nearest to."""
+    kind = dict(queries.dtypes)[query_id]
+    rows = queries.withColumn("_asked", F.struct(F.col(query_id).alias("q"), F.sha1(F.col(form).cast("string")).alias("f")))
+    found = top_k(rows.withColumn("_asked", F.to_json("_asked")), index, k, "_asked", item_id, **options)
+    found = found.select(F.from_json("_asked", f"q {kind}, f string")["q"].alias("_q"), F.col(item_id).alias("_i"), "distance")
+    return best_of(found.groupBy("_q", "_i").agg(F.min("distance").alias("_d")), k, query_id, item_id)
+
+
 def nearest_one(index: DataFrame, vector: list[float], k: int = DEFAULT.top_k, item_id: str = "chunk_id", where: Column | None = None) -> DataFrame:
     """The k nearest items of one vector: a projection and a bounded sort."""
     rows = index if where is None else index.filter(where)
@@ -144,16 +153,27 @@ def nearest_one(index: DataFrame, vector: list[float], k: int = DEFAULT.top_k, i
     return scored.orderBy("distance", item_id).limit(k).withColumn("rank", F.row_number().over(Window.orderBy("distance", item_id)))
 
 
-def retrieve(questions: DataFrame, index: DataFrame, embed, settings: Settings = DEFAULT, auto_detect: bool = True) -> DataFrame:
-    """Hits of each question (query_id, question, and scheme if given), by the vector of its expanded text."""
+def retrieve(questions: DataFrame, index: DataFrame, embed, settings: Settings = DEFAULT, auto_detect: bool = True, used: list[DataFrame] | None = None) -> DataFrame:
+    """Hits of each question (query_id, question, and scheme if given), by the vector of its expanded text.
+
+    The vectors of the questions are written once, to a table that is added to `used`.  With `settings.dual_query` the question without its scheme's name is searched as well, and the nearest hits of both are kept.
+    """
     from groundline.operators import rewrite
 
     known = [s for s, _ in settings.aliases]
     given = F.col("scheme") if "scheme" in questions.columns else F.lit(None).cast("string")
     scheme = F.when(given.isNotNull() & ~given.isin(known), F.raise_error(F.concat(F.lit("unknown scheme "), given))).otherwise(F.coalesce(given, rewrite.detect_scheme(F.col("question"), settings)) if auto_detect else given)
     asked = questions.select("query_id", scheme.alias("scheme"), rewrite.expand(F.col("question"), settings).alias("expanded_query"))
-    vectors = embed(asked, "expanded_query")
-    found = top_k(vectors, index, settings.top_k, filter_col="scheme", settings=settings)
+    if settings.dual_query:
+        plain = questions.select("query_id", rewrite.without_scheme(F.col("question"), settings).alias("_other"))
+        forms = asked.join(plain, "query_id").withColumn("_form", F.explode(F.array_distinct(F.array("expanded_query", rewrite.expand(F.col("_other"), settings)))))
+        vectors = kept(embed(forms.select("query_id", "scheme", "_form"), "_form"), "vectors")
+        found = merged_top_k(vectors, index, settings.top_k, "_form", filter_col="scheme")
+    else:
+        vectors = kept(embed(asked, "expanded_query"), "vectors")
+        found = top_k(vectors, index, settings.top_k, filter_col="scheme")
+    if used is not None:
+        used.append(vectors)
     return hits(found, index).join(asked.select("query_id", F.col("scheme").alias("filter"), "expanded_query"), "query_id")
 
 
@@ -300,7 +320,31 @@ def norm_stats(index: DataFrame, scheme: str = "scheme", section: str = "section
     return index.agg(F.count("*").alias("n_rows"), F.round(F.min(length), 6).alias("min_norm"), F.round(F.max(length), 6).alias("max_norm"), *more)
 
 
-def probe_report(found: DataFrame, settings: Settings = DEFAULT, chars: int = 160) -> DataFrame:
-    """A line for each hit: rank, distance, scheme, section and a preview."""
-    line = F.format_string("%2d. %.4f  %s | %s  %s", F.col("rank"), F.col("distance"), F.col("scheme"), F.col("section"), F.substring(tx.collapse(F.col("text")), 1, chars))
-    return found.select("query_id", "rank", line.alias("line"))
+def probe_report(questions: DataFrame, found: DataFrame, settings: Settings = DEFAULT, chars: int = 160) -> DataFrame:
+    """What a search did, as lines of text: query_id, line_no and line, for every question, with hits or without.
+
+    questions: query_id and question; found: their hits, as `retrieve` gives them (with filter and expanded_query where there are hits).
+    """
+    from groundline.operators import rewrite
+
+    scores = gate(questions, found, settings.max_distance, settings.gate_aggregation)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    hit = F.array(
+        F.format_string("%d. d=%.4f %s [%s] %s", F.col("rank"), F.col("distance"), F.col("chunk_id"), text("scheme"), text("section")),
+        F.concat(F.lit("   "), text("source_url")),
+        F.concat(F.lit("   "), F.substring(tx.collapse(F.col("text")), 1, chars)),
+    )
+    listed = found.groupBy("query_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("rank", hit.alias("lines")))), lambda h: h["lines"])).alias("_hits"), F.max("filter").alias("filter"))
+    rows = questions.select("query_id", "question").join(scores, "query_id").join(listed, "query_id", "left")
+    named = rewrite.detect_scheme(F.col("question"), settings)
+    measured = F.when(F.col("gate_score").isNull(), "n/a").otherwise(F.format_string("%.4f", "gate_score"))
+    kind = "best" if settings.gate_aggregation == "min" else "worst"
+    head = F.array(
+        F.concat(F.lit("question: "), text("question")),
+        F.concat(F.lit("expanded: "), rewrite.expand(F.col("question"), settings)),
+        F.concat(F.lit("scheme filter: "), F.coalesce("filter", F.when(F.col("_hits").isNull(), named), F.lit("none"))),
+        F.concat(F.lit("gate: "), F.when(F.col("passes_gate"), "PASS").otherwise("FAIL"), F.lit(f" ({kind}_distance="), measured, F.lit(f" limit={settings.max_distance} aggregation={settings.gate_aggregation})")),
+        F.lit(""),
+    )
+    lines = F.concat(head, F.coalesce("_hits", F.array(F.lit("no hits"))))
+    return rows.select("query_id", F.posexplode(lines).alias("line_no", "line"))

@@ -19,6 +19,8 @@ def expand(question: Column, settings: Settings = DEFAULT) -> Column:
     """
     entries = [F.struct(F.lit(i).alias("term"), F.lit(rf"(?iU)\b{re.escape(term)}\b").alias("pattern"), F.lit(v).alias("variant")) for i, (term, variants) in enumerate(settings.synonyms) for v in variants]
     text = tx.normalize(question)
+    if not entries:
+        return text
 
     def fold(original: Column) -> Column:
         cap = F.floor(F.length(original) * settings.expansion_ratio)
@@ -43,6 +45,19 @@ def expand(question: Column, settings: Settings = DEFAULT) -> Column:
 def detect_scheme(question: Column, settings: Settings = DEFAULT) -> Column:
     """The slug of the one scheme that the question names; null for none or several."""
     text = tx.normalize(question)
-    found = [F.when(text.rlike("(?iU)" + "|".join(rf"\b{re.escape(a)}\b" for a in names)), F.lit(slug)) for slug, names in settings.aliases]
+    found = [F.when(text.rlike("(?iU)" + "|".join(rf"\b{re.escape(a)}\b" for a in names)), F.lit(slug)) for slug, names in settings.named() if names]
     hits = F.filter(F.array(*found), lambda s: s.isNotNull())
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+
+
+def without_scheme(question: Column, settings: Settings = DEFAULT) -> Column:
+    """The normalised question without the names of schemes, the brand before them and what usually follows; as it was where nothing is left."""
+    text = tx.normalize(question)
+    names = sorted({n for _, names in settings.named() for n in names}, key=lambda n: (-len(n), n))
+    if not names:
+        return text
+    brand = rf"(?:{re.escape(settings.brand.lower())} )?" if settings.brand else ""
+    spelled = "|".join(map(re.escape, names))
+    rest = F.regexp_replace(text, rf"(?iU)(?:\b(?:of|in|for|on) )?(?:\bthe )?\b{brand}(?:{spelled})\b{settings.scheme_tail}\b", " ")
+    rest = tx.collapse(F.regexp_replace(rest, r"\s+([?.!,])", "$1"))
+    return F.when(F.length(F.regexp_replace(rest, r"(?U)\W", "")) == 0, text).otherwise(rest)

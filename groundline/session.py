@@ -46,4 +46,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 def kept(table: DataFrame, name: str) -> DataFrame:
     """A table that several branches read, written once and read again, so that lost executors cost nothing."""
     table.write.parquet(path := scratch(table.sparkSession, name))
-    return table.sparkSession.read.schema(table.schema).parquet(path)
+    out = table.sparkSession.read.schema(table.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what `kept` wrote; nothing that reads these tables may run any more."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -18,9 +18,10 @@ SYNONYMS = (
     ("riskometer", ("risk level", "risk category", "riskometer level")),
     ("direct plan", ("direct growth", "direct growth plan")),
 )
+#: BRAND stands for the brand of the settings; an alias with it counts only where there is one.
 ALIASES = (
     ("large_cap", ("large cap", "largecap")),
-    ("flexi_cap", ("flexi cap", "flexicap", "equity fund")),
+    ("flexi_cap", ("flexi cap", "flexicap", "BRAND equity fund")),
     ("elss", ("elss", "tax saver", "tax saver fund")),
     ("small_cap", ("small cap", "smallcap")),
     ("balanced_advantage", ("balanced advantage", "balanced advantage fund")),
@@ -80,13 +81,27 @@ class Settings:
     max_query_chars: int = 4000
     expansion_ratio: float = 2.0
     synonyms: tuple = SYNONYMS
+    #: Search a question a second time without the scheme's name, and keep the best of both.
+    dual_query: bool = False
+    #: What may follow a scheme's name and goes with it.
+    scheme_tail: str = r"(?: fund)?(?:\s*-?\s*direct)?(?: plan)?(?:\s*-?\s*growth)?"
     llm_temperature: float = 0.0
     llm_top_p: float = 1.0
     llm_max_tokens: int = 400
     llm_timeout_s: float = 60.0
+    llm_attempts: int = 2
+    llm_wait_s: float = 0.5
+    #: Requests that one task has open at a time.
+    llm_parallel: int = 8
     #: Sides of joins are broadcast below this size only.
     broadcast_bytes: int = 32 << 20
     extra: dict = field(default_factory=dict, hash=False)
 
 
+    def named(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """The aliases of each scheme, lower-cased, with the brand in its place."""
+        own = lambda a: (a.replace("BRAND", self.brand) if self.brand else None if "BRAND" in a else a)
+        return tuple((slug, tuple(x.lower() for x in map(own, names) if x)) for slug, names in self.aliases)
+
+
 DEFAULT = Settings()

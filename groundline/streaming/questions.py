@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from groundline.plans.answer import answer
+from groundline.session import release
 from groundline.settings import DEFAULT, Settings
 
 
@@ -16,6 +17,10 @@ def answer_stream(questions: DataFrame, index: DataFrame, target: str, checkpoin
     options = {"generator": generator} if generator else {}
 
     def write(batch: DataFrame, number: int) -> None:
-        answer(batch, index, embedder, settings=settings, **options).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        used: list[DataFrame] = []
+        try:
+            answer(batch, index, embedder, settings=settings, used=used, **options).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        finally:
+            release(*used)
 
     return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -106,3 +106,49 @@ def test_semantic_split():
     vectors = {"A a.": [1, 0], "A b.": [1, 0], "B c.": [0, 1], "B d.": [0, 1]}
     got = chunks.semantic_split("A a. A b. B c. B d.", lambda xs: [vectors[x] for x in xs])
     assert got == ["A a. A b.", "B c. B d."]
+
+
+def test_split_table_drops_blank_lines_and_cuts_greedily():
+    head = "| h |\n| --- |"
+    assert chunks.split_table(f"{head}\n\n| a |\n \n| b |", 100) == [f"{head}\n| a |\n| b |"]
+    assert chunks.split_table(" \n ", 10) == [] and chunks.split_table("one\n\ntwo", 1) == ["one\n\ntwo"]
+    r = random.Random(4)
+    for _ in range(50):
+        rows = ["| " + "w " * r.randint(1, 9) + "|" for _ in range(r.randint(1, 30))]
+        out = chunks.split_table("\n".join([head, *rows]), 26)
+        assert [x for p in out for x in p.split("\n")[2:]] == rows
+        cost = lambda lines: chunks.count_tokens(head) + sum(chunks.count_tokens(x) + 1 for x in lines)
+        parts = [p.split("\n")[2:] for p in out]
+        assert all(cost(p) <= 26 for p in parts) and all(cost([*a, b[0]]) > 26 for a, b in zip(parts, parts[1:]))
+
+
+SHAPES = {"bold": "<b>", "stray ends": "</i>", "nested": "<div>x", "tables": "<table><tr><td>t", "quotes": '<a x="', "lists after bold": "<ul><li>x", "headings": "<h1>y"}
+
+
+def test_reading_grows_with_the_page():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        for shape in SHAPES.values():
+            pages.read_page("<body>text" + "<b>" * n + shape * n)
+        pages.read_page("<body>" + "<div><span>a</span><span>b</span></div>" * n)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(16_000) < 4 * 4 * seconds(4_000)
+
+
+def test_intervals_of_elements():
+    from groundline.operators.tree import Tree, View
+
+    tree = Tree("<body><p>a <b>b</b><p>c<ul><li>d<li>e</ul>f")
+    names = dict(enumerate(tree.tags))
+    assert [names[k] for k in range(1, len(tree.tags))] == ["body", "p", "b", "p", "ul", "li", "li"]
+    inside = {k: [x for x in range(len(tree.tags)) if k < x < tree.ends[k]] for k in range(len(tree.tags))}
+    for k, below in inside.items():
+        assert all(tree.at[k] < tree.at[x] and tree.done[x] <= tree.done[k] for x in below)
+    view = View(tree, [3])
+    assert view.text(2) == "a" and view.text(0) == "a c d e f" and view.length(0) == 9 and view.dead[3]
+    assert View(Tree("<p>a  b <script>1 &lt; 2</script></p>")).markup() == "<p>a b <script>1 &lt; 2</script></p>"
+    assert Tree("<div class='container'><div class=row><p><div class='col-md-8 x'>t").first("div.container div.row div.col-md-8") == 4

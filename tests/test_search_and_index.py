@@ -1,13 +1,16 @@
+import dataclasses
+import json
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.errors import EmptyCollectionError, GeneratorNotConfiguredError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
-from groundline.operators import embed, index, retrieve
+from groundline.errors import EmptyCollectionError, GenerationError, GeneratorNotConfiguredError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
+from groundline.operators import embed, index, retrieve, rewrite
 from groundline.plans.answer import answer, ask_payload, failure_status, valid_requests
 from groundline.plans.build import build_index
+from groundline.session import release
 from groundline.settings import Settings
 
 S = Settings(embed_dim=64, allowed_hosts=("example.com",), scheme_urls=(("elss", "https://example.com/elss"),), max_distance=0.8)
@@ -103,6 +106,74 @@ def test_answers(spark, built):
     assert [r["error"] for r in valid_requests(spark.createDataFrame([(None,), (" ",), ("ok",), ("x" * 4001,)], "question string")).collect()] == ["missing", "blank", None, "too long"]
 
 
+def test_traces(spark, built):
+    _, table = built
+    asked = [("1", "What is the exit load of the tax saver?"), ("2", "should i buy it"), ("3", "my pan is ABCDE1234F"), ("4", "zzz qqq")]
+    questions, used = spark.createDataFrame(asked, "query_id string, question string"), []
+    answers = answer(questions, table, settings=S, used=used)
+    shown = {r["query_id"]: json.loads(r["payload"])["trace"] for r in ask_payload(answers, questions).collect()}
+    assert shown["1"]["guards"] == {"action": "answer", "refusal_type": None, "matched_names": []} and shown["1"]["filter"] == "elss" and shown["1"]["llm_called"]
+    assert shown["1"]["expanded_query"].startswith("what is the exit load of the tax saver? exit charge") and all("distance" in h for h in shown["1"]["hits"])
+    assert shown["2"]["guards"]["refusal_type"] == "advice" and shown["3"]["guards"]["matched_names"] == ["pan"] and shown["2"]["expanded_query"] == "" and shown["4"]["filter"] is None
+    assert set(shown["1"]["timings_ms"]) == {"guards", "retrieve", "gate", "generate"} and min(shown["1"]["timings_ms"].values()) >= 0
+    paths = [t.written_at.removeprefix("file:") for t in used]
+    assert len(paths) == 5 and all(map(os.path.isdir, paths))
+    release(*used)
+    assert not any(map(os.path.isdir, paths))
+
+
+def test_failed_generations_have_rows(spark, built):
+    _, table = built
+    questions = spark.createDataFrame([("1", "What is the exit load of the tax saver?"), ("2", "What is the expense ratio of the small cap scheme?")], "query_id string, question string")
+
+    def generator(prompts):
+        if "exit load" in prompts[0].partition("BEGIN QUESTION")[2]:
+            raise GenerationError("status 503")
+        return ["One percent. https://example.com/small"]
+
+    settings = dataclasses.replace(S, llm_wait_s=0.01)
+    got = {r["query_id"]: r for r in answer(questions, table, generator=generator, settings=settings).collect()}
+    assert got["1"]["error"] == "status 503" and got["1"]["answer"] == "The language model is not available." and not got["1"]["refusal"] and not got["1"]["citations"]
+    assert got["2"]["error"] is None and got["2"]["answer"].startswith("One percent.")
+    with pytest.raises(Exception, match="status 503"):
+        answer(questions, table, generator=generator, settings=settings, strict=True).collect()
+
+
+def test_probe_report(spark, built):
+    _, table = built
+    questions = spark.createDataFrame([("1", "What is the exit load of the tax saver?"), ("2", "anything")], "query_id string, question string")
+    vectors = lambda rows, column: embed.embed_texts(rows, column, embed.hashing_embedder(64), S)[0]
+    found = retrieve.retrieve(questions.filter("query_id = '1'"), table, vectors, S)
+    lines = {}
+    for r in retrieve.probe_report(questions, found, S).orderBy("query_id", "line_no").collect():
+        lines.setdefault(r["query_id"], []).append(r["line"])
+    assert lines["2"] == ["question: anything", "expanded: anything", "scheme filter: none", "gate: FAIL (best_distance=n/a limit=0.8 aggregation=min)", "", "no hits"]
+    hit = found.orderBy("rank").first()
+    assert lines["1"][:3] == ["question: What is the exit load of the tax saver?", f"expanded: {hit['expanded_query']}", "scheme filter: elss"] and lines["1"][3].startswith(f"gate: PASS (best_distance={hit['distance']:.4f}")
+    assert lines["1"][5:7] == [f"1. d={hit['distance']:.4f} {hit['chunk_id']} [elss] {hit['section']}", "   https://example.com/elss"] and "exit load" in lines["1"][7]
+
+
+def test_two_forms_of_a_question_keep_the_best_of_both(spark):
+    """The four kinds of question that one vector fails on: the long name of a scheme drowns a short value, or its lack leaves too little."""
+    name = "Acme Balanced Advantage Fund - Direct Growth"
+    texts = {"c1": f"{name} about the fund house, its manager, history, objective and benchmark of record", "c2": "exit load: nil", "c3": "expense ratio of the plan", "c4": "minimum sip amount is 100"}
+    rows = [(k, t, "s", "balanced_advantage", "B", "c", "https://example.com/b", "2024", ["s"]) for k, t in texts.items()]
+    items = spark.createDataFrame(rows, "chunk_id string, text string, section string, scheme string, scheme_name string, category string, source_url string, fetched_at string, heading_path array<string>")
+    s = dataclasses.replace(S, brand="Acme", top_k=3, synonyms=())
+    table = embed.embed_texts(items, "text", embed.hashing_embedder(64), s)[0].persist()
+    said = [("1", "exit load balanced advantage"), ("2", "the exit load on balanced advantage?"), ("3", f"Exit load of {name}?"), ("4", f"What is the benchmark of {name}?")]
+    questions = spark.createDataFrame(said, "query_id string, question string")
+    vectors = lambda rows, column: embed.embed_texts(rows, column, embed.hashing_embedder(64), s)[0]
+    best = lambda q, settings: {r["query_id"]: r for r in retrieve.retrieve(q, table, vectors, settings).filter("rank = 1").collect()}
+    whole, both = best(questions, s), best(questions, dataclasses.replace(s, dual_query=True))
+    bare = best(questions.select("query_id", rewrite.without_scheme(F.col("question"), s).alias("question"), F.lit("balanced_advantage").alias("scheme")), s)
+    for q in "1234":
+        assert both[q]["distance"] == min(whole[q]["distance"], bare[q]["distance"]) and both[q]["filter"] == "balanced_advantage"
+    assert [both[q]["chunk_id"] for q in "1234"] == ["c2", "c2", "c2", "c1"] and whole["3"]["chunk_id"] == "c1" and bare["4"]["distance"] > whole["4"]["distance"]
+    ranks = retrieve.retrieve(questions, table, vectors, dataclasses.replace(s, dual_query=True)).groupBy("query_id").agg(F.count_distinct("chunk_id"), F.max("rank")).collect()
+    assert all(tuple(r)[1:] == (3, 3) for r in ranks)
+
+
 @pytest.mark.parametrize(("distances", "how", "want"), [([], "min", False), ([0.1, 0.6], "min", True), ([0.65, 0.7], "min", False), ([0.1, 0.6], "max", False), ([0.1, 0.4], "max", True), ([0.57], "min", True), ([0.571], "min", False)])
 def test_gate(spark, distances, how, want):
     q = spark.createDataFrame([("q",)], "query_id string")

@@ -96,6 +96,27 @@ GENERATED = [
 ]
 
 
+def test_aliases_with_the_brand(spark):
+    s = Settings(brand="Acme")
+    said = ["sector allocation of equity fund", "acme equity fund", "ACME  Equity Fund, please", "flexicap"]
+    assert values(spark, said, lambda c: rewrite.detect_scheme(c, s)) == [None, "flexi_cap", "flexi_cap", "flexi_cap"]
+    assert values(spark, said, rewrite.detect_scheme) == [None, None, None, "flexi_cap"]
+
+
+def test_questions_without_their_scheme(spark):
+    s = Settings(brand="Acme")
+    said = ["exit load elss", "What is the exit load of the Acme Large Cap Fund - Direct Growth?", "benchmark of Acme Balanced Advantage Fund Direct Plan Growth", "ELSS", "no scheme here", "small cap or large cap fees", None]
+    want = ["exit load", "what is the exit load?", "benchmark", "elss", "no scheme here", "or fees", ""]
+    assert values(spark, said, lambda c: rewrite.without_scheme(c, s)) == want
+    assert values(spark, ["a elss b"], lambda c: rewrite.without_scheme(c, Settings(aliases=()))) == ["a elss b"]
+
+
+def test_the_prompt_has_seven_rules():
+    said = verify.system_prompt(brand="Acme")
+    assert [line.split(".")[0] for line in said.split("\n")[1:]] == list("1234567") and "Acme mutual fund scheme" in said
+    assert verify.SENTINEL in said and verify.LAST_UPDATED in said
+
+
 def test_verify(spark):
     rows = spark.createDataFrame([(i, g, ["https://ok.example/p"]) for i, (g, _, _) in enumerate(GENERATED)], "i int, generated string, context_urls array<string>")
     for r in verify.verify(rows).orderBy("i").collect():
@@ -111,16 +132,54 @@ def test_prompt_cannot_be_fenced(spark):
     assert got.count("===END CONTEXT===") == 1 and got.count("BEGIN QUESTION") == 1
 
 
-def test_generator_is_asked_again(spark):
-    calls = []
+def test_a_prompt_that_fails_leaves_the_others(spark):
+    rows = spark.createDataFrame([(i, "bad" if i == 5 else "worse" if i == 6 else f"p{i}") for i in range(64)], "i int, prompt string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def generator(prompts):
+        calls.add(1)
+        if prompts[0] in ("bad", "worse"):
+            raise verify.GenerationError("status 503" if prompts[0] == "bad" else "status 400", transient=prompts[0] == "bad")
+        return [p.upper() for p in prompts]
+
+    quick = Settings(llm_attempts=3, llm_wait_s=0.01)
+    got = {r["i"]: r for r in verify.generate(rows, "prompt", generator, quick).collect()}
+    assert len(got) == 64 and all(got[i]["generated"] == f"P{i}" and got[i]["generation_error"] is None for i in range(64) if i not in (5, 6))
+    assert [(got[i]["generated"], got[i]["generation_error"]) for i in (5, 6)] == [(None, "status 503"), (None, "status 400")]
+    assert calls.value == 62 + 3 + 1  # what may pass is tried three times, what will not once
+    with pytest.raises(Exception, match="status 503"):
+        verify.generate(rows, "prompt", generator, quick, strict=True).collect()
+
+
+def test_waits_grow_or_are_as_asked():
+    waits = []
+
+    def fail(wait):
+        def call():
+            raise verify.GenerationError("status 429", wait_s=wait)
+
+        return call
+
+    assert verify.with_retries(fail(None), 4, 0.5, waits.append) == (None, "status 429") and waits == [0.5, 1.0, 2.0]
+    assert verify.with_retries(fail(7.0), 2, 0.5, waits.append)[1] and waits[3:] == [7.0]
+
+
+def test_generators_and_their_addresses():
+    calls, answers = [], [(503, {"retry_after_s": 2.0}), (400, {}), (200, {}), (200, {"choices": [{"message": {"content": " ok "}}]})]
 
     def send(url, headers, payload):
-        calls.append(payload["messages"][1]["content"])
-        return (500, {}) if len(calls) < 2 else (200, {"choices": [{"message": {"content": " ok "}}]})
+        calls.append(url)
+        return answers.pop(0)
 
     make = verify.chat_generator("http://localhost:1/v1", "m", None, send=send)
-    with pytest.raises(verify.GenerationError):
-        make(["x"])
-    assert make(["x"]) == ["ok"]
-    with pytest.raises(verify.GeneratorNotConfiguredError):
-        verify.chat_generator("https://hosted.example/v1", "m", None)
+    seen = []
+    for _ in range(3):
+        with pytest.raises(verify.GenerationError) as e:
+            make(["x"])
+        seen.append((e.value.transient, e.value.wait_s))
+    assert seen == [(True, 2.0), (False, None), (False, None)] and make(["x"]) == ["ok"] and set(calls) == {"http://localhost:1/v1/chat/completions"}
+    assert verify.endpoint("groq") == "https://api.groq.com/openai/v1/chat/completions" and verify.endpoint("groq", "http://own/v1/") == "http://own/v1/chat/completions"
+    for provider, base, key in (("", "", "k"), ("unknown", "", "k"), ("groq", "", ""), ("", "https://hosted.example/v1", None)):
+        with pytest.raises(verify.GeneratorNotConfiguredError):
+            verify.chat_generator(base, "m", key, provider=provider)
+    verify.chat_generator("", "m", None, provider="ollama")
