@@ -8,7 +8,8 @@ footers, sidebars, notices, adverts, forms, comments), or open.
    It goes on as a 64-bit key of host and tokens with the least and the greatest page that has it, and an aggregation by
    key finds those of two distinct pages: wherever the pages lie and however many a host has.  A longer repeat is covered by
    the repeats of `min_tokens` within it, so no length is missed.
-2. Tokens that repeats cover are removed from open blocks, and their unique runs are kept.
+2. Tokens that repeats cover are removed from open blocks, and their unique runs are kept.  A covered stretch of PASSAGE_TOKENS or more whose blocks
+   are prose is a copy of some text, which pages without marked articles share as well, and stays.
 3. A check of the roles follows: unique runs in boilerplate elements go (an advert may be shown once), and articles that a page
    marks as such stay whole, as copies and quotations repeat what articles say.
 
@@ -37,6 +38,8 @@ from groundline.llm.neardup import mixed
 MIN_TOKENS = 6
 #: Repeated keys are sent to workers up to this size.
 MOST_BYTES = 32 << 20
+#: A repeat this long, in blocks of so many tokens on average, is a copied or quoted passage and stays.
+PASSAGE_TOKENS, PROSE_TOKENS = 50, 10
 ARTICLE, OPEN, BOILERPLATE = 0, 1, 2
 
 # Elements of HTML by what they are here.
@@ -91,10 +94,35 @@ class Ends:
         return self.of[tag].get(at)
 
 
+class Opened:
+    """The stack of open elements with the roles that they began, and by name how deep each one lies: no search walks through the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.depths: dict[str, list[int]] = {}
+
+    def add(self, tag: str, role: int) -> None:
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, role))
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost of these, or -1."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=-1)
+
+    def cut(self, depth: int) -> None:
+        """The element at a depth ends, and so does all within it; -1 is none."""
+        while 0 <= depth < len(self.stack):
+            self.depths[self.stack.pop()[0]].pop()
+
+    @property
+    def role(self) -> int:
+        return self.stack[-1][1] if self.stack else OPEN
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """Role and text of each block in page order; references decoded, white space single."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements, and the role they began
+    opened = Opened()
     role, parts, at, end = OPEN, [], 0, len(page)
     ends, article = Ends(page), {"article"} if _ARTICLE.search(page) else {"main"}
 
@@ -116,13 +144,11 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if close:
             if tag in BLOCKS or tag in DROPPED:
                 flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
-            if k >= 0:
-                del stack[k:]
-                now = stack[-1][1] if stack else OPEN
-                if now != role:
+            if (depth := opened.last((tag,))) >= 0:
+                opened.cut(depth)
+                if opened.role != role:
                     flush()
-                    role = now
+                    role = opened.role
             continue
         if tag in RAW:
             # raw content ends at its own end tag alone
@@ -137,21 +163,11 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             continue
         if tag in BLOCKS or tag in DROPPED:
             flush()
-            if tag in BLOCKS:  # a block ends an open paragraph and what stands open in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPES:
-                        break
-            if tag in CLOSED_BY:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in CLOSED_BY[tag]:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in SCOPES:
-                        break
-            role = stack[-1][1] if stack else OPEN
+            # a block ends an open paragraph and what stands open in it
+            for ended in (("p",) if tag in BLOCKS else (), CLOSED_BY.get(tag, ())):
+                if (depth := opened.last(ended)) > opened.last(SCOPES):
+                    opened.cut(depth)
+            role = opened.role
         if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
             continue
         now = role
@@ -163,7 +179,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if now != role:
             flush()
             role = now
-        stack.append((tag, role))
+        opened.add(tag, role)
     flush()
     return out
 
@@ -286,6 +302,19 @@ def among(keys: np.ndarray) -> object:
     return test
 
 
+def passages(hit: list[bool], blocks: list[int]) -> list[tuple[int, int]]:
+    """Stretches of repeated tokens that are no boilerplate: long, and in blocks that are prose and not the items of a menu."""
+    out, start = [], 0
+    while start < len(hit):
+        end = start + 1
+        while end < len(hit) and hit[end] == hit[start]:
+            end += 1
+        if hit[start] and end - start >= max(PASSAGE_TOKENS, PROSE_TOKENS * len(set(blocks[start:end]))):
+            out.append((start, end))
+        start = end
+    return out
+
+
 def texts_of(pages: list[tuple[str, str]], repeated, width: int = MIN_TOKENS) -> list[str]:
     """Main texts of pages (host and html); `repeated` gets the keys of a page, and its number."""
     read = [blocks_of(html) for _, html in pages]
@@ -298,7 +327,10 @@ def texts_of(pages: list[tuple[str, str]], repeated, width: int = MIN_TOKENS) ->
             one = Slice([(host, n, [s[0] for s in own])])
             hit = one.covered(lambda keys, n=n: repeated(keys, n), width)
             for begin, (tokens, block) in zip(one.begins, own, strict=True):
-                for token, i, h in zip(tokens, block, hit[begin : begin + len(tokens)].tolist(), strict=True):
+                own_hit = hit[begin : begin + len(tokens)].tolist()
+                for a, b in passages(own_hit, block):
+                    own_hit[a:b] = [False] * (b - a)
+                for token, i, h in zip(tokens, block, own_hit, strict=True):
                     if not h:
                         kept.setdefault(i, []).append(token)
         texts = (text if role == ARTICLE else " ".join(kept.get(i, ())) if role == OPEN else "" for i, (role, text) in enumerate(blocks))

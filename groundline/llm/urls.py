@@ -50,11 +50,13 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host, slash + path
 
 
-def asked(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Texts of all rules that would fit, longest first among each suffix."""
+def asked(host: str, path: str, lengths: list[int], longest: int) -> list[str]:
+    """Texts of all rules that would fit, longest first among each suffix; no rule has a host over `longest`, so no suffix is."""
     if not host:
         return []
     out, at = [], 0
+    if len(host) > longest and (at := host.find(".", len(host) - longest - 1) + 1) == 0:
+        return []
     while True:
         suffix = host[at:]
         out += [suffix + path[:n] for n in lengths if n <= len(path)]
@@ -83,7 +85,8 @@ class DigestArray:
         lengths = sorted({len(split_rule(r)[1]) for r in first}, reverse=True)
         keys = np.array([d for d, _, _ in rows], "<u8")
         ends = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype("<u8")
-        head = np.array([len(rows), len(lengths), *lengths], "<u8")
+        longest = max((len(split_rule(r)[0]) for r in first), default=0)
+        head = np.array([len(rows), len(lengths), longest, *lengths], "<u8")
         return cls.MAGIC + head.tobytes() + keys.tobytes() + ends.tobytes() + b"".join(texts)
 
     def __init__(self, path: str):
@@ -93,9 +96,9 @@ class DigestArray:
         if bytes(self.map[:8]) != self.MAGIC:
             raise ValueError("no digest array")
         words = lambda at, n: self.map[at : at + 8 * n].view("<u8")
-        n, k = map(int, words(8, 2))
-        self.lengths = [int(x) for x in words(24, k)]
-        at = 24 + 8 * k
+        n, k, self.longest = map(int, words(8, 3))
+        self.lengths = [int(x) for x in words(32, k)]
+        at = 32 + 8 * k
         self.keys, self.ends, self.texts = words(at, n), words(at + 8 * n, n + 1), at + 8 * (2 * n + 1)
 
     def text(self, k: int) -> tuple[str, str]:
@@ -120,7 +123,7 @@ def judge(urls: list[str | None], rules: DigestArray, default: str) -> list[tupl
     split = [host_and_path(u) for u in urls]
     probes, owner = [], []
     for i, (host, path) in enumerate(split):
-        got = asked(host, path, rules.lengths)
+        got = asked(host, path, rules.lengths, rules.longest)
         probes += got
         owner += [i] * len(got)
     best: dict[int, tuple[str, str]] = {}
@@ -176,6 +179,7 @@ def _joined(rows: DataFrame, rules: list[tuple[str, str]], default: str) -> Data
         first.setdefault(rule, verdict)
     table = spark.createDataFrame([(r, v) for r, v in first.items()], "rule string, verdict string").withColumn("digest", F.xxhash64("rule"))
     lengths = sorted({len(split_rule(r)[1]) for r in first}, reverse=True)
+    longest = max((len(split_rule(r)[0]) for r in first), default=0)
     keyed_ddl = "row_key string, page_id long, host string, path string, probes array<string>"
     out = common.arrow_schema(keyed_ddl)
 
@@ -187,7 +191,7 @@ def _joined(rows: DataFrame, rules: list[tuple[str, str]], default: str) -> Data
             split = [host_and_path(u) for u in b.column("url").to_pylist()]
             keys = [f"{part}-{n + k}" for k in range(len(split))]
             n += len(split)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column("page_id"), pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), pa.array([asked(*s, lengths) for s in split], out.field(4).type)], schema=out)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), b.column("page_id"), pa.array([s[0] for s in split], pa.string()), pa.array([s[1] for s in split], pa.string()), pa.array([asked(*s, lengths, longest) for s in split], out.field(4).type)], schema=out)
 
     keyed = common.materialize(rows.mapInArrow(run, keyed_ddl), "urls")
     probes = keyed.select("row_key", F.explode("probes").alias("probe")).withColumn("digest", F.xxhash64("probe"))

@@ -129,3 +129,33 @@ def test_long_and_unclosed_pages_take_no_longer_than_their_length():
         began = time.time()
         html.main_texts([part * 20_000])
         assert time.time() - began < 10, part
+
+
+BODY = " ".join(f"word{i}" for i in range(60))
+
+
+def test_copied_bodies_stay():
+    pages = [f"<body><p>{BODY}</p><p>{w} page tail {x}</p></body>" for w, x in (("first", "alpha"), ("second", "beta"))]
+    assert html.main_texts(pages) == [f"{BODY}\nfirst page tail alpha", f"{BODY}\nsecond page tail beta"]
+    # a body in paragraphs is one as well, a menu as long is none
+    parts = [BODY[k : k + 120].strip() for k in range(0, len(BODY), 120)]
+    split = ["<body>" + "".join(f"<p>{p}</p>" for p in parts) + f"<p>own {w}</p></body>" for w in "xy"]
+    assert html.main_texts(split)[0] == "\n".join([*parts, "own x"])
+    menu = ["<body>" + "".join(f"<li>item {i}" for i in range(60)) + f"</li><p>{w} of its own</p></body>" for w in "xy"]
+    assert html.main_texts(menu) == ["x of its own", "y of its own"]
+
+
+def test_passages():
+    assert html.passages([True] * 50, [0] * 50) == [(0, 50)] and html.passages([True] * 49, [0] * 49) == []
+    assert html.passages([True] * 60, [i // 6 for i in range(60)]) == [] and html.passages([False, *[True] * 55, False], [0] * 57) == [(1, 56)]
+
+
+def test_reading_grows_with_the_page():
+    def seconds(n):
+        began = time.perf_counter()
+        for page in ("<b>" * n + "</i>" * n, "<b>" * n + "<ul>" * n, "<p>" + "<b>" * n + "<div>" * n, "<b>" * n + "<li>x" * n):
+            html.blocks_of(page)
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(40_000) < 4 * 4 * seconds(10_000)

@@ -87,3 +87,12 @@ def test_digests_that_collide_are_told_apart(tmp_path):
     (tmp_path / "r").write_bytes(urls.DigestArray.build([("block", "a/"), ("allow", "b/"), ("block", "b/")], same))
     array = urls.DigestArray(str(tmp_path / "r"))
     assert array.find(["a/", "b/", "c/"], same) == [("block", "a/"), ("allow", "b/"), None]
+
+
+def test_hosts_of_many_labels(spark, tmp_path):
+    host = "a." * 50_000 + "example.com"
+    assert sum(map(len, urls.asked(host, "/de/x", [4, 1], len("example.com")))) < 100
+    assert urls.asked("b.net", "/", [1], 3) == ["net/"] and urls.asked("xnet", "/", [1], 3) == [] and urls.asked("net", "/", [1], 3) == ["net/"]
+    table = spark.createDataFrame([(1, f"http://{host}/de/x"), (2, "http://" + "b." * 50_000 + "fr/x")], "page_id long, url string")
+    for most in (urls.MOST_BYTES, -1):
+        assert {r["page_id"]: r["rule"] for r in urls.filter_urls(table, most_bytes=most).collect()} == {1: "example.com/de/", 2: None}
