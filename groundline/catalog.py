@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
-from groundline.operators import chunks, embed, guards, index, lists, pages, retrieve, rewrite, verify
+from groundline.operators import chunks, embed, guards, index, lists, pages, ranks, retrieve, rewrite, verify
 from groundline.plans.answer import answer, status
 from groundline.session import importable, kept, scratch, spread
 from groundline.settings import DEFAULT, Settings
@@ -329,6 +329,13 @@ def split_lines_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_chunks(spark, sf_dir).select("doc_id", "ordinal", "chunk_id", "n_tokens", F.sha1("text").alias("digest"))
 
 
+@query("SELECT l_returnflag, quantile_disc(l_extendedprice, 0.85)::DOUBLE AS price FROM lineitem GROUP BY l_returnflag")
+def price_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of three groups, each far larger than what one task may gather."""
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"))
+    return ranks.percentiles(rows, "price", 85.0, ["l_returnflag"], most_rows=100, few=50).withColumnRenamed("value", "price")
+
+
 SEMANTIC = "SELECT vec_id, label, d, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM (SELECT vec_id, label, round(1 - list_dot_product(embedding::DOUBLE[], n::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(n::DOUBLE[], n::DOUBLE[]))), 9) AS d FROM (SELECT vec_id, label, embedding, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings))"
 
 

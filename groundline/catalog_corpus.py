@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundline.catalog import ASKED, CASCADE, NORMAL, SETTINGS, asked, query, quoted, read
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
-from groundline.operators import chunks, embed, guards, index, pages, retrieve, rewrite, verify
+from groundline.operators import chunks, embed, guards, index, pages, retrieve, rewrite, verify, versions
 from groundline.plans.answer import ask_payload, status, valid_requests
 from groundline.session import scratch
 from groundline.settings import DEFAULT, SENTINEL, Settings
@@ -313,6 +313,21 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_chunks(spark, path).select(F.col("chunk_id").cast("long").alias("doc_id"), F.col("text").alias("first_line"), F.col("n_tokens").alias("chunk_ordinal"))
 
 
+@query("SELECT doc_id::VARCHAR AS chunk_id, lang AS section, sha1(CASE WHEN doc_id % 97 = 0 THEN 'changed ' || coalesce(text, '') ELSE coalesce(text, '') END) AS digest FROM documents WHERE doc_id % 101 <> 5 UNION ALL SELECT 'new' || doc_id, lang, sha1('new') FROM documents WHERE doc_id % 100 = 1")
+def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents, some of which are then changed, added and deleted, twice over, and its layers compacted in part."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("section"), "doc_id")
+    table = versions.VersionedIndex(spark, scratch(spark, "versions"))
+    table.create(rows.drop("doc_id"), buckets=16)
+    changed = rows.filter("doc_id % 97 = 0").withColumn("text", F.concat(F.lit("changed "), "text"))
+    added = rows.filter("doc_id % 100 = 1").withColumns({"chunk_id": F.concat(F.lit("new"), "chunk_id"), "text": F.lit("new")})
+    for _ in range(2):
+        table.upsert(changed.unionByName(added).drop("doc_id"))
+        table.delete(rows.filter("doc_id % 101 = 5"))
+    table.compact(3)
+    return table.open().select("chunk_id", "section", F.sha1("text").alias("digest"))
+
+
 # Vectors: every item against every other, in blocks.
 
 SIMILAR = "list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])"

@@ -8,13 +8,14 @@ import re
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.errors import IndexBuildError, IndexVerificationError
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
-from groundline.operators.retrieve import beside
+from groundline.operators.retrieve import beside, sized
+from groundline.session import kept
 from groundline.settings import DEFAULT, Settings
 
 REQUIRED = ("scheme", "scheme_name", "category", "section", "source_url", "fetched_at", "heading_path", "block_types")
@@ -37,11 +38,15 @@ def build(chunks: DataFrame, path: str, settings: Settings = DEFAULT, rebuild: b
         raise
 
 
+def one_for_each_id(chunks: DataFrame) -> DataFrame:
+    """Of rows with one id that with the least text."""
+    text = F.col("text") if "text" in chunks.columns else F.lit("")
+    return chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*chunks.columns), F.struct(text, F.to_json(F.struct(*chunks.columns)))).alias("row")).select("row.*")
+
+
 def upserted(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """The index with these chunks in place of those of the same ids; doing it twice changes nothing."""
-    text = F.col("text") if "text" in chunks.columns else F.lit("")
-    # of rows with one id that with the least text stays
-    new = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*chunks.columns), F.struct(text, F.to_json(F.struct(*chunks.columns)))).alias("row")).select("row.*")
+    new = one_for_each_id(chunks)
     return index.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*index.columns).unionByName(new, allowMissingColumns=True)
 
 
@@ -49,25 +54,58 @@ def corpus_meta(index: DataFrame, collection: str = "chunks") -> DataFrame:
     return index.agg(F.lit(collection).alias("collection"), tx.latest_stamp(F.col("fetched_at")).alias("last_updated"), F.count("*").alias("chunk_count"))
 
 
+def digests(ids: DataFrame, prefix: Column) -> DataFrame:
+    """For each prefix the number of ids and two sums of their hashes that hang on no order."""
+    h = F.xxhash64("chunk_id")
+    return ids.groupBy(prefix.alias("_at")).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.xxhash64("chunk_id", F.lit(1)).cast("decimal(20,0)")).alias("s"))
+
+
+def differing(a: DataFrame, b: DataFrame, prefix: Column) -> DataFrame:
+    """The prefixes (_at) whose digests differ, or that one side alone has."""
+    left, right = digests(a, prefix), digests(b, prefix).withColumnsRenamed({c: f"_{c}" for c in "nxs"})
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("x").eqNullSafe(F.col("_x")) & F.col("s").eqNullSafe(F.col("_s"))
+    return left.join(right, "_at", "full").filter(~same).select("_at")
+
+
+def id_difference(have: DataFrame, want: DataFrame, bits: int = 12, levels: int = 1, settings: Settings = DEFAULT) -> DataFrame:
+    """Ids that `have` lacks (problem: missing) or has besides (extra), each once.
+
+    Both tables are summed up by the leading bits of their ids' hashes; where the sums are the same nothing more is looked at, and where they differ the
+    next bits follow, as many times as there are levels.  So equal tables cost an aggregation each, and only ids of ranges that differ meet one by one.
+    """
+    a, b = have.select("chunk_id"), want.select("chunk_id")
+    for level in range(1, levels + 1):
+        at = F.shiftrightunsigned(F.xxhash64("chunk_id"), 64 - bits * level)
+        found = kept(differing(a, b, at), "differing")
+        inside = lambda ids, found=found, at=at: ids.withColumn("_at", at).join(sized(found, settings), "_at", "left_semi").select("chunk_id")
+        if found.isEmpty():
+            a, b = a.limit(0), b.limit(0)
+            break
+        a, b = inside(a), inside(b)
+    said = lambda ids, what: ids.select(F.lit(what).alias("problem"), F.col("chunk_id").cast("string").alias("id"))
+    return said(b.subtract(a), "missing").unionByName(said(a.subtract(b), "extra"))
+
+
+def row_problems(index: DataFrame, sources: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """What is wrong with single rows, by one look at each: problem, id."""
+    kinds = dict(index.dtypes)
+    empty = lambda c: F.size(c) == 0 if c == "heading_path" and kinds[c].startswith("array") else F.col(c) == ""
+    protocol, host = F.expr("try_parse_url(source_url, 'PROTOCOL')"), F.lower(F.expr("try_parse_url(source_url, 'HOST')"))
+    allowed = F.coalesce(protocol.isin(*settings.allowed_schemes) & host.isin(*settings.allowed_hosts), F.lit(False))
+    listed = sources.select(F.col("url").alias("source_url")).distinct().withColumn("_listed", F.lit(True))
+    wrong = {f"metadata {c}": F.coalesce(empty(c), F.lit(True)) for c in REQUIRED if c in kinds}
+    wrong |= {"empty text": F.length(tx.strip(F.col("text"))) == 0, "url not in the sources": F.col("_listed").isNull(), "url not allowed": ~allowed}
+    found = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in wrong.items()]), lambda p: p.isNotNull())
+    return index.join(sized(listed, settings), "source_url", "left").select(F.explode(found).alias("problem"), F.col("chunk_id").cast("string").alias("id"))
+
+
 def problems(index: DataFrame, chunks: DataFrame, sources: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Differences between the index and what was put in: problem, id."""
-    said = lambda df, what: df.select(F.lit(what).alias("problem"), F.col("chunk_id").cast("string").alias("id"))
-    have = set(index.columns)
     counts = beside(index.agg(F.count("*").alias("n")), chunks.agg(F.count("*").alias("m")))
     out = counts.filter("n <> m").select(F.lit("count").alias("problem"), F.format_string("%d of %d", "n", "m").alias("id"))
-    out = out.unionByName(said(index.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate id"))
-    for c in REQUIRED:
-        if c in have:
-            empty = F.size(c) == 0 if c == "heading_path" and dict(index.dtypes)[c].startswith("array") else F.col(c) == ""
-            out = out.unionByName(said(index.filter(F.coalesce(empty, F.lit(True))), f"metadata {c}"))
-    out = out.unionByName(said(index.filter(F.length(tx.strip(F.col("text"))) == 0), "empty text"))
-    out = out.unionByName(said(index.join(sources.select(F.col("url").alias("source_url")).distinct(), "source_url", "left_anti"), "url not in the sources"))
-    protocol, host = F.expr("try_parse_url(source_url, 'PROTOCOL')"), F.lower(F.expr("try_parse_url(source_url, 'HOST')"))
-    allowed = F.coalesce(protocol.isin(*settings.allowed_schemes) & host.isin(*settings.allowed_hosts), F.lit(False))
-    out = out.unionByName(said(index.filter(~allowed), "url not allowed"))
-    missing = chunks.select("chunk_id").subtract(index.select("chunk_id"))
-    extra = index.select("chunk_id").subtract(chunks.select("chunk_id"))
-    return out.unionByName(said(missing, "missing")).unionByName(said(extra, "extra"))
+    twice = index.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1")
+    out = out.unionByName(twice.select(F.lit("duplicate id").alias("problem"), F.col("chunk_id").cast("string").alias("id")))
+    return out.unionByName(row_problems(index, sources, settings)).unionByName(id_difference(index, chunks, settings=settings))
 
 
 def verify(index: DataFrame, chunks: DataFrame, sources: DataFrame, settings: Settings = DEFAULT) -> None:

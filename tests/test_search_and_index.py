@@ -341,3 +341,34 @@ def test_one_list_holds_all(spark, tmp_path, monkeypatch):
     lists.write(table, str(tmp_path / "l"), lists.fit(table, "vec_id", 4), "vec_id")
     found = lists.search(table.filter("vec_id in (0, 1, 2, 95)").withColumnRenamed("vec_id", "query_id"), lists.open_lists(spark, str(tmp_path / "l")), 3, 1, 2, item_id="vec_id")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["codes_read"]) for r in found.orderBy("query_id", "rank").collect()] == [(q, n + 1, (0 if q < 90 else 90) + n, 90 if q < 90 else 10) for q in (0, 1, 2, 95) for n in range(3)]
+
+
+@pytest.mark.parametrize("kind", ["normal", "repeated", "far apart", "one value"])
+def test_percentiles_equal_sorting(spark, kind):
+    from groundline.operators import ranks
+
+    r = np.random.default_rng(8)
+    x = {"normal": r.normal(size=900), "repeated": r.integers(0, 3, 900).astype(float), "far apart": r.choice([-1.0, 1.0], 900) * 10.0 ** r.integers(-300, 300, 900), "one value": np.full(900, 2.5)}[kind]
+    rows = [("hot" if i % 3 else None if i % 2 else "b", float(v)) for i, v in enumerate(x)] + [("few", 1.0), ("few", None), ("none", None)]
+    frame = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    for percent in (0.0, 85.0):
+        want = {g: sorted(v)[max(1, -(-int(percent) * len(v) // 100)) - 1] for g, v in groups.items()}
+        for most in (10, 1 << 20) if kind == "normal" else (10,):
+            assert {r["g"]: r["value"] for r in ranks.percentiles(frame, "x", percent, ["g"], most, 16, 20).collect()} == want, percent
+
+
+def test_id_difference_descends_where_tables_differ(spark):
+    want = spark.range(5000).select(F.col("id").cast("string").alias("chunk_id"))
+    assert index.id_difference(want.repartition(7), want).collect() == []
+    have = want.filter("chunk_id not in ('7', '4999')").unionByName(spark.createDataFrame([("x",), ("x",), ("5",)], "chunk_id string"))
+    for bits, levels in ((4, 2), (12, 1)):
+        got = sorted(map(tuple, index.id_difference(have, want, bits, levels).collect()))
+        assert got == [("extra", "x"), ("missing", "4999"), ("missing", "7")]
+    at = F.shiftrightunsigned(F.xxhash64("chunk_id"), 52)
+    assert 1 <= index.differing(have, want, at).count() <= 4 and index.differing(want, want.repartition(3), at).count() == 0
+    nothing = want.limit(0)
+    assert index.id_difference(nothing, want).count() == 5000 and index.id_difference(nothing, nothing).count() == 0
