@@ -63,19 +63,41 @@ def now() -> str:
     return datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def check_url(url: str | None, settings: Settings = DEFAULT) -> None:
+    """What `allowed_url` asks for, of one url before it is requested."""
+    from urllib.parse import urlsplit
+
+    try:
+        parts = urlsplit(url or "")
+        ok = parts.scheme in settings.allowed_schemes and (parts.hostname or "") in settings.allowed_hosts and parts.path not in ("", "/")
+    except ValueError:
+        ok = False
+    if not ok:
+        raise SourceValidationError(f"{url} is not allowed")
+
+
 def http_get(url: str, settings: Settings = DEFAULT) -> tuple[int, str, bytes]:
     import urllib.error
     import urllib.request
 
+    class Checked(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, request, file, code, said, headers, new):
+            check_url(new, settings)
+            return super().redirect_request(request, file, code, said, headers, new)
+
     try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": settings.http_agent}), timeout=settings.http_timeout_s) as r:
+        with urllib.request.build_opener(Checked).open(urllib.request.Request(url, headers={"User-Agent": settings.http_agent}), timeout=settings.http_timeout_s) as r:
             return r.status, r.headers.get("Content-Type", ""), r.read()
     except urllib.error.HTTPError as e:
         return e.code, "", b""
 
 
 def fetch(url: str, get: Callable[[str], tuple[int, str, bytes]] | None = None, settings: Settings = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """A page by HTTP: tried again after a broken connection or a transient status; anything but a page of HTML raises."""
+    """A page by HTTP: tried again after a broken connection or a transient status; anything but a page of HTML raises.
+
+    No url is asked for that the settings do not allow, nor is a redirection to one followed.
+    """
+    check_url(url, settings)
     began, last = time.monotonic(), ""
     for attempt in range(1, settings.http_retries + 2):
         try:
@@ -101,33 +123,56 @@ def fetch(url: str, get: Callable[[str], tuple[int, str, bytes]] | None = None,
 FETCHED_PAGES = "url string, scheme string, scheme_name string, category string, status int, content_type string, n_bytes int, fetched_at string, elapsed_ms double, attempts int, cached boolean, html_path string, html string"
 
 
-def fetch_all(sources: DataFrame, path: str, cached: DataFrame | None = None, get: Callable | None = None, settings: Settings = DEFAULT, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Pages of all sources in their order, from the cache first, with a pause between requests; written to `path` page by page.
+def fetch_all(sources: DataFrame, path: str, cached: DataFrame | None = None, get: Callable | None = None, settings: Settings = DEFAULT, sleep: Callable[[float], None] = time.sleep, strict: bool = True, resume: bool = False) -> DataFrame:
+    """Pages of all sources, from the cache first, written to `path`.
 
-    The allowlist is a short table by its nature, and requests go out one by one, from one task, to be polite; one failure ends it.
+    Each host is asked by one task, one page after another in the order of the sources, with a pause between requests; hosts do not wait for
+    each other.  A failure ends the job, or without `strict` gives a row with its error and leaves the others.  With `resume` the pages that an
+    earlier call has written stay, and only the others are asked for.
     """
     import pandas as pd
 
+    spark = sources.sparkSession
     rows = sources.select("url", "scheme", "scheme_name", "category", F.monotonically_increasing_id().alias("place"))
+    if resume and path_exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).filter("error is null").select("url"), "url", "left_anti")
     fields = ("status", "content_type", "n_bytes", "fetched_at", "elapsed_ms", "attempts", "cached", "html")
     if cached is not None:
         rows = rows.join(cached.select("url", *fields), "url", "left")
-    ordered, none = rows.repartition(1).sortWithinPartitions("place"), cached is None
+    host = F.lower(F.coalesce(F.expr("try_parse_url(url, 'HOST')"), F.lit("")))
+    ordered, none = rows.withColumn("host", host).repartition("host").sortWithinPartitions("host", "place"), cached is None
 
     def run(batches):
-        asked = False
+        last = None
         for b in batches:
             for r in b.to_dict("records"):
-                got = r
+                got, error = r, None
                 if none or not isinstance(r["html"], str):
-                    if asked:
-                        sleep(settings.http_delay_s)
-                    asked, got = True, fetch(r["url"], get, settings, sleep)
-                page = {k: r[k] for k in ("url", "scheme", "scheme_name", "category")} | {k: got[k] for k in fields} | {"html_path": f"raw_{r['scheme']}.html"}
+                    try:
+                        check_url(r["url"], settings)
+                        if r["host"] == last:
+                            sleep(settings.http_delay_s)
+                        last = r["host"]
+                        got = fetch(r["url"], get, settings, sleep)
+                    except (FetchError, SourceValidationError) as e:
+                        if strict:
+                            raise
+                        got, error = {}, str(e)
+                page = {k: r[k] for k in ("url", "scheme", "scheme_name", "category")} | {k: got.get(k) for k in fields} | {"html_path": f"raw_{r['scheme']}.html", "error": error}
                 yield pd.DataFrame([page])
 
-    ordered.mapInPandas(run, FETCHED_PAGES).write.mode("overwrite").parquet(path)
-    return sources.sparkSession.read.parquet(path)
+    ordered.mapInPandas(run, f"{FETCHED_PAGES}, error string").write.mode("append" if resume else "overwrite").parquet(path)
+    every = spark.read.parquet(path)
+    pages = every.filter("error is null")
+    if strict:
+        return pages.drop("error")
+    # an error that a later call has made good is none
+    return pages.unionByName(every.filter("error is not null").dropDuplicates(["url"]).join(pages.select("url"), "url", "left_anti"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundline.errors import EmptyCollectionError, GenerationError, GeneratorNotConfiguredError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
+from groundline.errors import EmbeddingError, EmptyCollectionError, GenerationError, GeneratorNotConfiguredError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
 from groundline.operators import embed, index, retrieve, rewrite
 from groundline.plans.answer import answer, ask_payload, failure_status, valid_requests
 from groundline.plans.build import build_index
@@ -372,3 +372,23 @@ def test_id_difference_descends_where_tables_differ(spark):
     assert 1 <= index.differing(have, want, at).count() <= 4 and index.differing(want, want.repartition(3), at).count() == 0
     nothing = want.limit(0)
     assert index.id_difference(nothing, want).count() == 5000 and index.id_difference(nothing, nothing).count() == 0
+
+
+def test_probes_of_embeddings(spark):
+    embedder = embed.hashing_embedder(64)
+    assert embed.embed_query("exit load", embedder) == [float(x) for x in embedder(["exit load"])[0]]
+    for blank in ("", " \n"):
+        with pytest.raises(EmbeddingError):
+            embed.embed_query(blank, embedder)
+    r = embed.probe(spark, embedder, ("exit load of a fund", "the exit load of this fund"), "weather in spring").first()
+    assert r["ok"] and r["same_topic"] > r["unrelated"] and abs(r["min_norm"] - 1) < 1e-6 > abs(r["max_norm"] - 1)
+    rows = spark.createDataFrame([("a", "one two", 4), ("b", "one", 1), ("c", " ", 7), ("d", "x y", 9)], "chunk_id string, text string, n_tokens int")
+    assert tuple(embed.probe_corpus(rows, first=3).first()) == (1.5, 1.0, 2.0)
+
+
+def test_tokens_by_a_vocabulary():
+    from groundline.operators import chunks
+
+    count = chunks.bpe_counter(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    assert count("") == 0 and count("hello world") == 2
+    assert all(count(p) <= 9 for p in chunks.recursive_split("some words of a text, and some more. " * 9, 9, 2, count=count))

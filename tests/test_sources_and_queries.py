@@ -33,11 +33,64 @@ def test_bad_sources(spark, tmp_path, text):
 def test_fetch_tries_again():
     replies = iter([(503, "", b""), (200, "text/html; charset=utf-8", b"<p>x</p>")])
     waits = []
-    got = tables.fetch("u", lambda _: next(replies), sleep=waits.append)
+    got = tables.fetch("https://example.com/u", lambda _: next(replies), sleep=waits.append)
     assert got["attempts"] == 2 and waits == [1.5]
     for reply in ((404, "", b""), (200, "image/png", b"x"), (200, "text/html", b"  "), (500, "", b"")):
         with pytest.raises(FetchError):
-            tables.fetch("u", lambda _, r=reply: r, sleep=lambda _: None)
+            tables.fetch("https://example.com/u", lambda _, r=reply: r, sleep=lambda _: None)
+
+
+def test_no_url_is_asked_for_that_is_not_allowed():
+    def never(url):
+        raise AssertionError("asked")
+
+    for url in ("https://foreign.net/x", "http://example.com/x", "https://example.com/", "https://example.com", "https://[", "", None, "https://example.com.evil.net/x", "https://evil@foreign.net/x"):
+        with pytest.raises(SourceValidationError):
+            tables.fetch(url, never)
+    tables.check_url("https://EXAMPLE.com/x?y")
+
+
+def test_redirections_are_checked():
+    import http.server
+    import threading
+
+    class Away(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            away = self.path.startswith("/away")
+            self.send_response(302 if away else 200)
+            self.send_header("Location" if away else "Content-Type", "http://foreign.invalid/x" if away else "text/html")
+            self.end_headers()
+            self.wfile.write(b"" if away else b"<p>here</p>")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Away)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, settings = f"http://127.0.0.1:{server.server_port}", Settings(allowed_schemes=("http",), allowed_hosts=("127.0.0.1",))
+    assert tables.fetch(f"{base}/page", settings=settings)["html"] == "<p>here</p>"
+    with pytest.raises(SourceValidationError, match="foreign.invalid"):
+        tables.fetch(f"{base}/away", settings=settings)
+    server.shutdown()
+
+
+def test_a_url_that_fails_leaves_the_others_and_is_asked_again(spark, tmp_path):
+    settings = Settings(allowed_hosts=("a.com", "b.com"))
+    rows = [(f"https://{h}/{i}", f"{h}{i}", "n", "c") for i in range(3) for h in ("a.com", "b.com", "c.com")]
+    sources, path = spark.createDataFrame(rows, "url string, scheme string, scheme_name string, category string"), str(tmp_path / "pages")
+    asked, waits = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def get(url):
+        asked.add(1)
+        return (404, "", b"") if url == "https://a.com/1" else (200, "text/html", url.encode())
+
+    first = {r["url"]: r for r in tables.fetch_all(sources, path, None, get, settings, sleep=lambda s: waits.add(1), strict=False).collect()}
+    assert len(first) == 9 and asked.value == 6 and waits.value == 4  # two hosts of three pages each
+    assert {u for u, r in first.items() if r["error"]} == {"https://a.com/1"} | {u for u, *_ in rows if "c.com" in u} and "404" in first["https://a.com/1"]["error"]
+    again = {r["url"]: r for r in tables.fetch_all(sources, path, None, lambda u: (200, "text/html", b"late"), settings, sleep=lambda s: None, strict=False, resume=True).collect()}
+    assert len(again) == 9 and again["https://a.com/1"]["html"] == "late" and again["https://b.com/1"]["html"] == "https://b.com/1" and again["https://c.com/0"]["error"]
+    with pytest.raises(Exception, match="status 404"):
+        tables.fetch_all(sources.filter("url like 'https://a%'"), path, None, get, settings, sleep=lambda s: None)
 
 
 def test_fetch_all_and_manifest(spark, tmp_path):
