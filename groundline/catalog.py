@@ -182,7 +182,7 @@ def guard_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", F.array_join(guards.pii_names(F.col("question")), ",").alias("names"))
 
 
-@query(f"SELECT id, {EITHER(guards.PERFORMANCE, chr(99) + 'oalesce(question, ' + quoted('') + ')')} AS performance FROM {ASKED}")
+@query(f"SELECT id, {EITHER(guards.PERFORMANCE, 'coalesce(question, ' + quoted('') + ')')} AS performance FROM {ASKED}")
 def guard_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked(spark, sf_dir).select("id", guards.is_performance(F.col("question")).alias("performance"))
 
