@@ -8,7 +8,8 @@ lists of the pairs that a merge makes left and right of it are updated.
 Ranks ascend within a word just as if it were alone, as a pair made by a merge has a higher rank
 than that merge; the merges file is checked for this when it is loaded.
 
-Defined results: a null text counts as an empty one, with no ids; every row gives a row, repeated rows too.
+Defined results: a null text counts as an empty one, with no ids; every row gives a row, repeated rows too; an empty
+table gives no rows; a very long text is taken whole, in a slice of its own; other columns are left out.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ from lacing values, demultiplexes the streams by serial number, and takes timest
 the granule positions.
 
 Samples are bytes, 8 bits each.  Defined results: a null text counts as an empty one, whose payload is
-one block of blanks; equal texts give equal bytes; a damaged page raises OggError.
+one block of blanks; equal texts give equal bytes, and repeated rows a row each; an empty
+table gives no rows; a very long text is taken whole, in a slice of its own; other columns are left out; a damaged page raises OggError.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ document that crosses boundaries gives a record for each window it touches.
 Only the last window can be short.  Pass two is DataFrame functions alone.
 
 Defined results: a null text counts as an empty one, which has the end-of-document id alone;
-repeated rows are packed as often as they come; an empty table gives no rows; other columns are ignored.
+repeated rows are packed as often as they come; an empty table gives no rows; a very long text is taken whole, in a slice of its own;
+other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ base spans is marked in every document that holds the entity.  Counts are over a
 
 Defined results: a null text counts as an empty one, with no spans; every row counts in all figures and gives a row, so repeated
 rows raise counts of entity, term and both alike; where spans meet, base ones stay whole and a term within one is none; an
-empty table gives no rows; other columns are kept by `sanitize`, whatever their names, and ignored by `spans`.
+empty table gives no rows; a very long text is taken whole, in a slice of its own; other columns are kept by `sanitize`, whatever their names, and ignored by `spans`.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ hash of doc_id, and whole texts up to `sample_bytes`; these bounds are parameter
 
 Defined results: a null text counts as an empty one, which has no window and gets the share of toxic
 rows in training, at most 0.49; with labels of one kind alone every text gets that share; of repeated
-labels for an id the highest counts; repeated rows each give a row.
+labels for an id the highest counts; repeated rows each give a row; an empty
+table gives no rows; a very long text is taken whole, in a slice of its own, with all its windows; other columns are left out by `classify` and kept by `score`.
 """
 
 from __future__ import annotations

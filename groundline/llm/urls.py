@@ -10,7 +10,8 @@ set is looked up by a join on the digest with the same confirmation.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and gets the
 default verdict; repeated rows each give a row; among rules of one text the first
-counts; of rules of one length that fit, that with the longer host wins.
+counts; of rules of one length that fit, that with the longer host wins; an empty table gives no rows; a very long url gives
+no suffix that is longer than the longest rule's host; other columns are left out.
 """
 
 from __future__ import annotations
