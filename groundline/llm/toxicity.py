@@ -358,8 +358,8 @@ def held_out(column: str, of: int = 5, remainder: int = 0):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Network:
-    rows = training_rows(docs, labels, most)
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> Network:
+    rows = training_rows(docs, labels, most, most_bytes)
     return train([t for t, _ in rows], [y for _, y in rows])
 
 
@@ -388,8 +388,8 @@ def score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "to
     return common.numbered(rows).mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    net = fit(docs, labels, most)
+    net = fit(docs, labels, most, most_bytes)
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), net)
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
