@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that read documents and write what they keep, and packing at the end."""
+"""The corpus pipeline: stages that read documents and write what they keep, and packing at the end.
+
+Every stage gives no rows for an empty table, takes very long texts whole, and judges repeated rows alike (near duplicates keep one of them);
+all but packing keep the other columns, whatever their names, and packing leaves them out.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or lie far from every language's reference go; null and empty texts, without 50 words, go too."""
+    """Documents that fail the base rules or lie far from every language's reference go; null and empty texts, without 50 words, go too, and so does each of some repeated rows or none."""
     return quality.keep(docs)
 
 
@@ -48,7 +52,7 @@ STAGES = [
     ("personal data", sanitize),
     ("packing", pack),
 ]
-#: A trained network and a tokenizer have no SQL; tests hold the stages against plain Python.
+#: A trained network and a tokenizer have no SQL; tests hold the operators of the stages against plain Python, and the stages against edge cases.
 ORACLE_SQL = None
 
 
