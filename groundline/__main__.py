@@ -9,6 +9,7 @@ import argparse
 import os
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from groundline import errors
 from groundline.functions import text as tx
 from groundline.operators import chunks, embed, index, retrieve
 from groundline.plans.answer import answer
-from groundline.plans.build import build_index
+from groundline.plans.build import build_index, open_fitted
 from groundline.settings import Settings
 from groundline.sources import tables
 
@@ -44,6 +45,18 @@ def probe(spark, table, question: str, given, embedder, settings: Settings) -> N
     found.unpersist()
 
 
+def opened(spark, folder: str, settings: Settings):
+    """Index, embedder and settings of a folder: those of its fitted encoder, if the index was built by one."""
+    folder = folder.rstrip("/")
+    try:
+        fitted = spark.read.parquet(f"{folder}/index_meta").first()["embed_model"].startswith("fitted-")
+    except AnalysisException:
+        fitted = False
+    if fitted:
+        return open_fitted(spark, folder, settings)
+    return retrieve.open_index(spark, f"{folder}/index", settings), embed.hashing_embedder(settings.embed_dim), settings
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="groundline", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
@@ -53,6 +66,8 @@ def main(argv: list[str] | None = None) -> int:
             command.add_argument(a)
         command.add_argument("--host", action="append", default=[], help="an allowed host")
         command.add_argument("--limit", type=int, default=20)
+        if name == "build":
+            command.add_argument("--fitted", action="store_true", help="fit the encoder on the chunks and store it beside the index")
         if name == "probe":
             command.add_argument("--scheme", help="search this scheme alone")
             command.add_argument("--unfiltered", action="store_true", help="let all schemes compete")
@@ -66,16 +81,17 @@ def main(argv: list[str] | None = None) -> int:
         if given.command == "build":
             sources = tables.read_sources(spark, given.sources, settings)
             raw = spark.read.parquet(given.pages).join(sources, "url")
-            for name, path in build_index(raw, sources, given.folder, embedder, settings).items():
+            for name, path in build_index(raw, sources, given.folder, embedder, settings, fitted=given.fitted).items():
                 print(name, path)
         elif given.command == "verify":
-            index.verify(retrieve.open_index(spark, part("index"), settings), spark.read.parquet(part("chunks")), tables.read_sources(spark, given.sources, settings), settings)
+            index.verify(opened(spark, given.folder, settings)[0], spark.read.parquet(part("chunks")), tables.read_sources(spark, given.sources, settings), settings)
             print("the index is as it should be")
         elif given.command == "ask":
             questions = spark.createDataFrame([("1", given.question)], "query_id string, question string")
-            print(answer(questions, retrieve.open_index(spark, part("index"), settings), embedder, settings=settings).first()["answer"])
+            table, embedder, settings = opened(spark, given.folder, settings)
+            print(answer(questions, table, embedder, settings=settings).first()["answer"])
         elif given.command == "probe":
-            table = retrieve.open_index(spark, part("index"), settings)
+            table, embedder, settings = opened(spark, given.folder, settings)
             for question in probe_questions(given.question):
                 try:
                     probe(spark, table, question, given, embedder, settings)
@@ -88,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
             sections = docs.select("scheme", F.explode("sections").alias("s")).select("scheme", tx.count_tokens(F.array_join(F.transform("s.blocks", lambda b: b["text"]), "\n")).alias("n_tokens"), F.exists("s.blocks", lambda b: b["kind"] == "table").alias("has_table"), F.lit(1).alias("chunks"))
             chunks.analyze(sections, settings.chunk_size).show(given.limit, False)
         elif given.command == "dump":
-            table = retrieve.open_index(spark, part("index"), settings)
+            table, _, settings = opened(spark, given.folder, settings)
             for r in index.dump_header(table, settings).orderBy("pos").collect():
                 print(f"{r['name']:<18}{r['value']}")
             index.table_of_contents(table).show(given.limit, False)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from groundline.catalog import ASKED, CASCADE, NORMAL, SETTINGS, asked, query, quoted, read
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
-from groundline.operators import chunks, embed, guards, index, pages, retrieve, rewrite, verify, versions
+from groundline.operators import cachefiles, chunks, embed, encoder, guards, index, pages, retrieve, rewrite, verify, versions
 from groundline.plans.answer import ask_payload, status, valid_requests
 from groundline.session import scratch
 from groundline.settings import DEFAULT, SENTINEL, Settings
@@ -330,6 +330,38 @@ def index_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Vectors: every item against every other, in blocks.
 
+# The encoder fitted from the corpus, and the cache's filters.
+
+BUCKET = "('0x' || substr(md5(w), 1, 8))::BIGINT % 65536"
+
+
+@query(f"SELECT bucket, count(*) AS n_texts FROM (SELECT unnest(list_distinct(list_transform(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(encoder.WORD)})), lambda w: {BUCKET}))) AS bucket FROM documents) GROUP BY bucket")
+def encoder_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents have a word of each bucket: what the fitted encoder weighs words by."""
+    return encoder.bucket_counts(read(spark, sf_dir, "documents"))
+
+
+@query()
+def embed_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents by an encoder fitted on all of them; tests hold the fit against plain Python."""
+    docs = read(spark, sf_dir, "documents").filter(F.length(tx.strip(F.col("text"))) > 0).select("doc_id", "text")
+    model = encoder.fit(docs, "text", SETTINGS.embed_dim)
+    out = embed.embed_texts(docs, "text", encoder.embedder(spark, model), encoder.fitted_settings(model, SETTINGS))[0]
+    return out.select("doc_id", F.lit(model.name).alias("model"), F.size("embedding").alias("dim"), F.round(vx.norm(F.col("embedding")), 4).alias("norm"), "embedding")
+
+
+@query("SELECT doc_id, sha1(text) IN (SELECT sha1(text) FROM documents WHERE source IN ('src1', 'src2') AND text IS NOT NULL) AS cached FROM documents WHERE text IS NOT NULL")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is a document's text in a cache of two sources' texts, by way of the files' filters?"""
+    docs, path = read(spark, sf_dir, "documents").filter("text is not null"), scratch(spark, "cache")
+    keyed = docs.select("doc_id", "source", tx.text_key(F.col("text")).alias("text_key"))
+    zeros = F.array_repeat(F.lit(0.0).cast("float"), SETTINGS.embed_dim).alias("embedding")
+    for source in ("src1", "src2"):
+        embed.append_cache(embed.cache_rows(keyed.filter(F.col("source") == source).select("text_key").distinct().select("text_key", zeros), SETTINGS), path)
+    known = embed.usable_cache(cachefiles.lookup(spark, path, keyed, SETTINGS), SETTINGS).select("text_key", F.lit(True).alias("cached"))
+    return keyed.join(known, "text_key", "left").select("doc_id", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
 SIMILAR = "list_dot_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])"
 
 

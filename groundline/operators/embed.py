@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundline.errors import EmbeddingError, ModelMismatchError
 from groundline.functions import text as tx
 from groundline.functions import vectors as vx
+from groundline.operators import cachefiles
 from groundline.operators.retrieve import beside
 from groundline.settings import DEFAULT, Settings
 
@@ -101,9 +102,8 @@ def usable_cache(cache: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def append_cache(fresh: DataFrame, path: str) -> None:
-    """Nothing is written for no rows; a reader sees all of an append or none."""
-    if not fresh.isEmpty():
-        fresh.write.mode("append").parquet(path)
+    """Nothing is written for no rows; a reader sees all of an append or none.  Its files get their filters (`cachefiles`)."""
+    cachefiles.append(fresh, path)
 
 
 def cache_stats(rows: DataFrame, column: str, cache: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
