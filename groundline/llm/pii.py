@@ -5,7 +5,7 @@ protected entities.  Corpus co-occurrence tells how strongly a term near an enti
 rows in all, the pointwise mutual information of entity and term, over the entity's own
 information, log2(n * n(e,t) / (n(e) * n(t))) / log2(n / n(e)).  At 1 the term comes with the entity alone and gives
 all of it away.  A term of a document that holds the entity is removed if its share exceeds
-`remove`, generalised (to a word for its kind) if it exceeds `generalise`, and left otherwise.
+`remove`, generalised (to a word for its kind: name, code or plain word) if it exceeds `generalise`, and left otherwise.
 
 All entities and terms are scored, those of a single document too.  A share is smoothed by `discount`, which is taken
 from the number of documents that hold both: it hardly matters for a link seen often, while one seen once in n documents
@@ -38,6 +38,8 @@ DISCOUNT = 0.6
 #: Candidate terms go to every worker if their texts have no more bytes than this; else a bit map of their checksums goes
 #: (of fixed size: more terms only mean more words beside them), and a join with the terms follows.
 MOST_BYTES, MAP_BITS = 16 << 20, 1 << 26
+#: Frequent words that workers leave out where no value could make terms of them; the joins leave out any others.
+HOT_TERMS = 50_000
 
 # The base patterns.
 # A run of digits matches from its first digit or not at all, so none is looked at again from within.
@@ -139,14 +141,28 @@ def holding(rows: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, ddl)
 
 
-def words(held: DataFrame) -> DataFrame:
-    """key and term for each distinct word of a row."""
+def bundles(held: DataFrame) -> DataFrame:
+    """key, bundle, n_rows and n_entity of each row with base spans.
+
+    Values that stand in the same rows as often have the same figures with every term, so they are one bundle, known by two digests of these
+    rows that hang on no order; a list of ten thousand addresses is one.  n_rows: how many rows have this key, so that all counts are of rows.
+    """
+    own = held.select("key", F.explode("entities").alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("n_rows"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "key", "n_rows")).alias(seed) for seed in ("a", "b")]
+    rows = own.groupBy("entity").agg(F.sum("n_rows").alias("n_entity"), F.count("*").alias("n_keys"), *marks)
+    bundle = F.concat_ws(":", "n_entity", "n_keys", F.hex("a"), F.hex("b"))
+    return own.join(rows, "entity").select("key", bundle.alias("bundle"), "n_rows", "n_entity").distinct()
+
+
+def words(held: DataFrame, without: frozenset[str] = frozenset()) -> DataFrame:
+    """key and term for each distinct word of a row, but for some words."""
     out = common.arrow_schema(ddl := "key long, term string")
+    sent = held.sparkSession.sparkContext.broadcast(without)  # at most HOT_TERMS words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.enter("pii")
         for b in common.slices(batches, "text", 1 << 20):
-            got = [(key, w) for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True) for w in set(WORD.findall(folded(text)))]
+            got = [(key, w) for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True) for w in set(WORD.findall(folded(text))) - sent.value]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], schema=out)
 
     return held.select("key", "text").mapInArrow(run, ddl)
@@ -217,21 +233,22 @@ def disclosing(docs_rows: DataFrame, remove: float = REMOVE, generalise: float =
     """key and marks (start, stop, action, by start) of the rows with terms that give an entity away."""
     held = common.materialize(holding(docs_rows), "holding")
     n = float(docs_rows.count())
-    # n_rows: how many rows have this key, so that all counts are of rows
-    own = held.select("key", F.explode("entities").alias("entity")).groupBy("key", "entity").agg(F.count("*").alias("n_rows"))
-    own = common.materialize(own.join(own.groupBy("entity").agg(F.sum("n_rows").alias("n_entity")), "entity"), "entities")
-    found = words(held)
-    counts = term_counts(docs_rows, common.materialize(found.select("term").distinct(), "terms"), most_bytes)
+    own = common.materialize(bundles(held), "bundles")
+    counts = common.materialize(term_counts(docs_rows, common.materialize(words(held).select("term").distinct(), "terms"), most_bytes), "term-counts")
     # As n_both is n_entity at most, a share over the limit needs a term of fewer rows than this: an exact bound, not a cut.
     bound = F.lit(n) * F.pow(F.lit(n) / F.col("n_entity"), -generalise) * (1 + 1e-9)
     most = own.groupBy("key").agg(F.max(bound).alias("most"))
-    rare = found.join(most, "key").join(counts, "term").filter(F.col("n_term") < F.col("most")).select("key", "term", "n_term").distinct()
+    top = own.agg(F.max(bound)).first()[0] or 0.0
+    # Words beyond every bound would be dropped by the joins below; the hot ones among them are not even sent there.
+    hot = counts.filter((F.col("n_term") >= top) & (F.col("n_term") * common.HOT_SHARE > n)).orderBy(F.desc("n_term"), "term").limit(HOT_TERMS)
+    found = words(held, frozenset(r["term"] for r in hot.select("term").collect()))
+    rare = found.join(counts.filter(F.col("n_term") < top), "term").join(most, "key").filter(F.col("n_term") < F.col("most")).select("key", "term", "n_term").distinct()
     linked = common.materialize(rare.join(own, "key").filter(F.col("n_term") < bound), "linked")
-    both = linked.groupBy("entity", "term").agg(F.sum("n_rows").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    both = linked.groupBy("bundle", "term").agg(F.sum("n_rows").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     share = F.log2(F.lit(n) * (F.col("n_both") - discount) / (F.col("n_entity") * F.col("n_term"))) / F.log2(F.lit(n) / F.col("n_entity"))
     scored = both.withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(F.lit(0.0))).filter(F.col("share") > generalise)
-    scored = scored.select("entity", "term", F.when(F.col("share") > remove, "remove").otherwise("generalise").alias("action"))
-    actions = linked.select("key", "entity", "term").join(scored, ["entity", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))
+    scored = scored.select("bundle", "term", F.when(F.col("share") > remove, "remove").otherwise("generalise").alias("action"))
+    actions = linked.select("key", "bundle", "term").join(scored, ["bundle", "term"]).groupBy("key", "term").agg(F.max("action").alias("action"))
     terms = common.materialize(actions.groupBy("key").agg(F.collect_list(F.struct("term", "action")).alias("terms")), "disclosing")
     # repeated rows have one key, and equal marks
     marks = marked_places(held.join(terms, "key")).filter(F.size("marks") > 0).groupBy("key").agg(F.first("marks").alias("marks"))
@@ -256,12 +273,17 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), "terms").alias("spans"))
 
 
+def term_kind(word: str) -> str:
+    """What a generalised term is replaced by: it is known as a name, a code or a word, by its letters' case in this place, and no more."""
+    return "<CODE>" if word.isupper() else "<NAME>" if word[:1].isupper() else "<WORD>"
+
+
 def sanitized_text(text: str, marks: list[tuple[int, int, str]]) -> str:
     """Base spans become a word for their kind; terms go, or become a word for theirs."""
     cuts: list[tuple[int, int, str]] = []
     for kind, a, b in base_spans(text):
         cuts.append((a, b, f"<{kind.upper()}>"))
-    cuts += [(a, b, "" if action == "remove" else "<TERM>") for a, b, action in marks]
+    cuts += [(a, b, "" if action == "remove" else term_kind(text[a:b])) for a, b, action in marks]
     out, at = [], 0
     for a, b, word in sorted(cuts):
         if b <= at:

@@ -217,7 +217,19 @@ def test_terms_of_a_single_document(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert pii.disclosure(300, 1, 1, 1 - pii.DISCOUNT) > pii.GENERALISE > pii.disclosure(300, 1, 300, 1 - pii.DISCOUNT)
     assert pii.spans(docs).filter("doc_id = 0").first()["spans"] == "email:20:38,term:9:16"
-    assert pii.sanitize(docs).filter("doc_id = 0").first()["text"] == "write to <TERM> at <EMAIL> about it"
+    assert pii.sanitize(docs).filter("doc_id = 0").first()["text"] == "write to <NAME> at <EMAIL> about it"
+    assert [pii.term_kind(w) for w in ("Marlowe", "MARLOWE", "marlowe", "Émile", "McCoy", "日本語")] == ["<NAME>", "<CODE>", "<WORD>", "<NAME>", "<NAME>", "<WORD>"]
+
+
+def test_a_long_list_of_values_makes_no_product(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    listed = " ".join(f"name{letters(i)} a{i}@mail.org" for i in range(1500))
+    rows = [(0, listed), (1, listed), (2, "namebaaa writes from a1@mail.org to us"), *[(i, "we write to all of you at once") for i in range(3, 120)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = pii.bundles(pii.holding(pii.prepared(docs)))
+    # both lists hold all addresses, and one stands in a third row too: two bundles in each list
+    assert {r["n"] for r in own.groupBy("key").agg(F.count("*").alias("n")).collect()} == {1, 2}
+    assert sorted((x["doc_id"], x["spans"]) for x in pii.spans(docs).collect()) == plain_terms(rows)
 
 
 def test_terms_far_from_the_value(spark):
