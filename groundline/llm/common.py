@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gc
-import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,17 +42,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it a write's shuffle files go from all executors when the write ends, by Spark's own setting; else they stay until the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
     The files go by `release`, once what reads them is written, or when the driver's JVM ends.
     """
     spark = importable(df.sparkSession)
-    # shuffle files of plans that nobody holds any more go once their JVM objects do
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/groundline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -61,24 +71,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def settle(spark: SparkSession, rounds: int = 2) -> None:
-    """Let the shuffle files of finished plans go before more are written: they stay until the driver happens to collect its garbage."""
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
     """Written like `materialize`, in buckets of a column, as many as there are shuffle partitions: grouping by it moves no row."""
     spark = importable(df.sparkSession)
-    settle(spark)
     table = f"groundline_{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/groundline/{table}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(table)
+    with tidy(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out.written_at, out.table_name = path, table
     return out

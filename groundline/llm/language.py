@@ -435,7 +435,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     both = common.bucketed(paired(rows, answers, bits), "paired", "block")
     common.release(rows, answers)
     answers = common.materialize(summed(sent(both, bits, triples=True), 1 << bits), "answers")
-    common.settle(both.sparkSession)
     found = common.materialize(counted(both, answers, bits, core_docs), "counted")
     common.release(both, answers)
     weights = learned(found, words["n_core"], words["n_distinct"])
