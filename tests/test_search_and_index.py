@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundline.errors import EmbeddingError, EmptyCollectionError, GenerationError, GeneratorNotConfiguredError, IndexVerificationError, MissingCollectionError, ModelMismatchError, RetrievalError
-from groundline.operators import embed, index, retrieve, rewrite
+from groundline.operators import chunks, embed, index, retrieve, rewrite
 from groundline.plans.answer import answer, ask_payload, failure_status, valid_requests
 from groundline.plans.build import build_index
 from groundline.session import release
@@ -392,3 +392,38 @@ def test_tokens_by_a_vocabulary():
     count = chunks.bpe_counter(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
     assert count("") == 0 and count("hello world") == 2
     assert all(count(p) <= 9 for p in chunks.recursive_split("some words of a text, and some more. " * 9, 9, 2, count=count))
+
+
+def test_semantic_breaks_of_a_large_group_spread_over_ranges(spark):
+    """One group in many tasks, a buffer longer than some ranges, groups of one row and of null."""
+    import math
+
+    rng = np.random.default_rng(3)
+    sizes = {"hot": 400, "b": 7, "one": 1}
+    rows = [(g, i * 3, [float(x) for x in rng.normal(size=4)]) for g, n in sizes.items() for i in range(n)]
+    rows += [(None, 0, [1.0, 0.0, 0.0, 0.0]), (None, 1, [0.0, 1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "group_id string, pos int, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for buffer in (1, 3, 25):
+            got = {(r["group_id"], r["pos"]): (r["distance"], r["is_break"], r["run"]) for r in chunks.semantic_breaks(table, buffer=buffer, percent=90.0).collect()}
+            assert len(got) == len(rows)
+            for g, n in sizes.items():
+                v = np.array([r[2] for r in rows if r[0] == g])
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                apart = [round(1 - float(v[i] @ v[min(i + buffer, n - 1)]), 9) for i in range(n - 1)]
+                limit = sorted(apart)[math.ceil(0.9 * (n - 1)) - 1] if apart else None
+                run = 0
+                for i in range(n):
+                    distance, is_break, found = got[g, i * 3]
+                    assert found == run
+                    if i == n - 1:
+                        assert distance is None and not is_break
+                    else:
+                        assert abs(distance - apart[i]) < 2e-9 and is_break == (apart[i] >= limit)
+                        run += is_break
+            assert got[None, 0] == (1.0, True, 0) and got[None, 1] == (None, False, 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
