@@ -96,6 +96,31 @@ def test_chunk_documents_and_invariants(spark):
     assert "table" in {r["rule"] for r in chunks.violations(table).collect()}
 
 
+def test_chunks_of_a_document_stay_in_its_row(spark, tmp_path):
+    from groundline import catalog_corpus
+
+    text = "\n".join("w" * (k % 7 + 1) + "-" for k in range(6000))
+    spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "one " * 19)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, n in (("chunk_packs", 1), ("chunk_tables", 1), ("chunk_windows", 0)):
+        frame = getattr(catalog_corpus, name)(spark, str(tmp_path))
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == n and "Join" not in plan and "Window" not in plan, name
+        found = frame.orderBy("doc_id", "ordinal").collect()
+        own = [r["ordinal"] for r in found if r["doc_id"] == 1]
+        assert own == list(range(len(own))) and len(own) > 1 and not {2, 3} & {r["doc_id"] for r in found}
+
+
+def test_tokens_of_parts():
+    r = random.Random(8)
+    for _ in range(300):
+        text = "".join(r.choice(["ab", "_9", " ", "\n", "é", "-", "\u00a0", "\ud800", "\x1c"]) for _ in range(r.randint(0, 30)))
+        tokens = chunks.Tokens(text)
+        a, b = sorted(r.randint(0, len(text)) for _ in range(2))
+        assert tokens.count(a, b) == chunks.count_tokens(text[a:b])
+        whole = [text[x:y] for x, y in zip(tokens.cuts(a, b, 3), tokens.cuts(a, b, 3)[1:])]
+        assert "".join(whole) == text[a:b] and all(chunks.count_tokens(w) <= 3 for w in whole)
+
+
 def test_nearest_rank(spark):
     for n in (1, 2, 7, 20, 33):
         got = spark.range(1, n + 1).agg(vx.nearest_rank("id", 85).alias("v")).first()["v"]
