@@ -61,10 +61,11 @@ class Lists:
 
 def fit(index: DataFrame, item_id: str = "chunk_id", lists: int | None = None, part: int = PART, sample_rows: int = pivots.SAMPLE_ROWS) -> Quantiser:
     """Centres (the root of the number of rows unless told, at most MOST_LISTS) and code books from a sample of at most `sample_rows` rows."""
-    taken = pivots.sample(index, item_id, sample_rows)
+    n = index.select(item_id).count()
+    taken = pivots.sample(index, item_id, sample_rows, n)
     if not len(taken):
         raise EmptyCollectionError("there are no vectors to fit lists on")
-    lists = min(MOST_LISTS, lists or max(1, math.isqrt(index.select(item_id).count())))
+    lists = min(MOST_LISTS, lists or max(1, math.isqrt(n)))
     out = Quantiser(pivots.lloyd(taken, lists), np.zeros((-(-taken.shape[1] // part), 0, part)))
     rest = out.parts(taken - out.centres[pivots.nearest_centre(taken, out.centres)])
     books = [pivots.lloyd(rest[:, k], CODES) for k in range(rest.shape[1])]

@@ -284,6 +284,30 @@ def test_blocks_beyond_the_bound_are_skipped_and_tasks_stay_small(spark):
     assert max(sizes) <= 2 * 20  # a slice's rows do not grow with the table's
 
 
+def test_a_vector_is_sent_once_for_each_block_whatever_the_pivots(spark):
+    from groundline.operators import pivots
+
+    v = clustered(600, 6, 600)
+    table = vector_table(spark, v)
+    for pivot_count, block_rows in ((4, 100), (64, 100), (64, 600)):
+        dealt = pivots.deal(table, "vec_id", pivot_count, 6 * 8 * block_rows)
+        met = pivots.reached(dealt.items.withColumn("_limit", F.lit(-2.0)), dealt)
+        got = met.select("_b", pivots.wanted(dealt).alias("w")).collect()
+        blocks = {r["_b"] for r in got}
+        assert len(got) == 600 and len(blocks) <= 2 * 600 // block_rows + 3 and all(blocks <= set(r["w"]) for r in got)
+        assert max(sum(r["_b"] == k for r in got) for k in blocks) <= 1.6 * block_rows
+
+
+def test_sample_is_of_the_lowest_hashes(spark):
+    from groundline.operators import pivots
+
+    table = vector_table(spark, clustered(2000, 6, 12))
+    want = [r["embedding"] for r in table.orderBy(F.xxhash64("vec_id")).limit(20).collect()]
+    assert pivots.sample(table, "vec_id", 20).tolist() == want == pivots.sample(table.repartition(9), "vec_id", 20, 2000).tolist()
+    same = table.withColumn("vec_id", F.lit(5))  # its hash is not among the lowest
+    assert len(pivots.sample(same, "vec_id", 20)) == 20
+
+
 def test_batches_of_questions_meet_blocks_of_items(spark):
     v = clustered(120, 6, 40)
     table = vector_table(spark, v)
