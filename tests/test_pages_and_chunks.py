@@ -39,6 +39,11 @@ def test_root_by_selector_and_tree_paths():
     assert all("out" not in b["text"] for s in sections for b in s["blocks"])
 
 
+def test_references_without_a_semicolon_are_text():
+    title, sections = pages.read_page("<h1>a&amp;&quot;b&amp</h1><p>&eacute; &#233 &#xe9; &notit; &amp;amp; &copy 1</p>")
+    assert title == 'a&"b&amp' and sections[0]["blocks"][0]["text"] == "é é é &notit; &amp; &copy 1"
+
+
 def test_errors_become_rows(spark):
     rows = spark.createDataFrame([("u1", "<body><dl><dt>a</dt></dl></body>"), ("u2", None), ("u3", "<body>plain</body>")], "url string, html string")
     got = {r["source_url"]: r["parse_error"] for r in pages.documents(rows).collect()}
