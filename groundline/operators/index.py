@@ -87,16 +87,22 @@ def id_difference(have: DataFrame, want: DataFrame, bits: int = 12, levels: int
 
 
 def row_problems(index: DataFrame, sources: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """What is wrong with single rows, by one look at each: problem, id."""
+    """What is wrong with single rows, by one look at each: problem, id.
+
+    Urls that the sources lack are found among the distinct ones; rows meet those alone, and without their texts, as many rows may share a url.
+    """
     kinds = dict(index.dtypes)
     empty = lambda c: F.size(c) == 0 if c == "heading_path" and kinds[c].startswith("array") else F.col(c) == ""
     protocol, host = F.expr("try_parse_url(source_url, 'PROTOCOL')"), F.lower(F.expr("try_parse_url(source_url, 'HOST')"))
     allowed = F.coalesce(protocol.isin(*settings.allowed_schemes) & host.isin(*settings.allowed_hosts), F.lit(False))
-    listed = sources.select(F.col("url").alias("source_url")).distinct().withColumn("_listed", F.lit(True))
+    urls = index.select("source_url").filter("source_url is not null").distinct()
+    unlisted = kept(urls.join(sources.select(F.col("url").alias("source_url")).distinct(), "source_url", "left_anti"), "unlisted").withColumn("_unlisted", F.lit(True))
     wrong = {f"metadata {c}": F.coalesce(empty(c), F.lit(True)) for c in REQUIRED if c in kinds}
-    wrong |= {"empty text": F.length(tx.strip(F.col("text"))) == 0, "url not in the sources": F.col("_listed").isNull(), "url not allowed": ~allowed}
+    wrong |= {"empty text": F.length(tx.strip(F.col("text"))) == 0, "url not in the sources": F.col("source_url").isNull(), "url not allowed": ~allowed}
     found = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in wrong.items()]), lambda p: p.isNotNull())
-    return index.join(sized(listed, settings), "source_url", "left").select(F.explode(found).alias("problem"), F.col("chunk_id").cast("string").alias("id"))
+    looked = index.select(F.col("chunk_id").cast("string").alias("id"), "source_url", found.alias("_found")).join(sized(unlisted, settings), "source_url", "left")
+    all_found = F.when(F.col("_unlisted"), F.array_append("_found", F.lit("url not in the sources"))).otherwise(F.col("_found"))
+    return looked.select(F.explode(all_found).alias("problem"), "id")
 
 
 def problems(index: DataFrame, chunks: DataFrame, sources: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -298,6 +298,18 @@ def test_a_vector_is_sent_once_for_each_block_whatever_the_pivots(spark):
         assert max(sum(r["_b"] == k for r in got) for k in blocks) <= 1.6 * block_rows
 
 
+def test_rows_meet_unlisted_urls_without_their_texts(spark):
+    urls = ["https://example.com/a"] * 5 + ["https://example.com/b", None]
+    rows = spark.createDataFrame([(f"c{k}", u, "a long text") for k, u in enumerate(urls)], "chunk_id string, source_url string, text string")
+    sources = rows.select(F.col("source_url").alias("url")).filter("url like '%/a'")
+    found = index.row_problems(rows, sources, Settings(allowed_schemes=("https",), allowed_hosts=("example.com",), broadcast_bytes=-1))
+    got = sorted((r["problem"], r["id"]) for r in found.collect() if not r["problem"].startswith("metadata"))
+    assert got == [("url not allowed", "c6"), ("url not in the sources", "c5"), ("url not in the sources", "c6")]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    join = next(p for p in (plan.apply(k) for k in range(9)) if p.nodeName() == "Join")
+    assert "text" not in [a.name() for a in (join.left().output().apply(k) for k in range(join.left().output().size()))]
+
+
 def test_sample_is_of_the_lowest_hashes(spark):
     from groundline.operators import pivots
 
