@@ -40,29 +40,32 @@ def hashing_embedder(dim: int = DEFAULT.embed_dim) -> Callable[[list[str]], list
     return embed
 
 
-def encode(rows: DataFrame, column: str, embedder: Callable[[list[str]], list], dim: int, batch: int = DEFAULT.embed_batch) -> DataFrame:
-    """Adds embedding: unit vectors of a text column, `batch` texts at a time in each task."""
-    import pandas as pd
+def encode(rows: DataFrame, column: str, embedder: Callable[[list[str]], list], dim: int, batch: int = DEFAULT.embed_batch, keep: bool = True) -> DataFrame:
+    """Adds embedding: unit vectors of a text column, `batch` texts at a time in each task; without `keep` the texts are left out."""
+    import pyarrow as pa
 
     if batch < 1:
         raise EmbeddingError("a batch has one text at least")
+    names = [c for c in rows.columns if keep or c != column]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for b in batches:
-            parts = []
-            for a in range(0, len(b), batch):
-                v = np.asarray(embedder(b[column].iloc[a : a + batch].tolist()), np.float32)
-                if v.shape != (min(batch, len(b) - a), dim):
+            for a in range(0, b.num_rows, batch):
+                part = b.slice(a, batch)
+                v = np.asarray(embedder(part.column(column).to_pylist()), np.float32)
+                if v.shape != (part.num_rows, dim):
                     raise EmbeddingError(f"vectors have shape {v.shape}")
                 length = np.linalg.norm(v, axis=1, keepdims=True)
                 if not length.all():
                     raise EmbeddingError("a vector has length 0")
-                parts += list(v / length)
-            yield b.assign(embedding=parts)
+                ends = pa.array(np.arange(0, v.size + 1, dim), pa.int32())
+                vectors = pa.ListArray.from_arrays(ends, pa.array((v / length).ravel(), pa.float32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), vectors], names=[*names, "embedding"])
 
-    return rows.mapInPandas(run, rows.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",embedding:array<float>")
+    kept_of = rows.select(*[f"`{c}`" for c in names]).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return rows.mapInArrow(run, kept_of + ",embedding:array<float>")
 
 
 def reject_blank(rows: DataFrame, column: str) -> DataFrame:
@@ -78,7 +81,7 @@ def embed_texts(rows: DataFrame, column: str, embedder: Callable[[list[str]], li
     if cache is not None:
         known = usable_cache(cache, settings).select("text_key", "embedding")
         distinct = distinct.join(known, "text_key", "left_anti")
-    new = encode(distinct, "_text", embedder, settings.embed_dim, settings.embed_batch).select("text_key", "embedding")
+    new = encode(distinct, "_text", embedder, settings.embed_dim, settings.embed_batch, keep=False)
     every = new if known is None else new.unionByName(known)
     return keyed.join(every, "text_key").drop("text_key"), cache_rows(new, settings)
 
