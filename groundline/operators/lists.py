@@ -129,12 +129,14 @@ def probed(queries: DataFrame, opened: Lists, probes: int, kind: str) -> DataFra
         half = 0.5 * (known * known).sum(axis=1)
         for b in batches:
             if len(b):
-                near = np.stack(b["_v"].to_numpy()) @ known.T
+                near = np.stack(b["_v"].to_numpy()).astype(float) @ known.T
                 best = np.argsort(half[None, :] - near, axis=1, kind="stable")[:, :probes]
-                at = np.repeat(np.arange(len(b)), best.shape[1])
-                yield b.iloc[at].assign(_l=have[best.ravel()], _e=near[at, best.ravel()])
+                yield b.assign(_l=list(have[best].astype(np.int32)), _e=list(np.take_along_axis(near, best, axis=1)))
 
-    return queries.mapInPandas(run, f"_q {kind}, _v array<double>, _g string, _l int, _e double")
+    vector = dict(queries.dtypes)["_v"]
+    # a question's lists stand in its row until they are taken apart outside Python, where no vector is repeated for a whole batch
+    rows = queries.mapInPandas(run, f"_q {kind}, _v {vector}, _g string, _l array<int>, _e array<double>")
+    return rows.select("_q", "_v", "_g", F.explode(F.arrays_zip("_l", "_e")).alias("_x")).select("_q", "_v", "_g", "_x._l", "_x._e")
 
 
 def search(queries: DataFrame, opened: Lists, k: int = 5, probes: int = 8, refine: int = 8, query_id: str = "query_id", item_id: str = "chunk_id", filter_col: str | None = None, exclude_self: bool = False) -> DataFrame:
@@ -148,7 +150,8 @@ def search(queries: DataFrame, opened: Lists, k: int = 5, probes: int = 8, refin
         raise RetrievalError("a search takes one hit, one list and one candidate for each hit at least")
     kinds = dict(queries.dtypes)[query_id], dict(opened.table.dtypes)["item"]
     group = F.col(filter_col).cast("string") if filter_col else F.lit(None).cast("string")
-    asked = queries.select(F.col(query_id).alias("_q"), F.col("embedding").cast("array<double>").alias("_v"), group.alias("_g"))
+    vector = "array<float>" if dict(queries.dtypes)["embedding"] == "array<float>" else "array<double>"
+    asked = queries.select(F.col(query_id).alias("_q"), F.col("embedding").cast(vector).alias("_v"), group.alias("_g"))
     slices = F.element_at(F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-opened.rows // SLICE_ROWS))]), F.col("_l") + 1)
     batches = max(1, -(-asked.count() // BATCH_ROWS))
     left = probed(asked, opened, probes, kinds[0]).withColumns({"_a": F.pmod(F.xxhash64("_q"), F.lit(batches)).cast("int"), "_s": F.explode(F.sequence(F.lit(0), slices - 1))})
@@ -163,7 +166,7 @@ def search(queries: DataFrame, opened: Lists, k: int = 5, probes: int = 8, refin
             ids, kinds_of = right["_i"].to_numpy(object), right["_k"].to_numpy(object)
             codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(ids), -1)
             for r in left.itertuples(index=False):
-                values = np.einsum("mcw,mw->mc", quantiser.books, quantiser.parts(np.asarray(r[1])[None])[0])
+                values = np.einsum("mcw,mw->mc", quantiser.books, quantiser.parts(np.asarray(r[1], float)[None])[0])
                 score = r[4] + sum(values[m, codes[:, m]] for m in range(codes.shape[1]))
                 if filter_col and r[2] is not None:
                     score = np.where(kinds_of == r[2], score, -np.inf)

@@ -310,6 +310,26 @@ def test_rows_meet_unlisted_urls_without_their_texts(spark):
     assert "text" not in [a.name() for a in (join.left().output().apply(k) for k in range(join.left().output().size()))]
 
 
+def test_workers_give_no_vector_twice_and_no_text(spark):
+    from groundline.operators import lists
+
+    v = clustered(400, 6, 400)
+    table = vector_table(spark, v)
+    quantiser = lists.fit(table, "vec_id", 40)
+    opened = lists.Lists(table, quantiser, np.ones(len(quantiser.centres), int))
+    asked = table.select(F.col("vec_id").alias("_q"), F.col("embedding").alias("_v"), F.lit(None).cast("string").alias("_g"))
+    met = lists.probed(asked, opened, 30, "bigint")
+    assert met.count() == 400 * 30 and met.select("_q", "_l").distinct().count() == 400 * 30
+    of_python = lambda frame: [x for x in frame._jdf.queryExecution().optimizedPlan().toString().split("\n") if "MapIn" in x]
+    assert "_l" in of_python(met)[0] and "Generate" in met._jdf.queryExecution().optimizedPlan().toString()
+    texts = spark.createDataFrame([(k, f"text {k % 7}") for k in range(50)], "k long, text string").repartition(2)
+    out, fresh = embed.embed_texts(texts, "text", embed.hashing_embedder(16), Settings(embed_dim=16, embed_batch=3))
+    assert out.count() == 50 and fresh.count() == 7
+    assert embed.encode(texts, "text", embed.hashing_embedder(16), 16, 3, keep=False).columns == ["k", "embedding"]
+    kept = embed.encode(texts, "text", embed.hashing_embedder(16), 16, 3).orderBy("k").collect()
+    assert [r["text"] for r in kept] == [f"text {k % 7}" for k in range(50)] and all(len(r["embedding"]) == 16 for r in kept)
+
+
 def test_sample_is_of_the_lowest_hashes(spark):
     from groundline.operators import pivots
 
