@@ -139,3 +139,25 @@ def test_bpe_frame(spark):
     plain = bpe.encode(docs).filter("doc_id = 2").first()
     assert plain["decoded"].startswith("hello</w>") and bpe.loaded(bpe.default_tokenizer()).decode(plain["ids"]) == plain["decoded"]
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_even_texts_have_the_librarys_ids_and_words_skip_its_pattern(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, library = packing.ByteEncoder(packing.default_tokenizer(), kept_bytes=20_000), Tokenizer.from_file(packing.default_tokenizer())
+    r = random.Random(3)
+    even = [" ".join(t.split()) for t in [*odd_texts(), *(" ".join(odd_texts(30)[k : k + 5]) for k in range(25)), *every_character(), "cafÉ, ÿ.. x 's y", "it's 'tis. Ñx!!"]]
+    even = ["".join(w + r.choice("\n   ") for w in t.split(" "))[:-1] for t in even if t]
+    texts = [*even, "", "a  b", " a", "a\n", "a\n\nb", "Ġa Ċ b"]
+    for a in range(0, len(texts), 97):
+        part = texts[a : a + 97]
+        for text, ids in zip(part, own.encode_column(pa.array(part), 0).to_pylist(), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert own.encode_column(pa.array(["one"]), None).to_pylist() == own.library(["one"]) and len(own.encode_column(pa.array([], pa.string()), 0)) == 0
+    # words of letters go to the model alone, and none of them a second time
+    seen = []
+    monkeypatch.setattr(own, "joined", lambda pieces, lead, plain=own.joined: seen.extend(pieces) or plain(pieces, lead))
+    words = [f"{a}{b}é" for a in "abcdefgh" for b in "stuvwxyz"]
+    own.encode_column(pa.array(["first " + " ".join(words), "first " + " ".join(words[::-1])]), 0)
+    assert not set(words) & set(seen)
