@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundline.errors import ChunkInvariantError, StructureError
+from groundline.functions import text as tx
 from groundline.functions import vectors as vx
 from groundline.operators import chunks, pages
 from groundline.settings import Settings
@@ -126,6 +127,23 @@ def test_tokens_of_parts():
         assert "".join(whole) == text[a:b] and all(chunks.count_tokens(w) <= 3 for w in whole)
 
 
+def test_tokens_are_counted_as_the_pattern_does_without_a_string_for_each():
+    import re
+    import tracemalloc
+
+    pattern = re.compile(tx.TOKEN, re.ASCII)
+    every = [chr(c) for c in [*range(0x250), 0x1680, 0x2028, 0x3000, 0xD800, 0xFEFF, 0x1F600]]
+    r = random.Random(9)
+    for text in ["", *every, *("".join(r.choice(every[:140]) for _ in range(r.randint(0, 40))) for _ in range(2000))]:
+        assert chunks.count_tokens(text) == len(pattern.findall(text)) == chunks.Tokens(text).count(0, len(text))
+    assert chunks.count_tokens(None) == 0
+    text = "ab, " * 300_000
+    tracemalloc.start()
+    assert chunks.count_tokens(text) == 600_000
+    assert tracemalloc.get_traced_memory()[1] < 4 * len(text)
+    tracemalloc.stop()
+
+
 def test_nearest_rank(spark):
     for n in (1, 2, 7, 20, 33):
         got = spark.range(1, n + 1).agg(vx.nearest_rank("id", 85).alias("v")).first()["v"]
