@@ -14,12 +14,12 @@ import functools
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.errors import EmbeddingError
@@ -31,38 +31,73 @@ FAN = 32
 # In lower case (A-Z alone), as Java, Python and SQL read it alike: digits, letters and all signs beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD, _LOWER = re.compile(WORD), {a: a + 32 for a in range(65, 91)}
+# Bytes of texts in lower case; what stands in no word is a blank.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _DDL = "part int, gram binary"
+#: Texts whose words a task takes at once.
+ROWS_AT_ONCE = 256
 
 
-def bucket_of(word: Column) -> Column:
-    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % BUCKETS
+@functools.lru_cache(1 << 18)
+def number_of(word: str) -> int:
+    """The first 32 bits of a word's digest: they give its bucket and its sign."""
+    return int.from_bytes(hashlib.md5(word.encode(errors="replace")).digest()[:4], "big")
 
 
-def bucket_counts(texts: DataFrame, column: str = "text") -> DataFrame:
-    """bucket and n_texts: how many texts have a word of the bucket; a null text has none."""
-    lowered = F.translate(F.col(f"`{column}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_distinct(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)))
-    rows = texts.select(F.explode(F.array_distinct(F.transform(words, bucket_of))).alias("bucket"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n_texts"))
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts in order: each one's text and its place among the distinct ones, and these words' numbers."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    lowered = bytes(memoryview(data)[ends[0] : ends[-1]]).translate(_BYTES) if data else b""
+    lists = pc.split_pattern(pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(lowered)), " ")
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    at = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    some = np.fromiter(map(bool, words), bool, len(words))[codes]
+    return at[some], codes[some].astype(np.int64), np.fromiter(map(number_of, words), np.int64, len(words))
 
 
-@functools.lru_cache(1 << 18)
-def place_of(word: str) -> tuple[int, int]:
-    """Bucket and sign of a word."""
-    h = int.from_bytes(hashlib.md5(word.encode(errors="replace")).digest()[:4], "big")
-    return h % BUCKETS, 1 if h >> 31 else -1
+def tallies(texts: DataFrame) -> DataFrame:
+    """bucket and n_texts of one column of texts; bucket -1 has the number of rows."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(BUCKETS, np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for a in range(0, b.num_rows, ROWS_AT_ONCE):
+                at, codes, numbers = words_of(b.column(0).slice(a, ROWS_AT_ONCE))
+                counts += np.bincount(np.unique(at * BUCKETS + numbers[codes] % BUCKETS) % BUCKETS, minlength=BUCKETS)
+        own = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(counts[own], rows))], names=["bucket", "n_texts"])
+
+    return texts.mapInArrow(run, "bucket long, n_texts long").groupBy("bucket").agg(F.sum("n_texts").alias("n_texts"))
+
+
+def bucket_counts(texts: DataFrame, column: str = "text") -> DataFrame:
+    """bucket and n_texts: how many texts have a word of the bucket; a null text has none."""
+    return tallies(texts.select(F.col(f"`{column}`").cast("string").alias("text"))).filter("bucket >= 0")
 
 
 def sketches(texts: Iterable[str], weights: np.ndarray) -> np.ndarray:
     """Of unit length; a text without words has one that its digest gives."""
     texts = list(texts)
-    out = np.zeros((len(texts), SKETCH))
-    for i, text in enumerate(texts):
-        for word, n in Counter(_WORD.findall(text.translate(_LOWER))).items():
-            bucket, sign = place_of(word)
-            out[i, bucket % SKETCH] += sign * weights[bucket] * (1 + math.log(n))
-        if not out[i].any():
-            out[i, place_of(text)[0] % SKETCH] = 1
+    try:
+        at, codes, numbers = words_of(pa.array(texts, pa.large_string()))
+    except UnicodeEncodeError:  # half a surrogate pair, which no table of Spark has
+        lists = [_WORD.findall(t.translate(_LOWER)) for t in texts]
+        places = {w: k for k, w in enumerate(dict.fromkeys(w for own in lists for w in own))}
+        at = np.repeat(np.arange(len(texts)), [len(own) for own in lists])
+        codes, numbers = np.asarray([places[w] for own in lists for w in own], np.int64), np.asarray([number_of(w) for w in places], np.int64)
+    # each distinct word of a text, in the order in which they come up, as sums of rounded numbers hang on it
+    pairs, first, times = np.unique(at * max(1, len(numbers)) + codes, return_index=True, return_counts=True)
+    order = np.argsort(first)
+    at, number, times = pairs[order] // max(1, len(numbers)), numbers[codes[first[order]]], times[order]
+    levels, level = np.unique(times, return_inverse=True)
+    values = np.where(number >> 31, weights[number % BUCKETS], -weights[number % BUCKETS]) * np.asarray([1 + math.log(n) for n in levels.tolist()], weights.dtype)[level]
+    out = np.bincount(at * SKETCH + number % SKETCH, values, len(texts) * SKETCH).reshape(-1, SKETCH)
+    for i in np.flatnonzero(~out.any(axis=1)):
+        out[i, number_of(texts[i]) % SKETCH] = 1
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -82,7 +117,7 @@ class Encoder:
         """Vectors of unit length."""
         out = sketches(texts, self.weights) @ self.axes
         for i in np.flatnonzero(np.abs(out).max(axis=1, initial=0) < 1e-9):
-            out[i, place_of(texts[i])[0] % self.dim] = 1  # it has nothing on any axis
+            out[i, number_of(texts[i]) % BUCKETS % self.dim] = 1  # it has nothing on any axis
         return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -93,9 +128,9 @@ def gram_of_task(weights: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], It
         total = np.zeros((SKETCH, SKETCH))
         for b in batches:
             column = b.column(0)
-            for a in range(0, len(column), 256):
+            for a in range(0, len(column), ROWS_AT_ONCE):
                 # whole numbers below 2^53, so these products and sums are exact
-                x = np.rint(SCALE * sketches((t for t in column.slice(a, 256).to_pylist() if t and t.strip()), weights))
+                x = np.rint(SCALE * sketches((t for t in column.slice(a, ROWS_AT_ONCE).to_pylist() if t and t.strip()), weights))
                 total += x.T @ x
         yield matrix_row(TaskContext.get().partitionId(), total)
 
@@ -121,10 +156,10 @@ def fit(texts: DataFrame, column: str = "text", dim: int = DEFAULT.embed_dim) ->
     if not 0 < dim <= SKETCH:
         raise EmbeddingError(f"a fitted encoder has 1 to {SKETCH} dimensions")
     rows = texts.select(F.col(f"`{column}`").cast("string").alias("text"))
-    counts = np.zeros(BUCKETS, np.int64)
-    for r in bucket_counts(rows).collect():  # at most BUCKETS rows
-        counts[r["bucket"]] = r["n_texts"]
-    n = rows.count()
+    found = np.zeros(BUCKETS + 1, np.int64)  # the last one is the number of rows
+    for r in tallies(rows).collect():  # at most BUCKETS + 1 rows
+        found[r["bucket"]] = r["n_texts"]
+    counts, n = found[:-1], int(found[-1])
     weights = (np.log((n + 1) / (counts + 1)) + 1).astype(np.float32)
     tasks = rows.rdd.getNumPartitions()
     parts = rows.mapInArrow(gram_of_task(weights), _DDL)

@@ -176,3 +176,31 @@ def test_many_keys_go_to_several_files(spark, tmp_path, monkeypatch):
     assert {r["n_keys"] for r in cachefiles.filters(spark, path).collect()} == {50, 20}
     found = cachefiles.lookup(spark, path, wanted_of(spark, ["k3", "k219"]))
     assert len(found.inputFiles()) == 2 and found.filter("text_key in ('k3', 'k219')").count() == 2
+
+
+def test_a_fit_takes_each_distinct_word_of_a_batch_once(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    # the sums of one text after the other, word by word
+    r = random.Random(5)
+    signs = ["exit", "Load", "Köln", "K", "9a", " ", ", ", "\n", "--", "\x00", "é", "　", "the "]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(300)] + ["", "!!", "x" * 70_000, "a\ud800b b"]
+    weights = np.random.default_rng(1).uniform(1, 9, encoder.BUCKETS).astype(np.float32)
+    for some in (texts[:303], texts):
+        got = encoder.sketches(some, weights)
+        for i, text in enumerate(some):
+            own = np.zeros(encoder.SKETCH)
+            for word, n in Counter(re.findall(encoder.WORD, text.translate({a: a + 32 for a in range(65, 91)}))).items():
+                h = encoder.number_of(word)
+                own[h % encoder.SKETCH] += (1 if h >> 31 else -1) * weights[h % encoder.BUCKETS] * (1 + math.log(n))
+            if not own.any():
+                own[encoder.number_of(text) % encoder.SKETCH] = 1
+            assert np.array_equal(got[i], (own[None] / np.linalg.norm(own[None], axis=1, keepdims=True))[0])
+    asked = []
+    monkeypatch.setattr(encoder, "number_of", lambda word, plain=encoder.number_of: asked.append(word) or plain(word))
+    at, codes, numbers = encoder.words_of(pa.array([None, "one two One", "two, three"]).slice(1))
+    assert at.tolist() == [0, 0, 0, 1, 1] and len(codes) == 5 and len(set(asked) - {""}) == 3 == len([w for w in asked if w])
+    encoder.sketches(["one two"] * 50, weights)
+    assert len(asked) < 10
