@@ -51,11 +51,11 @@ def answer(questions: DataFrame, index: DataFrame, embedder: Callable | None = N
         F.array_distinct(F.collect_list("source_url")).alias("context_urls"),
         F.max("filter").alias("filter"),
     )
-    rows = step(asked.join(gate, "query_id").join(listed, "query_id", "left"), "gate")
+    rows = step(asked.join(retrieve.dealt_out(gate), "query_id").join(retrieve.dealt_out(listed), "query_id", "left"), "gate")
     passed = rows.filter("passes_gate")
-    inside = found.join(passed.select("query_id"), "query_id", "left_semi")
+    inside = found.join(retrieve.dealt_out(passed.select("query_id")), "query_id", "left_semi")
     blocks = retrieve.context(inside, index, settings).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda b: b["block"]).alias("blocks"))
-    prompts = passed.join(blocks, "query_id").withColumn("prompt", verify.user_message(F.col("blocks"), F.col("question"))).drop("blocks")
+    prompts = passed.join(retrieve.dealt_out(blocks), "query_id").withColumn("prompt", verify.user_message(F.col("blocks"), F.col("question"))).drop("blocks")
     done = step(verify.generate(prompts, "prompt", generator, settings, strict).drop("prompt"), "generate")
     done = verify.verify(done, settings=settings)
 

@@ -483,3 +483,12 @@ def test_semantic_breaks_of_a_large_group_spread_over_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_no_join_by_question_sends_a_side_by_the_driver(spark):
+    found = spark.createDataFrame([("q", 1, "c", 0.1), ("r", 1, "c", 0.2)], "query_id string, rank int, chunk_id string, distance double")
+    asked = spark.createDataFrame([("q",), ("r",), ("s",)], "query_id string")
+    gate = retrieve.gate(asked, found, 0.15)
+    assert {r["query_id"]: r["passes_gate"] for r in gate.collect()} == {"q": True, "r": False, "s": False}
+    plan = gate._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
